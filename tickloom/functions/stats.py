@@ -30,6 +30,18 @@ def safe_corr(x: Column, y: Column) -> Column:
     return F.when(spread > 0, F.try_divide(m["cov"], spread))
 
 
+def rank_corr(a: Column, b: Column) -> Column:
+    """Correlation of two rank columns, both never null.
+
+    Ranks are multiples of one half, so every sum is exact and the result does
+    not depend on the order of addition.
+    """
+    n = F.count(F.lit(1))
+    va = n * F.sum(a * a) - F.sum(a) * F.sum(a)
+    vb = n * F.sum(b * b) - F.sum(b) * F.sum(b)
+    return F.try_divide(n * F.sum(a * b) - F.sum(a) * F.sum(b), F.sqrt(va) * F.sqrt(vb))
+
+
 def slope(y: Column, x: Column) -> Column:
     m = centred(x, y)
     return F.when(m["vx"] > 0, F.try_divide(m["cov"], m["vx"]))

@@ -5,13 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.ranks import with_average_ranks
-from tickloom.functions.stats import clip, finite
-from tickloom.operators.scoring import MIN_NAMES, session_ic
-from tickloom.sizing import small
+from tickloom.functions.stats import clip, finite, rank_corr
+from tickloom.operators.scoring import MIN_NAMES
+from tickloom.sizing import fits_task, small
 
 WINSOR = 3.0
 REDUNDANT = 0.5
@@ -25,21 +26,29 @@ def complete_rows(table: DataFrame, names: list[str]) -> DataFrame:
     return table.where(keep)
 
 
-def session_moments(df: DataFrame, names: list[str]) -> DataFrame:
-    """Mean and deviation of each column per session: partial sums, no windows."""
-    stats = [F.avg(n).alias(f"_m_{n}") for n in names] + [F.stddev_samp(n).alias(f"_s_{n}") for n in names]
-    return df.groupBy("event_time").agg(*stats)
+def per_session(df: DataFrame, aggs: dict[str, Column], rows: int | None, width: int = 64) -> DataFrame:
+    """Attach session aggregates to every row.
+
+    With a bound on the session, windows keep the rows where they are; without
+    one, partial sums are joined back and no task holds a session.
+    """
+    if fits_task(rows):
+        session = W.partitionBy("event_time")
+        return df.withColumns({name: agg.over(session) for name, agg in aggs.items()})
+    grouped = df.groupBy("event_time").agg(*[agg.alias(name) for name, agg in aggs.items()])
+    return df.join(grouped, "event_time")
 
 
-def zscore_by_session(df: DataFrame, names: list[str], sessions: int | None = None) -> DataFrame:
+def zscore_by_session(df: DataFrame, names: list[str], rows: int | None = None) -> DataFrame:
     """Cross-sectional z-scores, winsorised; zero where a session is flat."""
-    joined = df.join(small(session_moments(df, names), sessions, 16 * len(names) + 16), "event_time")
+    aggs = {f"_m_{n}": F.avg(n) for n in names} | {f"_s_{n}": F.stddev_samp(n) for n in names}
+    joined = per_session(df, aggs, rows)
 
     def score(n: str) -> Column:
         z = (F.col(n) - F.col(f"_m_{n}")) / F.col(f"_s_{n}")
         return clip(F.when(F.col(f"_s_{n}") > 0, z).otherwise(F.lit(0.0)), -WINSOR, WINSOR)
 
-    return joined.withColumns({n: score(n) for n in names}).select(*df.columns)
+    return joined.select(*[c for c in df.columns if c not in names], *[score(n).alias(n) for n in names])
 
 
 def orthogonalise(
@@ -47,56 +56,58 @@ def orthogonalise(
 ) -> DataFrame:
     """Each factor keeps what the earlier ones of its session do not explain.
 
-    Everything Gram-Schmidt needs is in the session's Gram matrix, so one
-    aggregation and one join replace a pass per factor, and no task ever holds
-    a session.
+    Everything Gram-Schmidt needs is in the session's Gram matrix: partial sums
+    give the matrix, a per-session helper turns it into a triangular map, and
+    one join applies it.  No task ever holds a session.
     """
     if len(names) < 2:
         return df
     k = len(names)
-    sums = [F.count(F.lit(1)).alias("_n")] + [F.sum(n).alias(f"_t{i}") for i, n in enumerate(names)]
-    sums += [
-        F.sum(F.col(names[i]) * F.col(names[j])).alias(f"_g{i}_{j}") for i in range(k) for j in range(i, k)
-    ]
-    gram = df.groupBy("event_time").agg(*sums)
-    # Rows of the lower-triangular map from the factors to the residuals, found
-    # one residual at a time and kept as columns of the per-session table.
-    for i in range(k):
-        row: dict[int, Column] = {i: F.lit(1.0)}
-        for j in range(i):
-            # <x_i, r_j> / <r_j, r_j>
-            dot = _gram_dot({i: F.lit(1.0)}, _row(j), k)
-            coef = F.when(F.col(f"_q{j}") > 0, F.try_divide(dot, F.col(f"_q{j}"))).otherwise(F.lit(0.0))
-            gram = gram.withColumn(f"_c{i}_{j}", coef)
-        for p in range(i):
-            row[p] = -sum((F.col(f"_c{i}_{j}") * _row(j)[p] for j in range(p, i) if p in _row(j)), F.lit(0.0))
-        gram = gram.withColumns({f"_l{i}_{p}": c for p, c in row.items()})
-        gram = gram.withColumn(f"_q{i}", _gram_dot(_row(i), _row(i), k))
-        mean = sum((c * F.col(f"_t{p}") for p, c in _row(i).items()), F.lit(0.0)) / F.col("_n")
-        gram = gram.withColumn(f"_d{i}", F.sqrt(F.greatest(F.col(f"_q{i}") / F.col("_n") - mean * mean, F.lit(0.0))))
-    keep = ["event_time", "_n", *[f"_d{i}" for i in range(k)], *[f"_l{i}_{p}" for i in range(k) for p in range(i + 1)]]
-    joined = df.join(small(gram.select(*keep), sessions, 8 * (k * k + 4)), "event_time")
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+    maps = (
+        df.groupBy("event_time")
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.array(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in cells]).alias("_gram"),
+            F.array(*[F.sum(n) for n in names]).alias("_sums"),
+        )
+        .where(F.col("_n") >= min_names)
+        .select("event_time", _residual_map("_n", "_gram", "_sums").alias("_map"))
+    )
+    joined = df.join(small(maps, sessions, 8 * k * k + 32), "event_time", "left")
 
     def residual(i: int) -> Column:
-        value = sum((F.col(f"_l{i}_{p}") * F.col(names[p]) for p in range(i + 1)), F.lit(0.0))
-        scaled = F.when(F.col(f"_d{i}") > 0, value / F.col(f"_d{i}")).otherwise(value)
-        return F.when(F.col("_n") >= min_names, scaled).otherwise(F.col(names[i]))
+        cells = [F.col("_map")[i * k + p] * F.col(names[p]) for p in range(i + 1)]
+        return F.when(F.col("_map").isNotNull(), sum(cells[1:], cells[0])).otherwise(F.col(names[i]))
 
     return joined.select(
         *[c for c in df.columns if c not in names], *[residual(i).alias(n) for i, n in enumerate(names)]
     )
 
 
-def _row(i: int) -> dict[int, Column]:
-    return {p: F.col(f"_l{i}_{p}") for p in range(i + 1)}
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _residual_map(n: pd.Series, gram: pd.Series, sums: pd.Series) -> pd.Series:
+    """Scaled Gram-Schmidt map of each session, a k-by-k matrix row by row."""
 
+    def solve(count, flat, totals):
+        k = len(totals)
+        g = np.zeros((k, k))
+        g[np.triu_indices(k)] = flat
+        g = np.triu(g) + np.triu(g, 1).T
+        t = np.asarray(totals, dtype=float)
+        rows = np.eye(k)
+        for i in range(k):
+            for j in range(i):
+                norm = rows[j] @ g @ rows[j]
+                if norm > 0:
+                    rows[i] = rows[i] - (rows[i] @ g @ rows[j]) / norm * rows[j]
+        for i in range(k):
+            variance = rows[i] @ g @ rows[i] / count - (rows[i] @ t / count) ** 2
+            if variance > 1e-24:
+                rows[i] = rows[i] / variance**0.5
+        return rows.ravel()
 
-def _gram_dot(a: dict[int, Column], b: dict[int, Column], k: int) -> Column:
-    total = F.lit(0.0)
-    for p, x in a.items():
-        for q, y in b.items():
-            total = total + x * y * F.col(f"_g{min(p, q)}_{max(p, q)}")
-    return total
+    return pd.Series([solve(c, f, s) for c, f, s in zip(n, gram, sums)])
 
 
 def factor_correlations(table: DataFrame, names: list[str], rows: int | None = None) -> DataFrame:
@@ -177,20 +188,38 @@ def skipped_factors(table: DataFrame, names: list[str]) -> DataFrame:
 def ic_weights(
     table: DataFrame, names: list[str], horizon: int, min_names: int = MIN_NAMES, rows: int | None = None
 ) -> DataFrame:
-    """Weight per factor: positive mean IC, normalised; equal when none is positive."""
+    """One row, one weight per factor: positive mean IC, normalised.
+
+    ``table`` holds complete rows, so the factors share their sessions and are
+    ranked side by side; equal weights when no mean IC is positive.
+    """
     forward = f"fwd_{horizon}"
-    long = table.unpivot(["event_time", "symbol", forward], names, "factor", "signal")
-    per = session_ic(long, forward, keys=["factor"], min_names=min_names, rows=rows)
-    mean = per.groupBy("factor").agg(
-        F.when(F.count(F.lit(1)) >= 2, F.greatest(F.avg("ic"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("_score")
+    usable = table.where(F.col(forward).isNotNull()).select("event_time", forward, *names)
+    ranks = {f"_r{i}": n for i, n in enumerate(names)} | {"_rf": forward}
+    per = (
+        with_average_ranks(usable, ranks, ["event_time"], rows)
+        .groupBy("event_time")
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            *[rank_corr(F.col(f"_r{i}"), F.col("_rf")).alias(f"_ic{i}") for i in range(len(names))],
+        )
+        .where(F.col("_n") >= min_names)
+    )
+    scores = per.agg(
+        *[
+            F.when(F.count(f"_ic{i}") >= 2, F.greatest(F.avg(f"_ic{i}"), F.lit(0.0)))
+            .otherwise(F.lit(0.0))
+            .alias(f"_s{i}")
+            for i in range(len(names))
+        ]
+    )
+    total = sum((F.col(f"_s{i}") for i in range(1, len(names))), F.col("_s0"))
+    return scores.select(
+        *[
+            F.when(total > 0, F.try_divide(F.col(f"_s{i}"), total)).otherwise(1.0 / len(names)).alias(n)
+            for i, n in enumerate(names)
+        ]
     )
-    spark = table.sparkSession
-    listed = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("factor"))
-    scored = listed.join(mean, "factor", "left").fillna(0.0, ["_score"])
-    # at most one row per factor: a plain global aggregate
-    total = scored.agg(F.sum("_score").alias("_total"))
-    share = F.when(F.col("_total") > 0, F.try_divide(F.col("_score"), F.col("_total"))).otherwise(1.0 / len(names))
-    return scored.join(F.broadcast(total), F.lit(True), "left").select("factor", share.alias("weight"))
 
 
 def combine_factors(
@@ -208,12 +237,11 @@ def combine_factors(
     Weights come from the raw factors; the z-scores come after.
     """
     joined = complete_rows(table, names)
-    standard = zscore_by_session(joined, names, sessions)
+    standard = zscore_by_session(joined, names, rows)
     if orthogonal:
         standard = orthogonalise(standard, names, min_names, sessions)
     if ic_weighted:
-        weights = ic_weights(joined, names, horizon, min_names, rows)
-        one_row = weights.groupBy().pivot("factor", names).agg(F.first("weight")).select(
+        one_row = ic_weights(joined, names, horizon, min_names, rows).select(
             *[F.col(n).alias(f"_w_{n}") for n in names]
         )
         standard = standard.join(F.broadcast(one_row), F.lit(True), "left")

@@ -120,9 +120,10 @@ def inferred_split_factors(panel: DataFrame) -> DataFrame:
     step = F.try_divide(F.col("close"), F.lag("close").over(by()))
     after = by().rowsBetween(1, W.unboundedFollowing)
     return (
-        panel.withColumn("_f", matched_ratio(step))
+        panel.withColumn("_step", step)
+        .withColumn("_f", matched_ratio(F.col("_step")))
         .withColumn("split_factor", compound(F.col("_f"), after))
-        .drop("_f")
+        .drop("_step", "_f")
     )
 
 

@@ -37,13 +37,12 @@ def _price_factors(year: int) -> dict[str, Column]:
 
 
 def _residual_factors() -> dict[str, Column]:
+    n, k = F.col("_down_n_w"), F.col("_down_k_w")
     # the market sums also hold down sessions on which the name has no return
-    n = trailing("_down_n", YEAR)
-    mean_down = trailing("_down_r", YEAR) / n
-    k = trailing("_down_k", YEAR)
-    mean_market = trailing("_down_m", YEAR) / k
-    cov = trailing("_down_rm", YEAR) / n - mean_down * mean_market
-    var = trailing("_down_mm", YEAR) / k - mean_market * mean_market
+    share = F.try_divide
+    mean_down, mean_market = share(F.col("_down_r_w"), n), share(F.col("_down_m_w"), k)
+    cov = share(F.col("_down_rm_w"), n) - mean_down * mean_market
+    var = share(F.col("_down_mm_w"), k) - mean_market * mean_market
     return {
         "beta": -F.col("beta"),
         "residual_momentum": F.lag("_resid_231", MONTH).over(by()),
@@ -81,15 +80,16 @@ def add_residuals(panel: DataFrame, window: int = BETA_WINDOW, sessions: int | N
     df = running_sums(
         add_market_return(panel, sessions), {"_sx": x, "_sy": y, "_sxx": x * x, "_sxy": x * y}
     )
-    mx, my = trailing("_sx", window) / window, trailing("_sy", window) / window
-    cov = trailing("_sxy", window) / window - mx * my
-    var = trailing("_sxx", window) / window - mx * mx
-    full = F.row_number().over(by()) >= window
-    beta = F.when(full & (var > 0), cov / var)
+    sums = ("_sx", "_sy", "_sxx", "_sxy")
+    # window columns first: used inline they would be computed at every mention
+    df = df.withColumns({f"{s}_n": trailing(s, window) / window for s in sums} | {"_i": F.row_number().over(by())})
+    cov = F.col("_sxy_n") - F.col("_sx_n") * F.col("_sy_n")
+    var = F.col("_sxx_n") - F.col("_sx_n") * F.col("_sx_n")
+    beta = F.when((F.col("_i") >= window) & (var > 0), cov / var)
     return (
         df.withColumn("beta", beta)
         .withColumn("residual", F.col("ret") - F.col("beta") * F.col("market_ret"))
-        .drop("_sx", "_sy", "_sxx", "_sxy")
+        .drop("_i", *sums, *[f"{s}_n" for s in sums])
     )
 
 
@@ -127,6 +127,8 @@ def with_factors(
                     "_down_mm": F.when(down, m * m),
                 },
             )
+            sums = [c for c in df.columns if c.startswith("_down_")]
+            df = df.withColumns({f"{s}_w": trailing(s, YEAR) for s in sums})
     defined = _price_factors(year)
     if any(n in RESIDUAL_FACTORS for n in names):
         defined |= {k: v for k, v in _residual_factors().items() if k in names}

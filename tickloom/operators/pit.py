@@ -132,7 +132,7 @@ def suggestions(panel: DataFrame, text: str, limit: int = 8) -> DataFrame:
     names = panel.select("symbol").distinct()
     ranked = names.withColumn(
         "priority",
-        F.when(F.col("symbol").startswith(wanted[:3]), 1).when(F.col("symbol").contains(wanted), 2),
+        F.when(F.col("symbol").startswith(wanted), 1).when(F.col("symbol").contains(wanted), 2),
     ).where(F.col("priority").isNotNull())
     best = ranked.agg(F.min("priority").alias("priority"))
     return ranked.join(F.broadcast(best), "priority").orderBy("symbol").limit(limit).select("symbol", "priority")

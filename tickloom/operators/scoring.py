@@ -11,8 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions.ranks import with_average_ranks, with_ordinal_rank
-from tickloom.functions.stats import finite, safe_corr
+from tickloom.functions.stats import finite, rank_corr
 from tickloom.functions.windows import by, rolling
+from tickloom.sizing import fits_task
 
 MIN_NAMES = 20
 ROLLING_WINDOW = 252
@@ -35,7 +36,7 @@ def session_ic(
     ranked = with_average_ranks(usable, {"_rs": "signal", "_rf": "_fwd"}, session, rows)
     return (
         ranked.groupBy(*session)
-        .agg(safe_corr(F.col("_rs"), F.col("_rf")).alias("ic"), F.count(F.lit(1)).alias("names"))
+        .agg(rank_corr(F.col("_rs"), F.col("_rf")).alias("ic"), F.count(F.lit(1)).alias("names"))
         .where((F.col("names") >= min_names) & finite(F.col("ic")))
     )
 
@@ -92,21 +93,14 @@ def rolling_ic(
     )
 
 
-def _with_session_size(df: DataFrame, session: list[str], rows: int | None) -> DataFrame:
-    counts = df.groupBy(*session).agg(F.count(F.lit(1)).alias("_n"))
-    return df.join(counts, session)
-
-
 def _positions(scored: DataFrame, keys: list[str], rows: int | None) -> DataFrame:
     """Ordinal position by (signal, symbol) and size of the session."""
     session = [*keys, "event_time"]
     ranked = with_ordinal_rank(scored, "signal", "symbol", "_ord", session, rows)
-    if rows is not None and rows > 0 and "_n" not in ranked.columns:
-        from tickloom.sizing import fits_task
-
-        if fits_task(rows):
-            return ranked.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*session)))
-    return _with_session_size(ranked, session, rows)
+    if fits_task(rows):
+        return ranked.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*session)))
+    counts = scored.groupBy(*session).agg(F.count(F.lit(1)).alias("_n"))
+    return ranked.join(counts, session)
 
 
 def quantile_returns(

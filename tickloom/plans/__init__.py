@@ -1,7 +1,7 @@
 """Registered queries."""
 
-from tickloom.plans import research
+from tickloom.plans import market, research
 from tickloom.plans.registry import REGISTRY
 from tickloom.plans.research import reversal_ic
 
-__all__ = ["REGISTRY", "research", "reversal_ic"]
+__all__ = ["REGISTRY", "market", "research", "reversal_ic"]

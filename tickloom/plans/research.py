@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tickloom.operators import composite, factors, pit, scoring
 from tickloom.operators.corpactions import COMMON_RATIOS
@@ -127,6 +128,14 @@ def avg_rank(col: str, session: str) -> str:
     )
 
 
+def rank_corr_sql(a: str, b: str) -> str:
+    return (
+        f"(count(*) * sum({a} * {b}) - sum({a}) * sum({b})) / nullif("
+        f"sqrt(count(*) * sum({a} * {a}) - sum({a}) * sum({a})) * "
+        f"sqrt(count(*) * sum({b} * {b}) - sum({b}) * sum({b})), 0)"
+    )
+
+
 def corr_sql(a: str, b: str) -> str:
     return f"covar_pop({a}, {b}) / nullif(sqrt(var_pop({a})) * sqrt(var_pop({b})), 0)"
 
@@ -134,7 +143,7 @@ def corr_sql(a: str, b: str) -> str:
 def session_ic_sql(scored: str, fwd: str, keys: str = "", min_names: int = 20) -> str:
     session = f"{keys}event_time"
     return f"""SELECT * FROM (
-        SELECT {session}, {corr_sql('rs', 'rf')} AS ic, count(*) AS names
+        SELECT {session}, {rank_corr_sql('rs', 'rf')} AS ic, count(*) AS names
         FROM (SELECT {session}, CAST({avg_rank('signal', session)} AS DOUBLE) AS rs,
                      CAST({avg_rank(fwd, session)} AS DOUBLE) AS rf
               FROM {scored} WHERE signal IS NOT NULL AND {fwd} IS NOT NULL)
@@ -340,13 +349,13 @@ def horizons(spark, d):
     "W2 W12",
     oracle(
         f"""SELECT strftime(event_time, '%Y-%m-%d %H:%M:%S') AS "end", {r('m')} AS rolling_ic, CAST(252 AS BIGINT) AS sessions
-        FROM (SELECT event_time, avg(ic) OVER w AS m, count(*) OVER w AS n FROM ({session_ic_sql('scored', 'fwd_5')})
+        FROM (SELECT event_time, avg(ic) OVER w AS m, count(*) OVER w AS n FROM ({session_ic_sql('scored', 'fwd_5', '', 10)})
               WINDOW w AS (ORDER BY event_time ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)) WHERE n = 252""",
         SCORED5,
     ),
 )
 def rolling(spark, d):
-    return present(scoring.rolling_ic(scored(spark, d, "reversal_5d"), "fwd_5", rows=rows(spark, d)))
+    return present(scoring.rolling_ic(scored(spark, d, "reversal_5d"), "fwd_5", min_names=10, rows=rows(spark, d)))
 
 
 ROUND_TRIP = 0.0033
@@ -529,7 +538,8 @@ WEIGHTS = {
 @query("r10_ic_weights", "R10", oracle(f"SELECT factor, {r('weight')} AS weight FROM weights", WEIGHTS))
 def weights(spark, d):
     joined = composite.complete_rows(table(spark, d, MIX), MIX)
-    return present(composite.ic_weights(joined, MIX, 21, rows=rows(spark, d)))
+    wide = composite.ic_weights(joined, MIX, 21, rows=rows(spark, d))
+    return present(wide.unpivot([], MIX, "factor", "weight"))
 
 
 _COMPOSITE = " + ".join(f"{n} * (SELECT weight FROM weights WHERE factor = '{n}')" for n in MIX)
@@ -545,5 +555,7 @@ _COMPOSITE = " + ".join(f"{n} * (SELECT weight FROM weights WHERE factor = '{n}'
 )
 def combined(spark, d):
     n = rows(spark, d)
-    df = composite.combine_factors(table(spark, d, MIX), MIX, 21, rows=n, sessions=n)
+    # read by the weights and by the scores; lost blocks are recomputed
+    wide = table(spark, d, MIX).persist(StorageLevel.DISK_ONLY)
+    df = composite.combine_factors(wide, MIX, 21, rows=n, sessions=n)
     return present(df.select(F.to_date("event_time").alias("session"), "symbol", "signal", "fwd_21"), 6)

@@ -157,14 +157,14 @@ def ticks(spark: SparkSession, d: str) -> DataFrame:
 
 def fills(spark: SparkSession, d: str) -> DataFrame:
     """Line items as executions; the order key is every column of the line."""
-    price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
+    price = half_away(F.col("l_extendedprice") / F.col("l_quantity"), 2)
     return load(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("account"),
         (F.col("l_partkey") % 20).alias("instrument"),
         F.when(F.col("l_linenumber") % 2 == 1, "BUY").otherwise("SELL").alias("side"),
         F.col("l_quantity").cast("decimal(18,4)").alias("quantity"),
         price.cast("decimal(18,4)").alias("price"),
-        F.round(F.col("l_extendedprice") * F.col("l_tax") / 100, 2).cast("decimal(18,4)").alias("fees"),
+        half_away(F.col("l_extendedprice") * F.col("l_tax") / 100, 2).cast("decimal(18,4)").alias("fees"),
         F.to_date("l_shipdate").alias("session"),
         "l_orderkey",
         "l_partkey",
@@ -194,7 +194,83 @@ def rebalance_dates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def dirty_bars(spark: SparkSession, d: str) -> DataFrame:
+    """``panel_split`` with known defects of every kind the checks look for."""
+    rn, c = F.col("rn"), F.col
+    flat = (rn % 10 == 0) & (c("sym_no") % 4 == 0)
+    bars = panel_split(spark, d).select(
+        "instrument_id",
+        "symbol",
+        "event_time",
+        F.when(rn % 113 == 0, c("event_time") - F.expr("INTERVAL 1 HOURS")).otherwise(c("receive_time")).alias("receive_time"),
+        F.when(flat, c("close")).otherwise(c("open")).alias("open"),
+        F.when(flat, c("close")).otherwise(c("high")).alias("high"),
+        F.when(flat, c("close")).when(rn % 131 == 0, -c("low")).otherwise(c("low")).alias("low"),
+        "close",
+        F.when(rn % 71 == 0, F.lit(0.0)).otherwise(c("volume")).alias("volume"),
+        (rn * 10 - F.when((c("sym_no") % 3 == 0) & (rn % 50 == 0), 13).otherwise(0)).alias("seq"),
+        "rn",
+    )
+    again = bars.where(rn % 97 == 0).withColumns(
+        {"seq": c("seq") + 5, "receive_time": c("receive_time") + F.expr("INTERVAL 1 DAYS")}
+    )
+    return bars.unionByName(again)
+
+
+def instruments(spark: SparkSession, d: str) -> DataFrame:
+    """Listing lifecycle of every instrument of the panel."""
+    span = panel_raw(spark, d).groupBy("sym_no", "instrument_id").agg(
+        F.min("event_time").alias("listed_at"), F.max("event_time").alias("last_at")
+    )
+    return span.select(
+        "instrument_id",
+        "listed_at",
+        F.when(F.col("sym_no") % 9 == 0, F.col("last_at") - F.expr("INTERVAL 400 DAYS")).alias("delisted_at"),
+        F.when(F.col("sym_no") % 11 == 0, F.col("listed_at") + F.expr("INTERVAL 1000 DAYS")).alias("expiry"),
+    )
+
+
+def aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Brands as symbols that move to another instrument every three years."""
+    era = load(spark, d, "part").select("p_brand", (F.col("p_partkey") % 3).alias("era")).distinct()
+    return era.select(
+        F.col("p_brand").alias("symbol"),
+        F.lit("NSE").alias("exchange"),
+        F.concat(F.lit("X:INE"), F.col("p_brand"), F.lit("-"), F.col("era").cast("string")).alias("instrument_id"),
+        F.make_timestamp(F.lit(1993) + F.col("era") * 3, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("valid_from"),
+        F.when(
+            F.col("era") < 2,
+            F.make_timestamp(F.lit(1996) + F.col("era") * 3, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)),
+        ).alias("valid_to"),
+    )
+
+
 CTES: dict[str, str] = {
+    "dirty_base": """
+        SELECT instrument_id, symbol, event_time,
+               CASE WHEN rn % 113 = 0 THEN event_time - INTERVAL 1 HOUR ELSE receive_time END AS receive_time,
+               CASE WHEN rn % 10 = 0 AND sym_no % 4 = 0 THEN close ELSE open END AS open,
+               CASE WHEN rn % 10 = 0 AND sym_no % 4 = 0 THEN close ELSE high END AS high,
+               CASE WHEN rn % 10 = 0 AND sym_no % 4 = 0 THEN close WHEN rn % 131 = 0 THEN -low ELSE low END AS low,
+               close, CASE WHEN rn % 71 = 0 THEN 0.0::DOUBLE ELSE volume END AS volume,
+               rn * 10 - CASE WHEN sym_no % 3 = 0 AND rn % 50 = 0 THEN 13 ELSE 0 END AS seq, rn
+        FROM panel_split""",
+    "dirty_bars": """
+        SELECT * FROM dirty_base UNION ALL
+        SELECT instrument_id, symbol, event_time, receive_time + INTERVAL 1 DAY, open, high, low, close, volume, seq + 5, rn
+        FROM dirty_base WHERE rn % 97 = 0""",
+    "instruments": """
+        SELECT instrument_id, listed_at,
+               CASE WHEN sym_no % 9 = 0 THEN last_at - INTERVAL 400 DAY END AS delisted_at,
+               CASE WHEN sym_no % 11 = 0 THEN listed_at + INTERVAL 1000 DAY END AS expiry
+        FROM (SELECT sym_no, instrument_id, min(event_time) AS listed_at, max(event_time) AS last_at
+              FROM panel_raw GROUP BY 1, 2)""",
+    "aliases": """
+        SELECT DISTINCT p_brand AS symbol, 'NSE' AS exchange,
+               'X:INE' || p_brand || '-' || CAST(p_partkey % 3 AS VARCHAR) AS instrument_id,
+               make_timestamp(1993 + (p_partkey % 3) * 3, 1, 1, 0, 0, 0) AS valid_from,
+               CASE WHEN p_partkey % 3 < 2 THEN make_timestamp(1996 + (p_partkey % 3) * 3, 1, 1, 0, 0, 0) END AS valid_to
+        FROM part""",
     "panel_raw": """
         SELECT sym_no,
                CASE WHEN sym_no % 10 = 0 THEN 'X:INF' ELSE 'X:INE' END
@@ -284,6 +360,12 @@ def r(expr: str, digits: int = 8) -> str:
     return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
 
 
+def half_away(col: Column, digits: int) -> Column:
+    """Round the binary product half away from zero, as the SQL twin does."""
+    scale = float(10**digits)
+    return F.round(col * scale, 0) / scale
+
+
 def present(df: DataFrame, digits: int = 8, **per_column: int) -> DataFrame:
     """Plain output types: strings, longs, booleans and rounded doubles."""
     out = []
@@ -294,7 +376,7 @@ def present(df: DataFrame, digits: int = 8, **per_column: int) -> DataFrame:
         elif kind.startswith("timestamp"):
             col = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
         elif kind in ("double", "float", "decimal"):
-            col = F.round(col.cast("double"), per_column.get(field.name, digits)) + F.lit(0.0)
+            col = half_away(col.cast("double"), per_column.get(field.name, digits)) + F.lit(0.0)
         elif kind in ("integer", "short", "byte"):
             col = col.cast("bigint")
         out.append(col.alias(field.name))
