@@ -103,11 +103,11 @@ def screen_universe(panel: DataFrame, screen: Screen = Screen()) -> DataFrame:
 
     chosen = shortlist(panel, screen)
     bars = tail(panel.join(F.broadcast(chosen.select("symbol")), "symbol", "left_semi"), screen.window)
-    profiles = profile(bars)
+    profiles = profile(bars).drop("last_close", "first_close", "volatility").withColumnRenamed("observations", "profiled_bars")
     verdicts = assess(bars)
     column, descending = SORTS[screen.sort_by]
     order = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
-    deep = chosen.join(profiles.drop("last_close", "first_close"), "symbol").join(verdicts, "symbol")
+    deep = chosen.join(profiles, "symbol").join(verdicts, "symbol")
     if screen.stationary_only:
         deep = deep.where("tradable_as_mean_reversion")
     return deep.orderBy(order, "symbol").limit(screen.limit)

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.functions.scalar import money
 from tickloom.operators.pit import trailing_sessions
+from tickloom.schemas import MONEY
 from tickloom.sizing import small
 
 
@@ -112,7 +114,7 @@ def trailing_adv(panel: DataFrame, sessions: int = 20) -> DataFrame:
         .groupBy("instrument_id")
         .agg(mean.alias("adv"))
         .where(F.col("adv") > 0)
-        .withColumn("adv", F.round("adv", 2))
+        .withColumn("adv", money(F.col("adv").cast(MONEY)))
     )
 
 

@@ -330,7 +330,7 @@ def survivors(spark, d):
     "a6_trailing_adv",
     "A6",
     oracle(
-        f"""SELECT instrument_id, {r('avg(close * volume)', 2)} AS adv FROM panel_raw
+        f"""SELECT instrument_id, {r('round(CAST(avg(close * volume) AS DECIMAL(28,10)), 2)', 2)} AS adv FROM panel_raw
             WHERE event_time IN (SELECT DISTINCT event_time FROM panel_raw ORDER BY 1 DESC LIMIT 20) GROUP BY 1 HAVING avg(close * volume) > 0"""
     ),
 )
@@ -554,11 +554,11 @@ def quantity_factors(spark, d):
     "J9",
     oracle(
         f"""SELECT instrument_id, action_type, strftime(ex_date, {DAY}) AS ex_date FROM actions
-            WHERE coalesce(announcement_date, ex_date) <= DATE '1997-01-01'"""
+            WHERE coalesce(announcement_date, ex_date) <= DATE '1998-01-01'"""
     ),
 )
 def known(spark, d):
-    return present(corpactions.known_at(t.actions(spark, d), "1997-01-01").select("instrument_id", "action_type", "ex_date"))
+    return present(corpactions.known_at(t.actions(spark, d), "1998-01-01").select("instrument_id", "action_type", "ex_date"))
 
 
 @query(
