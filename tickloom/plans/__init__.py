@@ -1,7 +1,7 @@
 """Registered queries."""
 
-from tickloom.plans import market, research, statistics
+from tickloom.plans import market, research, statistics, trading
 from tickloom.plans.registry import REGISTRY
 from tickloom.plans.research import reversal_ic
 
-__all__ = ["REGISTRY", "market", "research", "reversal_ic", "statistics"]
+__all__ = ["REGISTRY", "market", "research", "reversal_ic", "statistics", "trading"]
