@@ -341,13 +341,16 @@ def oracle(body: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``body`` with the table definitions it mentions, in order."""
     known = {**CTES, **(extra or {})}
     needed: list[str] = []
+    open_: set[str] = set()
 
     def visit(text: str) -> None:
         for name in known:
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                visit(known[name]) if known[name] is not text else None
-                if name not in needed:
-                    needed.append(name)
+            if name in needed or name in open_ or not re.search(rf"\b{name}\b", text):
+                continue
+            open_.add(name)
+            visit(known[name])
+            open_.discard(name)
+            needed.append(name)
 
     visit(body)
     if not needed:
