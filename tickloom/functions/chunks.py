@@ -36,15 +36,15 @@ def with_previous(
     last = F.max_by(F.struct(*values), F.struct(*order))
     ends = cut.groupBy(*keys, "_chunk").agg(last.alias("_last"))
     carried = ends.select(
-        *keys, "_chunk", F.lag("_last").over(W.partitionBy(*keys).orderBy("_chunk")).alias("_carry")
+        *keys, "_chunk", F.lag("_last").over(W.partitionBy(*keys).orderBy("_chunk")).alias("_chunk_carry")
     )
     first = F.col("_i") == 1
     return (
         inner.join(carried, [*keys, "_chunk"])
         .withColumns(
-            {f"prev_{v}": F.when(first, F.col(f"_carry.{v}")).otherwise(F.col(f"prev_{v}")) for v in values}
+            {f"prev_{v}": F.when(first, F.col(f"_chunk_carry.{v}")).otherwise(F.col(f"prev_{v}")) for v in values}
         )
-        .drop("_chunk", "_i", "_carry")
+        .drop("_chunk", "_i", "_chunk_carry")
     )
 
 

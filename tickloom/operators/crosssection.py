@@ -32,29 +32,28 @@ def chosen(names: DataFrame, count: int) -> DataFrame:
     return listed.withColumn("idx", F.row_number().over(W.orderBy("symbol")) - 1)
 
 
-def session_vectors(returns: DataFrame, names: DataFrame, count: int) -> DataFrame:
-    """One vector of ``count`` returns per session, 0 where a name is missing."""
+def session_vectors(returns: DataFrame, names: DataFrame) -> DataFrame:
+    """One vector per session with a return for every chosen name, 0 if missing."""
     tagged = returns.join(F.broadcast(names), "symbol").where(F.col("ret").isNotNull())
     cells = tagged.groupBy("event_time").agg(
-        F.map_from_entries(F.collect_list(F.struct("idx", "ret"))).alias("_m")  # at most ``count``
+        F.map_from_entries(F.collect_list(F.struct("idx", "ret"))).alias("_m")  # one per chosen name
     )
+    last = names.agg(F.max("idx")).scalar()
     fill = F.transform(
-        F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))
+        F.sequence(F.lit(0), F.col("_last")), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))
     )
-    return cells.select("event_time", fill.alias("vector"))
+    return cells.withColumn("_last", last).select("event_time", fill.alias("vector"))
 
 
 _MOMENTS = ("n", "s1_i", "s1_j", "s2_i", "s2_j", "a", "b_ij", "b_ji", "c")
 
 
-def moment_table(vectors: DataFrame, count: int) -> DataFrame:
+def moment_table(vectors: DataFrame) -> DataFrame:
     """Sums of products of every pair of columns, ``(i, j, moments...)``."""
     schema = "i int, j int, " + ", ".join(f"{m} double" for m in _MOMENTS)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k = count
-        n, s1, s2 = 0, np.zeros(k), np.zeros(k)
-        a, b, c = np.zeros((k, k)), np.zeros((k, k)), np.zeros((k, k))
+        n, s1, s2, a, b, c = 0, 0.0, 0.0, 0.0, 0.0, 0.0
         for frame in batches:
             if not len(frame):
                 continue
@@ -63,7 +62,7 @@ def moment_table(vectors: DataFrame, count: int) -> DataFrame:
             n, s1, s2 = n + len(x), s1 + x.sum(axis=0), s2 + q.sum(axis=0)
             a, b, c = a + x.T @ x, b + q.T @ x, c + q.T @ q
         if n:
-            i, j = (g.ravel() for g in np.indices((k, k)))
+            i, j = (g.ravel() for g in np.indices(a.shape))
             values = (np.full(i.size, float(n)), s1[i], s1[j], s2[i], s2[j], a[i, j], b[i, j], b[j, i], c[i, j])
             yield pd.DataFrame(dict(zip(("i", "j", *_MOMENTS), (i, j, *values))))
 
@@ -299,8 +298,8 @@ def analyse(returns: DataFrame, names: DataFrame, count: int) -> DataFrame:
     if count < 2:
         raise ValueError("a cross-section needs at least two names")
     listed = checkpointed(chosen(names, count))
-    vectors = session_vectors(returns, listed, count)
-    moments = checkpointed(moment_table(vectors, count))
+    vectors = session_vectors(returns, listed)
+    moments = checkpointed(moment_table(vectors))
     cov = ledoit_wolf(moments)
     corr = correlation(cov)
     weights = allocations(cov)

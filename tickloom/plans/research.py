@@ -150,10 +150,14 @@ def session_ic_sql(scored: str, fwd: str, keys: str = "", min_names: int = 20) -
         GROUP BY {session}) WHERE names >= {min_names} AND ic IS NOT NULL"""
 
 
-IC_STATS = f"""{r('avg(ic)')} AS mean, {r('stddev_samp(ic)')} AS std,
-    {r('avg(ic) / stddev_samp(ic)')} AS information_ratio,
-    {r('avg(ic) / stddev_samp(ic) * sqrt(count(*))')} AS t_stat,
-    {r('avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END)')} AS hit_rate, count(*) AS sessions"""
+def _two(expr: str) -> str:
+    return r(f"coalesce(CASE WHEN count(*) >= 2 THEN {expr} END, 0)")
+
+
+IC_STATS = f"""{_two('avg(ic)')} AS mean, {_two('stddev_samp(ic)')} AS std,
+    {_two('avg(ic) / nullif(stddev_samp(ic), 0)')} AS information_ratio,
+    {_two('avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(*))')} AS t_stat,
+    {_two('avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END)')} AS hit_rate, count(*) AS sessions"""
 
 
 # ---- panels ----------------------------------------------------------------

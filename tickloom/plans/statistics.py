@@ -347,7 +347,7 @@ def listed(spark, d):
 
 def moments(spark, d):
     returns = t.panel_smooth(spark, d).withColumn("ret", simple_return(window=by()))
-    return xs.moment_table(xs.session_vectors(returns, listed(spark, d), NAMES), NAMES)
+    return xs.moment_table(xs.session_vectors(returns, listed(spark, d)))
 
 
 @query("x1_sample_covariance", "X1", oracle(f"SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, {r('sample', 12)} AS value FROM cells", XS))
@@ -426,7 +426,7 @@ def risk_parity(spark, d):
 def name_statistics(spark, d):
     names = listed(spark, d)
     returns = t.panel_smooth(spark, d).withColumn("ret", simple_return(window=by()))
-    return present(xs.name_statistics(xs.session_vectors(returns, names, NAMES), names))
+    return present(xs.name_statistics(xs.session_vectors(returns, names), names))
 
 
 @query(

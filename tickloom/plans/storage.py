@@ -536,14 +536,14 @@ def tick_bars(spark, d):
     "st3_time_gaps",
     "ST3",
     oracle(
-        f"""SELECT instrument_id, prev AS previous_sequence, sequence, sequence - prev - 1 AS missing, {r('gap', 3)} AS gap_seconds FROM (
+        f"""SELECT instrument_id, prev AS previous_sequence, sequence, sequence - prev - 1 AS missing, {r("gap", 1)} AS gap_seconds FROM (
             SELECT instrument_id, sequence, lag(sequence) OVER w AS prev, epoch(event_time) - epoch(lag(event_time) OVER w) AS gap FROM ticks
             WINDOW w AS (PARTITION BY instrument_id ORDER BY sequence)) WHERE gap > 86400"""
     ),
 )
 def time_gaps(spark, d):
     stream = jobs.sequence_gaps(tick_stream(spark, d), 86400.0)
-    return present(streamed(spark, d, "gaps", stream), 3)
+    return present(streamed(spark, d, "gaps", stream), 1)
 
 
 @query("st4_stream_alerts", "ST4 RK9 RK3")
