@@ -98,30 +98,32 @@ def ledoit_wolf(moments: DataFrame) -> DataFrame:
         F.sqrt(F.greatest(c("s2_i") / n - mi * mi, F.lit(TINY))).alias("di"),
         F.sqrt(F.greatest(c("s2_j") / n - mj * mj, F.lit(TINY))).alias("dj"),
     )
+    # what is left has a row per pair of chosen names: windows, not self joins
+    every = W.partitionBy(F.lit(0))
     off = c("i") != c("j")
     rho = c("s") / (c("di") * c("dj"))
-    mean = cells.agg(F.coalesce(F.avg(F.when(off, rho)), F.lit(0.0)).alias("mean_rho"))
-    target = F.when(off, c("mean_rho") * c("di") * c("dj")).otherwise(c("s"))
-    aimed = cells.join(F.broadcast(mean), F.lit(True), "left").withColumn("target", target)
+    mean = F.coalesce(F.avg(F.when(off, rho)).over(every), F.lit(0.0))
+    aimed = cells.withColumn("_rho", mean).withColumn(
+        "target", F.when(off, c("_rho") * c("di") * c("dj")).otherwise(c("s"))
+    )
     gap = c("target") - c("s")
-    strength = aimed.agg(F.sum("phi").alias("phi_all"), F.sum(gap * gap).alias("gamma"), F.max("n").alias("periods"))
-    raw = F.try_divide(c("phi_all"), c("gamma") * c("periods"))
-    intensity = F.when(c("gamma") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))).otherwise(0.0)
-    share = strength.select(intensity.alias("intensity"))
-    return aimed.join(F.broadcast(share), F.lit(True), "left").select(
+    totals = aimed.withColumns({"_phi": F.sum("phi").over(every), "_gamma": F.sum(gap * gap).over(every)})
+    raw = F.try_divide(c("_phi"), c("_gamma") * c("n"))
+    intensity = F.when(c("_gamma") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))).otherwise(0.0)
+    return totals.withColumn("intensity", intensity).select(
         "i", "j", (c("intensity") * c("target") + (1 - c("intensity")) * c("s")).alias("value"), "intensity"
     )
 
 
 def correlation(covariance: DataFrame) -> DataFrame:
     """Correlation of a covariance table, clipped, with a unit diagonal."""
-    diagonal = covariance.where("i = j").select("i", F.sqrt(F.greatest("value", F.lit(TINY))).alias("d"))
-    rho = F.col("value") / (F.col("di") * F.col("dj"))
-    joined = covariance.join(F.broadcast(diagonal.withColumnRenamed("d", "di")), "i").join(
-        F.broadcast(diagonal.select(F.col("i").alias("j"), F.col("d").alias("dj"))), "j"
+    own = F.when(F.col("i") == F.col("j"), F.sqrt(F.greatest("value", F.lit(TINY))))
+    df = covariance.select("i", "j", "value").withColumns(
+        {"_di": F.max(own).over(W.partitionBy("i")), "_dj": F.max(own).over(W.partitionBy("j"))}
     )
+    rho = F.col("value") / (F.col("_di") * F.col("_dj"))
     value = F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.least(F.greatest(rho, F.lit(-1.0)), F.lit(1.0)))
-    return joined.select("i", "j", value.alias("value"))
+    return df.select("i", "j", value.alias("value"))
 
 
 def effective_bets(corr: DataFrame) -> DataFrame:
@@ -164,8 +166,7 @@ def clusters(corr: DataFrame, cut: float = CLUSTER_CUT, max_rounds: int = 50) ->
 def inverse_variance(covariance: DataFrame) -> DataFrame:
     share = 1 / F.greatest(F.col("value"), F.lit(TINY))
     diagonal = covariance.where("i = j").select("i", share.alias("_w"))
-    total = diagonal.agg(F.sum("_w").alias("_total"))
-    return diagonal.join(F.broadcast(total), F.lit(True), "left").select("i", (F.col("_w") / F.col("_total")).alias("weight"))
+    return diagonal.select("i", (F.col("_w") / F.sum("_w").over(W.partitionBy(F.lit(0)))).alias("weight"))
 
 
 def _dense(frame: pd.DataFrame) -> np.ndarray:
@@ -300,7 +301,7 @@ def analyse(returns: DataFrame, names: DataFrame, count: int) -> DataFrame:
     listed = checkpointed(chosen(names, count))
     vectors = session_vectors(returns, listed)
     moments = checkpointed(moment_table(vectors))
-    cov = ledoit_wolf(moments)
+    cov = checkpointed(ledoit_wolf(moments))
     corr = correlation(cov)
     weights = allocations(cov)
     groups = clusters(corr)

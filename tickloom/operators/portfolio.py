@@ -17,6 +17,7 @@ from tickloom.functions.ranks import with_ordinal_rank
 from tickloom.functions.scalar import money, to_tick, whole_lots
 from tickloom.functions.windows import by, rolling
 from tickloom.operators.performance import with_curve
+from tickloom.sizing import fits_task
 
 MAX_DATES = 5_000
 Strategy = Callable[[DataFrame], DataFrame]
@@ -72,14 +73,16 @@ def exposure(weights: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def clipped(weights: DataFrame, keys: list[str], max_position: float, max_gross: float) -> DataFrame:
+def clipped(
+    weights: DataFrame, keys: list[str], max_position: float, max_gross: float, rows: int | None = None
+) -> DataFrame:
     """Clip each name, drop zeros, then scale a book that is still too large."""
     cut = weights.where("weight <> 0").withColumn(
         "weight", F.greatest(F.least(F.col("weight"), F.lit(max_position)), F.lit(-max_position))
     )
-    gross = cut.groupBy(*keys).agg(F.sum(F.abs("weight")).alias("_gross"))
     scale = F.when(F.col("_gross") > max_gross, max_gross / F.col("_gross")).otherwise(1.0)
-    return cut.join(gross, keys).withColumn("weight", F.col("weight") * scale).drop("_gross")
+    sized = _per_decision(cut, keys, {"_gross": F.sum(F.abs("weight"))}, rows)
+    return sized.withColumn("weight", F.col("weight") * scale).drop("_gross")
 
 
 def run_strategy(view: DataFrame, strategy: Strategy, keys: list[str], max_position: float = 1.0, max_gross: float = 1.0) -> DataFrame:
@@ -87,20 +90,28 @@ def run_strategy(view: DataFrame, strategy: Strategy, keys: list[str], max_posit
     return view.transform(strategy).transform(lambda w: clipped(w, keys, max_position, max_gross))
 
 
-def _equal(signals: DataFrame, keys: list[str], gross: float) -> DataFrame:
+def _per_decision(df: DataFrame, keys: list[str], aggs: dict[str, Column], rows: int | None) -> DataFrame:
+    """Attach aggregates of a decision: windows when ``rows`` bounds it."""
+    if fits_task(rows):
+        decision = W.partitionBy(*keys)
+        return df.withColumns({name: agg.over(decision) for name, agg in aggs.items()})
+    return df.join(df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggs.items()]), keys)
+
+
+def _equal(signals: DataFrame, keys: list[str], gross: float, rows: int | None = None) -> DataFrame:
     """Split ``gross`` over the signalled names of each decision."""
-    counts = signals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return signals.join(counts, keys).withColumn("weight", F.col("side") * gross / F.col("_n")).drop("_n", "side")
+    counted = _per_decision(signals, keys, {"_n": F.count(F.lit(1))}, rows)
+    return counted.withColumn("weight", F.col("side") * gross / F.col("_n")).drop("_n", "side")
 
 
 # ---- strategies -------------------------------------------------------------------
 
 
-def equal_weight(view: DataFrame, keys: list[str] | None = None, gross: float = 1.0) -> DataFrame:
+def equal_weight(view: DataFrame, keys: list[str] | None = None, gross: float = 1.0, rows: int | None = None) -> DataFrame:
     """Every name with a price, equally."""
     keys = keys or ["decision_time"]
     names = view.where(F.col("close") > 0).select(*keys, "symbol", F.lit(1.0).alias("side"))
-    return _equal(names, keys, gross)
+    return _equal(names, keys, gross, rows)
 
 
 def buy_and_hold(view: DataFrame, keys: list[str] | None = None, gross: float = 1.0) -> DataFrame:
@@ -119,12 +130,14 @@ def sma_features(panel: DataFrame, fast: int, slow: int) -> DataFrame:
     )
 
 
-def sma_crossover(view: DataFrame, keys: list[str] | None = None, gross: float = 1.0, allow_short: bool = False) -> DataFrame:
+def sma_crossover(
+    view: DataFrame, keys: list[str] | None = None, gross: float = 1.0, allow_short: bool = False, rows: int | None = None
+) -> DataFrame:
     keys = keys or ["decision_time"]
     up = F.col("fast_ma") > F.col("slow_ma")
     side = F.when(up, 1.0).otherwise(F.lit(-1.0) if allow_short else F.lit(None))
     ready = view.where(F.col("slow_ma").isNotNull()).withColumn("side", side).where(F.col("side").isNotNull())
-    return _equal(ready.select(*keys, "symbol", "side"), keys, gross)
+    return _equal(ready.select(*keys, "symbol", "side"), keys, gross, rows)
 
 
 def momentum_features(panel: DataFrame, lookbacks: tuple[int, ...], skips: tuple[int, ...]) -> DataFrame:
@@ -160,13 +173,13 @@ def top_fraction(
     rows: int | None = None,
     score: str = "score",
     tie: str = "symbol",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Best fraction of each decision long, optionally the worst short.
 
     Ties go to the smaller id.  ``rows`` bounds the names of a decision.
     """
-    counts = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    sized = scored.withColumn("_neg", -F.col(score)).join(counts, keys)
+    sized = _per_decision(scored.withColumn("_neg", -F.col(score)), keys, {"_n": F.count(F.lit(1))}, rows)
     ranked = with_ordinal_rank(sized, "_neg", tie, "_rank", keys, rows)
     k = F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))
     leg = gross if long_only else gross / 2
@@ -174,7 +187,9 @@ def top_fraction(
     if not long_only:
         short = F.when(F.col("_rank") > F.col("_n") - k, -(leg / k))
         held = F.coalesce(short, held)
-    return ranked.withColumn("weight", held).where(F.col("weight").isNotNull()).select(*keys, "symbol", score, "weight", "_rank")
+    return ranked.withColumn("weight", held).where(F.col("weight").isNotNull()).select(
+        *keys, "symbol", score, "weight", "_rank", *keep
+    )
 
 
 def mix(i: Column, s: Column, k: Column | None = None) -> Column:
@@ -197,7 +212,7 @@ def random_entry(view: DataFrame, seeds: int, n_names: int, hold: int = 1, numbe
     drawn = seeded.withColumn("_h", mix(F.col(number), F.col("seed"), F.col("_bucket")))
     best = W.partitionBy("seed", "decision_time").orderBy("_h", number)
     chosen = drawn.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= n_names)
-    return _equal(chosen.select("seed", "decision_time", "symbol", F.lit(1.0).alias("side")), ["seed", "decision_time"], gross)
+    return _equal(chosen.select("seed", "decision_time", "symbol", F.lit(1.0).alias("side")), ["seed", "decision_time"], gross, n_names)
 
 
 def zscore_features(panel: DataFrame, window: int) -> DataFrame:
@@ -208,7 +223,7 @@ def zscore_features(panel: DataFrame, window: int) -> DataFrame:
 
 
 def zscore_reversion(
-    view: DataFrame, entry: float, max_z: float, keys: list[str] | None = None, gross: float = 1.0, fadeable: DataFrame | None = None
+    view: DataFrame, entry: float, max_z: float, keys: list[str] | None = None, gross: float = 1.0, fadeable: DataFrame | None = None, rows: int | None = None
 ) -> DataFrame:
     """Fade deviations between ``entry`` and ``max_z``; optionally gated names."""
     keys = keys or ["decision_time"]
@@ -217,7 +232,7 @@ def zscore_reversion(
     if fadeable is not None:
         picked = picked.join(fadeable.where("tradable_as_mean_reversion").select("symbol"), "symbol", "left_semi")
     side = F.when(F.col("z") > 0, -1.0).otherwise(1.0)
-    return _equal(picked.select(*keys, "symbol", side.alias("side")), keys, gross)
+    return _equal(picked.select(*keys, "symbol", side.alias("side")), keys, gross, rows)
 
 
 def pair_features(aligned: DataFrame, window: int) -> DataFrame:
@@ -282,21 +297,21 @@ def signal_book(
     ``scored`` carries ``vol`` for the last; names without one take the median
     of the usable inverses.
     """
-    chosen = top_fraction(scored, keys, fraction, gross, True, rows, tie=tie).drop("weight")
+    carried = scored if "vol" in scored.columns else scored.withColumn("vol", F.lit(None).cast("double"))
+    chosen = top_fraction(carried, keys, fraction, gross, True, rows, tie=tie, keep=("vol",)).drop("weight")
     if construction == "EQUAL":
         sizes = chosen.withColumn("_s", F.lit(1.0))
     elif construction == "SCORE":
-        counts = chosen.groupBy(*keys).agg(F.max("_rank").alias("_k"))
-        sizes = chosen.join(counts, keys).withColumn("_s", (F.col("_k") - F.col("_rank") + 1).cast("double")).drop("_k")
+        top = _per_decision(chosen, keys, {"_k": F.max("_rank")}, rows)
+        sizes = top.withColumn("_s", (F.col("_k") - F.col("_rank") + 1).cast("double"))
     elif construction == "INVERSE_VOL":
-        vols = scored.select(*keys, "symbol", F.when(F.col("vol") > 0, 1 / F.col("vol")).alias("_inv"))
-        joined = chosen.join(vols, [*keys, "symbol"], "left")
-        middle = joined.groupBy(*keys).agg(F.median("_inv").alias("_mid"))
-        sizes = joined.join(middle, keys).withColumn("_s", F.coalesce("_inv", "_mid", F.lit(1.0))).drop("_inv", "_mid")
+        inverse = chosen.withColumn("_inv", F.when(F.col("vol") > 0, F.try_divide(F.lit(1.0), F.col("vol"))))
+        middle = _per_decision(inverse, keys, {"_mid": F.median("_inv")}, rows)
+        sizes = middle.withColumn("_s", F.coalesce("_inv", "_mid", F.lit(1.0)))
     else:
         raise ValueError(f"unknown construction {construction}")
-    total = sizes.groupBy(*keys).agg(F.sum("_s").alias("_t"))
-    return sizes.join(total, keys).withColumn("weight", gross * F.col("_s") / F.col("_t")).select(*keys, "symbol", "weight")
+    total = _per_decision(sizes, keys, {"_t": F.sum("_s")}, rows)
+    return total.withColumn("weight", gross * F.col("_s") / F.col("_t")).select(*keys, "symbol", "weight")
 
 
 # ---- overlay ------------------------------------------------------------------------
@@ -332,18 +347,37 @@ def vol_target_scales(
 # ---- evaluation ---------------------------------------------------------------------
 
 
-def evaluate(weights: DataFrame, returns: DataFrame, keys: list[str], cost_rate: float = 0.0, cost_multiple: float = 1.0) -> DataFrame:
+def evaluate(
+    weights: DataFrame,
+    returns: DataFrame,
+    dates: DataFrame,
+    keys: list[str],
+    cost_rate: float = 0.0,
+    cost_multiple: float = 1.0,
+) -> DataFrame:
     """Net return, turnover, equity and drawdown of every book.
 
-    A decision earns from the entry after it to the entry after the next one.
-    Trading is the change of weight between consecutive decisions.
+    A decision earns from the entry after it to the entry after the next one,
+    so the last of ``dates`` earns nothing.  Trading is the change of weight
+    between consecutive decisions.
     """
-    dates = returns.select("decision_time").distinct()
-    index = dates.withColumn("_i", F.row_number().over(W.orderBy("decision_time")))
+    order = W.orderBy("decision_time")
+    index = (
+        dates.select("decision_time").distinct()
+        .withColumns({"_i": F.row_number().over(order), "_next": F.lead("decision_time").over(order)})
+        .where(F.col("_next").isNotNull())
+        .drop("_next")
+    )
     numbered = weights.select(*keys, "decision_time", "symbol", "weight").join(F.broadcast(index), "decision_time")
-    now = numbered.select(*keys, "_i", "symbol", F.col("weight").alias("_now"), F.lit(0.0).alias("_then"))
-    then = numbered.select(*keys, (F.col("_i") + 1).alias("_i"), "symbol", F.lit(0.0).alias("_now"), F.col("weight").alias("_then"))
-    moved = now.unionByName(then).groupBy(*keys, "_i", "symbol").agg(F.sum("_now").alias("weight"), F.sum("_then").alias("_then"))
+    # a weight is held now and given up at the next decision
+    sides = F.array(
+        F.struct(F.col("_i").alias("i"), F.col("weight").alias("now"), F.lit(0.0).alias("then")),
+        F.struct((F.col("_i") + 1).alias("i"), F.lit(0.0).alias("now"), F.col("weight").alias("then")),
+    )
+    both = numbered.select(*keys, "symbol", F.explode(sides).alias("s"))
+    moved = both.groupBy(*keys, F.col("s.i").alias("_i"), "symbol").agg(
+        F.sum("s.now").alias("weight"), F.sum("s.then").alias("_then")
+    )
     marked = moved.join(returns.join(F.broadcast(index), "decision_time"), ["_i", "symbol"], "left")
     book = marked.groupBy(*keys, "_i").agg(
         F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("gross_ret"),

@@ -94,7 +94,7 @@ def sweep_weights(seen, n, kept=()):
 
 def sweep(spark, d, multiple=1.0):
     seen = view(spark, d)
-    return po.evaluate(sweep_weights(seen, rows(spark, d)), po.holding_returns(seen), ["config"], COST, multiple)
+    return po.evaluate(sweep_weights(seen, rows(spark, d)), po.holding_returns(seen), dates(spark, d), ["config"], COST, multiple)
 
 
 # ---- weights ----------------------------------------------------------------------
@@ -113,7 +113,7 @@ def weights_query(name, ids, weights_sql):
 
 @weights_query("po3_equal_weight", "PO3", _EQUAL.format(side="1.0", where="close > 0"))
 def equal(spark, d):
-    return po.equal_weight(view(spark, d))
+    return po.equal_weight(view(spark, d), rows=rows(spark, d))
 
 
 @weights_query(
@@ -132,7 +132,7 @@ def hold(spark, d):
     _EQUAL.format(side="(CASE WHEN fast_ma > slow_ma THEN 1.0 ELSE -1.0 END)", where="slow_ma IS NOT NULL"),
 )
 def sma(spark, d):
-    return po.sma_crossover(view(spark, d), allow_short=True)
+    return po.sma_crossover(view(spark, d), allow_short=True, rows=rows(spark, d))
 
 
 RANDOM = f"""SELECT seed, decision_time, symbol, 1.0 / count(*) OVER (PARTITION BY seed, decision_time) AS weight FROM (
@@ -173,7 +173,7 @@ weights_query("po6_momentum", "PO6", LONG_SHORT)(long_short)
     _EQUAL.format(side="(CASE WHEN z > 0 THEN -1.0 ELSE 1.0 END)", where="abs(z) >= 1 AND abs(z) <= 3"),
 )
 def reversion(spark, d):
-    return po.zscore_reversion(view(spark, d), 1.0, 3.0)
+    return po.zscore_reversion(view(spark, d), 1.0, 3.0, rows=rows(spark, d))
 
 
 @query("po7_gated_reversion", "PO7 TS5")
@@ -602,7 +602,7 @@ def dropout(spark, d):
     kept = rs.dropout_names(names, DROP_SAMPLES, rows=n).select("sample", "symbol")
     scored = po.momentum_scores(seen, [CONFIGS[8]], ["decision_time", "symbol"]).join(kept, "symbol")
     weights = po.top_fraction(scored, ["sample", "decision_time"], 0.2, rows=n)
-    return po.evaluate(weights, po.holding_returns(seen), ["sample"], COST)
+    return po.evaluate(weights, po.holding_returns(seen), dates(spark, d), ["sample"], COST)
 
 
 @query(
@@ -615,7 +615,7 @@ def universe_dropout(spark, d):
 
 
 def placebo(spark, d):
-    return po.evaluate(random_weights(spark, d), po.holding_returns(view(spark, d)), ["seed"], COST)
+    return po.evaluate(random_weights(spark, d), po.holding_returns(view(spark, d)), dates(spark, d), ["seed"], COST)
 
 
 @query(
@@ -705,7 +705,7 @@ def look_ahead(spark, d):
         features = po.momentum_features(frame, LOOKBACKS, SKIPS)
         seen = po.decision_view(features, dates(spark, d))
         scored = po.momentum_scores(seen, [CONFIGS[8]], ["decision_time", "symbol"])
-        return po.evaluate(po.top_fraction(scored, ["decision_time"], 0.2, rows=n).withColumn("book", F.lit(0)), po.holding_returns(seen), ["book"], COST)
+        return po.evaluate(po.top_fraction(scored, ["decision_time"], 0.2, rows=n).withColumn("book", F.lit(0)), po.holding_returns(seen), dates(spark, d), ["book"], COST)
 
     cutoff = panel.agg(F.percentile(F.unix_seconds("event_time"), F.lit(0.3)).alias("_t"))
     base, other = run(panel), run(pit.corrupt_future(panel, 0.7))

@@ -11,6 +11,7 @@ from tickloom.operators.screener import Screen, screen_universe
 from tickloom.plans import tables as t
 from tickloom.plans.registry import query
 from tickloom.plans.tables import oracle, present, r, rows
+from tickloom.session import checkpointed
 
 W = "OVER (PARTITION BY symbol ORDER BY event_time)"
 NAMES = 12
@@ -346,8 +347,9 @@ def listed(spark, d):
 
 
 def moments(spark, d):
+    names = checkpointed(listed(spark, d))  # a row per chosen name, read twice
     returns = t.panel_smooth(spark, d).withColumn("ret", simple_return(window=by()))
-    return xs.moment_table(xs.session_vectors(returns, listed(spark, d)))
+    return xs.moment_table(xs.session_vectors(returns, names))
 
 
 @query("x1_sample_covariance", "X1", oracle(f"SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, {r('sample', 12)} AS value FROM cells", XS))
@@ -424,7 +426,7 @@ def risk_parity(spark, d):
     ),
 )
 def name_statistics(spark, d):
-    names = listed(spark, d)
+    names = checkpointed(listed(spark, d))
     returns = t.panel_smooth(spark, d).withColumn("ret", simple_return(window=by()))
     return present(xs.name_statistics(xs.session_vectors(returns, names), names))
 
@@ -439,7 +441,7 @@ def name_statistics(spark, d):
     ),
 )
 def diversification(spark, d):
-    cov = xs.ledoit_wolf(moments(spark, d))
+    cov = checkpointed(xs.ledoit_wolf(moments(spark, d)))
     return present(xs.diversification(cov, xs.inverse_variance(cov), "weight"))
 
 

@@ -18,11 +18,15 @@ from tickloom.sizing import footer_rows
 
 SMOOTH = 60
 SPLIT_ROW = 200
+_schemas: dict = {}
 
 
 def load(spark: SparkSession, d: str, name: str) -> DataFrame:
     configure(spark)
-    df = spark.read.parquet(f"{d}/{name}.parquet")
+    path = f"{d}/{name}.parquet"
+    if path not in _schemas:  # inferring one costs a job
+        _schemas[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_schemas[path]).parquet(path)
     zoneless = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
