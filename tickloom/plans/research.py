@@ -394,7 +394,8 @@ ROUND_TRIP = 0.0033
     ),
 )
 def verdicts(spark, d):
-    long = factors.unpivot_factors(table(spark, d, MIX), tuple(MIX))
+    # one pass of the factors feeds three reports; lost blocks are recomputed
+    long = factors.unpivot_factors(table(spark, d, MIX), tuple(MIX)).persist(StorageLevel.DISK_ONLY)
     return present(scoring.factor_report(long, 21, ROUND_TRIP, keys=["factor"], rows=rows(spark, d) * len(MIX)))
 
 
