@@ -211,3 +211,12 @@ def test_gauntlet_stops_at_the_first_failure(spark):
     assert rows[rows.strategy == "b"].test.tolist() == ["1_data_integrity"]
     a = rows[rows.strategy == "a"]
     assert len(a) == 12 and a.strategy_passed.all() and a.skipped.sum() == 11
+
+
+def test_too_many_dates_are_refused_not_dropped(spark):
+    from tickloom.functions.windows import listed_dates
+
+    days = spark.range(10).select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    assert len(listed_dates(days, "d", 10).first()[0]) == 10
+    with pytest.raises(Exception, match="more than 9 dates"):
+        listed_dates(days, "d", 9).collect()

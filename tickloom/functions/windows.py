@@ -55,3 +55,14 @@ def compound(factor: Column, frame) -> Column:
 def simple_return(k: int = 1, window=None, price: str = "close") -> Column:
     w = window if window is not None else by()
     return F.try_divide(F.col(price), F.lag(price, k).over(w)) - 1
+
+
+def listed_dates(dates: DataFrame, column: str, most: int) -> DataFrame:
+    """The distinct dates as one sorted array; more than ``most`` is an error.
+
+    The array travels with every row, so its length needs a bound, and dates
+    beyond it must not vanish.
+    """
+    array = F.sort_array(F.collect_set(column))
+    long = F.raise_error(F.lit(f"more than {most} dates: evaluate them in parts"))
+    return dates.agg(F.when(F.size(array) <= most, array).otherwise(long).alias("dates"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.chunks import with_previous, with_running_sum
 from tickloom.functions.scalar import money
+from tickloom.functions.windows import listed_dates
 
 #: Log-shrink per block: keeps the products inside the range of a double.
 BLOCK = 500.0
@@ -224,7 +225,7 @@ def positions_on(history: DataFrame, dates: DataFrame, keys: list[str], order: l
     """
     daily = history.groupBy(*keys, "session").agg(F.max_by(F.struct("position", "average_cost"), F.struct(*order)).alias("_s"))
     until = F.lead("session").over(W.partitionBy(*keys).orderBy("session"))
-    listed = dates.select("date").distinct().limit(max_dates).agg(F.sort_array(F.collect_list("date")))
+    listed = listed_dates(dates, "date", max_dates)
     inside = F.filter(
         "_dates", lambda d: (d >= F.col("session")) & (F.col("_until").isNull() | (d < F.col("_until")))
     )
@@ -238,7 +239,7 @@ def positions_on(history: DataFrame, dates: DataFrame, keys: list[str], order: l
 def marks_on(prices: DataFrame, dates: DataFrame, instrument: str, max_dates: int) -> DataFrame:
     """Last price of each instrument on or before each date."""
     until = F.lead("session").over(W.partitionBy(instrument).orderBy("session"))
-    listed = dates.select("date").distinct().limit(max_dates).agg(F.sort_array(F.collect_list("date")))
+    listed = listed_dates(dates, "date", max_dates)
     inside = F.filter(
         "_dates", lambda d: (d >= F.col("session")) & (F.col("_until").isNull() | (d < F.col("_until")))
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.ranks import with_ordinal_rank
 from tickloom.functions.scalar import money, to_tick, whole_lots
-from tickloom.functions.windows import by, rolling
+from tickloom.functions.windows import by, listed_dates, rolling
 from tickloom.operators.performance import with_curve
 from tickloom.sizing import fits_task
 
@@ -34,9 +34,7 @@ def decision_view(features: DataFrame, dates: DataFrame, key: str = "symbol", ma
     decision, or the last close of a name that stopped trading.
     """
     w = by(key)
-    listed = dates.select("decision_time").distinct().orderBy("decision_time").limit(max_dates).agg(
-        F.sort_array(F.collect_list("decision_time"))
-    )
+    listed = listed_dates(dates, "decision_time", max_dates)
     inside = F.filter(
         "_dates", lambda t: (t >= F.col("event_time")) & (F.col("_until").isNull() | (t < F.col("_until")))
     )
