@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontamination, sharding
+from tickloom.llm import decontamination, line_templates, secrets, sharding
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,11 +47,85 @@ FROM dw LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
 """
 
 
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join(map(_either_case, ("password", "passwd", "secret", "token"))) + "|" + _either_case("api") + "_?" + _either_case("key")
+#: kind, regex, and the test of a match m, in the order of the kinds.
+_KINDS = (
+    ("assign", rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "length(regexp_extract(m, $re$, 2)) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
+    ("hex", "[0-9a-f]+", "length(m) >= 24"),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", "true"),
+    ("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "true"),
+)
+
+
+def _kind_sql(order: int, kind: str, regex: str, test: str) -> str:
+    quoted = "'" + regex.replace("'", "''") + "'"
+    return f"""
+  SELECT r, {order} AS o, '{kind}' AS kind, e - length(m) AS s, e FROM (
+    SELECT r, m, sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY i) AS e FROM (
+      SELECT r, unnest(f) AS m, unnest(gaps[1:len(f)]) AS g, generate_subscripts(f, 1) AS i FROM (
+        SELECT r, regexp_extract_all(text, {quoted}, 0) AS f, string_split_regex(text, {quoted}) AS gaps FROM d)))
+  WHERE {test.replace("$re$", quoted)}"""
+
+
+OP3_SQL = (
+    "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), sp AS ("
+    + " UNION ALL ".join(_kind_sql(n, *k) for n, k in enumerate(_KINDS))
+    + """), per AS (
+  SELECT r, count(*) FILTER (o = 0) AS a, count(*) FILTER (o = 1) AS c, count(*) FILTER (o = 2) AS h,
+         string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, o) FILTER (o < 3) AS base,
+         string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, o) AS spans
+  FROM sp GROUP BY r)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(c, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (r)"""
+)
+
+
+@query("op3_secret_scans", OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.report(table(spark, folder, "documents"))
+
+
 @query("op7_benchmark_decontamination", OP7_SQL)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+OP8_SQL = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, dense_rank() OVER (ORDER BY doc_id NULLS FIRST, text) AS k, doc_id, text FROM documents),
+raw AS (SELECT DISTINCT k, doc_id, text FROM doc WHERE text IS NOT NULL),
+cut AS (SELECT k, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln FROM raw),
+tok AS (SELECT k, doc_id, ln, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END
+        FOR x IN string_split_regex(line, '[ 	
+]+') IF x <> ''] AS w FROM cut),
+leafed AS (SELECT *, len(w) || ' ' || array_to_string(w[1:3], ' ') AS leaf FROM tok WHERE len(w) > 0),
+leaf AS (SELECT leaf, count(*) AS n FROM leafed GROUP BY leaf HAVING count(*) >= 3),
+sh AS (SELECT leafed.*, n FROM leafed JOIN leaf USING (leaf)),
+pos AS (SELECT leaf, n, p, t, count(*) AS c FROM (SELECT leaf, n, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM sh) GROUP BY ALL HAVING count(*) * 2 > n),
+agree AS (SELECT k, ln, count(*) AS a FROM (SELECT k, ln, leaf, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM sh) JOIN pos USING (leaf, p, t) GROUP BY k, ln),
+named AS (SELECT k, doc_id, ln, CASE WHEN coalesce(a, 0) >= 0.8 * len(w) THEN 'leaf ' || leaf ELSE 'line ' || array_to_string(w, ' ') END AS template
+          FROM sh LEFT JOIN agree USING (k, ln)),
+rec AS (SELECT template, min(k) AS first FROM named GROUP BY template HAVING count(DISTINCT k) >= 3),
+gone AS (SELECT DISTINCT k, ln FROM named JOIN rec USING (template) WHERE k <> first),
+kept AS (SELECT k, string_agg(line, chr(10) ORDER BY ln) AS text FROM cut ANTI JOIN gone USING (k, ln) GROUP BY k),
+lost AS (SELECT k, count(*) AS n FROM gone GROUP BY k)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_dropped, CASE WHEN n IS NULL THEN doc.text ELSE coalesce(kept.text, '') END AS text
+FROM doc LEFT JOIN lost USING (k) LEFT JOIN kept USING (k)
+"""
+
+
+@query("op8_line_dedup", OP8_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return line_templates.report(table(spark, folder, "documents"))
+
+
 @query("op9_sharding")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_table(table(spark, folder, "documents"))
