@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -47,22 +48,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature of each n-gram, index of its word, hash of each whole word)."""
+    """(n-gram features that start at each character, start of each word, hash of each whole word).
+
+    A feature that would cross the end of its word is the unused one, ``1 << BITS``.
+    """
     joined = "".join(f"^{w}$" for w in words)
     chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
     lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    owner = np.repeat(np.arange(len(words)), lengths)
     starts = np.cumsum(lengths) - lengths
-    place = (np.arange(len(chars)) - starts[owner]).astype(np.uint64)
-    whole = np.add.reduceat(_mixed(chars + place * np.uint64(0x100000001)), starts)
-    grams, of = [], []
+    place = np.arange(len(chars)) - np.repeat(starts, lengths)
+    left = np.repeat(lengths, lengths) - place
+    whole = np.add.reduceat(_mixed(chars + place.astype(np.uint64) * np.uint64(0x100000001)), starts)
+    grams = np.full((LONGEST, len(chars)), 1 << BITS, np.int64)
     rolling = np.zeros(len(chars), np.uint64)
     for n in range(1, LONGEST + 1):
         rolling = rolling[: len(chars) - n + 1] * np.uint64(0x100000001B3) + chars[n - 1 :] + np.uint64(1)
-        inside = owner[: len(rolling)] == owner[n - 1 :]
-        grams.append((_mixed(rolling[inside] + np.uint64(n)) & np.uint64((1 << BITS) - 1)).astype(np.int64))
-        of.append(owner[: len(rolling)][inside])
-    return np.concatenate(grams), np.concatenate(of), whole
+        hashed = (_mixed(rolling + np.uint64(n)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+        grams[n - 1, : len(rolling)] = np.where(left[: len(rolling)] >= n, hashed, 1 << BITS)
+    return grams, starts, whole
 
 
 def _sums(values: np.ndarray, index: np.ndarray, size: int) -> np.ndarray:
@@ -70,6 +73,14 @@ def _sums(values: np.ndarray, index: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(index, values[:, k], size) for k in range(values.shape[1])], 1)
 
 
+class _Numbers(dict):
+    """Words by order of first sight."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -80,8 +91,11 @@ class Model:
     _known: dict = field(default_factory=dict, repr=False)
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        grams, of, whole = features(words)
-        out = _sums(self.grams[grams], of, len(words))
+        grams, starts, whole = features(words)
+        by_char = self.grams[grams[0]]
+        for row in grams[1:]:
+            by_char += self.grams[row]
+        out = np.add.reduceat(by_char, starts, axis=0)
         if len(self.lexicon):
             at = np.minimum(np.searchsorted(self.lexicon, whole), len(self.lexicon) - 1)
             out += np.where((self.lexicon[at] == whole)[:, None], self.lexicon_weights[at], 0)
@@ -89,17 +103,16 @@ class Model:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Emissions of a long list of words, each distinct word worked out once."""
-        known: dict[str, int] = self._known.setdefault("ids", {})
+        known: _Numbers = self._known.setdefault("ids", _Numbers())
         if len(known) > REMEMBERED:
             self._known.clear()
-            known = self._known.setdefault("ids", {})
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        table = self._known.get("table", np.zeros((0, len(self.languages)), np.float32))
-        if new:
-            table = np.concatenate([table, self.emissions(new).astype(np.float32)])
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self._known["table"] = table
-        return table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+            known = self._known.setdefault("ids", _Numbers())
+        old = len(known)
+        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if len(known) > old:
+            new = self.emissions(list(islice(known, old, None))).astype(np.float32)
+            self._known["table"] = np.concatenate([self._known["table"], new]) if old else new
+        return self._known["table"][at]
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "_known": {}}
@@ -116,56 +129,66 @@ def posteriors(scores: np.ndarray, transitions: np.ndarray, lengths: np.ndarray)
     psi = np.exp(scores - scores.max(1, keepdims=True)).astype(np.float64)
     step = np.exp(transitions - transitions.max())
     per = -(-lengths // CHUNK)
-    first = np.cumsum(per) - per
-    chunks = int(per.sum())
     chain = np.repeat(np.arange(len(lengths)), per)
-    nth = np.arange(chunks) - first[chain]
-    begin = (np.cumsum(lengths) - lengths)[chain] + nth * CHUNK
+    nth = np.arange(len(chain)) - (np.cumsum(per) - per)[chain]
     size = np.minimum(CHUNK, lengths[chain] - nth * CHUNK)
-    at = begin[:, None] + np.arange(CHUNK)
-    there = np.arange(CHUNK) < size[:, None]
-    local = np.where(there[..., None], psi[np.minimum(at, n - 1)], 1.0)
+    # full chunks first: those that reach a step are then a slice
+    order = np.argsort(-size, kind="stable")
+    where = np.empty_like(order)
+    where[order] = np.arange(len(order))
+    begin = ((np.cumsum(lengths) - lengths)[chain] + nth * CHUNK)[order]
+    size, opening = size[order], (nth == 0)[order]
+    reach = np.searchsorted(-size, -np.arange(CHUNK), side="left")
+    at = np.minimum(begin[:, None] + np.arange(CHUNK), n - 1)
+    local = psi[at.T]
 
     # row i of a transfer matrix: the chunk's forward message if state i came before it
-    transfer = np.broadcast_to(np.eye(k), (chunks, k, k)).copy()
+    transfer = np.broadcast_to(np.eye(k), (len(chain), k, k)).copy()
     for t in range(CHUNK):
-        new = (transfer @ step) * local[:, t, None, :]
-        new /= new.max((1, 2), keepdims=True)
-        transfer = np.where(there[:, t, None, None], new, transfer)
-    before, after = np.full((chunks, k), 1.0 / k), np.full((chunks, k), 1.0 / k)
+        m = reach[t]
+        came = (transfer[:m].reshape(-1, k) @ step).reshape(m, k, k)
+        if t == 0:  # nothing comes before a chain's first word
+            came[opening] = 1.0
+        new = came * local[t, :m, None, :]
+        if t % 8 == 7:
+            new /= new.max((1, 2), keepdims=True)
+        transfer[:m] = new
+    transfer /= transfer.max((1, 2), keepdims=True)
+    before, after = np.full((len(chain), k), 1.0 / k), np.full((len(chain), k), 1.0 / k)
+    ranked = np.argsort(-per, kind="stable")
     longest = int(per.max())
-    order = np.argsort(-per, kind="stable")
-    alive = np.searchsorted(-per[order], -np.arange(longest), side="left")
+    alive = np.searchsorted(-per[ranked], -np.arange(longest), side="left")
+    first = np.cumsum(per) - per
     for c in range(1, longest):
-        ids = first[order[: alive[c]]] + c
-        v = np.einsum("ci,cij->cj", before[ids - 1], transfer[ids - 1])
-        before[ids] = v / v.sum(1, keepdims=True)
-    last = first + per - 1
+        ids = first[ranked[: alive[c]]] + c
+        v = np.einsum("ci,cij->cj", before[where[ids - 1]], transfer[where[ids - 1]])
+        before[where[ids]] = v / v.sum(1, keepdims=True)
     for c in range(1, longest):
-        ids = last[order[: alive[c]]] - c
-        v = np.einsum("cij,cj->ci", transfer[ids + 1], after[ids + 1])
-        after[ids] = v / v.sum(1, keepdims=True)
+        ids = (first + per)[ranked[: alive[c]]] - 1 - c
+        v = np.einsum("cij,cj->ci", transfer[where[ids + 1]], after[where[ids + 1]])
+        after[where[ids]] = v / v.sum(1, keepdims=True)
 
-    forward = np.empty((chunks, CHUNK, k))
-    message, opening = before, nth == 0
+    post = np.empty((CHUNK, len(chain), k))
+    message = before
     for t in range(CHUNK):
-        came = message @ step
-        if t == 0:
-            came = np.where(opening[:, None], 1.0, came)
-        message = came * local[:, t]
-        message = message / message.sum(1, keepdims=True)
-        forward[:, t] = message
+        m = reach[t]
+        came = message[:m] @ step if t else np.where(opening[:m, None], 1.0, message[:m] @ step)
+        message = came * local[t, :m]
+        message /= message.sum(1, keepdims=True)
+        post[t, :m] = message
     message = after
     for t in range(CHUNK - 1, -1, -1):
-        here = there[:, t, None]
-        forward[:, t] *= message
-        new = (message * local[:, t]) @ step.T
-        message = np.where(here, new / new.sum(1, keepdims=True), message)
-    out = forward[there]
+        m = reach[t]
+        post[t, :m] *= message[:m]
+        new = (message[:m] * local[t, :m]) @ step.T
+        message[:m] = new / new.sum(1, keepdims=True)
+    out = np.empty((n, k))
+    for t in range(CHUNK):
+        out[begin[: reach[t]] + t] = post[t, : reach[t]]
     return out / out.sum(1, keepdims=True)
 
 
-def fit(pieces: dict[str, list[list[str]]], steps: int = 150, batch: int = 256, length: int = 32, seed: int = 5) -> Model:
+def fit(pieces: dict[str, list[list[str]]], steps: int = 100, batch: int = 256, length: int = 32, seed: int = 5) -> Model:
     """A CRF from word lists by language: conditional likelihood by Adagrad on spliced sequences."""
     languages = sorted(pieces)
     k = len(languages)
@@ -173,13 +196,13 @@ def fit(pieces: dict[str, list[list[str]]], steps: int = 150, batch: int = 256,
     known: dict[str, int] = {}
     runs = [[[known.setdefault(w, len(known)) for w in p] for p in pieces[lang] if p] for lang in languages]
     words = list(known)
-    grams, of, whole = features(words)
+    grams, starts, whole = features(words)
     counts = np.bincount(np.concatenate([np.asarray(r) for lang in runs for r in lang]), minlength=len(words))
-    often = np.flatnonzero(counts >= 3)
-    lexicon = np.unique(whole[often])
+    lexicon = np.unique(whole[counts >= 3])
     entry = np.minimum(np.searchsorted(lexicon, whole), max(len(lexicon) - 1, 0))
-    in_lexicon = np.flatnonzero(lexicon[entry] == whole) if len(lexicon) else np.zeros(0, np.int64)
-    weights = {"g": np.zeros((1 << BITS, k)), "l": np.zeros((max(len(lexicon), 1), k)), "t": np.zeros((k, k))}
+    known_word = lexicon[entry] == whole if len(lexicon) else np.zeros(len(words), bool)
+    ends = np.append(starts[1:], grams.shape[1])
+    weights = {"g": np.zeros(((1 << BITS) + 1, k)), "l": np.zeros((max(len(lexicon), 1), k)), "t": np.zeros((k, k))}
     squares = {name: np.full(w.shape, 1e-8) for name, w in weights.items()}
     for _ in range(steps):
         ids, gold = np.empty((batch, length), np.int64), np.empty((batch, length), np.int64)
@@ -191,16 +214,23 @@ def fit(pieces: dict[str, list[list[str]]], steps: int = 150, batch: int = 256,
                 take = run[: min(int(rng.integers(2, PIECE + 1)), length - filled)]
                 ids[b, filled : filled + len(take)], gold[b, filled : filled + len(take)] = take, lang
                 filled += len(take)
-        flat, labels = ids.ravel(), gold.ravel()
-        emit = _sums(weights["g"][grams], of, len(words))
-        emit[in_lexicon] += weights["l"][entry[in_lexicon]]
+        used, flat = np.unique(ids.ravel(), return_inverse=True)
+        labels = gold.ravel()
+        width = ends[used] - starts[used]
+        firsts = np.cumsum(width) - width
+        own = grams[:, np.repeat(starts[used] - firsts, width) + np.arange(int(width.sum()))]
+        lex = np.flatnonzero(known_word[used])
+        emit = np.add.reduceat(weights["g"][own].sum(0), firsts, axis=0)
+        emit[lex] += weights["l"][entry[used[lex]]]
         post, pair = _pairwise(emit[flat].reshape(batch, length, k), weights["t"])
         error = post.reshape(-1, k)
         error[np.arange(len(labels)), labels] -= 1
-        by_word = _sums(error, flat, len(words))
+        by_word = _sums(error, flat, len(used))
         seen = np.zeros((k, k))
         np.add.at(seen, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
-        slopes = {"g": _sums(by_word[of], grams, 1 << BITS), "l": _sums(by_word[in_lexicon], entry[in_lexicon], len(weights["l"])), "t": pair - seen}
+        spread = np.tile(np.repeat(by_word, width, axis=0), (LONGEST, 1))
+        slopes = {"g": _sums(spread, own.ravel(), (1 << BITS) + 1), "l": _sums(by_word[lex], entry[used[lex]], len(weights["l"])), "t": pair - seen}
+        slopes["g"][-1] = 0
         for name, slope in slopes.items():
             slope = slope / batch + 1e-5 * weights[name]
             squares[name] += slope**2
@@ -232,7 +262,7 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, rows: int = 400, steps: int = 150) -> Model | None:
+def train(docs: DataFrame, rows: int = 400, steps: int = 100) -> Model | None:
     """Fit on at most ``rows`` labelled rows per language, chosen by hash; None if there are none."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     draw = F.xxhash64(F.lit(3), F.col("doc_id"), F.col("text"))
