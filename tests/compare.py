@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import re
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -72,6 +73,7 @@ def main(argv: list[str]) -> int:
         sf, argv = argv[1], argv[2:]
     folder = f"/root/testdata/sf{sf}"
     spark = local_session("compare")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-compare-"))
     queries, oracles = entry.queries(), entry.oracle_sql()
     names = [n for n in queries if not argv or any(re.search(p, n) for p in argv)]
     bad = 0
