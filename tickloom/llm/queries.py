@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontamination, language_id, line_templates, secrets, sentencepieces, sharding
+from tickloom.llm import decontamination, jaccard, language_id, line_templates, secrets, sentencepieces, sharding
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,28 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepieces.report(table(spark, folder, "documents"), sentencepieces.Pieces.load())
 
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+cut AS (SELECT r, doc_id, w, unnest(range(0, greatest(len(w) - 5, 0) + 1)) AS s FROM w WHERE len(w) > 0),
+sh AS (SELECT DISTINCT r, doc_id, array_to_string(w[s + 1:s + 5], ' ') || ' ' || least(len(w), 5) AS t FROM cut),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+met AS (SELECT a.r AS ra, b.r AS rb, a.doc_id AS da, b.doc_id AS db, count(*) AS c FROM sh a JOIN sh b ON a.t = b.t AND a.r < b.r GROUP BY ALL),
+link AS MATERIALIZED (SELECT DISTINCT da, db FROM met JOIN n x ON x.r = ra JOIN n y ON y.r = rb WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edge AS MATERIALIZED (SELECT da AS u, db AS v FROM link UNION SELECT db, da FROM link),
+reach AS (SELECT u, v FROM edge UNION SELECT reach.u, edge.v FROM reach JOIN edge ON reach.v = edge.u),
+comp AS (SELECT u, least(min(v), u) AS c FROM reach GROUP BY u)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id
+FROM w LEFT JOIN n USING (r) LEFT JOIN comp ON comp.u = doc_id
+"""
+
+
+@query("op6_ngram_jaccard_join", OP6_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op7_benchmark_decontamination", OP7_SQL)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
