@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontamination, jaccard, language_id, line_templates, secrets, sentencepieces, sharding
+from tickloom.llm import decontamination, html_text, jaccard, language_id, line_templates, secrets, sentencepieces, sharding
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(table(spark, folder, "documents"))
 
 
+@query("op4_html_extraction")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.report(table(spark, folder, "pages"))
+
+
 @query("op5_sentencepieces")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepieces.report(table(spark, folder, "documents"), sentencepieces.Pieces.load())
