@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontamination, html_text, jaccard, language_id, line_templates, secrets, sentencepieces, sharding
+from tickloom.llm import decontamination, html_text, jaccard, language_id, line_templates, secrets, sentencepieces, sharding, token_files
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,11 @@ FROM dw LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
 
 
 
+@query("op1_token_counts")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.report(table(spark, folder, "documents"), token_files.Tokenizer.load())
+
+
 @query("op2_language_id")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.report(table(spark, folder, "documents"))
