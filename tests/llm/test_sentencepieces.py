@@ -93,8 +93,14 @@ def test_units_equal_the_whole_text(pieces):
             assert enc.encode(text).tolist() == whole.encode(text).tolist()
 
 
-def test_round_trip_and_odd_rows(spark, pieces, monkeypatch):
+def test_forgetting_changes_nothing(pieces, monkeypatch):
+    want = [sp.Encoder(pieces).encode(t).tolist() for t in TEXTS if t]
     monkeypatch.setattr(sp, "REMEMBERED", 3)
+    enc = sp.Encoder(pieces)
+    assert [enc.encode(t).tolist() for t in TEXTS if t] == want
+
+
+def test_round_trip_and_odd_rows(spark, pieces):
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(TEXTS)], "doc_id long, text string, ids string")
     rows = sp.decode(sp.encode(df, pieces), pieces).collect()
     assert [r.decoded for r in rows] == TEXTS

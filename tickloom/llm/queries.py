@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontamination, html_text, jaccard, language_id, line_templates, secrets, sentencepieces, sharding, token_files
+from tickloom.llm import decontamination, html_text, jaccard, language_id, line_templates, secrets, sentencepieces, sharding, token_files, topk
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_sharding")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_table(table(spark, folder, "documents"))
+
+
+@query("op10_topk_search")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.report(table(spark, folder, "documents"))
