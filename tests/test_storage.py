@@ -168,3 +168,44 @@ def test_ingest_quarantines_and_deduplicates(spark, tmp_path):
     jobs.ingest_bars(stream, store, "1d", str(tmp_path / "bad"), str(tmp_path / "state")).awaitTermination()
     assert store.view("1d", as_of="2025-01-01 00:00:00").count() == 3
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 1
+
+
+def test_ingest_takes_revisions_and_mended_bars(spark, tmp_path):
+    base = _bars(spark, [10.0, 11.0]).drop("symbol")
+    later = lambda df, days: df.withColumn("receive_time", F.col("receive_time") + F.expr(f"INTERVAL {days} DAYS"))
+    same = lambda df, value: df.withColumns({c: F.lit(value) for c in ("open", "high", "low", "close")})
+    first, second = base.orderBy("event_time").limit(1), base.orderBy(F.desc("event_time")).limit(1)
+    parts = [
+        later(same(first, 99.0), 1),  # the revision comes before what it revises
+        first.unionByName(second.withColumn("high", F.lit(1.0))),  # the second bar is broken
+        later(same(second, 12.0), 1).unionByName(second.withColumn("low", F.lit(-1.0))),  # and then right
+    ]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    stream = jobs.file_stream(spark, str(tmp_path / "in"), base.schema, files=1)
+    store = bars.BarStore(spark, str(tmp_path / "store"))
+    jobs.ingest_bars(stream, store, "1d", str(tmp_path / "bad"), str(tmp_path / "state")).awaitTermination()
+    got = store.view("1d", as_of="2100-01-01 00:00:00").orderBy("event_time").collect()
+    assert [r["close"] for r in got] == [99.0, 12.0]
+    assert spark.read.parquet(str(tmp_path / "bad")).count() == 2
+
+
+def test_lost_numbers_are_reported_without_a_pause(spark, tmp_path):
+    stream = _tick_files(spark, str(tmp_path / "in"), [[_tick(1, 0, 10), _tick(2, 1, 10)], [_tick(50, 2, 10), _tick(51, 3, 10)]])
+    got = jobs.run_to_table(jobs.sequence_gaps(stream, 3600), str(tmp_path / "out"), str(tmp_path / "state")).collect()
+    assert [(r["previous_sequence"], r["sequence"], r["missing"]) for r in got] == [(2, 50, 47)]
+
+
+def test_the_peak_outlives_silence(spark, tmp_path):
+    parts = [[_tick(1, 0, 100)], [_tick(1, 600, 50, "B")], [_tick(2, 610, 50, "B")], [_tick(2, 700, 80)], [_tick(3, 701, 79), _tick(4, 702, 101), _tick(5, 703, 95)]]
+    stream = _tick_files(spark, str(tmp_path / "in"), parts)
+    got = jobs.run_to_table(jobs.stream_alerts(stream, 3600), str(tmp_path / "out"), str(tmp_path / "state")).collect()
+    assert sorted(round(r["value"], 4) for r in got if r["kind"] == "drawdown_rung") == [-0.2, -0.0594]
+    assert sorted(r["instrument_id"] for r in got if r["kind"] == "data_stale") == ["A", "B"]
+
+
+def test_row_days_in_both_layouts(spark):
+    df = spark.createDataFrame([("2024-01-05",), ("05-JAN-2024",), (" 5-jan-2024 ",), ("x",), (None,)], "day string")
+    got = [str(r[0]) for r in df.select(feeds.date_from_row(F.col("day"))).collect()]
+    assert got == ["2024-01-05", "2024-01-05", "2024-01-05", "None", "None"]

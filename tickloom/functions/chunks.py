@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from tickloom.sizing import fits_task
 
 
+def _given(chunk: Column | None) -> Column:
+    if chunk is None:
+        raise ValueError("a key without a bound on its rows needs a chunk expression")
+    return chunk
+
+
 def with_previous(
     df: DataFrame,
     keys: list[str],
@@ -27,10 +33,10 @@ def with_previous(
     ``rows`` bounds one key's rows.  Without a bound ``chunk`` must be an
     expression that never decreases along ``order``.
     """
-    if fits_task(rows) or chunk is None:
+    if fits_task(rows):
         w = W.partitionBy(*keys).orderBy(*order)
         return df.withColumns({f"prev_{v}": F.lag(v).over(w) for v in values})
-    cut = df.withColumn("_chunk", chunk)
+    cut = df.withColumn("_chunk", _given(chunk))
     w = W.partitionBy(*keys, "_chunk").orderBy(*order)
     inner = cut.withColumns({f"prev_{v}": F.lag(v).over(w) for v in values} | {"_i": F.row_number().over(w)})
     last = F.max_by(F.struct(*values), F.struct(*order))
@@ -57,10 +63,10 @@ def with_running_sum(
     chunk: Column | None = None,
 ) -> DataFrame:
     """Attach running totals along the order of each key."""
-    if fits_task(rows) or chunk is None:
+    if fits_task(rows):
         w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumns({name: F.sum(col).over(w) for name, col in sums.items()})
-    cut = df.withColumn("_chunk", chunk)
+    cut = df.withColumn("_chunk", _given(chunk))
     totals = cut.groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_chunk", *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in sums])

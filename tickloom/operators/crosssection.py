@@ -27,8 +27,10 @@ TINY = 1e-300
 
 
 def chosen(names: DataFrame, count: int) -> DataFrame:
-    """Chosen symbols with their column number; ``count`` bounds the table."""
-    listed = names.select("symbol").distinct().orderBy("symbol").limit(count)
+    """Chosen symbols with their column number; more than ``count`` are refused, not cut."""
+    listed = names.select("symbol").distinct()
+    if listed.limit(count + 1).count() > count:
+        raise ValueError(f"more than {count} names chosen")
     return listed.withColumn("idx", F.row_number().over(W.orderBy("symbol")) - 1)
 
 
@@ -143,7 +145,7 @@ def distances(corr: DataFrame) -> DataFrame:
     return corr.select("i", "j", F.when(F.col("i") == F.col("j"), 0.0).otherwise(gap).alias("distance"))
 
 
-def clusters(corr: DataFrame, cut: float = CLUSTER_CUT, max_rounds: int = 50) -> DataFrame:
+def clusters(corr: DataFrame, cut: float = CLUSTER_CUT) -> DataFrame:
     """Single-linkage clusters at ``cut``: connected components of close pairs.
 
     Labels spread to the smallest reachable member; each round also jumps to
@@ -151,15 +153,14 @@ def clusters(corr: DataFrame, cut: float = CLUSTER_CUT, max_rounds: int = 50) ->
     """
     edges = checkpointed(distances(corr).where(F.col("distance") <= cut).select("i", "j"))
     labels = edges.groupBy("i").agg(F.min("j").alias("label"))
-    for _ in range(max_rounds):
+    moved = 1
+    while moved:  # labels only fall, so this ends
         near = edges.join(labels.select(F.col("i").alias("j"), F.col("label").alias("_l")), "j")
         best = near.groupBy("i").agg(F.min("_l").alias("label"))
         jump = best.join(labels.select(F.col("i").alias("label"), F.col("label").alias("_up")), "label")
         new = checkpointed(jump.select("i", F.least("label", "_up").alias("label")))
         moved = new.join(labels.withColumnRenamed("label", "_old"), "i").where("label <> _old").limit(1).count()
         labels = new
-        if not moved:
-            break
     return labels
 
 
@@ -176,67 +177,86 @@ def _dense(frame: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def _erc(matrix: np.ndarray, rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:
-    """Equal risk contributions by a damped multiplicative step."""
+def _erc(matrix: np.ndarray, tolerance: float = 1e-12) -> np.ndarray:
+    """Equal risk contributions by cyclical coordinate descent.
+
+    The weights minimise half the variance less the mean log weight; in one
+    coordinate that is the positive root of a quadratic.  The objective falls
+    with every step, so sweeps go on until it no longer does.
+    """
     k = len(matrix)
-    w = np.full(k, 1.0 / k)
-    for _ in range(rounds):
-        pull = np.maximum(matrix @ w, TINY)
-        step = np.sqrt(np.maximum(w * (w @ pull / k) / pull, 0.0))
-        if step.sum() <= 0:
-            break
-        step /= step.sum()
-        done = np.abs(step - w).max() < tolerance
-        w = step
-        if done:
-            break
-    return w
-
-
-def _leaf_order(distance: np.ndarray) -> list[int]:
-    """Leaves of the single-linkage tree, the older branch of a merge first."""
+    own = np.maximum(np.diag(matrix), TINY)
+    x = 1 / np.sqrt(own * k)
+    pull = matrix @ x
+    before = np.inf
+    while (value := x @ pull / 2 - np.log(x).mean()) < before - tolerance * max(1.0, abs(value)):
+        before = value
+        for i in range(k):
+            rest = pull[i] - own[i] * x[i]
+            new = (np.sqrt(rest * rest + 4 * own[i] / k) - rest) / (2 * own[i])
+            pull += matrix[:, i] * (new - x[i])
+            x[i] = new
+    return x / x.sum()
+
+
+def _leaf_order(distance: np.ndarray) -> np.ndarray:
+    """Leaves of the single-linkage tree, the older branch of a merge first.
+
+    The merges of single linkage are the edges of a minimum spanning tree, short ones first.
+    """
     k = len(distance)
-    groups = {i: (i, [i]) for i in range(k)}
-    gap = {(a, b): distance[a, b] for a in range(k) for b in range(a + 1, k)}
-    fresh = k
-    while len(groups) > 1:
-        (a, b), _ = min(gap.items(), key=lambda item: (item[1], item[0]))
-        (na, left), (nb, right) = groups.pop(a), groups.pop(b)
-        merged = left + right if na < nb else right + left
-        for c in groups:
-            gap[(c, fresh)] = min(gap[tuple(sorted((a, c)))], gap[tuple(sorted((b, c)))])
-        gap = {pair: d for pair, d in gap.items() if a not in pair and b not in pair}
-        groups[fresh] = (fresh, merged)
-        fresh += 1
-    return next(iter(groups.values()))[1]
+    nearest, parent, outside = distance[0].copy(), np.zeros(k, int), np.ones(k, bool)
+    outside[0] = False
+    edges = []
+    for _ in range(k - 1):
+        j = int(np.argmin(np.where(outside, nearest, np.inf)))
+        edges.append((nearest[j], *sorted((int(parent[j]), j))))
+        outside[j] = False
+        closer = outside & (distance[j] < nearest)
+        nearest[closer], parent[closer] = distance[j][closer], j
+    branch = {i: (i, [i]) for i in range(k)}
+    for born, (_, a, b) in enumerate(sorted(edges), k):
+        older, younger = sorted((branch[a], branch[b]), key=lambda x: x[0])
+        merged = (born, older[1] + younger[1])
+        branch.update(dict.fromkeys(merged[1], merged))
+    return np.asarray(branch[0][1])
 
 
 def _hrp(matrix: np.ndarray) -> np.ndarray:
-    """Hierarchical risk parity: halve the ordered list, weigh by variance."""
+    """Hierarchical risk parity: halve the ordered list, weigh by variance.
+
+    The variance of a run of leaves under inverse-variance weights is a
+    difference of two-dimensional prefix sums, so a level of halvings is one
+    vector expression.
+    """
     d = np.sqrt(np.maximum(np.diag(matrix), TINY))
-    rho = np.clip(matrix / np.outer(d, d), -1, 1)
-    distance = np.sqrt(np.maximum((1 - rho) / 2, 0))
+    distance = np.sqrt(np.clip((1 - matrix / np.outer(d, d)) / 2, 0, 1))
     np.fill_diagonal(distance, 0)
-
-    def risk(part: list[int]) -> float:
-        block = matrix[np.ix_(part, part)]
-        w = 1 / np.maximum(np.diag(block), TINY)
-        w /= w.sum()
-        return float(w @ block @ w)
-
-    w = np.ones(len(matrix))
-    queue = [_leaf_order(distance)]
-    while queue:
-        part = queue.pop()
-        if len(part) < 2:
-            continue
-        a, b = part[: len(part) // 2], part[len(part) // 2 :]
-        ra, rb = risk(a), risk(b)
-        share = 1 - ra / (ra + rb) if ra + rb > 0 else 0.5
-        w[a] *= share
-        w[b] *= 1 - share
-        queue += [a, b]
-    return w / w.sum()
+    order = _leaf_order(distance)
+    share = 1 / d[order] ** 2
+    flat = np.append(0, np.cumsum(share))
+    square = np.zeros((len(order) + 1,) * 2)
+    square[1:, 1:] = np.cumsum(np.cumsum(matrix[np.ix_(order, order)] * np.outer(share, share), 0), 1)
+
+    def risk(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (square[b, b] - square[a, b] - square[b, a] + square[a, a]) / (flat[b] - flat[a]) ** 2
+
+    w = np.ones(len(order))
+    begin, end = (np.array([0]), np.array([len(order)])) if len(order) > 1 else (np.zeros(0, int), np.zeros(0, int))
+    while len(begin):
+        middle = begin + (end - begin) // 2
+        left, right = risk(begin, middle), risk(middle, end)
+        both = left + right
+        first = np.where(both > 0, right / np.where(both > 0, both, 1), 0.5)
+        for a, m, b, f in zip(begin, middle, end, first):
+            w[a:m] *= f
+            w[m:b] *= 1 - f
+        begin, end = np.concatenate([begin, middle]), np.concatenate([middle, end])
+        wide = end - begin > 1
+        begin, end = begin[wide], end[wide]
+    out = np.empty(len(order))
+    out[order] = w / w.sum()
+    return out
 
 
 def allocations(covariance: DataFrame, key: str | None = None) -> DataFrame:

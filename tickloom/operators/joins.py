@@ -66,7 +66,10 @@ def aligned_returns(panel: DataFrame, names: DataFrame, count: int) -> DataFrame
 
     Returns are taken between aligned sessions, not calendar ones.
     """
-    chosen = panel.join(F.broadcast(names.select("symbol").distinct().limit(count)), "symbol", "left_semi")
+    listed = names.select("symbol").distinct()
+    if listed.limit(count + 1).count() > count:
+        raise ValueError(f"more than {count} names chosen")
+    chosen = panel.join(F.broadcast(listed), "symbol", "left_semi")
     complete = chosen.groupBy("event_time").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == count)
     aligned = chosen.join(complete.select("event_time"), "event_time", "left_semi")
     return (

@@ -11,6 +11,7 @@ from tickloom.functions.stats import finite
 from tickloom.functions.windows import simple_return
 from tickloom.operators.corpactions import SUSPECT_MOVE
 from tickloom.operators.pit import tail, trailing_sessions
+from tickloom.sizing import within
 
 #: Sort orders of a screen: column and direction (fixed values).
 SORTS = {
@@ -25,18 +26,16 @@ SORTS = {
 class Screen:
     window: int = 250
     min_adv: float = 1e7
-    min_bars: int = 120
+    min_bars: int = 200
     min_price: float = 5.0
     sort_by: str = "liquidity"
-    limit: int = 20
+    limit: int = 60
     exclude_suspected: bool = True
     stationary_only: bool = False
 
     def __post_init__(self) -> None:
-        if self.limit < 1:
-            raise ValueError("a screen needs a positive limit")
-        if self.window < self.min_bars:
-            raise ValueError("no name can have more bars than the window")
+        within("limit", self.limit, low=1)
+        within("min_bars", self.min_bars, high=self.window)
         if self.sort_by not in SORTS:
             raise ValueError(f"unknown sort {self.sort_by}")
 

@@ -390,7 +390,7 @@ _CHEAP = """
     FROM (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY event_time) - 1 AS ret FROM panel_split
           WHERE event_time IN (SELECT DISTINCT event_time FROM panel_split ORDER BY 1 DESC LIMIT 1900))
     GROUP BY symbol HAVING count(*) >= 120 AND adv >= 30000 AND last_close >= 5"""
-WIDE_SCREEN = screener.Screen(window=1900, min_adv=30000.0, min_bars=120)
+WIDE_SCREEN = screener.Screen(window=1900, min_adv=30000.0, min_bars=120, limit=20)
 _SCREEN_COLS = ["symbol", "bars", "last_close", "adv", "volatility", "max_move", "window_return"]
 _SCREEN_SQL = f"""symbol, bars, {r('last_close')} AS last_close, {r('adv', 4)} AS adv, {r('volatility')} AS volatility,
     {r('max_move')} AS max_move, {r('window_return')} AS window_return"""
@@ -432,7 +432,7 @@ def _register_sort(name: str) -> None:
         ),
     )
     def run(spark, d):
-        screen = screener.Screen(window=1900, min_adv=30000.0, min_bars=120, sort_by=name)
+        screen = screener.Screen(window=1900, min_adv=30000.0, min_bars=120, sort_by=name, limit=20)
         return present(screener.shortlist(t.panel_split(spark, d), screen).select(*_SCREEN_COLS), adv=4)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.operators import records
@@ -542,11 +543,48 @@ def tick_bars(spark, d):
     ),
 )
 def time_gaps(spark, d):
-    stream = jobs.sequence_gaps(tick_stream(spark, d), 86400.0)
+    stream = jobs.sequence_gaps(tick_stream(spark, d), 86400.0, step=None)
     return present(streamed(spark, d, "gaps", stream), 1)
 
 
-@query("st4_stream_alerts", "ST4 RK9 RK3")
+@query(
+    "st3_sequence_gaps",
+    "ST3",
+    oracle(
+        f"""SELECT instrument_id, prev AS previous_sequence, own AS sequence, own - prev - 1 AS missing, {r("gap", 1)} AS gap_seconds FROM (
+            SELECT instrument_id, own, lag(own) OVER w AS prev, epoch(event_time) - epoch(lag(event_time) OVER w) AS gap
+            FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY sequence) AS own FROM ticks) WHERE own % 7 <> 0
+            WINDOW w AS (PARTITION BY instrument_id ORDER BY own)) WHERE own - prev <> 1"""
+    ),
+)
+def own_gaps(spark, d):
+    def build(path):
+        # numbered per instrument, with every seventh tick lost
+        own = F.row_number().over(W.partitionBy("instrument_id").orderBy("sequence"))
+        ticks = t.ticks(spark, d).withColumn("sequence", own.cast("long")).where("sequence % 7 <> 0")
+        ticks.repartitionByRange(12, "event_time").drop("props", "event_type").write.parquet(path)
+
+    path = _once(spark, d, "own-tick-files", build)
+    ticks = jobs.file_stream(spark, path, spark.read.parquet(path).schema)
+    return present(streamed(spark, d, "own-gaps", jobs.sequence_gaps(ticks, 1e18)), 1)
+
+
+@query(
+    "st4_stream_alerts",
+    "ST4 RK9 RK3",
+    oracle(
+        f"""SELECT * FROM (WITH p AS (SELECT *, max(price) OVER (PARTITION BY instrument_id ORDER BY sequence) AS peak,
+                coalesce(max(price) OVER (PARTITION BY instrument_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ticks),
+            e AS (SELECT *, sum(CASE WHEN price >= before THEN 1 ELSE 0 END) OVER (PARTITION BY instrument_id ORDER BY sequence) AS episode,
+                CASE WHEN peak > 0 THEN CAST(price AS DOUBLE) / peak - 1 ELSE 0.0::DOUBLE END AS fall FROM p),
+            g AS (SELECT *, CAST(fall <= -0.05 AS INT) + CAST(fall <= -0.08 AS INT) + CAST(fall <= -0.10 AS INT) AS reached FROM e),
+            b AS (SELECT *, coalesce(max(reached) OVER (PARTITION BY instrument_id, episode ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rung FROM g),
+            s AS (SELECT instrument_id, max(event_time) AS seen FROM ticks GROUP BY 1)
+        SELECT instrument_id, 'drawdown_rung' AS kind, strftime(event_time, {STAMP}) AS at, {r("fall")} AS value FROM b WHERE reached > rung
+        UNION ALL SELECT instrument_id, 'data_stale', strftime(seen, {STAMP}), 86400.0::DOUBLE FROM s
+        WHERE seen + INTERVAL 1 DAY < (SELECT max(event_time) - INTERVAL 10 MINUTE FROM ticks))"""
+    ),
+)
 def stream_alerts(spark, d):
     stream = jobs.stream_alerts(tick_stream(spark, d), 86400)
     return present(streamed(spark, d, "alerts", stream), 6)
@@ -556,19 +594,26 @@ def stream_alerts(spark, d):
     "st1_bar_ingest",
     "ST1 S1 S2 P13",
     oracle(
-        f"""SELECT instrument_id, count(*) AS bars, {r('sum(close)', 4)} AS close_sum, strftime(max(event_time), {STAMP}) AS last FROM dirty_base
-            WHERE NOT (receive_time < event_time OR least(open, high, low, close) <= 0 OR high < low OR open > high OR open < low OR close > high OR close < low) GROUP BY 1"""
+        f"""SELECT * FROM (WITH v AS (SELECT instrument_id, event_time, receive_time, open, high, low, close FROM dirty_base
+                UNION ALL SELECT instrument_id, event_time, receive_time + INTERVAL 1 DAY, open, high, low, high FROM dirty_base WHERE rn % 97 = 0
+                UNION ALL SELECT instrument_id, event_time, receive_time + INTERVAL 2 DAY, open, high, abs(low), close FROM dirty_base WHERE rn % 131 = 0),
+            ok AS (SELECT * FROM v WHERE NOT (receive_time < event_time OR least(open, high, low, close) <= 0 OR high < low OR open > high OR open < low OR close > high OR close < low)),
+            k AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY instrument_id, event_time ORDER BY receive_time DESC) = 1)
+        SELECT instrument_id, count(*) AS bars, {r('sum(close)', 4)} AS close_sum, strftime(max(event_time), {STAMP}) AS last FROM k GROUP BY 1)"""
     ),
 )
 def bar_ingest(spark, d):
     def build(path):
-        bars = t.dirty_bars(spark, d).withColumn("trades", F.lit(1).cast("bigint"))
-        # repeated bars arrive after the first copy, within the watermark
-        bars.repartitionByRange(1, "event_time", "receive_time").sortWithinPartitions("event_time", "receive_time").write.parquet(path)
+        bars = t.dirty_base(spark, d).withColumn("trades", F.lit(1).cast("bigint"))
+        later = lambda days: F.col("receive_time") + F.expr(f"INTERVAL {days} DAYS")
+        revised = bars.where("rn % 97 = 0").withColumns({"receive_time": later(1), "close": F.col("high")})
+        mended = bars.where("rn % 131 = 0").withColumns({"receive_time": later(2), "low": F.abs("low")})
+        # files in no order of time: versions of a bar lie in several
+        bars.unionByName(revised).unionByName(mended).repartition(6, F.xxhash64("instrument_id", "event_time", "receive_time")).write.parquet(path)
 
     source = _once(spark, d, "bar-files", build)
     made = store.BarStore(spark, shared_folder(spark, "ingested"))
-    stream = jobs.file_stream(spark, source, spark.read.parquet(source).schema)
+    stream = jobs.file_stream(spark, source, spark.read.parquet(source).schema, files=3)
     run = jobs.ingest_bars(stream, made, "1d", shared_folder(spark, "quarantine"), shared_folder(spark, "ingest-state"))
     run.awaitTermination()
     df = made.view("1d", as_of="2100-01-01 00:00:00").groupBy("instrument_id")

@@ -198,11 +198,11 @@ def rebalance_dates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def dirty_bars(spark: SparkSession, d: str) -> DataFrame:
+def dirty_base(spark: SparkSession, d: str) -> DataFrame:
     """``panel_split`` with known defects of every kind the checks look for."""
     rn, c = F.col("rn"), F.col
     flat = (rn % 10 == 0) & (c("sym_no") % 4 == 0)
-    bars = panel_split(spark, d).select(
+    return panel_split(spark, d).select(
         "instrument_id",
         "symbol",
         "event_time",
@@ -215,8 +215,13 @@ def dirty_bars(spark: SparkSession, d: str) -> DataFrame:
         (rn * 10 - F.when((c("sym_no") % 3 == 0) & (rn % 50 == 0), 13).otherwise(0)).alias("seq"),
         "rn",
     )
-    again = bars.where(rn % 97 == 0).withColumns(
-        {"seq": c("seq") + 5, "receive_time": c("receive_time") + F.expr("INTERVAL 1 DAYS")}
+
+
+def dirty_bars(spark: SparkSession, d: str) -> DataFrame:
+    """``dirty_base`` with bars that come again a day later."""
+    bars = dirty_base(spark, d)
+    again = bars.where("rn % 97 = 0").withColumns(
+        {"seq": F.col("seq") + 5, "receive_time": F.col("receive_time") + F.expr("INTERVAL 1 DAYS")}
     )
     return bars.unionByName(again)
 

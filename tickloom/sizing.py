@@ -36,3 +36,9 @@ def small(df: DataFrame, rows: int | None, row_bytes: int = 64) -> DataFrame:
     if rows is not None and rows * row_bytes <= BROADCAST_BYTES:
         return F.broadcast(df)
     return df
+
+
+def within(name: str, value: float, low: float | None = None, high: float | None = None) -> None:
+    """Refuse a parameter outside ``[low, high]``."""
+    if (low is not None and value < low) or (high is not None and value > high):
+        raise ValueError(f"{name} is {value}, outside [{low}, {high}]")

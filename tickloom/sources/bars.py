@@ -64,16 +64,20 @@ def conform_panel(panel: DataFrame) -> DataFrame:
     return df
 
 
-def keep_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+def keep_last(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """One row per key, the last by ``order``."""
-    newest = W.partitionBy(*keys).orderBy(F.desc(order))
+    newest = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     return rows.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") == 1).drop("_r")
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Existing rows with the new ones on top; the new row of a key wins."""
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str], version: tuple[str, ...] = ()) -> DataFrame:
+    """Existing rows with the new ones on top; the new row of a key wins.
+
+    With ``version`` the greatest version wins, however rows arrive, and the
+    newer write only breaks ties.
+    """
     both = existing.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)))
-    return keep_last(both, keys, "_batch").drop("_batch")
+    return keep_last(both, keys, *version, "_batch").drop("_batch")
 
 
 class BarStore:
@@ -86,9 +90,12 @@ class BarStore:
     def path(self) -> str:
         return f"{self.root}/bars"
 
-    def write(self, bars: DataFrame, timeframe: str) -> int:
+    def write(self, bars: DataFrame, timeframe: str, version: tuple[str, ...] = ()) -> int:
         """Upsert; only the years the new bars touch are rewritten.
 
+        ``version`` names columns that order the versions of a bar; without it
+        the bar of this write wins.
+
         The merged rows are staged first: a path is never overwritten while a
         plan still reads it, and a failed job leaves the table as it was.
         """
@@ -99,7 +106,7 @@ class BarStore:
         if old is not None:
             years = [r["year"] for r in new.select("year").distinct().collect()]  # a few dozen
             touched = old.where((F.col("timeframe") == timeframe) & F.col("year").isin(years))
-            new = upsert(touched.select(*new.columns), new, ["instrument_id", "event_time"])
+            new = upsert(touched.select(*new.columns), new, ["instrument_id", "event_time"], version)
         stage = shared_folder(self.spark, "stage")
         new.write.mode("overwrite").option("compression", "zstd").parquet(stage)
         staged = self.spark.read.parquet(stage)

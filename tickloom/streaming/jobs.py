@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.operators.pit import bar_violations
 from tickloom.schemas import TIMEFRAMES
-from tickloom.sources.bars import BarStore
+from tickloom.sources.bars import BarStore, keep_last
 
 
 def tick_bars(ticks: DataFrame, timeframe: str, delay: str = "10 minutes") -> DataFrame:
@@ -44,28 +45,31 @@ def tick_bars(ticks: DataFrame, timeframe: str, delay: str = "10 minutes") -> Da
     )
 
 
-def ingest_bars(
-    bars: DataFrame, store: BarStore, timeframe: str, quarantine: str, checkpoint: str, delay: str = "10 days"
-) -> StreamingQuery:
-    """Validate, set broken bars aside, drop late and repeated ones, upsert.
+#: What orders versions of a bar: when it was received, then its values, so
+#: that the outcome does not depend on the order of arrival.
+VERSION = ("receive_time", "close", "open", "high", "low", "volume")
 
-    Each batch is an upsert by key, so replaying it after a failure changes
-    nothing.
+
+def ingest_bars(bars: DataFrame, store: BarStore, timeframe: str, quarantine: str, checkpoint: str) -> StreamingQuery:
+    """Validate, set broken bars aside, upsert the last version of the others.
+
+    A bar is judged before its key counts, so a broken one takes no place.  The
+    version received last wins within a batch and against the table, so files
+    may come in any order, and replaying a batch changes nothing.
     """
-    judged = bar_violations(bars).withWatermark("event_time", delay)
-    once = judged.dropDuplicatesWithinWatermark(["instrument_id", "event_time"])
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         bad = batch.where(F.col("violation").isNotNull())
         bad.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
         good = batch.where(F.col("violation").isNull()).drop("violation")
         if not good.isEmpty():
-            store.write(good, timeframe)
+            store.write(keep_last(good, ["instrument_id", "event_time"], *VERSION), timeframe, VERSION)
         batch.unpersist()
 
     return (
-        once.writeStream.foreachBatch(upsert)
+        bar_violations(bars)
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -75,10 +79,13 @@ def ingest_bars(
 GAPS = "instrument_id string, previous_sequence bigint, sequence bigint, missing bigint, gap_seconds double"
 
 
-def sequence_gaps(ticks: DataFrame, max_seconds: float, step: int = 1, delay: str = "1 hour") -> DataFrame:
+def sequence_gaps(ticks: DataFrame, max_seconds: float, step: int | None = 1) -> DataFrame:
     """Breaks in the sequence or in time of each instrument, across batches.
 
-    The state of an instrument is its last sequence number and time.
+    ``step`` is what an instrument's numbers should grow by: fewer and more are
+    both reported.  A feed that numbers all instruments together has none
+    (``None``): only its order and time gaps count.  The state of an instrument
+    is its last sequence number and time.
     """
 
     def scan(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -95,12 +102,13 @@ def sequence_gaps(ticks: DataFrame, max_seconds: float, step: int = 1, delay: st
                 "instrument_id": key[0],
                 "previous_sequence": before,
                 "sequence": sequence,
-                "missing": (sequence - before) / step - 1,
+                "missing": (sequence - before) / (step or 1) - 1,
                 "gap_seconds": seconds - then,
             }
         ).dropna(subset=["previous_sequence"])
         state.update((int(sequence[-1]), float(seconds[-1])))
-        hit = out[(out["gap_seconds"] > max_seconds) | (out["missing"] < 0)]
+        broken = out["missing"] < 0 if step is None else out["missing"] != 0
+        hit = out[(out["gap_seconds"] > max_seconds) | broken]
         yield hit.astype({"previous_sequence": "int64", "missing": "int64"})
 
     return (
@@ -122,31 +130,35 @@ def stream_alerts(
 ) -> DataFrame:
     """Drawdown rungs as they are reached, and feeds that fall silent.
 
-    A timer per instrument fires when the watermark passes its last tick by
-    more than the allowed age.
+    A rung is reported once per fall from a peak; a price at or above the peak
+    starts a new one.  A timer per instrument fires when the watermark passes
+    its last tick by more than the allowed age.  Silence changes neither peak
+    nor rung, and is reported once until the feed speaks again.
     """
+    levels = np.asarray(rungs)
 
     def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = []
+        peak, rung, last = state.get if state.exists else (0.0, 0, 0)
         if state.hasTimedOut:
-            peak, rung, last = state.get
-            rows.append((key[0], "data_stale", pd.Timestamp(last, unit="ms"), float(stale_seconds)))
-            state.remove()
+            out = pd.DataFrame({"kind": ["data_stale"], "at": [pd.Timestamp(last, unit="ms")], "value": [float(stale_seconds)]})
         else:
-            peak, rung, last = state.get if state.exists else (0.0, 0, 0)
             frame = pd.concat(list(batches)).sort_values("sequence", kind="stable")
-            for price, at in zip(frame["price"], frame["event_time"]):
-                if price >= peak:
-                    peak, rung = float(price), 0
-                fall = price / peak - 1 if peak > 0 else 0.0
-                reached = sum(fall <= r for r in rungs)
-                if reached > rung:
-                    rows.append((key[0], "drawdown_rung", at, float(fall)))
-                    rung = reached
-                last = max(last, int(at.timestamp() * 1000))
-            state.update((peak, int(rung), last))
+            price = frame["price"].to_numpy(float)
+            high = np.maximum.accumulate(np.append(peak, price))
+            fall = np.where(high[1:] > 0, price / np.where(high[1:] > 0, high[1:], 1) - 1, 0.0)
+            reached = (fall[:, None] <= levels).sum(1)
+            # what the rung was before each tick, since the last peak
+            episode = np.cumsum(price >= high[:-1])
+            start = pd.Series(np.append(rung, reached)).groupby(np.append(0, episode)).cummax().to_numpy()
+            before = np.where(price >= high[:-1], 0, start[:-1])
+            hit = reached > before
+            out = pd.DataFrame({"kind": "drawdown_rung", "at": frame["event_time"].to_numpy()[hit], "value": fall[hit]})
+            peak, rung = float(high[-1]), int(start[-1])
+            last = max(last, int(frame["event_time"].max().timestamp() * 1000))
             state.setTimeoutTimestamp(max(last + stale_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["instrument_id", "kind", "at", "value"])
+        state.update((peak, rung, last))
+        out.insert(0, "instrument_id", key[0])
+        yield out[["instrument_id", "kind", "at", "value"]]
 
     return (
         ticks.select("instrument_id", "sequence", "event_time", "price")
