@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.chunks import with_previous, with_running_sum
 from tickloom.functions.ranks import with_average_ranks, with_ordinal_rank
 from tickloom.operators import ledger, quality, scoring
+from tickloom.session import checkpointed
 from tickloom.operators.composite import orthogonalise, zscore_by_session
 
 
@@ -28,6 +29,20 @@ def test_average_rank_routes_agree(spark):
     assert split.count() == df.count()
 
 
+def test_many_columns_are_ranked_in_one_pass(spark):
+    df = _skewed(spark, 1500).withColumns({f"c{i}": F.when(F.rand(i) > 0.1, F.round(F.randn(i), 1)) for i in range(6)})
+    columns = {f"r{i}": f"c{i}" for i in range(6)}
+    df = checkpointed(df)  # the draws are made once
+    split = with_average_ranks(df, columns, ["event_time"], None)
+    for out, col in columns.items():
+        there = df.where(F.col(col).isNotNull())
+        plain = with_average_ranks(there, {out: col}, ["event_time"], 10_000).select("event_time", "symbol", out)
+        assert plain.exceptAll(split.where(F.col(col).isNotNull()).select(plain.columns)).count() == 0
+    one = with_average_ranks(df, {"r0": "c0"}, ["event_time"], None)
+    shuffles = [x._jdf.queryExecution().executedPlan().toString().count("Exchange") for x in (one, split)]
+    assert shuffles[0] == shuffles[1] <= 16
+
+
 def test_ordinal_rank_routes_agree_with_a_hot_tie(spark):
     df = _skewed(spark)
     plain = with_ordinal_rank(df, "signal", "symbol", "r", ["event_time"], 10_000)

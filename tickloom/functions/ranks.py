@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.session import checkpointed
 from tickloom.sizing import fits_task
 
 RANGES = 64
@@ -29,13 +30,13 @@ def with_average_ranks(
 ) -> DataFrame:
     """Add ``{output: input}`` average-tie ranks within ``session``.
 
-    ``rows`` bounds the rows of any session; ``None`` means unknown.
+    ``rows`` bounds the rows of any session; ``None`` means unknown.  Either
+    way all columns are ranked together: the number of shuffles does not depend
+    on how many there are.
     """
     if fits_task(rows):
         return df.withColumns({o: average_rank(F.col(i), session) for o, i in columns.items()})
-    for out, col in columns.items():
-        df = _split_average(df, col, out, session)
-    return df
+    return _split_average(df, columns, session)
 
 
 def with_ordinal_rank(
@@ -73,23 +74,26 @@ def _offsets(counted: DataFrame, keys: list[str], session: list[str], weight: Co
     )
 
 
-def _split_average(df: DataFrame, value: str, out: str, session: list[str]) -> DataFrame:
+def _split_average(df: DataFrame, columns: dict[str, str], session: list[str]) -> DataFrame:
+    # The input is read several times: it is written once, with a row number.
+    numbered = checkpointed(df.withColumn("_row", F.monotonically_increasing_id()))
+    stacked = numbered.select(
+        "_row", *session, F.posexplode(F.array(*[F.col(c).cast("double") for c in columns.values()])).alias("_column", "_value")
+    ).where(F.col("_value").isNotNull())
+    part = [*session, "_column"]
     # Equal values collapse first: a tie of any size becomes one row.
-    counted = df.groupBy(*session, value).agg(F.count(F.lit(1)).alias("_ties"))
-    ranged = _range_of(counted, value, session)
-    inside = (
-        W.partitionBy(*session, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    )
+    counted = stacked.groupBy(*part, "_value").agg(F.count(F.lit(1)).alias("_ties"))
+    ranged = _range_of(counted, "_value", part)
+    inside = W.partitionBy(*part, "_range").orderBy("_value").rowsBetween(W.unboundedPreceding, -1)
     ranked = (
         ranged.withColumn("_inside", F.coalesce(F.sum("_ties").over(inside), F.lit(0)))
-        .join(_offsets(ranged, ["_range"], session, F.col("_ties")), [*session, "_range"])
-        .select(
-            *session,
-            value,
-            (F.col("_before") + F.col("_inside") + (F.col("_ties") + 1) / 2.0).alias(out),
-        )
+        .join(_offsets(ranged, ["_range"], part, F.col("_ties")), [*part, "_range"])
+        .select(*part, "_value", (F.col("_before") + F.col("_inside") + (F.col("_ties") + 1) / 2.0).alias("_rank"))
+    )
+    by_row = stacked.join(ranked, [*part, "_value"]).groupBy("_row").agg(
+        *[F.max(F.when(F.col("_column") == i, F.col("_rank"))).alias(out) for i, out in enumerate(columns)]
     )
-    return df.join(ranked, [*session, value], "left")
+    return numbered.join(by_row, "_row", "left").drop("_row")
 
 
 def _split_ordinal(

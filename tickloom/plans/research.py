@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -13,7 +14,9 @@ from tickloom.plans.tables import oracle, panel_raw, panel_smooth, panel_split,
 
 ADV = 40000.0
 YEAR_SHORT = 126
-MIX = ["momentum_1m", "reversal_5d", "volatility_60", "volume_shock", "illiquidity"]
+#: Factors of the overlap and of composites.  The two that are left out look back
+#: over most of the given panel: with them, hardly a row would be complete.
+MIX = [f for f in factors.FACTORS if f not in ("residual_momentum", "seasonality")]
 
 # ---- SQL twins -------------------------------------------------------------
 
@@ -388,15 +391,15 @@ ROUND_TRIP = 0.0033
               GROUP BY factor) USING (factor)""",
         {
             **EXTRA,
-            "wide": table_sql(MIX),
-            "long": " UNION ALL ".join(f"SELECT '{n}' AS factor, event_time, symbol, {n} AS signal, fwd_21 FROM wide WHERE {n} IS NOT NULL" for n in MIX),
+            "wide": table_sql(list(factors.FACTORS)),
+            "long": " UNION ALL ".join(f"SELECT '{n}' AS factor, event_time, symbol, {n} AS signal, fwd_21 FROM wide WHERE {n} IS NOT NULL" for n in factors.FACTORS),
         },
     ),
 )
 def verdicts(spark, d):
     # one pass of the factors feeds three reports; lost blocks are recomputed
-    long = factors.unpivot_factors(table(spark, d, MIX), tuple(MIX)).persist(StorageLevel.DISK_ONLY)
-    return present(scoring.factor_report(long, 21, ROUND_TRIP, keys=["factor"], rows=rows(spark, d) * len(MIX)))
+    long = factors.unpivot_factors(table(spark, d, factors.FACTORS), factors.FACTORS).persist(StorageLevel.DISK_ONLY)
+    return present(scoring.factor_report(long, 21, ROUND_TRIP, keys=["factor"], rows=rows(spark, d) * len(factors.FACTORS)))
 
 
 @query(
@@ -440,10 +443,24 @@ def overlap(spark, d):
     return present(composite.factor_correlations(table(spark, d, MIX), MIX, rows(spark, d)))
 
 
-@query("r8_effective_factors", "R8 X4")
+@query(
+    "r8_effective_factors",
+    "R8 X4",
+    oracle(
+        f"""SELECT CAST({len(MIX)} AS BIGINT) AS factors, {r(f'CAST({len(MIX) ** 2} AS DOUBLE) / sum(CASE WHEN "left" = "right" THEN rho * rho ELSE 2 * rho * rho END)')} AS effective_factors
+            FROM ({PAIRS_SQL})""",
+        RANKED,
+    ),
+)
 def effective(spark, d):
     pairs = composite.factor_correlations(table(spark, d, MIX), MIX, rows(spark, d))
-    return present(composite.overlap_summary(pairs))
+    return present(composite.overlap_summary(pairs).drop("first_component"))
+
+
+@query("r8_first_component", "R8 X4")
+def first_component(spark, d):
+    pairs = composite.factor_correlations(table(spark, d, MIX), MIX, rows(spark, d))
+    return present(composite.overlap_summary(pairs).select("first_component"))
 
 
 @query(
@@ -459,13 +476,16 @@ def redundant(spark, d):
 @query(
     "r8_skipped_factors",
     "R8",
-    oracle("SELECT 'seasonality' AS factor, count(seasonality) AS signals FROM wide252 HAVING count(seasonality) = 0",
-           {**EXTRA, "wide252": f"SELECT ({lag('monthly', 252)} + {lag('monthly', 504)} + {lag('monthly', 756)}) / 3 AS seasonality FROM with_ret"}),
+    oracle(
+        "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS factor, count({n}) AS signals FROM recent" for n in factors.FACTORS) + ") WHERE signals = 0",
+        {**EXTRA, "wide": table_sql(list(factors.FACTORS)), "recent": "SELECT * FROM wide QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY event_time) <= 400"},
+    ),
 )
 def skipped(spark, d):
-    names = ["momentum_1m", "seasonality"]
-    wide = factors.factor_table(prepared(spark, d), tuple(names))
-    return present(composite.skipped_factors(wide, names))
+    # signals over the first 400 sessions of each name: long lookbacks have none yet
+    place = F.row_number().over(W.partitionBy("symbol").orderBy("event_time"))
+    wide = table(spark, d, factors.FACTORS).withColumn("_place", place).where("_place <= 400")
+    return present(composite.skipped_factors(wide, list(factors.FACTORS)))
 
 
 Z_SQL = "SELECT event_time, symbol, fwd_1, fwd_5, fwd_21, fwd_63, " + ", ".join(

@@ -580,7 +580,7 @@ def own_gaps(spark, d):
             g AS (SELECT *, CAST(fall <= -0.05 AS INT) + CAST(fall <= -0.08 AS INT) + CAST(fall <= -0.10 AS INT) AS reached FROM e),
             b AS (SELECT *, coalesce(max(reached) OVER (PARTITION BY instrument_id, episode ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rung FROM g),
             s AS (SELECT instrument_id, max(event_time) AS seen FROM ticks GROUP BY 1)
-        SELECT instrument_id, 'drawdown_rung' AS kind, strftime(event_time, {STAMP}) AS at, {r("fall")} AS value FROM b WHERE reached > rung
+        SELECT instrument_id, 'drawdown_rung' AS kind, strftime(event_time, {STAMP}) AS at, {r("fall", 6)} AS value FROM b WHERE reached > rung
         UNION ALL SELECT instrument_id, 'data_stale', strftime(seen, {STAMP}), 86400.0::DOUBLE FROM s
         WHERE seen + INTERVAL 1 DAY < (SELECT max(event_time) - INTERVAL 10 MINUTE FROM ticks))"""
     ),

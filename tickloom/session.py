@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,23 +40,29 @@ def local_session(app: str = "tickloom", cpus: str | int = "*", partitions: int
     return configure(spark)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder the cluster names.
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``; only where nothing is set
-    (tests, a laptop) a temporary one is used.
+    Nothing else will do on a cluster, where a temporary folder is another one
+    on each machine.  Only a local master, which has one machine, may do without.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-"))
+        configured = spark.sparkContext.getCheckpointDir()
+    return configured.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tickloom-checkpoint-"))
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder every executor can reach, under the configured one."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tickloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder every executor can reach, under the shared one."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
