@@ -213,10 +213,14 @@ def test_gauntlet_stops_at_the_first_failure(spark):
     assert len(a) == 12 and a.strategy_passed.all() and a.skipped.sum() == 11
 
 
-def test_too_many_dates_are_refused_not_dropped(spark):
-    from tickloom.functions.windows import listed_dates
-
-    days = spark.range(10).select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
-    assert len(listed_dates(days, "d", 10).first()[0]) == 10
-    with pytest.raises(Exception, match="more than 9 dates"):
-        listed_dates(days, "d", 9).collect()
+def test_rows_are_copied_to_the_dates_they_hold_on(spark):
+    from tickloom.functions.windows import copied_to
+
+    rows = [("a", 1, 4), ("a", 4, None), ("b", 3, 3), ("c", 9, None), ("d", -5, 2), ("e", 5, 8)]
+    asked = [0, 1, 3, 5, 7, 7, 8]
+    day = lambda n: None if n is None else dt.date(2024, 1, 10) + dt.timedelta(days=n)
+    df = spark.createDataFrame([(k, day(a), day(b)) for k, a, b in rows], "k string, f date, u date")
+    dates = spark.createDataFrame([(day(n),) for n in asked], "on date")
+    got = sorted((r.k, r["on"]) for r in copied_to(df, dates, "on", "f", "u").collect())
+    assert got == sorted((k, day(n)) for k, a, b in rows for n in set(asked) if a <= n and (b is None or n < b))
+    assert copied_to(df, dates.limit(0), "on", "f", "u").count() == 0

@@ -57,12 +57,33 @@ def simple_return(k: int = 1, window=None, price: str = "close") -> Column:
     return F.try_divide(F.col(price), F.lag(price, k).over(w)) - 1
 
 
-def listed_dates(dates: DataFrame, column: str, most: int) -> DataFrame:
-    """The distinct dates as one sorted array; more than ``most`` is an error.
+def copied_to(rows: DataFrame, dates: DataFrame, column: str, start: str, until: str) -> DataFrame:
+    """``rows`` copied to each distinct date in ``[start, until)``, in ``column``; no ``until`` is for good.
 
-    The array travels with every row, so its length needs a bound, and dates
-    beyond it must not vanish.
+    Dates are numbered along the calendar; a row looks up the numbers of its two
+    ends by equality and is copied to those in between.  So there is neither a
+    range join nor a list of dates on every row, however many dates are asked.
     """
-    array = F.sort_array(F.collect_set(column))
-    long = F.raise_error(F.lit(f"more than {most} dates: evaluate them in parts"))
-    return dates.agg(F.when(F.size(array) <= most, array).otherwise(long).alias("dates"))
+    asked = dates.select(column, F.col(column).cast("timestamp").alias("_at")).distinct()
+    stamps = asked.select("_at", F.lit(1).alias("_is")).unionByName(
+        rows.select(F.explode(F.array(F.col(start).cast("timestamp"), F.col(until).cast("timestamp"))).alias("_at"), F.lit(0).alias("_is"))
+        .where("_at is not null")
+        .distinct()
+    )
+    # one row per date of the calendar
+    before = W.orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    calendar = stamps.groupBy("_at").agg(F.max("_is").alias("_is")).withColumn("_no", F.coalesce(F.sum("_is").over(before), F.lit(0)))
+    numbers = calendar.where("_is = 1").join(asked, "_at").select("_no", column)
+    first = calendar.select(F.col("_at").alias("_first_at"), F.col("_no").alias("_first"))
+    last = calendar.select(F.col("_at").alias("_last_at"), F.col("_no").alias("_last"))
+    framed = rows.join(first, F.col(start).cast("timestamp") == F.col("_first_at")).join(
+        last, F.col(until).cast("timestamp") == F.col("_last_at"), "left"
+    )
+    end = F.when(F.col(until).isNull(), asked.agg(F.count(F.lit(1))).scalar()).otherwise(F.col("_last"))
+    held = F.when(end > F.col("_first"), F.sequence(F.col("_first"), end - 1)).otherwise(F.array().cast("array<bigint>"))
+    return (
+        framed.withColumn("_no", F.explode(held))
+        .drop("_first_at", "_first", "_last_at", "_last")
+        .join(numbers, "_no")
+        .drop("_no")
+    )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.chunks import with_previous, with_running_sum
 from tickloom.functions.scalar import money
-from tickloom.functions.windows import listed_dates
+from tickloom.functions.windows import copied_to
 
 #: Log-shrink per block: keeps the products inside the range of a double.
 BLOCK = 500.0
@@ -218,34 +218,21 @@ def book_weights(valued: DataFrame, summary: DataFrame, account: list[str]) -> D
     return joined.withColumn("weight", weight)
 
 
-def positions_on(history: DataFrame, dates: DataFrame, keys: list[str], order: list[str], max_dates: int) -> DataFrame:
-    """Position of every key on each valuation date (at most ``max_dates``).
+def positions_on(history: DataFrame, dates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Position of every key on each valuation date.
 
     A key's daily states are intervals; each is copied to the dates inside it.
     """
     daily = history.groupBy(*keys, "session").agg(F.max_by(F.struct("position", "average_cost"), F.struct(*order)).alias("_s"))
-    until = F.lead("session").over(W.partitionBy(*keys).orderBy("session"))
-    listed = listed_dates(dates, "date", max_dates)
-    inside = F.filter(
-        "_dates", lambda d: (d >= F.col("session")) & (F.col("_until").isNull() | (d < F.col("_until")))
-    )
-    return (
-        daily.withColumns({"_until": until, "_dates": listed.scalar()})
-        .select(*keys, F.explode(inside).alias("date"), "_s.position", "_s.average_cost")
-        .where("position <> 0")
-    )
+    framed = daily.withColumn("_until", F.lead("session").over(W.partitionBy(*keys).orderBy("session")))
+    held = framed.where("_s.position <> 0")
+    return copied_to(held, dates, "date", "session", "_until").select(*keys, "date", "_s.position", "_s.average_cost")
 
 
-def marks_on(prices: DataFrame, dates: DataFrame, instrument: str, max_dates: int) -> DataFrame:
+def marks_on(prices: DataFrame, dates: DataFrame, instrument: str) -> DataFrame:
     """Last price of each instrument on or before each date."""
-    until = F.lead("session").over(W.partitionBy(instrument).orderBy("session"))
-    listed = listed_dates(dates, "date", max_dates)
-    inside = F.filter(
-        "_dates", lambda d: (d >= F.col("session")) & (F.col("_until").isNull() | (d < F.col("_until")))
-    )
-    return prices.withColumns({"_until": until, "_dates": listed.scalar()}).select(
-        instrument, F.explode(inside).alias("date"), "mark"
-    )
+    framed = prices.withColumn("_until", F.lead("session").over(W.partitionBy(instrument).orderBy("session")))
+    return copied_to(framed, dates, "date", "session", "_until").select(instrument, "date", "mark")
 
 
 def equity_curve(on_dates: DataFrame, marks: DataFrame, cash: DataFrame, account: list[str], instrument: str) -> DataFrame:

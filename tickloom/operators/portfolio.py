@@ -15,37 +15,30 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.ranks import with_ordinal_rank
 from tickloom.functions.scalar import money, to_tick, whole_lots
-from tickloom.functions.windows import by, listed_dates, rolling
+from tickloom.functions.windows import by, copied_to, rolling
 from tickloom.operators.performance import with_curve
 from tickloom.sizing import fits_task
 
-MAX_DATES = 5_000
 Strategy = Callable[[DataFrame], DataFrame]
 
 
 # ---- what a decision sees -----------------------------------------------------
 
 
-def decision_view(features: DataFrame, dates: DataFrame, key: str = "symbol", max_dates: int = MAX_DATES) -> DataFrame:
+def decision_view(features: DataFrame, dates: DataFrame, key: str = "symbol") -> DataFrame:
     """Latest row of every name at each decision, whatever its age.
 
-    A row is valid until the name's next one; it is copied to the decisions in
-    between, so there is no range join.  ``entry`` is the open after the
+    A row is valid until the name's next one.  ``entry`` is the open after the
     decision, or the last close of a name that stopped trading.
     """
     w = by(key)
-    listed = listed_dates(dates, "decision_time", max_dates)
-    inside = F.filter(
-        "_dates", lambda t: (t >= F.col("event_time")) & (F.col("_until").isNull() | (t < F.col("_until")))
-    )
     framed = features.withColumns(
         {
             "_until": F.lead("event_time").over(w),
             "entry": F.coalesce(F.lead("open").over(w), F.col("close")),
-            "_dates": listed.scalar(),
         }
     )
-    return framed.withColumn("decision_time", F.explode(inside)).drop("_until", "_dates")
+    return copied_to(framed, dates, "decision_time", "event_time", "_until").drop("_until")
 
 
 def holding_returns(view: DataFrame, key: str = "symbol") -> DataFrame:

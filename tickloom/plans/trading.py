@@ -389,7 +389,7 @@ def book(spark, d):
     return present(df.select(*KEY, "market_value", "weight"), market_value=2)
 
 
-DATES = "SELECT as_of AS date FROM rebalance_dates"
+DATES = "SELECT DISTINCT session AS date FROM fills"
 CURVE = {
     **NUMBERED,
     "dates": DATES,
@@ -401,17 +401,16 @@ CURVE = {
     "curve": """SELECT account, date, CAST(cash AS DOUBLE) + coalesce(v, 0) AS equity, coalesce(n, 0) AS positions FROM cash_on LEFT JOIN (
         SELECT account, date, sum(q * mark) AS v, count(*) AS n FROM qty_on JOIN mark_on USING (instrument, date) GROUP BY 1, 2) USING (account, date)""",
 }
-MAX_DATES = 400
 
 
 def curve(spark, d):
-    dates = t.rebalance_dates(spark, d).select(F.col("as_of").alias("date"))
-    held = ledger.positions_on(history(spark, d), dates, KEY, FILL_ORDER, MAX_DATES)
+    dates = t.fills(spark, d).select(F.col("session").alias("date")).distinct()
+    held = ledger.positions_on(history(spark, d), dates, KEY, FILL_ORDER)
     q, v = F.sum(F.col("quantity").cast("double")), F.sum((F.col("quantity") * F.col("price")).cast("double"))
     price = t.fills(spark, d).groupBy("instrument", "session").agg(t.half_away(v / q, 2).alias("mark"))
-    on = ledger.marks_on(price, dates, "instrument", MAX_DATES)
+    on = ledger.marks_on(price, dates, "instrument")
     flows = cash(spark, d).groupBy("account", "session").agg(F.max_by("cash", F.struct(*FILL_ORDER)).alias("mark"))
-    money = ledger.marks_on(flows, dates, "account", MAX_DATES).withColumnRenamed("mark", "cash")
+    money = ledger.marks_on(flows, dates, "account").withColumnRenamed("mark", "cash")
     return ledger.equity_curve(held, on, money, ["account"], "instrument")
 
 
