@@ -195,7 +195,7 @@ def mix(i: Column, s: Column, k: Column | None = None) -> Column:
 def random_entry(view: DataFrame, seeds: int, n_names: int, hold: int = 1, number: str = "sym_no", gross: float = 1.0) -> DataFrame:
     """The same number of random names per holding bucket, for every seed."""
     order = view.select("decision_time").distinct().withColumn(
-        "_bucket", F.floor(F.row_number().over(W.orderBy("decision_time")) / hold)
+        "_bucket", F.floor((F.row_number().over(W.orderBy("decision_time")) - 1) / hold)
     )
     seeded = view.where(F.col("close") > 0).join(F.broadcast(order), "decision_time").withColumn(
         "seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))

@@ -137,7 +137,7 @@ def sma(spark, d):
 
 RANDOM = f"""SELECT seed, decision_time, symbol, 1.0 / count(*) OVER (PARTITION BY seed, decision_time) AS weight FROM (
     SELECT *, row_number() OVER (PARTITION BY seed, decision_time ORDER BY {mix_sql('sym_no', 'seed', 'bucket')}, sym_no) AS rk FROM seen
-    JOIN (SELECT decision_time, floor(row_number() OVER (ORDER BY decision_time) / 2) AS bucket FROM (SELECT DISTINCT decision_time FROM seen)) USING (decision_time),
+    JOIN (SELECT decision_time, floor((row_number() OVER (ORDER BY decision_time) - 1) / 2) AS bucket FROM (SELECT DISTINCT decision_time FROM seen)) USING (decision_time),
     (SELECT unnest(range({SEEDS})) AS seed)) WHERE rk <= 10"""
 
 

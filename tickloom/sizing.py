@@ -12,16 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one group a single task may sort without concern.
-TASK_ROWS = 20_000_000
+TASK_ROWS = 5_000_000
 #: Bytes of a broadcast side, before the driver and every executor hold it.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
-_footers: dict[tuple[str, str], int] = {}
+_footers: dict[tuple, int] = {}
 
 
 def footer_rows(spark: SparkSession, path: str) -> int:
-    """Row count of a Parquet path, read from its footers and remembered."""
-    key = (spark.sparkContext.applicationId, path)
+    """Row count of a Parquet path from its footers, remembered while its files are the same."""
+    files = spark.read.schema("_ int").parquet(path).inputFiles()  # a listing, nothing is read
+    key = (spark.sparkContext.applicationId, path, hash(frozenset(files)))
     if key not in _footers:
         _footers[key] = spark.read.parquet(path).count()
     return _footers[key]

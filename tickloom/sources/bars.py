@@ -188,13 +188,15 @@ class PanelStore:
         """Sessions present, from the partition column alone."""
         return self._table().select("session_date").distinct().orderBy("session_date")
 
-    def view(self, *, as_of: str, start: str | None = None) -> DataFrame:
-        """Rows known at ``as_of``; empty, not an error, when nothing is."""
+    def view(self, *, as_of: str, start: str | None = None, end: str | None = None) -> DataFrame:
+        """Rows known at ``as_of``, of sessions from ``start`` to ``end``; empty, not an error, when nothing is."""
         moment = F.lit(as_of).cast("timestamp")
         df = self._table().where((F.col("session_date") <= F.to_date(moment)) & (F.col("receive_time") <= moment))
         if start is not None:
             df = df.where(F.col("session_date") >= F.lit(start).cast("date"))
+        if end is not None:
+            df = df.where(F.col("session_date") <= F.lit(end).cast("date"))
         return df.select(*PANEL.names)
 
     def session_view(self, session: str, *, as_of: str) -> DataFrame:
-        return self.view(as_of=as_of, start=session).where(F.to_date("event_time") == F.lit(session).cast("date"))
+        return self.view(as_of=as_of, start=session, end=session).where(F.to_date("event_time") == F.lit(session).cast("date"))
