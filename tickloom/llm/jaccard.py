@@ -5,13 +5,14 @@ similarity of 0.8 and more.  The join is exact (up to collisions of 64-bit
 hashes) and returns connected components of links.
 
 1.  Documents with equal sets form a class; one of them stands for it.
-2.  Classes with the same least shingle hash form first groups, split into
-    blocks of bounded size that share a pivot.  All pairs of a block are
+2.  Classes with the same least shingle hash under one of three orders form
+    first groups, split into blocks of bounded size that share a pivot.  All pairs of a block are
     checked; linked classes become one similar group.
 3.  The token-group matrix has the union of each group's tokens.  Only prefix
     tokens are needed: in a global order, rarest first, sets that link share
-    one of their first ``n - ceil(0.8 n) + 1``.  A query's overlap with a group
-    is at most its size less the place of its first token in the group's union.
+    one of their first ``n - ceil(0.8 n) + 1``.  The number of a query's prefix
+    tokens in a group's union, and the place of the first, bound its overlap
+    with every member.
 4.  Groups that could hold a partner, by that bound and their sizes, are opened
     block by block, and the query is checked against the members.  Query and
     group are never in the same component, so groups of thousands of near
@@ -28,8 +29,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +38,17 @@ from tickloom.llm.common import materialised
 from tickloom.llm.components import components
 
 WORDS = 5
+#: Orders under which a least hash is taken: a near copy whose edits cost it the
+#: least shingle of its original under one order likely has that of another.
+ORDERS = 3
 #: Classes in a block, queries that meet a block in one task.
 BLOCK, QUERIES = 256, 1000
 #: Frequent shingles a task reports, and those the order knows (512 KB).
 TASK_FREQUENT, FREQUENT = 8192, 32768
 #: Document numbers that may be broadcast (8 bytes each before hashing).
 MAX_BROADCAST = 1_000_000
-#: Bytes of text worked on at once.
-SLAB = 4 << 20
+#: Rows and bytes of text worked on at once.
+ROWS, SLAB = 500, 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -103,10 +107,16 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
         yield from _slab_sets(held)
 
 
-def _fingerprint(s: np.ndarray) -> tuple[int, int, int]:
-    """Two sums that name a set, and its least hash under another order."""
-    a, b = mixed(s + np.uint64(11)), mixed(s ^ np.uint64(0x5851F42D4C957F2D))
-    return int(a.sum().astype(np.int64)), int(b.sum().astype(np.int64)), int(a.min().astype(np.int64))
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _fingerprint(s: np.ndarray) -> tuple[int, int, list[int]]:
+    """Two sums that name a set, and its least hashes under other orders."""
+    under = [mixed(s ^ mixed(np.uint64(k + 11) * np.ones(1, np.uint64))) for k in range(ORDERS)]
+    return *(int(h.sum().astype(np.int64)) for h in under[:2]), [int(h.min().astype(np.int64)) for h in under]
 
 
 class _Frequent:
@@ -139,21 +149,22 @@ def sets_table(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = _Frequent(TASK_FREQUENT)
         names = ["doc_id", "n", "f1", "f2", "least", "shingle", "count"]
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
-                rows.append((doc_id, len(s), *(_fingerprint(s) if len(s) else (0, 0, 0))))
+                rows.append((doc_id, len(s), *(_fingerprint(s) if len(s) else (0, 0, []))))
                 frequent.add(s)
             cols = list(zip(*rows, strict=True)) or [()] * 5
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), none, none], names=names)
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols, kinds), none, none], names=names)
         frequent.fold()
         keep = frequent.counts > 1
         k = int(keep.sum())
         none = pa.nulls(k, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(frequent.keys[keep].view(np.int64)), pa.array(frequent.counts[keep])], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(k, pa.list_(pa.int64())), pa.array(frequent.keys[keep].view(np.int64)), pa.array(frequent.counts[keep])], names=names)
 
-    out = docs.select("doc_id", "text").mapInArrow(read, "doc_id long, n long, f1 long, f2 long, least long, shingle long, count long")
+    out = docs.select("doc_id", "text").mapInArrow(read, "doc_id long, n long, f1 long, f2 long, least array<long>, shingle long, count long")
     out = materialised(out, "shingles")
     top = out.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "shingle").limit(FREQUENT)
     ranked = [r.shingle for r in top.collect()]  # at most FREQUENT
@@ -174,7 +185,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     keys = frequent[order]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for s in shingle_sets(batch.column(1).to_pylist()):
                 n = len(s)
@@ -186,19 +197,27 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(read, "doc_id long, prefix array<long>")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``cid, tokens`` of the classes in ``wanted`` (column ``cid``), tokens as sorted 8-byte words."""
+def _sized(df: DataFrame) -> DataFrame:
+    """A written table, with a broadcast hint where its count proves it small."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
+def _placed_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``places`` (``cid`` and a struct ``place``) with the ``tokens`` of each class, as 8-byte words.
+
+    Sets are read from the texts and move once, to where they are needed.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["cid", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.binary())], names=["cid", "places", "tokens"])
 
-    few = wanted.count() <= MAX_BROADCAST
-    mine = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("cid"), "left_semi")
-    # a document that stands for its class, once, however often its row is repeated
-    read_sets = mine.select("doc_id", "text").mapInArrow(read, "cid long, tokens binary")
-    return read_sets.groupBy("cid").agg(F.first("tokens").alias("tokens"))
+    kind = places.schema["place"].dataType.simpleString()
+    per_class = materialised(places.groupBy("cid").agg(F.collect_set("place").alias("places")), "places")
+    mine = docs.join(_sized(per_class), F.col("doc_id") == F.col("cid")).select("cid", "text", "places")
+    moved = mine.mapInArrow(read, f"cid long, places array<{kind}>, tokens binary")
+    return moved.select("cid", "tokens", F.explode("places").alias("place")).select("cid", "tokens", "place.*")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -221,47 +240,57 @@ def _linked(overlap: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 100 * overlap >= 80 * (n[:, None] + m[None, :] - overlap)
 
 
-def _block_links(group: pd.DataFrame) -> pd.DataFrame:
+def _sets_in(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    sets = [np.frombuffer(t, np.uint64) for t in table["tokens"].to_pylist()]
+    return table["cid"].to_numpy(), sets, np.fromiter(map(len, sets), np.int64, len(sets))
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.Table:
+    u, v = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _block_links(group: pa.Table) -> pa.Table:
     """Enough links of a block to connect all that are linked within it."""
-    ids = group["cid"].to_numpy()
-    sets = [np.frombuffer(t, np.uint64) for t in group["tokens"]]
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    ids, sets, sizes = _sets_in(group)
     label, out = np.arange(len(ids)), []
     overlap = _overlaps(sets, sets)
     for i, j in zip(*np.nonzero(np.triu(_linked(overlap, sizes, sizes), 1)), strict=True):
         if label[i] != label[j]:
             label[label == label[j]] = label[i]
             out.append((ids[i], ids[j]))
-    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+    return _links(out)
 
 
-def _open_block(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+def _open_block(group: pa.Table) -> pa.Table:
     """One link from each component among the queries to the block's members, if there is any."""
+    asks = group["comp"].is_valid()
+    members, queries = group.filter(pc.invert(asks)), group.filter(asks).sort_by("comp")
     out = []
-    if len(members) and len(queries):
-        inside = [np.frombuffer(t, np.uint64) for t in members["tokens"]]
-        sizes, ids = np.fromiter(map(len, inside), np.int64, len(inside)), members["cid"].to_numpy()
-        for _, part in queries.groupby("comp"):
-            for at in range(0, len(part), 32):
-                some = part.iloc[at : at + 32]
-                asked = [np.frombuffer(t, np.uint64) for t in some["tokens"]]
-                hit = np.argwhere(_linked(_overlaps(asked, inside), np.fromiter(map(len, asked), np.int64, len(asked)), sizes))
+    if members.num_rows and queries.num_rows:
+        ids, inside, sizes = _sets_in(members)
+        comps = queries["comp"].to_numpy()
+        starts = np.flatnonzero(np.append(True, comps[1:] != comps[:-1]))
+        for begin, end in zip(starts, np.append(starts[1:], len(comps)), strict=True):
+            for at in range(begin, end, 32):
+                own, asked, lengths = _sets_in(queries.slice(at, min(32, end - at)))
+                hit = np.argwhere(_linked(_overlaps(asked, inside), lengths, sizes))
                 if len(hit):
-                    out.append((some["cid"].iloc[hit[0][0]], ids[hit[0][1]]))
+                    out.append((own[hit[0][0]], ids[hit[0][1]]))
                     break
-    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+    return _links(out)
 
 
 def _first_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links inside groups of one least hash, block by block; a large group's blocks share its pivot."""
-    groups = classes.groupBy("least").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1")
-    placed = classes.join(groups, "least").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    signed = classes.select("cid", F.posexplode("least").alias("order", "least"))
+    groups = signed.groupBy("order", "least").agg(F.count("*").alias("size"), F.min("cid").alias("pivot")).where("size > 1")
+    placed = signed.join(groups, ["order", "least"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     own = F.array(F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    placed = placed.select("cid", "least", F.explode(F.when(F.col("cid") == F.col("pivot"), every).otherwise(own)).alias("block"))
-    placed = materialised(placed, "blocks")
-    tokens = _full_sets(docs, placed.select("cid").distinct())
-    return placed.join(tokens, "cid").groupBy("least", "block").applyInPandas(_block_links, "u long, v long")
+    blocks = placed.select("cid", "order", "least", F.explode(F.when(F.col("cid") == F.col("pivot"), every).otherwise(own)).alias("block"))
+    sets = _placed_sets(docs, blocks.select("cid", F.struct("order", "least", "block").alias("place")))
+    return sets.groupBy("order", "least", "block").applyInArrow(_block_links, "u long, v long")
 
 
 def _cross_links(docs: DataFrame, classes: DataFrame, labels: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -273,31 +302,34 @@ def _cross_links(docs: DataFrame, classes: DataFrame, labels: DataFrame, frequen
     known = known.join(sized, "comp").select("cid", "n", "comp", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"))
     known = materialised(known, "groups")
 
-    prefixes = _prefixes(docs, frequent).withColumnRenamed("doc_id", "cid").join(known, "cid")
-    tokens = prefixes.select("cid", "n", "comp", "block", F.posexplode("prefix").alias("pos", "token")).repartition("token")
-    # tokens of a single component need no further look; both sides read one exchange
-    mixed_tokens = tokens.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
-    shared = materialised(tokens.join(mixed_tokens, "token", "left_semi"), "tokens")
+    prefixes = _prefixes(docs, frequent).withColumnRenamed("doc_id", "cid").join(_sized(known), "cid")
+    tokens = prefixes.select("cid", "n", "comp", "block", F.posexplode("prefix").alias("pos", "token"))
+    # tokens of a single component need no further look, and most are; prefixes
+    # are read again for the others, which is cheaper than moving them all
+    met_tokens = tokens.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
+    shared = materialised(tokens.join(_sized(materialised(met_tokens, "mixed")), "token", "left_semi"), "tokens")
 
     matrix = shared.groupBy("token", "comp", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     matrix = matrix.select("token", F.col("comp").alias("group"), "block", "lo", "hi")
     met = shared.select("cid", "n", "comp", "pos", "token").join(matrix, "token").where("comp < group and 100 * n >= 80 * lo and 100 * hi >= 80 * n")
-    bound = met.groupBy("cid", "n", "comp", "group", "block").agg(F.min("pos").alias("pos"), F.min("lo").alias("lo"))
-    # 100 * overlap >= 80 * (n + m - overlap), with overlap at most n - pos and m at least lo or 0.8 n
-    asked = bound.where("180 * (n - pos) >= 80 * (n + greatest(lo, floor(0.8 * n)))").select("cid", "comp", "group", "block")
+    bound = met.groupBy("cid", "n", "comp", "group", "block").agg(
+        F.count("*").alias("c"), F.min("pos").alias("pos"), F.greatest(F.min("lo"), F.floor(0.8 * F.col("n"))).alias("a"), F.least(F.max("hi"), F.ceil(1.25 * F.col("n"))).alias("b")
+    )
+    # a member of size m in [a, b] links if 180 * overlap >= 80 * (n + m).  The
+    # overlap is at most n - pos; and at most the c shared prefix tokens plus
+    # what follows the prefix that ends first, 0.8 of a set.  What the latter
+    # leaves for c to reach is least at an end of [a, b].
+    enough = "180 * c >= least(80 * (n + a) - 144 * greatest(n, a), 80 * (n + b) - 144 * greatest(n, b))"
+    asked = bound.where("180 * (n - pos) >= 80 * (n + a)").where(enough).select("cid", "comp", "group", "block")
     asked = materialised(asked, "asked")
 
     shares = asked.groupBy("group", "block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("shares"))
-    queries = asked.join(shares, ["group", "block"]).withColumn("share", F.pmod(F.xxhash64("cid"), F.col("shares")).cast("int")).drop("shares")
+    asking = asked.join(shares, ["group", "block"]).withColumn("share", F.pmod(F.xxhash64("cid"), F.col("shares")).cast("int"))
     members = known.select("cid", F.col("comp").alias("group"), "block").join(shares, ["group", "block"])
-    members = members.select("cid", "group", "block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    wanted = asked.select("cid").unionByName(members.select("cid")).distinct()
-    sets = materialised(_full_sets(docs, materialised(wanted, "wanted")), "sets")
-    key = ["group", "block", "share"]
-    inside, asking = members.join(sets, "cid"), queries.join(sets, "cid")
-    # both sides read one table: new names for its columns on one of them
-    asking = asking.select(*[F.col(c).alias(c) for c in asking.columns])
-    return inside.groupBy(*key).cogroup(asking.groupBy(*key)).applyInPandas(_open_block, "u long, v long")
+    members = members.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).withColumn("comp", F.lit(None).cast("long"))
+    place = F.struct("group", "block", "share", "comp").alias("place")
+    sets = _placed_sets(docs, asking.select("cid", place).unionByName(members.select("cid", place)))
+    return sets.groupBy("group", "block", "share").applyInArrow(_open_block, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
