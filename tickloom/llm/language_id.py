@@ -265,9 +265,13 @@ def held_out() -> Column:
 def train(docs: DataFrame, rows: int = 400, steps: int = 100) -> Model | None:
     """Fit on at most ``rows`` labelled rows per language, chosen by hash; None if there are none."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    draw = F.xxhash64(F.lit(3), F.col("doc_id"), F.col("text"))
-    ranked = labelled.select("lang", draw.alias("h")).distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    chosen = ranked.where(F.col("rank") <= rows).select("lang", "h")
+    hashed = labelled.withColumn("h", F.xxhash64(F.lit(3), F.col("doc_id"), F.col("text")))
+    draw = F.pmod("h", F.lit(1 << 30))
+    # a language of any size sends about four times the rows it needs to the task that ranks them
+    sizes = hashed.groupBy("lang").agg(F.count("*").alias("n"))
+    thin = hashed.select("lang", "h", draw.alias("draw")).join(sizes, "lang").where(F.col("draw").cast("double") * F.col("n") < 4.0 * rows * (1 << 30))
+    order = Window.partitionBy("lang").orderBy("draw", "h")
+    chosen = thin.select("lang", "h", "draw").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("lang", "h")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -280,7 +284,7 @@ def train(docs: DataFrame, rows: int = 400, steps: int = 100) -> Model | None:
             yield pd.DataFrame(out, columns=["lang", "words"])
 
     # at most rows per language, so the chosen side is small by parameter
-    sample = labelled.withColumn("h", draw).join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("lang", "text")
+    sample = hashed.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("lang", "text")
     pieces: dict[str, list[list[str]]] = {}
     for r in sample.mapInPandas(cut, "lang string, words array<string>").collect():
         pieces.setdefault(r.lang, []).append(list(r.words))
