@@ -1,7 +1,8 @@
 """A training corpus from raw documents, in five stages.
 
-Each stage reads the whole table that its predecessor wrote.  All stages but the
-last return the columns of ``documents``; the last adds ``ids`` and ``n_tokens``.
+Each stage reads the whole table that its predecessor wrote; the join also reads
+the documents as they were given.  All stages but the last return the columns of
+``documents``; the last adds ``ids`` and ``n_tokens``.
 """
 
 from __future__ import annotations
@@ -24,15 +25,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from texts; every document stays, with its new length."""
+    """Lines of recurring templates go from texts; every document stays, with its new length.
+
+    A document that lost all its lines has the empty text or blank lines here; the next stage removes it.
+    """
     out = line_templates.dedup_lines(docs)
     changed = F.col("n_lines_dropped") > 0
     return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return jaccard.keep_one(docs)
+    """One document of each group of near duplicates stays, by the texts as given and by those left.
+
+    The language stage lets no text without letters pass, so a text that is
+    blank here lost all its lines, which stand in other documents: it goes.
+    The line stage cuts near copies to their edited lines, which no longer look
+    alike.  So groups are formed by the given texts of the documents first, then
+    once more by what is left of texts, which finds copies below other lines.
+    """
+    rest = materialised(docs.where("text rlike '[^ \\\\t-\\\\r]' or text is null"), "filled")
+    given = table(spark, sf_dir, "documents").join(rest.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    return jaccard.keep_one(materialised(jaccard.without_copies(rest, given), "whole"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,28 @@ def test_whole_pipeline(spark, docs):
     assert language_id.UNDEFINED not in {r.lang for r in out}
 
 
+def test_one_of_each_group_of_copies_stays(spark, docs, tmp_path):
+    alone = {r.doc_id for r in p.run(spark, FOLDER).collect()}
+    long = sorted((r for r in docs.collect() if r.doc_id in alone and r.lang == "en" and 100 < len(r.text.split()) < 400), key=lambda r: r.doc_id)
+    rows, groups = [], {}
+    for n, (size, near) in enumerate([(s, k) for s in (2, 3, 1000) for k in (False, True)]):
+        words = long[n].text.split()
+        lines = [" ".join(words[i : i + 10]) for i in range(0, 100, 10)]
+        for j in range(size):
+            edited = [*lines[:5], f"{lines[5]} then {words[j % 50]} went {words[j // 50]} home", *lines[6:]] if near else lines
+            text = "\n".join(edited)
+            rows.append((10_000 * (n + 1) + j, text, "en", "copies", len(text)))
+        groups[n] = {10_000 * (n + 1) + j for j in range(size)}
+    used = [r.doc_id for r in long[: len(groups)]]
+    rest = docs.where(~docs.doc_id.isin(used)).unionByName(spark.createDataFrame(rows, docs.schema))
+    rest.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = {r.doc_id: r.text for r in p.run(spark, str(tmp_path)).collect()}
+    assert {n: len(ids & out.keys()) for n, ids in groups.items()} == dict.fromkeys(groups, 1)
+    given = {r[0]: r[1] for r in rows}
+    assert all(len(out[i]) > len(given[i]) / 2 for ids in groups.values() for i in ids & out.keys())
+
+
 def test_empty_documents(spark, docs):
     out = docs.limit(0)
     for _, stage in p.STAGES:

@@ -356,10 +356,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def without_copies(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``docs`` without the ids that ``texts`` (``doc_id``, ``text``) shows as near duplicates of a lesser id.
+
+    Rows without id or words are no one's copies and stay; rows of one id stay or go together.
+    """
+    others = near_duplicates(texts).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(others, F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, the one of the least id; columns unchanged.
 
     Rows without id or words are no one's copies and stay; equal rows stay together.
     """
-    others = near_duplicates(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(others, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return without_copies(docs, docs)
