@@ -59,3 +59,14 @@ def test_write_shards_keeps_every_row(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "out"), 4, bucket_bytes=5000)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(repr, back.select("doc_id", "text", "source").collect())) == sorted(map(repr, df.collect()))
+
+
+def test_report_reads_written_texts(spark, monkeypatch):
+    df, rows = docs(spark)
+    seen = []
+    write = sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda d, path, *a: (write(d, path, *a), seen.append(path)))
+    got = sharding.shard_table(df, shards=5, bucket_bytes=3000).select("doc_id", "text_crc32", "shard", "slot").collect()
+    back = spark.read.parquet(seen[0]).selectExpr("doc_id", "crc32(cast(coalesce(text, '') as binary))", "shard", "slot", "text").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr(tuple(r)[:4]) for r in back)
+    assert sorted(repr(r.text) for r in back) == sorted(repr(r[1]) for r in rows)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import shared_path
+
 #: Bytes of records a bucket should hold: a small part of an executor's memory.
 BUCKET_BYTES = 32 * 1024 * 1024
 
@@ -52,7 +54,7 @@ def external_shuffle(
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     return (
-        gathered.join(starts, "bucket")
+        gathered.join(F.broadcast(starts), "bucket")
         .select("bucket", "start", F.posexplode("records").alias("at", "record"))
         .select(*[F.col(f"record.`{c}`").alias(c) for c in kept], "bucket", (F.col("start") + F.col("at")).alias("position"))
     )
@@ -78,20 +80,29 @@ def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 42, bucket
     dealt(external_shuffle(docs, ["doc_id", "text"], size, seed, bucket_bytes), shards).write.partitionBy("shard").parquet(path)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``size`` (UTF-8 bytes plus 1; null has none) and ``text_crc32``."""
+def digests(docs: DataFrame, *others: str) -> DataFrame:
+    """``doc_id``, ``size`` (UTF-8 bytes plus 1; null has none), ``text_crc32`` and columns named in ``others``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        *others,
     )
 
 
 def shard_table(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Where each row of ``docs`` goes: the ``rows`` law of equal counts."""
-    shuffled = external_shuffle(digests(docs), ["doc_id", "size", "text_crc32"], F.col("size"), seed, bucket_bytes)
-    return dealt(shuffled, shards).select(
+    """Where each row of ``docs`` went: the ``rows`` law of equal counts.
+
+    Whole documents are shuffled and written below the shared folder; the
+    result is read from the written shards.
+    """
+    path = shared_path(docs.sparkSession, "shards")
+    records = docs.select("doc_id", "text")
+    write_shards(records, path, shards, seed, bucket_bytes)
+    kinds = ", ".join(f"{name} {kind}" for name, kind in records.dtypes)
+    written = docs.sparkSession.read.schema(f"{kinds}, slot bigint, shard int").parquet(path)
+    return digests(written, "shard", "slot").select(
         "doc_id",
         "size",
         "text_crc32",
