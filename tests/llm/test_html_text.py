@@ -54,6 +54,20 @@ def test_small_and_broken_pages(page, want):
     assert h.main_text(page) == want
 
 
+def test_body_in_a_div_beside_article_cards():
+    cards = "".join(f"<article><h3><a href=/{i}>Card number {i} of the week</a></h3><p>A teaser for you, in a few words. {'Read it all there. ' * 5}</p></article>" for i in range(3))
+    page = f"<body><div class=body><h1>Headline</h1><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div><div>{cards}</div></body>"
+    blocks = h.blocks_of(page)
+    assert sum(len(b.text) for b in blocks if b.article) >= 0.25 * sum(len(b.text) for b in blocks)
+    got = h.main_text(page)
+    assert got.startswith("\n".join(["Headline", LONG.strip(), "Short one.", LONG.strip()])) and "Card number" not in got
+
+
+def test_dense_block_outside_an_article_stays_and_short_ones_go():
+    page = f"<div>Fri 12</div><article><p>{LONG}</p><p>{LONG}</p><p>Short.</p></article><div><p>{LONG}</p></div>"
+    assert h.main_text(page).split("\n") == [LONG.strip(), LONG.strip(), "Short.", LONG.strip()]
+
+
 def test_long_page_drops_nothing():
     parts = [f"Paragraph {i} of the text &amp; more" for i in range(20_000)]
     page = "<nav>menu</nav><article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article>"

@@ -3,11 +3,13 @@
 A page is cut into blocks at block-level tags.  The first pass decides what it
 can: blocks below page furniture (by element or by the words of class and id)
 are bad; else link density, length and stop-word density give good, near good,
-bad or, for what is too short to tell, ambiguous.  Where ``article`` or ``main``
-elements hold much of a page's text, what is outside them is bad and what is
-inside is good unless it is mostly links, which is ambiguous.  The second pass
+bad or, for what is too short to tell, ambiguous.  ``article`` and ``main``
+elements are evidence where they hold much of a page's text, and not less than
+the good blocks outside them: inside, near good and short blocks become good,
+bad ones near good, and those of mostly links ambiguous.  The second pass
 gives ambiguous blocks the label of their nearest decided neighbours, good on a
-tie; near good ones stay unless both neighbours are bad.
+tie; near good ones stay unless both neighbours are bad.  Where containers are
+evidence, blocks outside gain nothing from good ones inside.
 
 Good blocks are joined in page order by a line feed, white space within a block
 being one space and character references decoded.  Null and empty pages give the
@@ -47,7 +49,7 @@ STOP_WORDS = frozenset(
     "un une vous al como con cual cuando de del el ella en entre era es esta este ha hay la las le lo los más me mi muy no nos o para pero por que se ser si sin sobre son su sus también un una uno y ya".split()
 )
 MAX_LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.4, 70, 200, 0.12, 0.25
-#: Share of a page's text that articles must hold to rule out the rest.
+#: Share of a page's text that articles must hold to be evidence.
 ARTICLE_SHARE = 0.25
 
 _RAW = "|".join(RAW.split())
@@ -159,27 +161,36 @@ def _stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def _first_pass(blocks: list[Block]) -> None:
-    loose = [b for b in blocks if not b.furniture]
-    size = sum(len(b.text) for b in loose)
-    framed = size > 0 and sum(len(b.text) for b in loose if b.article) >= ARTICLE_SHARE * size
+def _own_label(b: Block) -> str:
+    """By links, length and density alone."""
+    if b.furniture or b.linked / len(b.text) > MAX_LINKS:
+        return "bad"
+    if len(b.text) < SHORT:
+        return "ambiguous"
+    density = _stop_density(b.text)
+    if density >= STOP_HIGH:
+        return "good" if len(b.text) > LONG else "near"
+    return "near" if density >= STOP_LOW else "bad"
+
+
+def _first_pass(blocks: list[Block]) -> bool:
+    """Labels all blocks; whether containers are evidence."""
     for b in blocks:
-        links = b.linked / len(b.text)
-        if b.furniture or (framed and not b.article):
-            b.label = "bad"
-        elif framed:
-            b.label = "ambiguous" if links > MAX_LINKS else "good"
-        elif links > MAX_LINKS:
-            b.label = "bad"
-        elif len(b.text) < SHORT:
-            b.label = "ambiguous"
-        elif (density := _stop_density(b.text)) >= STOP_HIGH:
-            b.label = "good" if len(b.text) > LONG else "near"
-        else:
-            b.label = "near" if density >= STOP_LOW else "bad"
-
-
-def _second_pass(blocks: list[Block]) -> None:
+        b.label = _own_label(b)
+    loose = [b for b in blocks if not b.furniture]
+    held = sum(len(b.text) for b in loose if b.article)
+    prose = sum(len(b.text) for b in loose if b.article and b.linked / len(b.text) <= MAX_LINKS)
+    rival = sum(len(b.text) for b in loose if not b.article and b.label == "good")
+    framed = held > 0 and held >= ARTICLE_SHARE * sum(len(b.text) for b in loose) and rival <= prose
+    if framed:
+        for b in loose:
+            if b.article:
+                mostly_links = b.linked / len(b.text) > MAX_LINKS
+                b.label = "ambiguous" if mostly_links else "near" if b.label == "bad" else "good"
+    return framed
+
+
+def _second_pass(blocks: list[Block], framed: bool) -> None:
     n = len(blocks)
     decided = [b.label in ("good", "bad") for b in blocks]
     before, after = [(n + 1, "bad")] * n, [(n + 1, "bad")] * n
@@ -187,7 +198,8 @@ def _second_pass(blocks: list[Block]) -> None:
         last: int | None = None
         for i in order:
             if last is not None:
-                found[i] = (abs(i - last), blocks[last].label)
+                foreign = framed and blocks[last].article and not blocks[i].article
+                found[i] = (abs(i - last), "bad" if foreign else blocks[last].label)
             if decided[i]:
                 last = i
     for i, b in enumerate(blocks):
@@ -205,8 +217,7 @@ def _second_pass(blocks: list[Block]) -> None:
 def labelled_blocks(page: str | None) -> list[Block]:
     """All blocks of a page, each good or bad."""
     blocks = blocks_of(page) if page else []
-    _first_pass(blocks)
-    _second_pass(blocks)
+    _second_pass(blocks, _first_pass(blocks))
     return blocks
 
 
