@@ -68,6 +68,23 @@ def test_dense_block_outside_an_article_stays_and_short_ones_go():
     assert h.main_text(page).split("\n") == [LONG.strip(), LONG.strip(), "Short.", LONG.strip()]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><meta charset=x><title>T</title><body><article><p>a</article>", "a"),
+        ("<html><head><title>T</title><link rel=x><noscript><img></noscript><article><p>a</article>", "a"),
+        ("<html><head><noscript>no<body><article><p>a</article>", "a"),
+        ("<head><title>T</title></head><article>a</article>", "a"),
+        ("<article><div>a<object>no <p>no</p></div><p>b</article>", "a\nb"),
+        ("<article><p>a <svg><g>no</g></svg> b</p><div><video>no</div><p>c</article>", "a b\nc"),
+        ("<article><p>a <noscript><p>no</p></noscript> b</p></canvas>c</article>", "a b\nc"),
+        ("<article><p>a<style>never closed <p>b", "a"),
+    ],
+)
+def test_heads_and_mute_elements_without_end_tags(page, want):
+    assert h.main_text(page) == want
+
+
 def test_long_page_drops_nothing():
     parts = [f"Paragraph {i} of the text &amp; more" for i in range(20_000)]
     page = "<nav>menu</nav><article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article>"

@@ -14,7 +14,9 @@ evidence, blocks outside gain nothing from good ones inside.
 Good blocks are joined in page order by a line feed, white space within a block
 being one space and character references decoded.  Null and empty pages give the
 empty text.  Malformed markup is read as far as it goes: an unclosed element
-ends with its parent, a lone ``<`` is text.
+ends with its parent, a head at the latest where the body or other content
+begins; only script, style, textarea and title run to the end of the page.  A
+lone ``<`` is text.
 """
 
 from __future__ import annotations
@@ -33,7 +35,10 @@ from pyspark.sql.functions import arrow_udf
 # the commonest function words of the four languages.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 FURNITURE = frozenset("nav footer aside form button select option input dialog menu menuitem fieldset".split())
-RAW = "script style template noscript textarea title svg math iframe object xmp noembed noframes canvas audio video head"
+RAW = "script style textarea title"
+#: Elements without text of the page; and what may stand in a head.
+MUTE = frozenset("template noscript svg math iframe object xmp noembed noframes canvas audio video head".split())
+IN_HEAD = frozenset("base basefont bgsound link meta template noscript noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARTS = frozenset("html body div section article main header nav footer aside form ul ol dl table thead tbody tfoot tr td th blockquote figure details dialog menu fieldset select button center".split())
@@ -89,8 +94,8 @@ def _furnished(name: str, rest: str, in_article: bool) -> bool:
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     out: list[Block] = []
-    # open parts: name, furniture, inside an article
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
+    # open parts: name, furniture, inside an article, mute
+    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
     pieces: list[str] = []
     linked, link, heading, at = 0, 0, False, 0
     hidden: list[str] = []
@@ -100,12 +105,18 @@ def blocks_of(page: str) -> list[Block]:
         if pieces:
             text = " ".join(unescape("".join(pieces)).split())
             if text:
-                _, furniture, article = stack[-1]
+                _, furniture, article, _ = stack[-1]
                 out.append(Block(text, linked, furniture, article, heading))
         pieces, linked = [], 0
 
+    def leave() -> None:
+        while stack[-1][3]:
+            stack.pop()
+
     for tag in _TAG.finditer(page):
-        if tag.start() > at and not hidden:
+        if stack[-1][0] == "head" and page[at : tag.start()].strip():
+            leave()
+        if tag.start() > at and not hidden and not stack[-1][3]:
             piece = page[at : tag.start()]
             pieces.append(piece)
             if link:
@@ -114,6 +125,25 @@ def blocks_of(page: str) -> list[Block]:
         name = (tag["name"] or "").lower()
         if not name:
             continue
+        if stack[-1][3] and not tag["end"] and (name == "body" or (stack[-1][0] == "head" and name not in IN_HEAD)):
+            leave()
+        if name in MUTE and not tag["end"]:
+            if not tag["rest"].endswith("/"):
+                stack.append((name, *stack[-1][1:3], True))
+            continue
+        if stack[-1][3]:
+            # an end tag of what is open outside ends mute elements and is read below
+            place = max((i for i, part in enumerate(stack) if part[0] == name), default=0)
+            if not tag["end"]:
+                if name not in INLINE and name not in VOID and not tag["rest"].endswith("/"):
+                    stack.append((name, *stack[-1][1:]))
+                continue
+            if not place or stack[place][3]:
+                del stack[place or len(stack) :]
+                continue
+            leave()
+        elif name in MUTE:
+            continue
         if name == "br":
             pieces.append(" ")
             continue
@@ -147,11 +177,14 @@ def blocks_of(page: str) -> list[Block]:
         elif name in PARTS:
             while stack[-1][0] == "p" or stack[-1][0] in HEADINGS:
                 stack.pop()
-        _, furniture, article = stack[-1]
+        _, furniture, article, _ = stack[-1]
         article = article or name in ("article", "main")
-        stack.append((name, furniture or _furnished(name, tag["rest"], article), article))
-    if at < len(page) and not hidden:
+        stack.append((name, furniture or _furnished(name, tag["rest"], article), article, False))
+    if stack[-1][0] == "head" and page[at:].strip():
+        leave()
+    if at < len(page) and not hidden and not stack[-1][3]:
         pieces.append(page[at:])
+    leave()
     flush()
     return out
 
