@@ -15,6 +15,10 @@ from tickloom.llm.common import materialised, table
 
 #: Mean posterior below which no language is sure enough of a text.
 LEAST_SCORE = 0.4
+#: Lines of so many tokens are passages, which recur in two documents already.
+PASSAGE_TOKENS, PASSAGE_DOCS = 50, 2
+#: Texts with a line that is not blank.
+FILLED = "text rlike '[^ \\\\t-\\\\r]'"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,14 +28,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select(*docs.columns)
 
 
+def _measured(out: DataFrame) -> DataFrame:
+    changed = F.col("n_lines_dropped") > 0
+    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go from texts; every document stays, with its new length.
 
     A document that lost all its lines has the empty text or blank lines here; the next stage removes it.
     """
-    out = line_templates.dedup_lines(docs)
-    changed = F.col("n_lines_dropped") > 0
-    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return _measured(line_templates.dedup_lines(docs)).select(*docs.columns)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +49,15 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     The line stage cuts near copies to their edited lines, which no longer look
     alike.  So groups are formed by the given texts of the documents first, then
     once more by what is left of texts, which finds copies below other lines.
+
+    Passages that two of the remaining documents share stay in the first only;
+    a document of nothing else goes.
     """
-    rest = materialised(docs.where("text rlike '[^ \\\\t-\\\\r]' or text is null"), "filled")
+    rest = materialised(docs.where(f"{FILLED} or text is null"), "filled")
     given = table(spark, sf_dir, "documents").join(rest.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    return jaccard.keep_one(materialised(jaccard.without_copies(rest, given), "whole"))
+    single = materialised(jaccard.keep_one(materialised(jaccard.without_copies(rest, given), "whole")), "single")
+    out = line_templates.dedup_lines(single, min_docs=PASSAGE_DOCS, min_tokens=PASSAGE_TOKENS)
+    return _measured(out).where(f"n_lines_dropped = 0 or {FILLED}").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,10 @@ def test_empty_table_and_shuffled_route(spark, monkeypatch):
     want = run(spark, rows)
     monkeypatch.setattr(t, "MAX_BROADCAST", 0)
     assert run(spark, rows) == want
+
+
+def test_only_long_lines_where_asked(spark):
+    passage = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50))
+    rows = [(1, f"short line\n{passage}\nown a"), (2, f"short line\nown b\n{passage}"), (3, passage.rsplit(" ", 1)[0])]
+    assert run(spark, rows) == dict(rows)
+    assert run(spark, rows, min_docs=2, min_tokens=50) == {**dict(rows), 2: "short line\nown b"}

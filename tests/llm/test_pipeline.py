@@ -40,6 +40,17 @@ def test_join_stage_keeps_one_of_each_group(spark, docs):
     assert kept == {r.component_id for r in groups} and len(kept) < len(groups)
 
 
+def test_join_stage_keeps_a_passage_of_two_documents_once(spark, docs, tmp_path):
+    words = lambda a, n: " ".join(f"{a}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+    passage = words("p", 60)
+    texts = [f"{words('x', 90)}\n{passage}", f"{passage}\n{words('y', 90)}", words("z", 60)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], docs.schema)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.text, r.n_chars) for r in p.join_near_duplicates(spark, df, str(tmp_path)).collect()}
+    texts[1] = words("y", 90)
+    assert got == {i: (t, len(t)) for i, t in enumerate(texts)}
+
+
 def test_benchmark_stage_keeps_clean_documents(spark, docs):
     bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     clean = {r.doc_id for r in decontamination.report(docs, bench).where("not contaminated").collect()}

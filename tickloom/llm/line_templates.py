@@ -6,7 +6,8 @@ template keeps the tokens that most of its lines share at a position and has
 variables elsewhere.  A line belongs to the leaf's template if it agrees with
 it at ``similarity`` of its positions, else it is a template of its own, up to
 variables with digits.  Templates of at least ``min_docs`` documents recur:
-their lines are dropped, but for those of the template's first document.
+their lines are dropped, but for those of the template's first document.  Lines
+of fewer than ``min_tokens`` tokens are left alone.
 
 Rows equal in id and text count as one document and are treated alike.  Lines
 end at line feeds; blank lines stay.  Null texts stay null; a text all of whose
@@ -41,16 +42,16 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
 
 
-def _lines(docs: DataFrame, depth: int) -> DataFrame:
+def _lines(docs: DataFrame, depth: int, min_tokens: int = 1) -> DataFrame:
     cut = docs.where("text is not null").select(text_key().alias("k"), "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    tokens = cut.withColumn("tokens", tokens_of(F.col("line"))).where("size(tokens) > 0")
+    tokens = cut.withColumn("tokens", tokens_of(F.col("line"))).where(F.size("tokens") >= max(1, min_tokens))
     lead = F.array_join(masked(F.slice("tokens", 1, depth)), " ")
     return tokens.withColumn("leaf", F.xxhash64(F.size("tokens"), lead))
 
 
-def dropped_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+def dropped_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, min_tokens: int = 1) -> DataFrame:
     """``k`` and ``at``, the numbers of the lines of each key that go, from 0."""
-    lines = _lines(docs, depth)
+    lines = _lines(docs, depth, min_tokens)
     # leaves with too few lines cannot hold a template that recurs
     leaves = materialised(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf", "n"), "leaves")
     shared = lines.join(_sized(leaves.select("leaf")), "leaf", "left_semi")
@@ -77,9 +78,9 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS,
     return gone.groupBy("k").agg(F.flatten(F.collect_list("at")).alias("at"))
 
 
-def dedup_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, min_tokens: int = 1) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and ``n_lines_dropped`` added."""
-    gone = dropped_lines(docs, depth, min_docs, similarity).select(F.col("k").alias("__k"), F.array_sort("at").alias("__at"))
+    gone = dropped_lines(docs, depth, min_docs, similarity, min_tokens).select(F.col("k").alias("__k"), F.array_sort("at").alias("__at"))
     kept = [c for c in docs.columns if c != "n_lines_dropped"]
     left = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__at", i)), "\n")
     text = F.when(F.col("__at").isNull(), F.col("text")).otherwise(left)
