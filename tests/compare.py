@@ -13,6 +13,7 @@ import time
 from pathlib import Path
 
 import duckdb
+import pandas
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
@@ -30,7 +31,7 @@ def oracle_connection(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pandas.NA or (isinstance(v, float) and math.isnan(v)):
         return "null"
     if hasattr(v, "item"):
         v = v.item()
@@ -48,7 +49,16 @@ def normal(frame) -> tuple[list[str], list[tuple]]:
     return list(zip(names, kinds)), data
 
 
+def _same_nullable(frame, other):
+    """Longs with nulls are floats in one frame and nullable integers in the other: take the integers."""
+    for n in set(frame.columns) & set(other.columns):
+        if frame[n].dtype == "float64" and pandas.api.types.is_integer_dtype(other[n].dtype) and pandas.api.types.is_extension_array_dtype(other[n].dtype):
+            frame = frame.assign(**{n: frame[n].astype("Int64")})
+    return frame
+
+
 def differences(spark_frame, oracle_frame) -> list[str]:
+    spark_frame = _same_nullable(spark_frame, oracle_frame)
     left, ldata = normal(spark_frame)
     right, rdata = normal(oracle_frame)
     out = []
