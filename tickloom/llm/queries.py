@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontamination, html_text, jaccard, language_id, line_templates, secrets, sentencepieces, sharding, token_files, topk
+from tickloom.llm import (
+    decontamination,
+    html_text,
+    jaccard,
+    language_id,
+    line_templates,
+    periodic_runs,
+    secrets,
+    sentencepieces,
+    sharding,
+    token_files,
+    topk,
+)
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +188,41 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_topk_search")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return topk.report(table(spark, folder, "documents"))
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    bits = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {bits}), 4294967295)"
+
+
+OP13_SQL = (
+    r"""
+WITH raw AS (SELECT row_number() OVER () AS r, doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[ 	-]+') IF x <> ''] AS w FROM documents),
+num AS (SELECT *, len(w) AS n, """
+    + _crc_sql("doc_id::VARCHAR")
+    + r""" AS h FROM raw),
+par AS (SELECT *, (h // 10) % n AS a, h // 10 AS g FROM num WHERE n > 0),
+doc AS (SELECT r, n, CASE WHEN h % 10 <> 0 THEN w ELSE list_transform(range(n), lambda i:
+        w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM par),
+tok AS (SELECT r, n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM doc),
+tri AS (SELECT r, n, i, x || ' ' || lead(x) OVER v || ' ' || lead(x, 2) OVER v AS t FROM tok WINDOW v AS (PARTITION BY r ORDER BY i)),
+met AS (SELECT a.r, a.i, b.i - a.i AS q FROM tri a JOIN tri b ON a.r = b.r AND a.t = b.t AND b.i > a.i AND (b.i - a.i) * 4 <= a.n),
+isl AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM met),
+per AS (SELECT r, q, min(i) AS s, count(*) + 2 + q AS l FROM isl GROUP BY r, q, k HAVING count(*) + 2 + q >= greatest(6, 4 * q)),
+run AS (SELECT r, s, l, min(q) AS q FROM per GROUP BY r, s, l),
+best AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY l::DOUBLE / q DESC, s, q) AS k FROM run),
+all_runs AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM run GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM run),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM tok ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, q::BIGINT AS period, (1000 * l // q)::BIGINT AS exponent_milli,
+       sha256(coalesce(all_runs.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM raw LEFT JOIN all_runs USING (r) LEFT JOIN (SELECT * FROM best WHERE k = 1) b USING (r) LEFT JOIN kept USING (r)
+"""
+)
+
+
+@query("op13_periodic_runs", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.report(table(spark, folder, "documents"))
