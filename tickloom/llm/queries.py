@@ -12,6 +12,7 @@ from tickloom.llm import (
     jaccard,
     language_id,
     line_templates,
+    multiset_hash,
     periodic_runs,
     secrets,
     sentencepieces,
@@ -190,6 +191,41 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return topk.report(table(spark, folder, "documents"))
 
 
+OP11_SQL = r"""
+WITH o AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS r, doc_id, coalesce(text, '') AS t FROM documents),
+nx AS (SELECT r, doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY r), first_value(t) OVER (ORDER BY r)) AS f FROM o),
+ed AS (SELECT *, substr(t, 1, n - n // 2) || substr(f, 1, n // 2) AS e FROM nx),
+v AS (SELECT r, 0 AS w, t FROM ed UNION ALL SELECT r, 1, e FROM ed),
+line AS (SELECT r, w, unnest(string_split(t, chr(10))) AS p FROM v),
+dig AS (SELECT r, w, k, sha256(k || ':' || p) AS h FROM line, (SELECT unnest(range(4)) AS k)),
+lane AS (SELECT r, w, 4 * k + j AS nr, sum((('0x' || substr(h, 1 + 16 * j, 16))::UBIGINT % 4611686018427387904)::HUGEINT) % 4611686018427387904 AS x
+         FROM dig, (SELECT unnest(range(4)) AS j) GROUP BY ALL),
+strong AS (SELECT r, w, string_agg(lpad(lower(to_hex(x::BIGINT)), 16, '0'), '' ORDER BY nr) AS s FROM lane GROUP BY r, w),
+ph AS (SELECT r, w, sha256(unnest(regexp_extract_all(t, '(?:[^ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c.!?][ \t]+){0,5}[^ \t\n\r\x0b\x0c]+', 0))) AS h FROM v),
+word AS (SELECT r, w, q, ('0x' || substr(h, 1 + 16 * q, 16))::UBIGINT AS x FROM ph, (SELECT unnest(range(4)) AS q)),
+bit AS (SELECT r, w, q, i, f, count(*) AS n, sum((x >> (i + 20 * f)::UBIGINT) & 1) AS c
+        FROM word, (SELECT unnest(range(20)) AS i), (SELECT unnest(range(3)) AS f) GROUP BY ALL),
+num AS (SELECT r, w, q, i, sum((c % 524288)::BIGINT << (20 * f)) AS x FROM bit GROUP BY ALL),
+sk AS (SELECT r, w, string_agg(lpad(lower(to_hex(x::BIGINT)), 16, '0'), '' ORDER BY q, i) AS s FROM num GROUP BY r, w),
+vec AS (SELECT r, w, any_value(n) AS n, list((2 * c - n)::BIGINT ORDER BY q, i, f) AS c FROM bit GROUP BY r, w),
+fp AS (SELECT v.r, v.w, coalesce(n, 0) AS n, coalesce(c, list_transform(range(240), lambda z: 0::BIGINT)) AS c,
+              lpad(lower(to_hex(coalesce(n, 0))), 16, '0') || strong.s || coalesce(sk.s, repeat('0', 1280)) AS s
+       FROM v JOIN strong USING (r, w) LEFT JOIN sk USING (r, w) LEFT JOIN vec USING (r, w)),
+dots AS (SELECT a.r, a.s, e.s AS es, list_dot_product(a.c::DOUBLE[], a.c::DOUBLE[]) AS aa, list_dot_product(e.c::DOUBLE[], e.c::DOUBLE[]) AS ee, list_dot_product(b.c::DOUBLE[], b.c::DOUBLE[]) AS bb,
+                list_dot_product(a.c::DOUBLE[], e.c::DOUBLE[]) AS ae, list_dot_product(a.c::DOUBLE[], b.c::DOUBLE[]) AS ab
+         FROM fp a JOIN fp e ON e.r = a.r AND e.w = 1 JOIN fp b ON b.w = 0 AND b.r = CASE WHEN a.r = (SELECT max(r) FROM o) THEN 1 ELSE a.r + 1 END WHERE a.w = 0)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(e) AS edited_sha256, s AS fingerprint, es AS edited_fingerprint,
+       CASE WHEN aa + ee > 0 THEN least(greatest(2 * ae / (aa + ee), 0.0), 1.0) ELSE 1.0 END::DOUBLE AS near_edited,
+       CASE WHEN aa + bb > 0 THEN least(greatest(2 * ab / (aa + bb), 0.0), 1.0) ELSE 1.0 END::DOUBLE AS near_next
+FROM ed JOIN dots USING (r)
+"""
+
+
+@query("op11_multiset_hash", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return multiset_hash.report(table(spark, folder, "documents"))
+
+
 def _crc_sql(text: str) -> str:
     """CRC-32 of an ASCII string, bit by bit."""
     bits = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
@@ -199,7 +235,8 @@ def _crc_sql(text: str) -> str:
 
 OP13_SQL = (
     r"""
-WITH raw AS (SELECT row_number() OVER () AS r, doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[ 	-]+') IF x <> ''] AS w FROM documents),
+WITH raw AS (SELECT row_number() OVER () AS r, doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[ 	-
+]+') IF x <> ''] AS w FROM documents),
 num AS (SELECT *, len(w) AS n, """
     + _crc_sql("doc_id::VARCHAR")
     + r""" AS h FROM raw),
