@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import (
+    conversation_repair,
     decontamination,
     html_text,
     jaccard,
@@ -233,6 +234,72 @@ def _crc_sql(text: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {bits}), 4294967295)"
 
 
+def _more(path: str, cost: str, edit: str) -> str:
+    """A path, nine digits of cost and then its edits, after one more edit; compared as a string."""
+    return f"lpad(({path}[1:9]::BIGINT + {cost})::VARCHAR, 9, '0') || {path}[10:] || '{edit}'"
+
+
+_NEVER = "'900000000'"
+_KEPT = lambda path, initial: f"CASE WHEN gone OR a <> '{initial}' THEN {_NEVER} ELSE {_more(path, 'cut', 'K')} END"
+_REROLED = lambda path: f"CASE WHEN gone THEN {_NEVER} ELSE {_more(path, '1 + cut', 'R')} END"
+_DELETED = lambda path: _more(path, "2", "D")
+_INSERTED = lambda path: _more(path, "5", "I")
+
+OP12_SQL = (
+    r"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         """
+    + _crc_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")
+    + r""" % 20 AS d FROM conversations),
+dmg AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+               CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS c FROM src),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), c) AS i FROM dmg),
+f AS (SELECT *, left(role, 1) AS a, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+             NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open,
+             lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o),
+t AS MATERIALIZED (SELECT conv_id, i, turn, role, text, a, pair, blank, seen AND NOT blank AS dup, open AND NOT seen AND NOT blank AS trunc,
+             blank OR seen AS gone, CASE WHEN open AND NOT seen AND NOT blank THEN 5 ELSE 0 END AS cut FROM f),
+dp AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, '000000000' AS p0, '900000000' AS p1, '000000005I' AS p2, '000000010II' AS p3 FROM src
+  UNION ALL
+  SELECT conv_id, i, b0, b1, n2, least(b3, """
+    + _INSERTED("n2")
+    + """) FROM (
+    SELECT *, least(b2, """
+    + ", ".join(map(_INSERTED, ("b0", "b1", "b3")))
+    + """) AS n2 FROM (
+      SELECT dp.conv_id, t.i, """
+    + f"{_DELETED('p0')} AS b0, least({_DELETED('p1')}, {_KEPT('p0', 's')}) AS b1, "
+    + f"least({_DELETED('p2')}, {', '.join(_KEPT(p, 'u') + ', ' + _REROLED(p) for p in ('p0', 'p1', 'p3'))}) AS b2, "
+    + f"least({_DELETED('p3')}, {_KEPT('p2', 'a')}, {_REROLED('p2')}) AS b3"
+    + r"""
+      FROM dp JOIN t ON t.conv_id IS NOT DISTINCT FROM dp.conv_id AND t.i = dp.i + 1))),
+fin AS (SELECT conv_id, least(p0, p3)[1:9]::BIGINT AS cost, least(p0, p3)[10:] AS audit FROM dp
+        QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+full_ AS (SELECT fin.conv_id, cost * (n > 0)::INT AS cost, CASE WHEN n > 0 THEN audit ELSE '' END AS audit FROM fin
+          LEFT JOIN (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id) c ON c.conv_id IS NOT DISTINCT FROM fin.conv_id),
+ch AS (SELECT conv_id, p, audit[p] AS e FROM (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS p FROM full_)),
+num AS (SELECT *, count(*) FILTER (e <> 'I') OVER w AS i, count(*) FILTER (e <> 'D') OVER w AS k FROM ch WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+got AS (SELECT num.*, t.role, t.text, max((e = 'K' AND a = 's')::INT) OVER (PARTITION BY num.conv_id) AS s
+        FROM num LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM num.conv_id AND t.i = num.i AND e <> 'I' WHERE e <> 'D'),
+rep AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (k - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END,
+                                   chr(10) ORDER BY p) AS t FROM got GROUP BY conv_id),
+st AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+              count(*) FILTER (dup) AS duplicate, count(*) FILTER (trunc) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv_id)
+SELECT x.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost::BIGINT AS cost, audit, sha256(coalesce(rep.t, '')) AS repaired_sha256
+FROM full_ x LEFT JOIN st ON st.conv_id IS NOT DISTINCT FROM x.conv_id LEFT JOIN rep ON rep.conv_id IS NOT DISTINCT FROM x.conv_id
+"""
+)
+
+
+@query("op12_conversation_repair", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.report(table(spark, folder, "conversations"))
+
+
 OP13_SQL = (
     r"""
 WITH raw AS (SELECT row_number() OVER () AS r, doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[ 	-
