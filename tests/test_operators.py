@@ -130,7 +130,7 @@ def test_allocations(spark):
     rows = [(f"S{j}", start + dt.timedelta(days=i), float(base[i, j])) for i in range(300) for j in range(6)]
     df = spark.createDataFrame(rows, "symbol string, event_time timestamp, ret double")
     names = crosssection.chosen(df, 6)
-    cov = crosssection.ledoit_wolf(crosssection.moment_table(crosssection.session_vectors(df, names))).cache()
+    cov = crosssection.ledoit_wolf(crosssection.moment_table(df, names)).cache()
     matrix = np.zeros((6, 6))
     for r in cov.collect():
         matrix[r["i"], r["j"]] = r["value"]
@@ -147,6 +147,75 @@ def test_allocations(spark):
     assert groups[0] == groups[1] == 0 and len(set(groups.values())) == 5
 
 
+def _returns(spark, names, sessions, seed=3):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(0, 0.01, (sessions, names)) + rng.normal(0, 0.01, (sessions, 1 + names // 4))[:, np.arange(names) // 4]
+    base[rng.random(base.shape) < 0.1] = np.nan
+    start = dt.datetime(2020, 1, 1)
+    rows = [(f"S{j:05d}", start + dt.timedelta(days=i), None if np.isnan(x) else float(x)) for i, day in enumerate(base) for j, x in enumerate(day)]
+    return spark.createDataFrame(rows, "symbol string, event_time timestamp, ret double"), np.nan_to_num(base)
+
+
+def test_moments_do_not_depend_on_tiles(spark):
+    df, x = _returns(spark, 13, 90)
+    names = crosssection.chosen(df, 13)
+    want = {}
+    q = x * x
+    for i in range(13):
+        for j in range(13):
+            want[i, j] = (90, x[:, i].sum(), x[:, j].sum(), q[:, i].sum(), q[:, j].sum(), x[:, i] @ x[:, j], q[:, i] @ x[:, j], x[:, i] @ q[:, j], q[:, i] @ q[:, j])
+    for sizes in ((256, 512, 8192), (4, 16, 32), (5, 7, 1000)):
+        got = {(r["i"], r["j"]): tuple(r)[2:] for r in crosssection.moment_table(df, names, *sizes).collect()}
+        assert got.keys() == want.keys()
+        assert all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-15) for k in want)
+
+
+def test_spanning_tree_order_and_weights(spark):
+    df, _ = _returns(spark, 21, 120)
+    cov = crosssection.ledoit_wolf(crosssection.moment_table(df, crosssection.chosen(df, 21))).cache()
+    corr = crosssection.correlation(cov).cache()
+    matrix, near = np.zeros((21, 21)), {}
+    for r in cov.collect():
+        matrix[r["i"], r["j"]] = r["value"]
+    for r in crosssection.distances(corr).where("i < j").collect():
+        near[r["i"], r["j"]] = r["distance"]
+    # Kruskal, and the branches it joins
+    branch, tree = {i: (i, [i]) for i in range(21)}, []
+    for (i, j), d in sorted(near.items(), key=lambda e: (e[1], e[0])):
+        if branch[i] is branch[j]:
+            continue
+        old, new = sorted((branch[i], branch[j]), key=lambda b: b[0])
+        merged = (21 + len(tree), old[1] + new[1])
+        branch.update(dict.fromkeys(merged[1], merged))
+        tree.append((i, j))
+    found = crosssection.spanning_tree(corr).cache()
+    assert sorted((r["i"], r["j"]) for r in found.collect()) == sorted(tree)
+    order = crosssection.leaf_order(found).cache()
+    assert [r["i"] for r in order.orderBy("position").collect()] == branch[0][1]
+    # clusters at a cut are what is left of the tree below it
+    cut = float(np.median([near[e] for e in tree]))
+    label = {i: i for i in range(21)}
+    for i, j in tree:
+        if near[i, j] <= cut:
+            low, high = sorted((label[i], label[j]))
+            label = {k: low if v == high else v for k, v in label.items()}
+    assert {r["i"]: r["label"] for r in crosssection.clusters(corr, cut).collect()} == label
+
+    def split(names):
+        if len(names) < 2:
+            return {names[0]: 1.0}
+        halves = names[: len(names) // 2], names[len(names) // 2 :]
+        risk = []
+        for h in halves:
+            w = 1 / np.diag(matrix)[h]
+            risk.append(w / w.sum() @ matrix[np.ix_(h, h)] @ w / w.sum())
+        return {i: w * risk[1 - k] / sum(risk) for k, h in enumerate(halves) for i, w in split(h).items()}
+
+    want = split(branch[0][1])
+    got = {r["i"]: r["weight_hrp"] for r in crosssection.hierarchical_weights(cov, order).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_universe_never_sees_the_future(spark, walk):
     rows, schema = walk(6, 120)
     panel = spark.createDataFrame(rows, schema)

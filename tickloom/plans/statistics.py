@@ -349,7 +349,7 @@ def listed(spark, d):
 def moments(spark, d):
     names = checkpointed(listed(spark, d))  # a row per chosen name, read twice
     returns = t.panel_smooth(spark, d).withColumn("ret", simple_return(window=by()))
-    return xs.moment_table(xs.session_vectors(returns, names))
+    return checkpointed(xs.moment_table(returns, names))  # a row per pair, read more than once
 
 
 @query("x1_sample_covariance", "X1", oracle(f"SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, {r('sample', 12)} AS value FROM cells", XS))
@@ -409,6 +409,53 @@ def inverse_variance(spark, d):
     return present(xs.inverse_variance(xs.ledoit_wolf(moments(spark, d))))
 
 
+MERGES = {
+    **XS,
+    "edges": "SELECT row_number() OVER (ORDER BY round(sqrt(greatest((1 - value) / 2, 0)), 12), i, j) AS k, i, j FROM corr WHERE i < j",
+    "merged": f"""SELECT 0::BIGINT AS k, {NAMES}::BIGINT AS born, range({NAMES}) AS ids, list_transform(range({NAMES}), lambda x: [x]) AS br
+        UNION ALL SELECT m.k + 1, born + (ids[i + 1] <> ids[j + 1])::BIGINT,
+            CASE WHEN ids[i + 1] = ids[j + 1] THEN ids ELSE list_transform(ids, lambda x: CASE WHEN x IN (ids[i + 1], ids[j + 1]) THEN born ELSE x END) END,
+            CASE WHEN ids[i + 1] = ids[j + 1] THEN br ELSE list_transform(range({NAMES}), lambda x: CASE WHEN ids[x + 1] NOT IN (ids[i + 1], ids[j + 1])
+                THEN br[x + 1] WHEN ids[i + 1] < ids[j + 1] THEN br[i + 1] || br[j + 1] ELSE br[j + 1] || br[i + 1] END) END
+        FROM merged m JOIN edges e ON e.k = m.k + 1""",
+    "leaves": "SELECT unnest(l) AS i, generate_subscripts(l, 1) - 1 AS position FROM (SELECT arg_max(br[1], k) AS l FROM merged)",
+}
+
+
+@query(
+    "x9_leaf_order",
+    "X9",
+    # shrunk correlations of these names are all the same, those of the sample differ
+    oracle("SELECT CAST(i AS INT) AS i, CAST(position AS INT) AS position FROM leaves", {**MERGES, "shrunk": "SELECT i, j, sample AS value FROM cells"}).replace("WITH", "WITH RECURSIVE", 1),
+)
+def leaf_order(spark, d):
+    return xs.leaf_order(xs.spanning_tree(xs.correlation(xs.sample_covariance(moments(spark, d)))))
+
+
+HALVES = {
+    **MERGES,
+    "inv": "SELECT l.i, position AS p, 1 / value AS s FROM leaves l JOIN shrunk c ON c.i = l.i AND c.j = l.i",
+    "halves": f"""SELECT 0::BIGINT AS b, {NAMES}::BIGINT AS e, -1::BIGINT AS pb, -1::BIGINT AS pe UNION ALL
+        SELECT CASE WHEN h = 0 THEN b ELSE b + (e - b) // 2 END, CASE WHEN h = 0 THEN b + (e - b) // 2 ELSE e END, b, e
+        FROM halves, (SELECT unnest([0, 1]) AS h) WHERE e - b > 1""",
+    "risk": """SELECT b, e, pb, pe, sum(value * x.s * y.s) / (sum(CASE WHEN x.i = y.i THEN x.s ELSE 0 END) ** 2) AS v FROM halves
+        JOIN inv x ON x.p >= b AND x.p < e JOIN inv y ON y.p >= b AND y.p < e JOIN shrunk c ON c.i = x.i AND c.j = y.i GROUP BY 1, 2, 3, 4""",
+    "share": """SELECT a.b, a.e, z.v / (a.v + z.v) AS f FROM risk a JOIN risk z ON z.pb = a.pb AND z.pe = a.pe AND z.b <> a.b WHERE a.pb >= 0""",
+    "hrp": "SELECT i, exp(sum(ln(f))) AS w FROM inv JOIN share ON p >= b AND p < e GROUP BY i",
+}
+
+
+@query(
+    "x9_hierarchical_weights",
+    "X9",
+    oracle(f"SELECT CAST(i AS INT) AS i, {r('w / sum(w) OVER ()')} AS weight_hrp FROM hrp", HALVES).replace("WITH", "WITH RECURSIVE", 1),
+)
+def hierarchical_weights(spark, d):
+    cov = xs.ledoit_wolf(moments(spark, d))
+    order = checkpointed(xs.leaf_order(xs.spanning_tree(xs.correlation(cov))))
+    return present(xs.hierarchical_weights(cov, order))
+
+
 @query("x8_risk_parity", "X5 X8 X9")
 def risk_parity(spark, d):
     return present(xs.allocations(xs.ledoit_wolf(moments(spark, d))), 6)
