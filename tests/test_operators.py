@@ -1,6 +1,7 @@
 """Known answers."""
 
 import datetime as dt
+import math
 from decimal import Decimal
 
 import numpy as np
@@ -293,3 +294,83 @@ def test_rows_are_copied_to_the_dates_they_hold_on(spark):
     got = sorted((r.k, r["on"]) for r in copied_to(df, dates, "on", "f", "u").collect())
     assert got == sorted((k, day(n)) for k, a, b in rows for n in set(asked) if a <= n and (b is None or n < b))
     assert copied_to(df, dates.limit(0), "on", "f", "u").count() == 0
+
+
+def _regress(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    inverse = np.linalg.pinv(x.T @ x)
+    beta = inverse @ (x.T @ y)
+    rest = y - x @ beta
+    return beta, float(rest @ rest), inverse
+
+
+def plain_adf(x: np.ndarray) -> float:
+    """Augmented Dickey-Fuller p-value, lag chosen by AIC; 1 when unusable."""
+    n = x.size
+    if n < stationarity.MIN_OBSERVATIONS or np.std(x) == 0.0:
+        return 1.0
+    top = min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2)
+    dx = np.diff(x)
+
+    def design(lags: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.arange(skip, dx.size)
+        columns = [x[rows], np.ones(rows.size)] + [dx[rows - j] for j in range(1, lags + 1)]
+        return dx[rows], np.column_stack(columns)
+
+    best, chosen = math.inf, 0
+    for lags in range(top + 1):
+        y, z = design(lags, top)
+        _, ssr, _ = _regress(y, z)
+        m = y.size
+        aic = m * (math.log(2 * math.pi) + math.log(max(ssr, 1e-300) / m) + 1) + 2 * z.shape[1]
+        if aic < best:
+            best, chosen = aic, lags
+    y, z = design(chosen, chosen)
+    beta, ssr, inverse = _regress(y, z)
+    variance = ssr / (y.size - z.shape[1]) * inverse[0, 0]
+    if not variance > 0:
+        return 1.0
+    return stationarity._df_pvalue(float(beta[0] / math.sqrt(variance)))
+
+
+def plain_kpss(x: np.ndarray) -> float:
+    """KPSS level p-value with automatic bandwidth; 0 when unusable."""
+    n = x.size
+    if n < stationarity.MIN_OBSERVATIONS or np.std(x) == 0.0:
+        return 0.0
+    e = x - x.mean()
+    s0, s1 = float(e @ e) / n, 0.0
+    for i in range(1, int(n ** (2.0 / 9.0)) + 1):
+        cross = 2.0 * float(e[i:] @ e[:-i]) / n
+        s0 += cross
+        s1 += i * cross
+    ratio = s1 / s0
+    bandwidth = min(int(1.1447 * (ratio * ratio) ** (1 / 3) * n ** (1 / 3)), n - 1)
+    long_run = float(e @ e)
+    for i in range(1, bandwidth + 1):
+        long_run += 2.0 * float(e[i:] @ e[:-i]) * (1.0 - i / (bandwidth + 1.0))
+    stat = float(np.sum(np.cumsum(e) ** 2)) / n**2 / (long_run / n)
+    return float(np.interp(stat, stationarity.KPSS_STATS, stationarity.KPSS_P))
+
+
+def test_unit_roots_equal_the_plain_regressions(spark):
+    rng = np.random.default_rng(4)
+    series = {}
+    for k in range(36):
+        n = int(rng.integers(20, 700))
+        noise = rng.normal(0, 1, n)
+        phi = (0.0, 0.5, 0.9, 1.0, -0.95, 0.99)[k % 6]
+        x = np.zeros(n)
+        for i in range(1, n):
+            x[i] = phi * x[i - 1] + noise[i]
+        series[f"S{k}"] = 1e4 * (k % 3) + x
+    series["flat"], series["turns"] = np.full(200, 3.0), np.tile([1.0, -1.0], 150)
+    start = dt.datetime(2020, 1, 1)
+    rows = [(k, start + dt.timedelta(days=i), float(v)) for k, x in series.items() for i, v in enumerate(x)]
+    rows += [("S0", start - dt.timedelta(days=1), None), ("S1", start - dt.timedelta(days=1), float("nan")), ("none", start, None)]
+    df = spark.createDataFrame(rows, "symbol string, event_time timestamp, close double").repartition(3)
+    got = {r["symbol"]: (r["adf_pvalue"], r["kpss_pvalue"]) for r in stationarity.unit_root_tests(df, ["symbol"]).collect()}
+    assert got.keys() == series.keys()
+    for k, x in series.items():
+        if k != "turns":  # differences and levels depend on each other
+            assert abs(got[k][0] - plain_adf(x - x.mean())) < 1e-6, k  # products of levels far from zero are inexact
+        assert abs(got[k][1] - plain_kpss(x)) < 1e-9, k

@@ -1,7 +1,8 @@
 """Stationarity, volatility models and cointegration of many series.
 
-Everything that is a moment stays in the JVM.  ADF, KPSS and GARCH need a loop
-over one series, which the calendar bounds: a grouped NumPy helper runs them.
+Everything that is a moment stays in the JVM, the unit-root tests too: they are
+sums of lagged products, and small systems of equations per series.  GARCH needs
+a loop over one series, which the calendar bounds: a grouped NumPy helper runs it.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ import statistics
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.stats import clip, safe_corr, slope
 from tickloom.functions.windows import by, rolling
+from tickloom.session import checkpointed
 
 MIN_OBSERVATIONS = 60
 MIN_SPREAD = 20
@@ -75,77 +79,183 @@ def _df_pvalue(stat: float) -> float:
     return statistics.NormalDist().cdf(sum(c * stat**i for i, c in enumerate(coefficients)))
 
 
-def _regress(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    inverse = np.linalg.pinv(x.T @ x)
-    beta = inverse @ (x.T @ y)
-    rest = y - x @ beta
-    return beta, float(rest @ rest), inverse
+def _lags(n: float) -> int:
+    return max(min(math.ceil(12.0 * (n / 100.0) ** 0.25), int(n) // 2 - 2), 0)
 
 
-def adf_pvalue(x: np.ndarray) -> float:
-    """Augmented Dickey-Fuller p-value, lag chosen by AIC; 1 when unusable."""
-    n = x.size
-    if n < MIN_OBSERVATIONS or np.std(x) == 0.0:
-        return 1.0
-    top = min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2)
-    dx = np.diff(x)
-
-    def design(lags: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.arange(skip, dx.size)
-        columns = [x[rows], np.ones(rows.size)] + [dx[rows - j] for j in range(1, lags + 1)]
-        return dx[rows], np.column_stack(columns)
-
-    best, chosen = math.inf, 0
-    for lags in range(top + 1):
-        y, z = design(lags, top)
-        _, ssr, _ = _regress(y, z)
-        m = y.size
-        aic = m * (math.log(2 * math.pi) + math.log(max(ssr, 1e-300) / m) + 1) + 2 * z.shape[1]
-        if aic < best:
-            best, chosen = aic, lags
-    y, z = design(chosen, chosen)
-    beta, ssr, inverse = _regress(y, z)
-    variance = ssr / (y.size - z.shape[1]) * inverse[0, 0]
-    if not variance > 0:
-        return 1.0
-    return _df_pvalue(float(beta[0] / math.sqrt(variance)))
-
+def lag_moments(levels: DataFrame, keys: list[str], value: str = "close", order: str = "event_time", lags: int | None = None) -> DataFrame:
+    """One row per series with the sums that a regression of differences on their lags needs.
 
-def kpss_pvalue(x: np.ndarray) -> float:
-    """KPSS level p-value with automatic bandwidth; 0 when unusable."""
-    n = x.size
-    if n < MIN_OBSERVATIONS or np.std(x) == 0.0:
-        return 0.0
-    e = x - x.mean()
-    s0, s1 = float(e @ e) / n, 0.0
-    for i in range(1, int(n ** (2.0 / 9.0)) + 1):
-        cross = 2.0 * float(e[i:] @ e[:-i]) / n
-        s0 += cross
-        s1 += i * cross
-    ratio = s1 / s0
-    bandwidth = min(int(1.1447 * (ratio * ratio) ** (1 / 3) * n ** (1 / 3)), n - 1)
-    long_run = float(e @ e)
-    for i in range(1, bandwidth + 1):
-        long_run += 2.0 * float(e[i:] @ e[:-i]) * (1.0 - i / (bandwidth + 1.0))
-    stat = float(np.sum(np.cumsum(e) ** 2)) / n**2 / (long_run / n)
-    return float(np.interp(stat, KPSS_STATS, KPSS_P))
+    Levels are centred.  ``lags`` is the highest order, by default a function of the length.  Sums run over
+    the rows that have all lags; products of two lagged differences follow from those with the latest
+    one and from the first and last few values, so a series needs two sums per lag and no matrix.
+    Values that are null or not finite are no rows; equal times are ordered by value.
+    """
+    own = W.partitionBy(*keys)
+    w = own.orderBy(order, value)
+    x = F.col(value)
+    rows = levels.select(*keys, order, x.cast("double").alias(value)).where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf))
+    longest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    most = _lags(longest) if lags is None else lags
+    near = max(int(longest ** (2.0 / 9.0)), 0)
+    n = F.col("n")
+    by_length = F.greatest(F.least(F.ceil(12.0 * F.pow(n / 100.0, F.lit(0.25))), F.floor(n / 2) - 2), F.lit(0))
+    top = (by_length if lags is None else F.least(F.lit(lags), F.floor(n / 2) - 2)).cast("int")
+    stepped = (
+        rows.withColumns({"n": F.count(F.lit(1)).over(own), "_m": F.avg(value).over(own), "_t": F.row_number().over(w) - 2})
+        .withColumn("_e", F.col(value) - F.col("_m"))
+        .withColumns({"_x": F.lag("_e").over(w), "_d": F.col("_e") - F.lag("_e").over(w)})
+        .withColumn("top", top)
+        .withColumns({f"_d{k}": F.lag("_d", k).over(w) for k in range(1, most + 1)} | {f"_e{k}": F.lag("_e", k).over(w) for k in range(1, near + 1)})
+        .withColumns({"_d0": F.col("_d"), "_e0": F.col("_e"), "_c": F.sum("_e").over(w.rowsBetween(W.unboundedPreceding, 0))})
+    )
+    counted = F.col("_t") >= F.col("top")
+    over = lambda c: F.coalesce(F.sum(F.when(counted, c)), F.lit(0.0))
+    d, level = F.col("_d"), F.col("_x")
+    at = lambda some, *c: F.sort_array(F.collect_list(F.when(some, F.struct("_t", *c))))
+    first = (F.col("_t") >= 0) & (F.col("_t") < F.col("top"))
+    last = (F.col("_t") >= 0) & (F.col("_t") >= n - 1 - F.col("top"))
+    grouped = stepped.groupBy(*keys).agg(
+        F.first("n").alias("n"),
+        F.first("top").alias("top"),
+        F.array(*[over(d * F.col(f"_d{k}")) for k in range(most + 1)]).alias("dd"),
+        F.array(*[over(level * F.col(f"_d{k}")) for k in range(most + 1)]).alias("xd"),
+        F.array(over(F.lit(1.0)), over(level), over(level * level), over(d)).alias("sums"),
+        at(first, "_d", "_x").alias("_head"),
+        at(last, "_d").alias("_tail"),
+        F.array(*[F.coalesce(F.sum(F.col("_e") * F.col(f"_e{k}")), F.lit(0.0)) for k in range(near + 1)]).alias("ee"),
+        F.coalesce(F.sum(F.col("_c") * F.col("_c")), F.lit(0.0)).alias("cc"),
+    )
+    pick = lambda a, c: F.transform(a, lambda s: s.getField(c))
+    return grouped.withColumns({"head_d": pick("_head", "_d"), "head_x": pick("_head", "_x"), "tail_d": pick("_tail", "_d")}).drop("_head", "_tail")
+
+
+def _gram(top: int, dd: np.ndarray, xd: np.ndarray, sums: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Products of [1, level, difference lagged 1 to ``top``, difference] over the counted rows."""
+    k = top + 1
+    d = np.zeros((k, k))
+    for gap in range(k):
+        # one step along a diagonal adds the row before the first and drops the last
+        i = np.arange(k - gap - 1)
+        moves = head[top - 1 - i] * np.append(head, 0)[top - 1 - i - gap] if top else np.zeros(0)
+        moves = np.where(top - 1 - i - gap >= 0, moves, 0.0) - tail[-1 - i] * tail[-1 - i - gap]
+        diagonal = dd[gap] + np.concatenate([[0.0], np.cumsum(moves)])
+        d[np.arange(k - gap), np.arange(gap, k)] = d[np.arange(gap, k), np.arange(k - gap)] = diagonal
+    ones = sums[3] + np.concatenate([[0.0], np.cumsum(head[::-1][:top] - tail[::-1][:top])])
+    lagged = [*range(1, k), 0]
+    full = np.empty((k + 2, k + 2))
+    full[0, 0], full[0, 1], full[1, 1] = sums[0], sums[1], sums[2]
+    full[1, 0] = full[0, 1]
+    full[0, 2:] = full[2:, 0] = ones[lagged]
+    full[1, 2:] = full[2:, 1] = xd[:k][lagged]
+    full[2:, 2:] = d[np.ix_(lagged, lagged)]
+    return full
+
+
+def _fitted(gram: np.ndarray) -> np.ndarray:
+    """Residual sums of squares of the last column on ever more of the ones before it."""
+    a, b = gram[:-1, :-1], gram[:-1, -1]
+    scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+    try:
+        lower = np.linalg.cholesky(a / np.outer(scale, scale))
+        return gram[-1, -1] - np.cumsum(np.linalg.solve(lower, b / scale) ** 2)
+    except np.linalg.LinAlgError:  # lags that depend on each other
+        return np.array([gram[-1, -1] - b[:p] @ np.linalg.pinv(a[:p, :p]) @ b[:p] for p in range(1, len(a) + 1)])
+
+
+def adf_statistic(top: int, dd, xd, sums, head_d, head_x, tail_d, choose: bool = True) -> float | None:
+    """The Dickey-Fuller t value from lag moments, at the order of least AIC or at ``top``; None if degenerate."""
+    head = np.asarray(head_d, dtype=float)
+    gram = _gram(top, np.asarray(dd), np.asarray(xd), np.asarray(sums), head, np.asarray(tail_d, dtype=float))
+    m, order = gram[0, 0], top
+    if choose:
+        ssr = np.maximum(_fitted(gram)[1:], 1e-300)
+        aic = m * (math.log(2 * math.pi) + np.log(ssr / m) + 1) + 2 * np.arange(2, top + 3)
+        order = int(np.argmin(aic))
+    kept = [*range(2 + order), top + 2]
+    gram = gram[np.ix_(kept, kept)]
+    # rows that lack later lags only
+    rows = [[1.0, head_x[t], *head[t - order : t][::-1], head[t]] for t in range(order, top)]
+    if rows:
+        gram = gram + np.asarray(rows).T @ np.asarray(rows)
+    a, b = gram[:-1, :-1], gram[:-1, -1]
+    scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+    inverse = np.linalg.pinv(a / np.outer(scale, scale)) / np.outer(scale, scale)
+    beta = inverse @ b
+    variance = float(gram[-1, -1] - beta @ b) / (gram[0, 0] - len(a)) * inverse[1, 1]
+    return float(beta[1] / math.sqrt(variance)) if variance > 0 else None
+
+
+_MOMENTS = ("top", "dd", "xd", "sums", "head_d", "head_x", "tail_d")
+
+
+def _from_moments(choose: bool, kind: T.DataType, of, least: int, unusable: float | None) -> Column:
+    """A column computed from each row of lag moments."""
+
+    @F.arrow_udf(kind)
+    def run(n: pa.Array, ee: pa.Array, *moments: pa.Array) -> pa.Array:
+        out = []
+        for size, squares, *row in zip(n.to_pylist(), ee.to_pylist(), *(m.to_pylist() for m in moments)):
+            stat = adf_statistic(*row, choose=choose) if size >= least and squares[0] > 0 else None
+            out.append(unusable if stat is None else of(stat))
+        return pa.array(out, pa.float64())
+
+    return run("n", "ee", *_MOMENTS)
+
+
+def adf_fixed(levels: DataFrame, keys: list[str], lags: int, value: str = "close", order: str = "event_time") -> DataFrame:
+    """The Dickey-Fuller t value of every series at one order; null where degenerate."""
+    moments = lag_moments(levels, keys, value, order, lags)
+    return moments.select(*keys, "n", _from_moments(False, T.DoubleType(), float, 2 * lags + 6, None).alias("statistic"))
+
+
+def _long_run(levels: DataFrame, keys: list[str], value: str, order: str, bandwidth: DataFrame) -> DataFrame:
+    """``long_run`` of each series: Bartlett-weighted autocovariances up to its own bandwidth b, times n.
+
+    The weights are those of squared sums over all windows of b + 1 rows, so a running sum and its value
+    b + 1 rows before are enough, whatever the bandwidth.
+    """
+    own = W.partitionBy(*keys)
+    w = own.orderBy(order, value)
+    x = F.col(value)
+    rows = levels.select(*keys, order, x.cast("double").alias(value)).where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf))
+    sums = rows.withColumns({"_e": F.col(value) - F.avg(value).over(own), "_t": F.row_number().over(w) - 1})
+    sums = sums.withColumn("_c", F.sum("_e").over(w.rowsBetween(W.unboundedPreceding, 0))).select(*keys, "_t", "_c")
+    here = sums.join(bandwidth, keys)
+    before = here.select(*keys, (F.col("_t") + F.col("bandwidth") + 1).alias("_t"), F.col("_c").alias("_b"))
+    moved = F.col("_c") - F.coalesce("_b", F.lit(0.0))
+    # windows that reach beyond the end hold the rest of a sum that ends at zero
+    rest = F.when((F.col("_t") >= F.col("n") - 1 - F.col("bandwidth")) & (F.col("_t") < F.col("n") - 1), F.col("_c") * F.col("_c")).otherwise(0.0)
+    total = here.join(before, [*keys, "_t"], "left").groupBy(*keys).agg(F.sum(moved * moved + rest).alias("_s"), F.first("bandwidth").alias("_w"))
+    return total.select(*keys, (F.col("_s") / (F.col("_w") + 1)).alias("long_run"))
+
+
+def _interpolated(x: Column, at: tuple, values: tuple) -> Column:
+    out = F.when(x <= at[0], values[0])
+    for a, b, u, v in zip(at, at[1:], values, values[1:]):
+        out = out.when(x <= b, u + (x - a) * ((v - u) / (b - a)))
+    return out.otherwise(values[-1])
 
 
 def unit_root_tests(levels: DataFrame, keys: list[str], value: str = "close", order: str = "event_time") -> DataFrame:
-    """ADF and KPSS p-values of every series."""
-    types = {f.name: f.dataType for f in levels.schema}
-    schema = T.StructType(
-        [T.StructField(k, types[k]) for k in keys]
-        + [T.StructField(c, T.DoubleType()) for c in ("adf_pvalue", "kpss_pvalue")]
-    )
+    """ADF (order by AIC; 1 when unusable) and KPSS (level, automatic bandwidth; 0 when unusable) p-values.
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame.sort_values("_t", kind="stable")["_x"].to_numpy(dtype=float)
-        x = x[np.isfinite(x)]
-        return pd.DataFrame([[*key, adf_pvalue(x), kpss_pvalue(x)]], columns=schema.names)
-
-    slim = levels.select(*keys, F.col(order).alias("_t"), F.col(value).alias("_x"))
-    return slim.groupBy(*keys).applyInPandas(run, schema)
+    Both come from lag moments; only the small systems of equations of the ADF orders are NumPy.
+    """
+    moments = lag_moments(levels, keys, value, order).withColumn("adf_pvalue", _from_moments(True, T.DoubleType(), _df_pvalue, MIN_OBSERVATIONS, 1.0))
+    n, ee = F.col("n"), F.col("ee")
+    near = F.floor(F.pow(n.cast("double"), F.lit(2.0 / 9.0))).cast("int")
+    cross = F.transform(F.slice(ee, 2, F.size(ee)), lambda c, i: F.when(i < near, 2.0 * c / n).otherwise(0.0))
+    s0 = F.aggregate(cross, ee[0] / n, lambda s, c: s + c)
+    s1 = F.aggregate(F.transform(cross, lambda c, i: (i + 1) * c), F.lit(0.0), lambda s, c: s + c)
+    usable = (n >= MIN_OBSERVATIONS) & (ee[0] > 0)
+    ratio = s1 / F.when(s0 != 0, s0)
+    width = F.floor(1.1447 * F.pow(ratio * ratio, F.lit(1.0 / 3.0)) * F.pow(n.cast("double"), F.lit(1.0 / 3.0)))
+    tested = checkpointed(moments.select(*keys, "n", "adf_pvalue", "cc", F.when(usable, F.least(F.coalesce(width, n - 1), n - 1).cast("long")).alias("bandwidth")))
+    runs = _long_run(levels, keys, value, order, tested.where("bandwidth is not null").select(*keys, "n", "bandwidth"))
+    stat = F.col("cc") / n / F.when(F.col("long_run") != 0, F.col("long_run"))
+    kpss = F.when(F.col("bandwidth").isNull(), 0.0).otherwise(_interpolated(stat, KPSS_STATS, KPSS_P))
+    return tested.join(runs, keys, "left").select(*keys, "adf_pvalue", kpss.alias("kpss_pvalue"))
 
 
 def verdict(adf: Column, kpss: Column, significance: float = SIGNIFICANCE) -> Column:
@@ -222,8 +332,6 @@ def regime_slices(
     returns: DataFrame, keys: list[str], market: str = "market_ret", window: int = 60, min_bars: int = 60
 ) -> DataFrame:
     """Rows of each series labelled bull, bear and high_vol (overlapping)."""
-    from pyspark.sql import Window as W
-
     w, m = by(keys), F.col(market)
     df = returns.withColumns(
         {"_sum": rolling(F.sum, m, window, w), "_vol": rolling(F.stddev_pop, m, window, w)}

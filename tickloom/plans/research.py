@@ -399,7 +399,7 @@ ROUND_TRIP = 0.0033
 def verdicts(spark, d):
     # one pass of the factors feeds three reports; lost blocks are recomputed
     long = factors.unpivot_factors(table(spark, d, factors.FACTORS), factors.FACTORS).persist(StorageLevel.DISK_ONLY)
-    return present(scoring.factor_report(long, 21, ROUND_TRIP, keys=["factor"], rows=rows(spark, d) * len(factors.FACTORS)))
+    return present(scoring.factor_report(long, 21, ROUND_TRIP, keys=["factor"], rows=rows(spark, d)))
 
 
 @query(

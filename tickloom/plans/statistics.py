@@ -253,6 +253,47 @@ def unit_roots(spark, d):
     return present(stationarity.unit_root_tests(t.panel_smooth(spark, d), ["symbol"]), 6)
 
 
+_STEPS = f"""SELECT symbol, d, x, lag(d) {W} AS z, n FROM (SELECT symbol, event_time, close - lag(close) {W} AS d, lag(close) {W} AS x,
+    count(*) OVER (PARTITION BY symbol) AS n FROM panel_smooth)"""
+
+
+@query(
+    "ts3_fixed_order",
+    "TS3",
+    oracle(
+        f"""SELECT symbol, CAST(n AS BIGINT) AS n, {r('b / sqrt((yy - b * xy - (xx * zy - xz * xy) / det * zy) / (m - 3) * zz / det)', 6)} AS statistic
+        FROM (SELECT *, xx * zz - xz * xz AS det, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b FROM (
+            SELECT symbol, max(n) AS n, count(*) AS m, regr_sxx(d, x) AS xx, regr_sxx(d, z) AS zz, regr_sxy(z, x) AS xz, regr_sxy(d, x) AS xy,
+                regr_sxy(d, z) AS zy, regr_syy(d, x) AS yy FROM steps WHERE z IS NOT NULL GROUP BY symbol))""",
+        {"steps": _STEPS},
+    ),
+)
+def fixed_order(spark, d):
+    return present(stationarity.adf_fixed(t.panel_smooth(spark, d), ["symbol"], 1), 6)
+
+
+@query(
+    "ts4_kpss",
+    "TS4",
+    oracle(
+        """SELECT symbol, round(CASE WHEN s <= 0.347 THEN 0.10 WHEN s <= 0.463 THEN 0.10 + (s - 0.347) * (0.05 - 0.10) / (0.463 - 0.347)
+            WHEN s <= 0.574 THEN 0.05 + (s - 0.463) * (0.025 - 0.05) / (0.574 - 0.463)
+            WHEN s <= 0.739 THEN 0.025 + (s - 0.574) * (0.01 - 0.025) / (0.739 - 0.574) ELSE 0.01 END, 8) AS kpss_pvalue
+        FROM (SELECT symbol, sum(c * c) / max(n) / max(l) AS s FROM (SELECT *, sum(e) OVER (PARTITION BY symbol ORDER BY t) AS c FROM ks) JOIN lr USING (symbol) GROUP BY symbol)""",
+        {
+            "ks": f"SELECT symbol, row_number() {W} - 1 AS t, count(*) OVER (PARTITION BY symbol) AS n, close - avg(close) OVER (PARTITION BY symbol) AS e FROM panel_smooth",
+            "cv": "SELECT a.symbol, a.n, a.t - b.t AS i, sum(a.e * b.e) AS g FROM ks a JOIN ks b ON a.symbol = b.symbol AND b.t BETWEEN a.t - 120 AND a.t GROUP BY 1, 2, 3",
+            "near": """SELECT symbol, n, sum(CASE WHEN i = 0 THEN g / n WHEN i <= floor(n ** (2.0 / 9)) THEN 2 * g / n ELSE 0 END) AS s0,
+                sum(CASE WHEN i <= floor(n ** (2.0 / 9)) THEN i * 2 * g / n ELSE 0 END) AS s1 FROM cv GROUP BY 1, 2""",
+            "bw": "SELECT symbol, least(floor(1.1447 * ((s1 / s0) ** 2) ** (1.0 / 3) * n ** (1.0 / 3)), n - 1) AS b FROM near",
+            "lr": "SELECT symbol, sum(CASE WHEN i = 0 THEN g WHEN i <= b THEN 2 * g * (1 - i / (b + 1)) ELSE 0 END) AS l FROM cv JOIN bw USING (symbol) GROUP BY 1",
+        },
+    ),
+)
+def kpss(spark, d):
+    return present(stationarity.unit_root_tests(t.panel_smooth(spark, d), ["symbol"]).drop("adf_pvalue"))
+
+
 @query("ts5_stationarity", "TS5")
 def stationary(spark, d):
     return present(stationarity.assess(t.panel_smooth(spark, d)), 6)
