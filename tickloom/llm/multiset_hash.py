@@ -38,7 +38,7 @@ LANES = ONES * LANE
 #: Words of a phrase that does not end earlier, at the end of a sentence.
 PHRASE = r"(?:[^ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c.!?][ \t]+){0,5}[^ \t\n\r\x0b\x0c]+"
 #: Bytes of text between two splits of the order of documents.
-BUCKET_BYTES = 32 * 1024 * 1024
+BUCKET_BYTES = 16 * 1024 * 1024
 
 
 def _long(value: int) -> Column:
@@ -203,7 +203,9 @@ def in_order(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFra
     first = rows.join(F.broadcast(heads), F.col("key.d").eqNullSafe(F.col("doc_id")) & (F.col("key.h") == F.col("h")))
     first = first.groupBy("own").agg(F.min(F.struct("doc_id", "h", "text")).alias("r"))
     first = first.select("r.doc_id", "r.text", "r.h", F.pmod(F.col("own") - 1, F.lit(n)).alias("bucket"), F.lit(True).alias("last"))
-    return rows.unionByName(first), Window.partitionBy("bucket").orderBy("last", "doc_id", "h", "text")
+    # a partition per bucket: hashing the few bucket numbers would put several into one task
+    dealt = rows.unionByName(first).repartitionById(n, F.col("bucket"))
+    return dealt, Window.partitionBy("bucket").orderBy("last", "doc_id", "h", "text")
 
 
 def report(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
