@@ -35,6 +35,9 @@ FIELDS = 3
 LANE = (1 << (STRIDE - 1)) - 1
 ONES = sum(1 << STRIDE * f for f in range(FIELDS))
 LANES = ONES * LANE
+#: Phrases that fields of four bits can count, and the lowest bits of 15 such fields.
+CHUNK = 15
+NARROW_ONES = sum(1 << 4 * f for f in range(15))
 #: Words of a phrase that does not end earlier, at the end of a sentence.
 PHRASE = r"(?:[^ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c.!?][ \t]+){0,5}[^ \t\n\r\x0b\x0c]+"
 #: Bytes of text between two splits of the order of documents.
@@ -59,16 +62,29 @@ def _strong(paragraphs: Column) -> Column:
 
 
 def _sketch(digests: Column) -> Column:
-    """Lane counts of the phrases' digests (arrays of four longs)."""
+    """Lane counts of the phrases' digests (arrays of four longs).
+
+    Up to 15 phrases are counted in fields of four bits, with four shifts a number; each such
+    chunk is then spread over the wide lanes.
+    """
+    shift = lambda x, by: F.call_function("shiftright", x, by)
+    upto = lambda n: F.sequence(F.lit(0), n)
     kth = lambda k: F.transform(digests, lambda d: F.get(d, F.lit(k)))
-    by_word = F.array(*map(kth, range(4)))
 
-    def counted(words: Column, at: Column) -> Column:
-        shift = F.pmod(at, F.lit(SHIFTS))
-        step = lambda total, h: (total + F.call_function("shiftright", h, shift).bitwiseAND(_long(ONES))).bitwiseAND(_long(LANES))
-        return F.aggregate(F.get(words, F.floor(at / SHIFTS).cast("int")), _long(0), step)
+    def counted(some: Column) -> Column:
+        add = lambda by: F.aggregate(some, _long(0), lambda total, h: total + shift(h, by).bitwiseAND(_long(NARROW_ONES)))
+        return F.transform(upto(F.lit(3)), add)
+
+    def chunked(words: Column) -> Column:
+        starts = F.filter(upto(F.floor(F.size(words) / CHUNK).cast("int")), lambda k: k * CHUNK < F.size(words))
+        return F.transform(starts, lambda k: let(F.slice(words, k * CHUNK + 1, F.lit(CHUNK)), counted))
+
+    def spread(chunks: Column) -> Column:
+        part = lambda c, at: shift(F.get(c, F.pmod(at, F.lit(4))), at - F.pmod(at, F.lit(4))).bitwiseAND(_long(15 * ONES))
+        step = lambda at: F.aggregate(chunks, _long(0), lambda total, c: (total + part(c, at)).bitwiseAND(_long(LANES)))
+        return F.transform(upto(F.lit(SHIFTS - 1)), step)
 
-    return let(by_word, lambda words: F.transform(F.sequence(F.lit(0), F.lit(4 * SHIFTS - 1)), lambda at: counted(words, at)))
+    return F.flatten(F.array(*[let(let(kth(k), chunked), spread) for k in range(4)]))
 
 
 def fingerprint(text: Column) -> Column:
