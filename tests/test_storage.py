@@ -33,6 +33,40 @@ def test_upsert_replaces_and_keeps(spark, tmp_path):
     assert store.coverage("1d").first()["bars"] == 6
 
 
+def _files(path):
+    return {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_a_day_is_appended_and_compaction_keeps_what_readers_see(spark, tmp_path):
+    store = bars.BarStore(spark, str(tmp_path))
+    store.write(_bars(spark, [10.0 + i for i in range(100)], dt.datetime(2023, 10, 1, 10)), "1d")
+    assert store.compact("1d") == 4 and store.compact("1d") == 0
+    before = _files(tmp_path)
+    assert len(before) == 4 and all("state=compacted" in str(p) for p in before)
+    # one day costs one file and touches no other
+    assert store.write(_bars(spark, [77.0], dt.datetime(2023, 11, 5, 10)), "1d") == 1
+    after = _files(tmp_path)
+    assert {p: t for p, t in after.items() if p in before} == before
+    (added,) = set(after) - set(before)
+    assert "month=202311/state=appended" in str(added)
+    store.write(_bars(spark, [5.0], dt.datetime(2023, 11, 5, 10)).withColumn("receive_time", F.col("event_time")), "1d", ("receive_time",))
+    seen = lambda: [tuple(r) for r in store.view("1d", as_of="2100-01-01 00:00:00").collect()]
+    rows = seen()
+    assert len(rows) == 100 and [r[6] for r in rows if r[1] == dt.datetime(2023, 11, 5, 10)] == [77.0]
+    assert store.compact("1d") == 1 and seen() == rows
+    left = _files(tmp_path)
+    assert len(left) == 4 and not any("state=appended" in str(p) for p in left)
+    # a compaction that died before it removed what it read: the same bars twice are one
+    store.write(_bars(spark, [78.0], dt.datetime(2023, 11, 6, 10)), "1d")
+    (kept,) = set(_files(tmp_path)) - set(left)
+    data = kept.read_bytes()
+    store.compact("1d")
+    rows = seen()
+    kept.write_bytes(data)
+    spark.catalog.refreshByPath(str(tmp_path))
+    assert seen() == rows and len(rows) == 100
+
+
 def test_view_is_point_in_time(spark, tmp_path):
     store = bars.BarStore(spark, str(tmp_path))
     store.write(_bars(spark, [10.0, 11.0, 12.0]), "1d")
@@ -197,6 +231,39 @@ def test_lost_numbers_are_reported_without_a_pause(spark, tmp_path):
     assert [(r["previous_sequence"], r["sequence"], r["missing"]) for r in got] == [(2, 50, 47)]
 
 
+def test_gaps_survive_a_restart_and_start_from_what_is_known(spark, tmp_path):
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    known = spark.createDataFrame([("A", 1, 0.0), ("Z", 7, 0.0)], "instrument_id string, sequence bigint, seconds double")
+    for part in ([_tick(4, 0, 10), _tick(5, 1, 10)], [_tick(9, 2, 10)]):
+        stream = _tick_files(spark, folder, [part])
+        got = jobs.run_to_table(jobs.sequence_gaps(stream, 1e18, known=known), out, state)
+    assert sorted((r["previous_sequence"], r["sequence"], r["missing"]) for r in got.collect()) == [(1, 4, 2), (5, 9, 3)]
+
+
+def test_alerts_start_from_known_peaks(spark, tmp_path):
+    known = spark.createDataFrame([("A", 100.0, 1)], "instrument_id string, peak double, rung int")
+    stream = _tick_files(spark, str(tmp_path / "in"), [[_tick(1, 0, 94), _tick(2, 1, 91), _tick(3, 2, 89)]])
+    got = jobs.run_to_table(jobs.stream_alerts(stream, 3600, known=known), str(tmp_path / "out"), str(tmp_path / "state")).collect()
+    assert sorted(round(r["value"], 4) for r in got if r["kind"] == "drawdown_rung") == [-0.11, -0.09]
+
+
+def test_late_bars_go_aside_and_repeats_away(spark, tmp_path):
+    day = lambda k: dt.datetime(2024, 1, 1, 10) + dt.timedelta(days=k)
+    base = lambda k, n, close=10.0: _bars(spark, [close] * n, day(k)).drop("symbol")
+    parts = [base(0, 20), base(18, 10), base(3, 2).unionByName(base(22, 1, 12.0)).unionByName(base(28, 1)).unionByName(base(28, 1))]
+    stored = bars.BarStore(spark, str(tmp_path / "store"))
+    for part in parts:  # each run goes on from the state of the one before
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.file_stream(spark, str(tmp_path / "in"), base(0, 1).schema, files=1)
+        jobs.ingest_bars(stream, stored, "1d", str(tmp_path / "bad"), str(tmp_path / "state"), 10 * 86400.0).awaitTermination()
+    rows = stored.view("1d", as_of="2100-01-01 00:00:00").collect()
+    assert [r["event_time"] for r in rows] == [day(k) for k in range(29)] and rows[22]["close"] == 12.0
+    aside = spark.read.parquet(str(tmp_path / "bad")).collect()
+    assert sorted((r["event_time"], r["violation"]) for r in aside) == [(day(3), "late"), (day(4), "late")]
+    # 20 new, 8 new after 2 repeats, one revision and one new
+    assert spark.read.parquet(stored.path).count() == 30
+
+
 def test_the_peak_outlives_silence(spark, tmp_path):
     parts = [[_tick(1, 0, 100)], [_tick(1, 600, 50, "B")], [_tick(2, 610, 50, "B")], [_tick(2, 700, 80)], [_tick(3, 701, 79), _tick(4, 702, 101), _tick(5, 703, 95)]]
     stream = _tick_files(spark, str(tmp_path / "in"), parts)

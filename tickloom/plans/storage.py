@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -590,31 +592,51 @@ def stream_alerts(spark, d):
     return present(streamed(spark, d, "alerts", stream), 6)
 
 
+#: Days that a bar may lie behind the newest one of earlier files.
+LATE_DAYS = 60
+
+
 @query(
     "st1_bar_ingest",
     "ST1 S1 S2 P13",
     oracle(
-        f"""SELECT * FROM (WITH v AS (SELECT instrument_id, event_time, receive_time, open, high, low, close FROM dirty_base
-                UNION ALL SELECT instrument_id, event_time, receive_time + INTERVAL 1 DAY, open, high, low, high FROM dirty_base WHERE rn % 97 = 0
-                UNION ALL SELECT instrument_id, event_time, receive_time + INTERVAL 2 DAY, open, high, abs(low), close FROM dirty_base WHERE rn % 131 = 0),
+        f"""SELECT * FROM (WITH b AS (SELECT *, CAST(least((year(event_time) - 1992) // 2, 3) AS INT) AS p FROM dirty_base),
+            v AS (SELECT instrument_id, event_time, receive_time, open, high, low, close, CASE WHEN rn % 61 = 0 THEN 3 ELSE p END AS f FROM b
+                UNION ALL SELECT instrument_id, event_time, receive_time, open, high, low, close, p + 1 FROM b
+                    WHERE rn % 61 <> 0 AND p < 3 AND year(event_time) % 2 = 1 AND month(event_time) = 12 AND day(event_time) > 16
+                UNION ALL SELECT instrument_id, event_time, receive_time + INTERVAL 1 DAY, open, high, low, high, p FROM b WHERE rn % 97 = 0
+                UNION ALL SELECT instrument_id, event_time, receive_time + INTERVAL 2 DAY, open, high, abs(low), close, p FROM b WHERE rn % 131 = 0),
             ok AS (SELECT * FROM v WHERE NOT (receive_time < event_time OR least(open, high, low, close) <= 0 OR high < low OR open > high OR open < low OR close > high OR close < low)),
-            k AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY instrument_id, event_time ORDER BY receive_time DESC) = 1)
-        SELECT instrument_id, count(*) AS bars, {r('sum(close)', 4)} AS close_sum, strftime(max(event_time), {STAMP}) AS last FROM k GROUP BY 1)"""
+            n AS (SELECT instrument_id, max(event_time) AS newest FROM ok WHERE f < 3 GROUP BY 1),
+            j AS (SELECT ok.*, f = 3 AND coalesce(event_time < newest - INTERVAL {LATE_DAYS} DAY, false) AS late FROM ok LEFT JOIN n USING (instrument_id)),
+            k AS (SELECT * FROM j WHERE NOT late QUALIFY row_number() OVER (PARTITION BY instrument_id, event_time ORDER BY receive_time DESC, close DESC) = 1)
+        SELECT instrument_id, count(*) AS bars, {r('sum(close)', 4)} AS close_sum, strftime(max(event_time), {STAMP}) AS last,
+            coalesce(any_value(l.late), 0) AS late FROM k LEFT JOIN (SELECT instrument_id, count(*) AS late FROM j WHERE late GROUP BY 1) l USING (instrument_id) GROUP BY 1)"""
     ),
 )
 def bar_ingest(spark, d):
     def build(path):
-        bars = t.dirty_base(spark, d).withColumn("trades", F.lit(1).cast("bigint"))
+        period = F.least(F.floor((F.year("event_time") - 1992) / 2), F.lit(3))
+        bars = t.dirty_base(spark, d).withColumns({"trades": F.lit(1).cast("bigint"), "period": period})
         later = lambda days: F.col("receive_time") + F.expr(f"INTERVAL {days} DAYS")
-        revised = bars.where("rn % 97 = 0").withColumns({"receive_time": later(1), "close": F.col("high")})
-        mended = bars.where("rn % 131 = 0").withColumns({"receive_time": later(2), "low": F.abs("low")})
-        # files in no order of time: versions of a bar lie in several
-        bars.unionByName(revised).unionByName(mended).repartition(6, F.xxhash64("instrument_id", "event_time", "receive_time")).write.parquet(path)
+        held = F.col("rn") % 61 == 0
+        ended = (F.year("event_time") % 2 == 1) & (F.month("event_time") == 12) & (F.dayofmonth("event_time") > 16)
+        first = bars.withColumn("file", F.when(held, 3).otherwise(F.col("period")))
+        again = bars.where(~held & ended & (F.col("period") < 3)).withColumn("file", F.col("period") + 1)
+        revised = bars.where("rn % 97 = 0").withColumns({"receive_time": later(1), "close": F.col("high"), "file": F.col("period")})
+        mended = bars.where("rn % 131 = 0").withColumns({"receive_time": later(2), "low": F.abs("low"), "file": F.col("period")})
+        every = first.unionByName(again).unionByName(revised).unionByName(mended)
+        # two years a file, in order: the last also brings bars that were held back, each file the end of the one before
+        for k in range(4):
+            every.where(F.col("file") == k).drop("file", "period").coalesce(1).write.mode("append").parquet(path)
+            time.sleep(0.05)
 
     source = _once(spark, d, "bar-files", build)
     made = store.BarStore(spark, shared_folder(spark, "ingested"))
-    stream = jobs.file_stream(spark, source, spark.read.parquet(source).schema, files=3)
-    run = jobs.ingest_bars(stream, made, "1d", shared_folder(spark, "quarantine"), shared_folder(spark, "ingest-state"))
-    run.awaitTermination()
-    df = made.view("1d", as_of="2100-01-01 00:00:00").groupBy("instrument_id")
-    return present(df.agg(F.count(F.lit(1)).alias("bars"), F.sum("close").alias("close_sum"), F.max("event_time").alias("last")), 4)
+    aside = shared_folder(spark, "quarantine")
+    stream = jobs.file_stream(spark, source, spark.read.parquet(source).schema, files=1)
+    jobs.ingest_bars(stream, made, "1d", aside, shared_folder(spark, "ingest-state"), LATE_DAYS * 86400.0).awaitTermination()
+    late = spark.read.parquet(aside).where("violation = 'late'").groupBy("instrument_id").agg(F.count(F.lit(1)).alias("late"))
+    bars = made.view("1d", as_of="2100-01-01 00:00:00").groupBy("instrument_id")
+    df = bars.agg(F.count(F.lit(1)).alias("bars"), F.sum("close").alias("close_sum"), F.max("event_time").alias("last"))
+    return present(df.join(late, "instrument_id", "left").withColumn("late", F.coalesce("late", F.lit(0).cast("bigint"))), 4)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,19 @@ class NoDataError(LookupError):
     """Nothing was ever written where a reader looks."""
 
 
-BAR_TABLE = T.StructType([*BAR.fields, T.StructField("timeframe", T.StringType()), T.StructField("year", T.IntegerType())])
+#: Rows come with the number of their write, below timeframe, month (199902) and state: compacted or appended.
+BAR_TABLE = T.StructType(
+    [
+        *BAR.fields,
+        T.StructField("write_id", T.LongType()),
+        T.StructField("timeframe", T.StringType()),
+        T.StructField("month", T.IntegerType()),
+        T.StructField("state", T.StringType()),
+    ]
+)
+BAR_KEY = ("instrument_id", "event_time")
+#: What orders versions of a bar: the write, then when it was received, then its values.
+BAR_VERSION = ("write_id", "receive_time", "close", "open", "high", "low", "volume")
 PANEL_TABLE = T.StructType([*PANEL.fields, T.StructField("venue", T.StringType()), T.StructField("session_date", T.DateType())])
 
 
@@ -70,18 +84,18 @@ def keep_last(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") == 1).drop("_r")
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str], version: tuple[str, ...] = ()) -> DataFrame:
-    """Existing rows with the new ones on top; the new row of a key wins.
-
-    With ``version`` the greatest version wins, however rows arrive, and the
-    newer write only breaks ties.
-    """
-    both = existing.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)))
-    return keep_last(both, keys, *version, "_batch").drop("_batch")
+def _month(moment: Column) -> Column:
+    return F.year(moment) * 100 + F.month(moment)
 
 
 class BarStore:
-    """Bars of every instrument, partitioned by timeframe and year."""
+    """Bars of every instrument, partitioned by timeframe and month.
+
+    A write appends its bars and reads nothing, so one day's bars cost one day.
+    Readers take the last version of each bar; months without appended bars
+    hold one version already and are read as they are.  ``compact`` merges
+    what was appended into its months, as a job of its own.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -91,35 +105,63 @@ class BarStore:
         return f"{self.root}/bars"
 
     def write(self, bars: DataFrame, timeframe: str, version: tuple[str, ...] = ()) -> int:
-        """Upsert; only the years the new bars touch are rewritten.
-
-        ``version`` names columns that order the versions of a bar; without it
-        the bar of this write wins.
+        """Append bars; the number of rows comes back.
 
-        The merged rows are staged first: a path is never overwritten while a
-        plan still reads it, and a failed job leaves the table as it was.
+        The bar of the later write wins.  With ``version`` (a prefix of what orders versions, from
+        ``receive_time`` on) writes do not order bars: the greatest version wins, however rows
+        arrive, and a repeated write changes nothing.
         """
         if timeframe not in TIMEFRAMES:
             raise ValueError(f"unknown timeframe {timeframe}")
-        new = conform_bars(bars).withColumns({"timeframe": F.lit(timeframe), "year": F.year("event_time")})
-        old = _exists(self.spark, self.path, BAR_TABLE)
-        if old is not None:
-            years = [r["year"] for r in new.select("year").distinct().collect()]  # a few dozen
-            touched = old.where((F.col("timeframe") == timeframe) & F.col("year").isin(years))
-            new = upsert(touched.select(*new.columns), new, ["instrument_id", "event_time"], version)
+        if version and tuple(version) != BAR_VERSION[1 : 1 + len(version)]:
+            raise ValueError(f"versions are ordered by {BAR_VERSION[1:]}")
+        number = F.lit(0 if version else time.time_ns())
+        new = conform_bars(bars).withColumns(
+            {"write_id": number.cast("long"), "timeframe": F.lit(timeframe), "month": _month(F.col("event_time")), "state": F.lit("appended")}
+        )
         stage = shared_folder(self.spark, "stage")
-        new.write.mode("overwrite").option("compression", "zstd").parquet(stage)
-        staged = self.spark.read.parquet(stage)
+        new.write.option("compression", "zstd").parquet(stage)  # a failed write leaves the table as it was
+        staged = self.spark.read.schema(new.schema).parquet(stage)
+        self._lay(staged, "append")
+        return staged.count()
+
+    def _lay(self, rows: DataFrame, mode: str) -> None:
         (
-            staged.hint("rebalance", "timeframe", "year")
-            .sortWithinPartitions("timeframe", "year", "instrument_id", "event_time")
-            .write.mode("overwrite")
+            rows.hint("rebalance", "timeframe", "month")
+            .sortWithinPartitions("timeframe", "month", "instrument_id", "event_time")
+            .write.mode(mode)
             .option("partitionOverwriteMode", "dynamic")
             .option("compression", "zstd")
-            .partitionBy("timeframe", "year")
+            .partitionBy("timeframe", "month", "state")
             .parquet(self.path)
         )
-        return staged.count()
+
+    def compact(self, timeframe: str) -> int:
+        """Merge appended bars into their months; the number of months comes back.
+
+        Only months with appended bars are rewritten, and only the appended files that were read are
+        removed, after the merged months are in place: a job that dies between finds the same
+        bars twice, which readers and the next run see as one.
+        """
+        table = self._table(timeframe)
+        appended = table.where(F.col("state") == "appended")
+        months = self._months(appended)
+        # the listing behind this table, which is not pruned by its filters
+        read = [f for f in appended.inputFiles() if f"/timeframe={timeframe}/" in f and "/state=appended/" in f]
+        if months:
+            merged = keep_last(table.where(F.col("month").isin(months)), list(BAR_KEY), *BAR_VERSION)
+            stage = shared_folder(self.spark, "stage")
+            merged.withColumn("state", F.lit("compacted")).write.option("compression", "zstd").parquet(stage)
+            self._lay(self.spark.read.schema(BAR_TABLE).parquet(stage), "overwrite")
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for name in read:
+            path = hadoop(name)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+        return len(months)
+
+    def _months(self, appended: DataFrame) -> list[int]:
+        """Months with appended bars: a few per year of data."""
+        return sorted(r["month"] for r in appended.select("month").distinct().collect())
 
     def _table(self, timeframe: str) -> DataFrame:
         table = _exists(self.spark, self.path, BAR_TABLE)
@@ -127,19 +169,33 @@ class BarStore:
             raise NoDataError(self.path)
         return table.where(F.col("timeframe") == timeframe)
 
+    def _current(self, timeframe: str, bounds: Column | None = None) -> DataFrame:
+        """The last version of every bar, of months within ``bounds``."""
+        table = self._table(timeframe)
+        if bounds is not None:
+            table = table.where(bounds)
+        months = self._months(table.where(F.col("state") == "appended"))
+        settled = table.where(~F.col("month").isin(months)) if months else table
+        if not months:
+            return settled
+        return settled.unionByName(keep_last(table.where(F.col("month").isin(months)), list(BAR_KEY), *BAR_VERSION))
+
     def view(self, timeframe: str, *, as_of: str, start: str | None = None, instrument: str | None = None) -> DataFrame:
-        """Bars known at ``as_of``; the year bound prunes partitions."""
+        """Current bars that were received by ``as_of``; the month bounds prune partitions."""
         moment = F.lit(as_of).cast("timestamp")
-        df = self._table(timeframe).where((F.col("year") <= F.year(moment)) & (F.col("receive_time") <= moment))
-        if start is not None:
-            begin = F.lit(start).cast("timestamp")
-            df = df.where((F.col("year") >= F.year(begin)) & (F.col("event_time") >= begin))
+        within = F.col("month") <= _month(moment)
+        begin = None if start is None else F.lit(start).cast("timestamp")
+        if begin is not None:
+            within &= F.col("month") >= _month(begin)
+        df = self._current(timeframe, within).where(F.col("receive_time") <= moment)
+        if begin is not None:
+            df = df.where(F.col("event_time") >= begin)
         if instrument is not None:
             df = df.where(F.col("instrument_id") == instrument)
         return df.select(*BAR.names).orderBy("instrument_id", "event_time")
 
     def coverage(self, timeframe: str) -> DataFrame:
-        return coverage(self._table(timeframe))
+        return coverage(self._current(timeframe))
 
     def instruments(self, timeframe: str) -> DataFrame:
         return self._table(timeframe).select("instrument_id").distinct()
