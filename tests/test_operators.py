@@ -374,3 +374,31 @@ def test_unit_roots_equal_the_plain_regressions(spark):
         if k != "turns":  # differences and levels depend on each other
             assert abs(got[k][0] - plain_adf(x - x.mean())) < 1e-6, k  # products of levels far from zero are inexact
         assert abs(got[k][1] - plain_kpss(x)) < 1e-9, k
+
+
+def test_keyed_permutation_is_one(spark):
+    rows = [(n, i, b) for n in (1, 2, 3, 17, 83) for i in range(n) for b in range(200)]
+    df = spark.createDataFrame(rows, "n bigint, i bigint, b bigint")
+    got = resampling.permuted(df, "i", "n", F.col("b") * 1000003 + 7, "at").collect()
+    places = {}
+    for r in got:
+        places.setdefault((r["n"], r["b"]), []).append(r["at"])
+    assert all(sorted(p) == list(range(n)) for (n, _), p in places.items())
+    # every row goes everywhere about equally often, and two rows move independently
+    counts = np.zeros((17, 17))
+    for r in got:
+        if r["n"] == 17:
+            counts[r["i"], r["at"]] += 1
+    assert ((counts - 200 / 17) ** 2 / (200 / 17)).sum() < 16 * 16 + 4 * math.sqrt(2 * 16 * 16)
+
+
+def test_permutation_test_tells_signal_from_noise(spark):
+    rng = np.random.default_rng(8)
+    start = dt.datetime(2020, 1, 1)
+    bench = rng.normal(0, 0.01, 250)
+    series = {"better": bench + 0.003 + rng.normal(0, 0.002, 250), "same": rng.permutation(bench)}
+    rows = [(k, start + dt.timedelta(days=i), float(x)) for k, v in series.items() for i, x in enumerate(v)]
+    returns = spark.createDataFrame(rows, "name string, event_time timestamp, ret double")
+    base = spark.createDataFrame([(start + dt.timedelta(days=i), float(x)) for i, x in enumerate(bench)], "event_time timestamp, ret double")
+    got = {r["name"]: r for r in resampling.permutation_test(returns, base, ["name"], 500).collect()}
+    assert got["better"]["p_value"] < 0.02 and 0.3 < got["same"]["p_value"] < 0.7 and abs(got["same"]["observed"]) < 1e-9

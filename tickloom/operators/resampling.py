@@ -1,8 +1,10 @@
 """Bootstraps, permutations, overfitting statistics and the gauntlet.
 
-A series is one row with an array of its returns, as long as the calendar.
-Resamples are rows too, spread over the cluster; each draws from the array with
-a reproducible integer generator, so nothing is drawn on the driver.
+Draws are functions of a row and a draw number, by a reproducible integer
+generator, so nothing is drawn on the driver.  Where order does not count, each
+row joins every draw where it lies and only sums per draw travel.  Where it
+does, a series is one row with an array of its returns, as long as the calendar;
+it crosses the network once for a block of draws.
 """
 
 from __future__ import annotations
@@ -26,10 +28,35 @@ def series_arrays(returns: DataFrame, keys: list[str], order: str = "event_time"
     return returns.groupBy(*keys).agg(F.transform(ordered, lambda x: x["ret"]).alias("r")).withColumn("n", F.size("r"))
 
 
-def resamples(series: DataFrame, count: int) -> DataFrame:
-    """One row per series and resample, spread by resample."""
-    rows = series.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    return rows.repartition(F.col("b"))
+#: Draws that share one copy of their series.
+DRAW_BLOCK = 64
+#: Rounds of a permutation.
+ROUNDS = 24
+
+
+def resamples(series: DataFrame, count: int, keys: list[str]) -> DataFrame:
+    """One row per series and resample ``b``, spread over tasks by series and block of resamples."""
+    last = (count - 1) // DRAW_BLOCK
+    blocks = series.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(last)))).repartition(*keys, "_block")
+    first = F.col("_block") * DRAW_BLOCK
+    draws = F.sequence(first, F.least(first + (DRAW_BLOCK - 1), F.lit(count - 1)))
+    return blocks.withColumn("b", F.explode(draws)).drop("_block")
+
+
+def permuted(df: DataFrame, position: str, size: str, seed: Column, out: str, rounds: int = ROUNDS) -> DataFrame:
+    """``out``: where a keyed permutation of ``[0, size)`` takes ``position``.
+
+    Each round pairs every place with its mirror image around a keyed point and swaps or keeps the pair by
+    a keyed bit.  Both places of a pair compute the same bit, so each round, and the whole, is a
+    permutation of exactly ``size`` places for any size and key, from the row alone.
+    """
+    df = df.withColumn(out, F.col(position).cast("bigint"))
+    for k in range(rounds):
+        point = mix(F.lit(2 * k), seed) % F.col(size)
+        df = df.withColumn("_y", F.pmod(point - F.col(out), F.col(size)))
+        bit = mix(F.greatest(out, "_y"), seed, F.lit(2 * k + 1)) % 2
+        df = df.withColumn(out, F.when(bit == 1, F.col("_y")).otherwise(F.col(out)))
+    return df.drop("_y")
 
 
 def array_sharpe(df: DataFrame, values: str, out: str, periods: int = 252) -> DataFrame:
@@ -74,7 +101,7 @@ def _interval(sampled: DataFrame, keys: list[str], confidence: float) -> DataFra
 def bootstrap_sharpe(series: DataFrame, keys: list[str], count: int = 2000, seed: int = 7, confidence: float = 0.95, periods: int = 252) -> DataFrame:
     """Confidence interval of the Sharpe ratio from independent draws."""
     usable = array_sharpe(series.where("n >= 4"), "r", "point", periods)
-    rows = resamples(usable, count)
+    rows = resamples(usable, count, keys)
     draw = F.transform(
         _positions(F.col("n")),
         lambda i: F.element_at("r", (mix(i, F.col("b") * 1000003 + seed) % F.col("n") + 1).cast("int")),
@@ -85,7 +112,7 @@ def bootstrap_sharpe(series: DataFrame, keys: list[str], count: int = 2000, seed
 def block_bootstrap(series: DataFrame, keys: list[str], block: int = 20, count: int = 2000, seed: int = 7, periods: int = 252) -> DataFrame:
     """The same from contiguous blocks, cut to the length of the series."""
     usable = array_sharpe(series.where(F.col("n") >= 2 * block), "r", "point", periods)
-    rows = resamples(usable, count)
+    rows = resamples(usable, count, keys)
     starts = F.col("n") - block + 1
 
     def pick(i: Column) -> Column:
@@ -102,17 +129,30 @@ def shuffled(values: str, seed: Column) -> Column:
     return F.transform(F.array_sort(tagged), lambda t: t["x"])
 
 
-def permutation_test(series: DataFrame, benchmark: DataFrame, keys: list[str], count: int = 2000, seed: int = 7, periods: int = 252) -> DataFrame:
-    """Share of random re-splits whose Sharpe difference reaches the observed one."""
-    bench = benchmark.select(F.col("r").alias("q"))
-    both = series.join(F.broadcast(bench), F.lit(True), "left").where((F.col("n") >= 4) & (F.size("q") >= 4))
-    both = array_sharpe(array_sharpe(both, "r", "_a", periods), "q", "_b", periods)
-    rows = resamples(both.withColumns({"observed": F.col("_a") - F.col("_b"), "pool": F.concat("r", "q")}), count)
-    order = rows.withColumn("o", shuffled("pool", F.col("b") * 1000003 + seed))
-    split = order.withColumns({"l": F.slice("o", F.lit(1), F.col("n")), "m": F.slice("o", F.col("n") + 1, F.size("q"))})
-    scored = array_sharpe(array_sharpe(split, "l", "_x", periods), "m", "_y", periods)
-    extreme = F.count_if(F.col("_x") - F.col("_y") >= F.col("observed"))
-    return scored.groupBy(*keys).agg(
+def permutation_test(returns: DataFrame, benchmark: DataFrame, keys: list[str], count: int = 2000, seed: int = 7, periods: int = 252, order: str = "event_time") -> DataFrame:
+    """Share of random re-splits whose Sharpe difference reaches the observed one.
+
+    ``returns`` has a row per series and time, ``benchmark`` a row per time.  The rows of a series and of
+    the benchmark form one pool; a draw takes as many of it as the series has.  Which side a row falls
+    on in a draw is a function of its number, so rows meet their draws where they lie.
+    """
+    numbered = lambda df, *by: df.withColumn("_i", F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1)
+    own = numbered(returns.where(F.col("ret").isNotNull()).select(*keys, order, "ret"), *keys)
+    sizes = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    other = numbered(benchmark.where(F.col("ret").isNotNull()).select(order, "ret").withColumn("_one", F.lit(0)), "_one").drop("_one")
+    held = sizes.join(F.broadcast(other.agg(F.count(F.lit(1)).alias("_q"))), F.lit(True)).where("_n >= 4 and _q >= 4").withColumn("_size", F.col("_n") + F.col("_q"))
+    mine = own.join(held, keys).select(*keys, "_n", "_size", "ret", "_i")
+    # the benchmark's rows once per series
+    theirs = held.join(other, F.lit(True)).select(*keys, "_n", "_size", "ret", (F.col("_i") + F.col("_n")).alias("_i"))
+    pool = mine.unionByName(theirs)
+    r = F.col("ret")
+    both = lambda left: sharpe(F.when(left, r), periods=periods) - sharpe(F.when(~left, r), periods=periods)
+    observed = pool.groupBy(*keys).agg(both(F.col("_i") < F.col("_n")).alias("observed"))
+    drawn = pool.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    drawn = permuted(drawn, "_i", "_size", F.col("b") * 1000003 + seed, "_at")
+    gaps = drawn.groupBy(*keys, "b").agg(both(F.col("_at") < F.col("_n")).alias("_x"))
+    extreme = F.count_if(F.col("_x") >= F.col("observed"))
+    return gaps.join(F.broadcast(observed), keys).groupBy(*keys).agg(
         F.first("observed").alias("observed"), ((extreme + 1) / (F.count(F.lit(1)) + 1)).alias("p_value")
     )
 
@@ -120,7 +160,7 @@ def permutation_test(series: DataFrame, benchmark: DataFrame, keys: list[str], c
 def monte_carlo_drawdown(series: DataFrame, keys: list[str], count: int = 2000, seed: int = 7) -> DataFrame:
     """Drawdowns of the same trades in random order, against the realised one."""
     usable = series.where("n >= 2").withColumn("_real", array_drawdown(F.col("r")))
-    rows = resamples(usable, count).withColumn("o", shuffled("r", F.col("b") * 1000003 + seed))
+    rows = resamples(usable, count, keys).withColumn("o", shuffled("r", F.col("b") * 1000003 + seed))
     done = rows.withColumn("d", array_drawdown(F.col("o"))).groupBy(*keys).agg(
         F.first("_real").alias("realised_drawdown"),
         F.median("d").alias("median_drawdown"),

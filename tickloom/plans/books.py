@@ -20,7 +20,7 @@ LOOKBACKS, SKIPS = (60, 90, 126, 189, 252), (0, 5, 21)
 CONFIGS = [(k, s) for k in LOOKBACKS for s in SKIPS if s < k]
 COST = 0.001
 MONTHS = 12
-DRAWS = 200
+DRAWS = 2000
 SEEDS = 20
 
 
@@ -481,22 +481,33 @@ def block_bootstrap(spark, d):
     return present(rs.block_bootstrap(arrays(spark, d), ["config"], 20, DRAWS, periods=MONTHS))
 
 
+def _permuted_sql() -> str:
+    """``pos``: the place that the rounds of the keyed permutation take row ``k`` of ``size`` to."""
+    seed, out = "(b * 1000003 + 7)", f"SELECT config, ret, n, size, b, CAST(k AS BIGINT) AS pos FROM pool, (SELECT unnest(range({DRAWS})) AS b)"
+    for k in range(rs.ROUNDS):
+        point = mix_sql(str(2 * k), seed)
+        out = f"SELECT *, (({point} % size - pos) % size + size) % size AS y FROM ({out})"
+        bit = mix_sql("greatest(pos, y)", seed, str(2 * k + 1))
+        out = f"SELECT config, ret, n, size, b, CASE WHEN {bit} % 2 = 1 THEN y ELSE pos END AS pos FROM ({out})"
+    return out
+
+
 @query(
     "g3_permutation_test",
     "G3",
     sql(
         f"""SELECT CAST(config AS BIGINT) AS config, {r('any_value(observed)')} AS observed, {r('(count(*) FILTER (x >= observed) + 1) / (count(*) + 1)')} AS p_value
-        FROM (SELECT config, b, avg(ret) FILTER (rk <= n) / stddev_samp(ret) FILTER (rk <= n) * sqrt(12) - avg(ret) FILTER (rk > n) / stddev_samp(ret) FILTER (rk > n) * sqrt(12) AS x
-              FROM (SELECT *, row_number() OVER (PARTITION BY config, b ORDER BY {mix_sql('k', 'b * 1000003 + 7')}, k) AS rk FROM pool, (SELECT unnest(range({DRAWS})) AS b)) GROUP BY 1, 2)
+        FROM (SELECT config, b, avg(ret) FILTER (pos < n) / stddev_samp(ret) FILTER (pos < n) * sqrt(12) - avg(ret) FILTER (pos >= n) / stddev_samp(ret) FILTER (pos >= n) * sqrt(12) AS x
+              FROM ({_permuted_sql()}) GROUP BY 1, 2)
         JOIN (SELECT config, {_SR} - (SELECT {_SR} FROM arr WHERE config = 0) AS observed FROM arr GROUP BY 1) USING (config) WHERE config <> 0 GROUP BY config""",
         arr=ARR,
-        pool="""SELECT config, i AS k, ret, n FROM arr UNION ALL SELECT c.config, c.n + a.i, a.ret, c.n FROM arr a, (SELECT DISTINCT config, n FROM arr) c WHERE a.config = 0""",
+        pool="""SELECT *, count(*) OVER (PARTITION BY config) AS size FROM (SELECT config, i AS k, ret, n FROM arr
+            UNION ALL SELECT c.config, c.n + a.i, a.ret, c.n FROM arr a, (SELECT DISTINCT config, n FROM arr) c WHERE a.config = 0)""",
     ),
 )
 def permutation(spark, d):
-    series = arrays(spark, d)
-    first = series.where("config = 0")
-    return present(rs.permutation_test(series.where("config <> 0"), first, ["config"], DRAWS, periods=MONTHS))
+    months = sweep(spark, d).select("config", "event_time", "ret")
+    return present(rs.permutation_test(months.where("config <> 0"), months.where("config = 0"), ["config"], DRAWS, periods=MONTHS))
 
 
 @query(
