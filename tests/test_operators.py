@@ -379,7 +379,7 @@ def test_unit_roots_equal_the_plain_regressions(spark):
 def test_keyed_permutation_is_one(spark):
     rows = [(n, i, b) for n in (1, 2, 3, 17, 83) for i in range(n) for b in range(200)]
     df = spark.createDataFrame(rows, "n bigint, i bigint, b bigint")
-    got = resampling.permuted(df, "i", "n", F.col("b") * 1000003 + 7, "at").collect()
+    got = resampling.permuted(resampling.keyed(df, F.col("b") * 1000003 + 7), "i", "n", "at").collect()
     places = {}
     for r in got:
         places.setdefault((r["n"], r["b"]), []).append(r["at"])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.scalar import normal_cdf, normal_ppf
 from tickloom.operators.performance import VARIANCE_FLOOR, kurt, sharpe, skew
 from tickloom.operators.portfolio import mix
+from tickloom.session import checkpointed
 
 EULER = 0.5772156649015329
 
@@ -31,7 +32,7 @@ def series_arrays(returns: DataFrame, keys: list[str], order: str = "event_time"
 #: Draws that share one copy of their series.
 DRAW_BLOCK = 64
 #: Rounds of a permutation.
-ROUNDS = 24
+ROUNDS = 16
 
 
 def resamples(series: DataFrame, count: int, keys: list[str]) -> DataFrame:
@@ -43,8 +44,18 @@ def resamples(series: DataFrame, count: int, keys: list[str]) -> DataFrame:
     return blocks.withColumn("b", F.explode(draws)).drop("_block")
 
 
-def permuted(df: DataFrame, position: str, size: str, seed: Column, out: str, rounds: int = ROUNDS) -> DataFrame:
-    """``out``: where a keyed permutation of ``[0, size)`` takes ``position``.
+MODULUS = 2147483647
+
+
+def keyed(df: DataFrame, seed: Column, rounds: int = ROUNDS) -> DataFrame:
+    """``df`` with ``_keys``: per round of a permutation a point, a factor and an addend, from a seed."""
+    draw = lambda k: mix(F.lit(k), seed)
+    keys = [F.struct(draw(3 * k).alias("p"), (draw(3 * k + 1) + 1).alias("f"), draw(3 * k + 2).alias("a")) for k in range(rounds)]
+    return df.withColumn("_keys", F.array(*keys))
+
+
+def permuted(df: DataFrame, position: str, size: str, out: str, rounds: int = ROUNDS) -> DataFrame:
+    """``out``: where the keyed permutation of ``[0, size)`` takes ``position``, by the ``_keys`` of the row.
 
     Each round pairs every place with its mirror image around a keyed point and swaps or keeps the pair by
     a keyed bit.  Both places of a pair compute the same bit, so each round, and the whole, is a
@@ -52,9 +63,9 @@ def permuted(df: DataFrame, position: str, size: str, seed: Column, out: str, ro
     """
     df = df.withColumn(out, F.col(position).cast("bigint"))
     for k in range(rounds):
-        point = mix(F.lit(2 * k), seed) % F.col(size)
-        df = df.withColumn("_y", F.pmod(point - F.col(out), F.col(size)))
-        bit = mix(F.greatest(out, "_y"), seed, F.lit(2 * k + 1)) % 2
+        key = F.col("_keys")[k]
+        df = df.withColumn("_y", F.pmod(key["p"] % F.col(size) - F.col(out), F.col(size)))
+        bit = (F.greatest(out, "_y") * key["f"] + key["a"]) % MODULUS % 2
         df = df.withColumn(out, F.when(bit == 1, F.col("_y")).otherwise(F.col(out)))
     return df.drop("_y")
 
@@ -137,9 +148,10 @@ def permutation_test(returns: DataFrame, benchmark: DataFrame, keys: list[str],
     on in a draw is a function of its number, so rows meet their draws where they lie.
     """
     numbered = lambda df, *by: df.withColumn("_i", F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1)
-    own = numbered(returns.where(F.col("ret").isNotNull()).select(*keys, order, "ret"), *keys)
+    # both are read for sizes, the observed gap and the draws
+    own = checkpointed(numbered(returns.where(F.col("ret").isNotNull()).select(*keys, order, "ret"), *keys))
     sizes = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    other = numbered(benchmark.where(F.col("ret").isNotNull()).select(order, "ret").withColumn("_one", F.lit(0)), "_one").drop("_one")
+    other = checkpointed(numbered(benchmark.where(F.col("ret").isNotNull()).select(order, "ret").withColumn("_one", F.lit(0)), "_one").drop("_one"))
     held = sizes.join(F.broadcast(other.agg(F.count(F.lit(1)).alias("_q"))), F.lit(True)).where("_n >= 4 and _q >= 4").withColumn("_size", F.col("_n") + F.col("_q"))
     mine = own.join(held, keys).select(*keys, "_n", "_size", "ret", "_i")
     # the benchmark's rows once per series
@@ -148,8 +160,11 @@ def permutation_test(returns: DataFrame, benchmark: DataFrame, keys: list[str],
     r = F.col("ret")
     both = lambda left: sharpe(F.when(left, r), periods=periods) - sharpe(F.when(~left, r), periods=periods)
     observed = pool.groupBy(*keys).agg(both(F.col("_i") < F.col("_n")).alias("observed"))
-    drawn = pool.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    drawn = permuted(drawn, "_i", "_size", F.col("b") * 1000003 + seed, "_at")
+    draws = keyed(pool.sparkSession.range(count).withColumnRenamed("id", "b"), F.col("b") * 1000003 + seed)
+    # a small pool times its draws is work for all tasks, so it is not left to what its bytes suggest
+    spread = pool.repartition(int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_i")
+    # a row per draw, whatever the panel: every row of the pool is in every draw
+    drawn = permuted(spread.join(F.broadcast(draws), F.lit(True)), "_i", "_size", "_at")
     gaps = drawn.groupBy(*keys, "b").agg(both(F.col("_at") < F.col("_n")).alias("_x"))
     extreme = F.count_if(F.col("_x") >= F.col("observed"))
     return gaps.join(F.broadcast(observed), keys).groupBy(*keys).agg(

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tickloom.functions.windows import by, simple_return
-from tickloom.operators import ledger, performance, pit, stationarity
+from tickloom.operators import factors, ledger, performance, pit, quality, stationarity
 from tickloom.operators import portfolio as po
 from tickloom.operators import resampling as rs
 from tickloom.plans import tables as t
 from tickloom.plans.registry import query
 from tickloom.plans.statistics import PAIRS, top_pairs
 from tickloom.plans.tables import oracle, present, r, rows
+from tickloom.sizing import small
 
 W = "OVER (PARTITION BY symbol ORDER BY event_time)"
 STAMP = "'%Y-%m-%d %H:%M:%S'"
@@ -21,6 +23,8 @@ CONFIGS = [(k, s) for k in LOOKBACKS for s in SKIPS if s < k]
 COST = 0.001
 MONTHS = 12
 DRAWS = 2000
+#: Months at the end that nothing but the last check looks at.
+LOCKED_MONTHS = 12
 SEEDS = 20
 
 
@@ -81,6 +85,11 @@ def dates(spark, d):
     return t.rebalance_dates(spark, d)
 
 
+def view_of(panel, spark, d):
+    """Momentum features of ``panel`` as they are known at each rebalance date."""
+    return po.decision_view(po.momentum_features(panel, LOOKBACKS, SKIPS), dates(spark, d))
+
+
 def view(spark, d):
     features = po.momentum_features(t.panel_smooth(spark, d), LOOKBACKS, SKIPS)
     features = po.zscore_features(po.sma_features(features, 20, 50), 60)
@@ -483,12 +492,13 @@ def block_bootstrap(spark, d):
 
 def _permuted_sql() -> str:
     """``pos``: the place that the rounds of the keyed permutation take row ``k`` of ``size`` to."""
-    seed, out = "(b * 1000003 + 7)", f"SELECT config, ret, n, size, b, CAST(k AS BIGINT) AS pos FROM pool, (SELECT unnest(range({DRAWS})) AS b)"
+    draw = lambda k: mix_sql(f"{k}::BIGINT", "(b * 1000003 + 7)")
+    keys = ", ".join(f"{draw(3 * k)} AS p{k}, {draw(3 * k + 1)} + 1 AS f{k}, {draw(3 * k + 2)} AS a{k}" for k in range(rs.ROUNDS))
+    out = f"SELECT *, CAST(k AS BIGINT) AS pos FROM pool, (SELECT b, {keys} FROM (SELECT unnest(range({DRAWS})) AS b))"
     for k in range(rs.ROUNDS):
-        point = mix_sql(str(2 * k), seed)
-        out = f"SELECT *, (({point} % size - pos) % size + size) % size AS y FROM ({out})"
-        bit = mix_sql("greatest(pos, y)", seed, str(2 * k + 1))
-        out = f"SELECT config, ret, n, size, b, CASE WHEN {bit} % 2 = 1 THEN y ELSE pos END AS pos FROM ({out})"
+        out = f"SELECT *, ((p{k} % size - pos) % size + size) % size AS y{k} FROM ({out})"
+        swap = f"(greatest(pos, y{k}) * f{k} + a{k}) % {rs.MODULUS} % 2 = 1"
+        out = f"SELECT * REPLACE (CASE WHEN {swap} THEN y{k} ELSE pos END AS pos) FROM ({out})"
     return out
 
 
@@ -656,15 +666,21 @@ def parameter_sweep(spark, d):
 
 
 def gauntlet_results(spark, d):
-    """Every check that the data can feed, for each swept configuration."""
+    """The twelve checks for each swept configuration."""
     named = F.concat(F.lit("momentum-"), F.col("config").cast("string")).alias("strategy")
+    n = rows(spark, d)
     # a row per configuration and month, read by every check
     swept = sweep(spark, d).select(named, "config", "event_time", "ret", "gross_ret", "turnover").persist(StorageLevel.DISK_ONLY)
     base = swept.select("strategy", "config", "event_time", "ret")
     own = base.groupBy("strategy", "config").agg(performance.sharpe(F.col("ret"), periods=MONTHS).alias("sharpe"))
     tripled_costs = swept.select("strategy", (F.col("gross_ret") - F.col("turnover") * COST * 3.0).alias("ret"))
-    middle = F.lit("1999-01-01").cast("timestamp")
-    walked = base.withColumn("in_sample", F.col("event_time") < middle)
+    # the months in order, a row each: three fifths to develop on, then walk forward, the last year locked
+    months = base.select("event_time").distinct().withColumn("_all", F.lit(0))
+    own_month = Window.partitionBy("_all").orderBy("event_time")
+    months = months.select("event_time", F.row_number().over(own_month).alias("month"), F.count(F.lit(1)).over(Window.partitionBy("_all")).alias("months"))
+    dated = base.join(small(months, n), "event_time")
+    opened, locked = dated.where(F.col("month") <= F.col("months") - LOCKED_MONTHS), dated.where(F.col("month") > F.col("months") - LOCKED_MONTHS)
+    walked = opened.withColumn("in_sample", F.col("month") <= 0.6 * F.col("months"))
     near = own.select(F.col("strategy"), F.col("config")).join(
         own.select((F.floor(F.col("config") / 3)).alias("_group"), F.col("sharpe")), F.floor(F.col("config") / 3) == F.col("_group")
     )
@@ -672,12 +688,34 @@ def gauntlet_results(spark, d):
     placebos_ = placebo(spark, d).groupBy("seed").agg(performance.sharpe(F.col("ret"), periods=MONTHS).alias("sharpe"))
     spread = own.select("strategy").join(F.broadcast(placebos_), F.lit(True), "left").select("strategy", "sharpe")
     names = own.select("strategy")
-    clean = names.withColumn("critical", F.lit(0))
+    flagged = quality.flagged_bars(t.panel_smooth(spark, d), "1d", rows=n)
+    critical = quality.findings(flagged).agg(F.count_if(F.col("severity") == "CRITICAL").alias("critical"))
+    clean = names.join(F.broadcast(critical), F.lit(True), "left")
+    # every configuration again, on prices that are false behind the cutoff
+    panel = t.panel_smooth(spark, d)
+    false = view_of(pit.corrupt_future(panel, 0.7), spark, d)
+    twin = po.evaluate(sweep_weights(false, n), po.holding_returns(false), dates(spark, d), ["config"], COST)
+    cutoff = panel.agg(F.percentile(F.unix_seconds("event_time"), F.lit(0.3)).alias("_t"))
+    pairs = base.join(twin.select("config", "event_time", F.col("ret").alias("corrupted_ret")), ["config", "event_time"])
+    pairs = pairs.join(F.broadcast(cutoff), F.unix_seconds("event_time") < F.col("_t"))
+    # every configuration on samples of the names: sample and configuration are keys of one evaluation
+    seen = view_of(panel, spark, d)
+    kept = rs.dropout_names(panel.select("symbol", "sym_no").distinct(), DROP_SAMPLES, rows=n).select("sample", "symbol")
+    sampled = po.evaluate(sweep_weights(seen.join(kept, "symbol"), n, ["sample"]), po.holding_returns(seen), dates(spark, d), ["sample", "config"], COST)
+    dropped = sampled.groupBy(named, "sample").agg(performance.sharpe(F.col("ret"), periods=MONTHS).alias("sharpe"))
+    market = factors.add_market_return(panel, n).where(F.col("market_ret").isNotNull()).select("event_time", "market_ret").distinct()
+    labels = stationarity.regime_slices(market.withColumns({"_one": F.lit(0), "ret": F.col("market_ret")}), ["_one"])
+    labels = labels.select(F.to_date("event_time").alias("_day"), "regime").distinct()
+    regimes = base.withColumn("_day", F.to_date("event_time")).join(small(labels, n), "_day").select("strategy", "regime", "ret")
     shuffled = rs.monte_carlo_drawdown(rs.series_arrays(base, ["strategy"]), ["strategy"], DRAWS)
     pbo = rs.backtest_overfitting(base.select("config", "event_time", "ret"), []).select("pbo")
     overfit = names.join(F.broadcast(pbo), F.lit(True), "left")
     return names, [
         rs.check_data_integrity(clean),
+        rs.check_look_ahead(pairs),
+        rs.check_universe_dropout(dropped),
+        rs.check_regimes(regimes, MONTHS),
+        rs.check_locked(locked, periods=MONTHS),
         rs.check_cost_sensitivity(tripled_costs, MONTHS),
         rs.check_walk_forward(walked, MONTHS),
         rs.check_parameter_plateau(near.select("strategy", "sharpe")),
