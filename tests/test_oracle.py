@@ -15,7 +15,8 @@ CHECKED = [
     "r1_reversal_ic", "k16_downside_beta", "r9_orthogonalised", "a2_universe_schedule", "j1_resolve_symbols",
     "j6_asof_scores", "c4_inferred_splits", "q1_quality_findings", "pf_summary", "ts1_hurst", "x2_ledoit_wolf",
     "co1_nse_delivery", "l2_positions", "l6_equity_curve", "rk4_verdicts", "po9_evaluation", "g6_overfitting_probability",
-    "s15_vendor_bars", "e2_period_mismatches", "st2_tick_bars",
+    "s15_vendor_bars", "e2_period_mismatches", "st2_tick_bars", "st1_bar_ingest", "x9_leaf_order", "x9_hierarchical_weights", "ts3_fixed_order",
+    "ts4_kpss",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
