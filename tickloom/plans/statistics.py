@@ -476,7 +476,7 @@ def leaf_order(spark, d):
 HALVES = {
     **MERGES,
     "inv": "SELECT l.i, position AS p, 1 / value AS s FROM leaves l JOIN shrunk c ON c.i = l.i AND c.j = l.i",
-    "halves": f"""SELECT 0::BIGINT AS b, {NAMES}::BIGINT AS e, -1::BIGINT AS pb, -1::BIGINT AS pe UNION ALL
+    "halves": """SELECT 0::BIGINT AS b, (SELECT count(*) FROM leaves) AS e, -1::BIGINT AS pb, -1::BIGINT AS pe UNION ALL
         SELECT CASE WHEN h = 0 THEN b ELSE b + (e - b) // 2 END, CASE WHEN h = 0 THEN b + (e - b) // 2 ELSE e END, b, e
         FROM halves, (SELECT unnest([0, 1]) AS h) WHERE e - b > 1""",
     "risk": """SELECT b, e, pb, pe, sum(value * x.s * y.s) / (sum(CASE WHEN x.i = y.i THEN x.s ELSE 0 END) ** 2) AS v FROM halves
