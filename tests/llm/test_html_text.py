@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -85,6 +86,74 @@ def test_heads_and_mute_elements_without_end_tags(page, want):
     assert h.main_text(page) == want
 
 
+BROKEN = ["<a ", '<p x="', "<p x='", "<!", "<script ", "<!--", "<a \"<b '", '<p x="y" ', "<a \"'", "</div ", '<a b="<a<a', "<p x=\"'\" y='\"'", "</script", "<div class=", "&#", "< "]
+
+
+@pytest.mark.parametrize("form", BROKEN)
+def test_a_long_page_of_broken_tags_takes_linear_time(form):
+    start = time.process_time()
+    h.main_text(form * (1_000_000 // len(form)))
+    h.main_text("<article><p>ab" + form * (1_000_000 // len(form)))
+    assert time.process_time() - start < 8
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "</p>" * 100_000, "<svg>" + "<g>" * 100_000 + "</p>" * 100_000, "<div class=ad>" * 60_000 + "x", "<div class=ad><p>x" * 40_000])
+def test_deep_nesting_takes_linear_time(page):
+    start = time.process_time()
+    h.main_text(page)
+    assert time.process_time() - start < 8
+
+
+@pytest.mark.parametrize("shell", ['<div class="layout with-sidebar">', '<div class="page has-sidebar">', '<div id="search-page">', '<form action="/x">', '<div class="page-header-fixed"><div class="menu-open">'])
+@pytest.mark.parametrize("inner", ["<article><h1>Title</h1><p>{0}</p></article>", "<div><h1>Title</h1><p>{0}</p></div>", "<h2>Title</h2><p>{0}</p><p>{0}</p>"])
+def test_a_wrapper_is_no_furniture(shell, inner):
+    page = f"<body><nav>Menu</nav>{shell}{inner.format(LONG)}<div class=sidebar><p>{LONG[:80]}</p></div></div></div></form><footer>end</footer>"
+    assert h.main_text(page).split("\n") == ["Title"] + [LONG.strip()] * inner.count("{0}")
+
+
+def test_named_furniture_stays_out():
+    for name in ("class=comments", "class=discussion", "id=comments", 'class="sidebar"', 'class="ad"'):
+        page = f"<article><h1>Title</h1><p>{LONG}</p></article><section {name}><h2>Discussion</h2><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section>"
+        got = h.main_text(page)
+        if name in ("class=comments", "class=discussion", "id=comments"):
+            assert got == f"Title\n{LONG.strip()}"
+    page = f"<article><h1>T</h1><p>{LONG}</p><section id=discussion><h2>Discussion</h2><p>{LONG}</p></section></article>"
+    assert h.main_text(page).count(LONG.strip()) == 2
+    assert h.main_text(f"<div class=cookie-notice>{LONG}</div>") == ""
+    assert h.main_text(f"<div class=comments><article><p>{LONG}</p></article><article><p>{LONG}</p></article></div>") == ""
+
+
+def test_short_pages_without_containers():
+    text = LONG[:121].strip()
+    assert h.main_text(f"<nav>Menu</nav><p>{text}</p>") == h.main_text(f"<p>{text}</p>") == text
+    half = LONG[:100].strip()
+    assert h.main_text(f"<nav>Menu</nav><p>{half} <button>Press</button> {half}<p>{LONG}") == f"{half} {half}\n{LONG.strip()}"
+    assert h.main_text(f"<p>{half} <select><option>a<option>b</select> {half}<p>{LONG}") == f"{half} {half}\n{LONG.strip()}"
+
+
+def test_scripts_and_languages_without_stop_words():
+    russian = "Это история города на холме и людей, которые жили там столько, сколько они себя помнили. " * 3
+    italian = "Questa storia parla della città sulla collina, degli abitanti rimasti lassù molti anni. " * 3
+    for prose in (russian.strip(), italian.strip()):
+        assert h.main_text(f"<nav>Menu</nav><div><p>{prose}</p><p>{prose}</p></div><footer>end</footer>") == f"{prose}\n{prose}"
+
+
+def test_given_pages_without_their_containers(spark):
+    """Every given page, its article made a plain division: furniture all goes, long dense blocks all stay.
+
+    The prose of these pages is made of random syllables, so that some of its blocks have no stop word.
+    """
+    kept = whole = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        inner = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
+        page = r.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        inside = {b.text for b in h.blocks_of(f"<div>{inner}</div>")}
+        got = set(h.main_text(page).split("\n")) - {""}
+        assert got <= inside and {t for t in inside if len(t) > h.LONG and h._stop_density(t) >= h.STOP_HIGH} <= got
+        kept, whole = kept + sum(map(len, got)), whole + sum(map(len, inside))
+    assert kept > 0.9 * whole, kept / whole
+
+
 def test_long_page_drops_nothing():
     parts = [f"Paragraph {i} of the text &amp; more" for i in range(20_000)]
     page = "<nav>menu</nav><article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article>"
