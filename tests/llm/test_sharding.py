@@ -70,3 +70,17 @@ def test_report_reads_written_texts(spark, monkeypatch):
     back = spark.read.parquet(seen[0]).selectExpr("doc_id", "crc32(cast(coalesce(text, '') as binary))", "shard", "slot", "text").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(repr(tuple(r)[:4]) for r in back)
     assert sorted(repr(r.text) for r in back) == sorted(repr(r[1]) for r in rows)
+
+
+def test_every_bucket_has_a_task_of_its_own(spark):
+    df = spark.createDataFrame([(i, "x" * 99) for i in range(3000)], "doc_id long, text string")
+    out = sharding.external_shuffle(df, ["doc_id"], sharding.F.lit(100), bucket_bytes=10_000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = out.groupBy(sharding.F.spark_partition_id().alias("task")).agg(sharding.F.count_distinct("bucket").alias("n")).collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(tasks) == 30 and {t.n for t in tasks} == {1}
+    # records move once, by the number of their bucket
+    assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("Exchange hashpartitioning") == 1

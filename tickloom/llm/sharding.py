@@ -41,9 +41,9 @@ def external_shuffle(
     ).withColumn("bucket", F.pmod(F.col("record.h"), F.lit(buckets)).cast("int"))
 
     # the order before the draw is fixed, so that the seed alone decides; one
-    # bucket is one row, and rows of a task come in bucket order
+    # bucket is one row of one task: rows go to the task of their bucket's number
     gathered = (
-        keyed.repartition(buckets, "bucket")
+        keyed.repartitionById(buckets, F.col("bucket"))
         .groupBy("bucket")
         .agg(F.array_sort(F.collect_list("record")).alias("records"))
         .sortWithinPartitions("bucket")
