@@ -87,3 +87,9 @@ def test_prediction_ignores_label_source_and_id(spark, model):
     df = spark.createDataFrame([(1, "under the with is de la", "en"), (4, "under the with is de la", "fr")], SCHEMA)
     a, b = lid.predict(df, model).collect()
     assert (a.lang_pred, a.score) == (b.lang_pred, b.score)
+
+
+def test_numerals_are_no_letters(spark, model):
+    assert lid.words_of("½ ² ① Ⅷ 12_3") == [] and lid.words_of("x²y ab½ c") == ["x", "y", "ab", "c"]
+    rows = lid.predict(spark.createDataFrame([(1, "½ ² ①", None), (2, "Ⅷ", "en")], SCHEMA), model).collect()
+    assert {(r.lang_pred, r.score) for r in rows} == {("und", 0.0)}

@@ -19,13 +19,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import materialised
+
 WORD = re.compile(r"[^\W\d_]+")
 UNDEFINED = "und"
 #: Hashed n-gram features, and the longest n-gram.
@@ -36,10 +38,16 @@ PIECE, PIECES = 24, 3
 CHUNK, PASS = 32, 300_000
 #: Words whose emissions a task remembers.
 REMEMBERED = 200_000
+#: Languages whose row counts may be broadcast.
+BROADCAST_LANGUAGES = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters; other numerals than digits, which the pattern lets pass, part words as digits do."""
+    found = WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return ["".join(run) for word in found for letters, run in groupby(word, str.isalpha) if letters]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -268,7 +276,9 @@ def train(docs: DataFrame, rows: int = 400, steps: int = 100) -> Model | None:
     hashed = labelled.withColumn("h", F.xxhash64(F.lit(3), F.col("doc_id"), F.col("text")))
     draw = F.pmod("h", F.lit(1 << 30))
     # a language of any size sends about four times the rows it needs to the task that ranks them
-    sizes = hashed.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = materialised(hashed.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    # a few rows, so that no language's rows meet in one task before they are thinned
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes
     thin = hashed.select("lang", "h", draw.alias("draw")).join(sizes, "lang").where(F.col("draw").cast("double") * F.col("n") < 4.0 * rows * (1 << 30))
     order = Window.partitionBy("lang").orderBy("draw", "h")
     chosen = thin.select("lang", "h", "draw").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).select("lang", "h")
