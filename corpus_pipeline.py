@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontamination, jaccard, language_id, line_templates, sentencepieces
-from tickloom.llm.common import materialised, table
+from tickloom.llm.common import discard, materialised, table
 
 #: Mean posterior below which no language is sure enough of a text.
 LEAST_SCORE = 0.4
@@ -55,7 +55,9 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     rest = materialised(docs.where(f"{FILLED} or text is null"), "filled")
     given = table(spark, sf_dir, "documents").join(rest.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    single = materialised(jaccard.keep_one(materialised(jaccard.without_copies(rest, given), "whole")), "single")
+    whole = materialised(jaccard.without_copies(rest, given), "whole")
+    single = materialised(jaccard.keep_one(whole), "single")
+    discard(rest, whole)
     out = line_templates.dedup_lines(single, min_docs=PASSAGE_DOCS, min_tokens=PASSAGE_TOKENS)
     return _measured(out).where(f"n_lines_dropped = 0 or {FILLED}").select(*docs.columns)
 
