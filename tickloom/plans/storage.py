@@ -14,7 +14,7 @@ from tickloom.plans.registry import query
 from tickloom.plans.tables import oracle, present, r, rows
 from tickloom.session import shared_folder
 from tickloom.sources import bars as store
-from tickloom.sources import feeds
+from tickloom.sources import exchange_files, feeds, merkle
 from tickloom.streaming import jobs
 
 STAMP = "'%Y-%m-%d %H:%M:%S'"
@@ -202,6 +202,44 @@ def pending(spark, d):
     return present(feeds.pending_files(files, t.panel_raw(spark, d).select(F.col("session").alias("session_date")).distinct()))
 
 
+def daily_folder(spark, d) -> str:
+    """The panel as one file a session: even months plain, odd months in the legacy layout and zipped, some days broken."""
+    t_ = {"open": "%.4f", "high": "%.4f", "low": "%.4f", "close": "%.4f"}
+
+    def build(path):
+        session = F.col("session")
+        odd = F.month("session") % 2 == 1
+        plain = F.concat(F.lit("bhav_"), F.date_format("session", "yyyyMMdd"), F.lit(".csv"))
+        zipped = F.concat(F.lit("cm"), F.upper(F.date_format("session", "ddMMMyyyy")), F.lit("bhav.csv.zip"))
+        rows_ = t.panel_raw(spark, d).select(
+            F.when(odd, zipped).otherwise(plain).alias("file"), (F.dayofmonth(session) % 11 == 0).alias("broken"), "symbol",
+            F.when(F.col("trades") > 1, " BE ").otherwise(" EQ ").alias("series"), *[F.format_string(f, c).alias(c) for c, f in t_.items()],
+            F.col("volume").cast("bigint").cast("string").alias("volume"), F.col("amount").cast("string").alias("value"),
+            F.col("trades").cast("string").alias("trades"), F.element_at(F.split("instrument_id", ":"), -1).alias("isin"),
+        )
+        exchange_files.write_daily_files(rows_, path).count()
+
+    return _once(spark, d, "daily-files", build)
+
+
+@query(
+    "s14_ingest_folder",
+    "S11 S12 S14",
+    oracle(
+        f"""SELECT strftime(session, {DAY}) AS session, CASE WHEN y < 1993 THEN 'skipped' WHEN broken THEN 'failed' WHEN eq = 0 THEN 'empty' ELSE 'ok' END AS status,
+            CASE WHEN y < 1993 OR broken THEN 0 ELSE eq END AS bars, {r('CASE WHEN y < 1993 THEN volume WHEN NOT broken THEN eq_volume END', 2)} AS stored
+            FROM (SELECT session, year(session) AS y, day(session) % 11 = 0 AS broken, CAST(count(*) FILTER (trades = 1) AS BIGINT) AS eq, sum(volume) AS volume,
+                  sum(volume) FILTER (trades = 1) AS eq_volume FROM panel_raw GROUP BY session)"""
+    ),
+)
+def ingest_folder(spark, d):
+    made = store.PanelStore(spark, shared_folder(spark, "ingested"))
+    made.write(t.panel_raw(spark, d).where(F.year("session") < 1993))
+    outcomes = exchange_files.ingest_folder(made, daily_folder(spark, d))
+    stored = made.view(as_of="2100-01-01").groupBy(F.to_date("event_time").alias("session")).agg(F.sum("volume").alias("stored"))
+    return present(outcomes.join(stored, "session", "left").select("session", "status", "bars", "stored"), 2)
+
+
 VENDOR = {
     "vendor": """SELECT instrument_id, date_trunc('hour', event_time) AS bar_open, min_by(price, sequence) AS open, max(price) AS high, min(price) AS low,
         max_by(price, sequence) AS close, CAST(count(*) AS DOUBLE) AS volume, count(*) AS trades, min(sequence) AS seq FROM ticks GROUP BY 1, 2"""
@@ -276,6 +314,71 @@ def changed(spark, d):
     return present(feeds.changed_files(before, after))
 
 
+_MAPS = {
+    "map_before": "SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS digest FROM documents WHERE lang <> 'fr' OR lang IS NULL",
+    "map_after": """SELECT CAST(doc_id AS VARCHAR) AS path, sha256(CASE WHEN n_chars % 7 = 0 THEN text || '.' ELSE text END) AS digest
+        FROM documents WHERE source <> (SELECT min(source) FROM documents)""",
+}
+
+
+def _maps(spark, d):
+    docs = t.load(spark, d, "documents")
+    path = F.col("doc_id").cast("string").alias("path")
+    before = docs.where((F.col("lang") != "fr") | F.col("lang").isNull()).select(path, F.sha2("text", 256).alias("digest"))
+    text = F.when(F.col("n_chars") % 7 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    after = docs.where(F.col("source") != docs.agg(F.min("source")).scalar()).select(path, F.sha2(text, 256).alias("digest"))
+    return before, after
+
+
+def _tree(spark, d, name):
+    def build(path):
+        merkle.write_tree(_maps(spark, d)[name == "after"], path, MERKLE_DEPTH)
+
+    return merkle.read_tree(spark, _once(spark, d, f"merkle-{name}", build))
+
+
+MERKLE_DEPTH = 3
+
+
+def _merkle_ctes(source: str) -> dict[str, str]:
+    entry = "path || chr(1) || coalesce(digest, '')"
+    out = {
+        "level3": f"SELECT substr(sha256(path), 1, 3) AS node, sha256(string_agg({entry}, chr(2) ORDER BY path COLLATE \"C\", digest)) AS digest, count(*) AS entries FROM {source} GROUP BY 1"
+    }
+    for level in (2, 1, 0):
+        out[f"level{level}"] = (
+            f"SELECT substr(node, 1, {level}) AS node, sha256(string_agg(node || chr(1) || digest, chr(2) ORDER BY node)) AS digest, "
+            f"CAST(sum(entries) AS BIGINT) AS entries FROM level{level + 1} GROUP BY 1"
+        )
+    return out
+
+
+@query(
+    "s17_merkle_tree",
+    "S17 F13",
+    oracle(
+        "SELECT * FROM (" + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS level, node, digest, entries FROM level{i}" for i in range(4)) + ")",
+        {**_MAPS, **dict(reversed(_merkle_ctes("map_before").items()))},
+    ),
+)
+def merkle_tree(spark, d):
+    return present(_tree(spark, d, "before").select("level", "node", "digest", "entries"))
+
+
+@query(
+    "s17_merkle_changes",
+    "S17 U4",
+    oracle(
+        """SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change
+           FROM map_before a FULL JOIN map_after b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.digest IS DISTINCT FROM b.digest""",
+        _MAPS,
+    ),
+)
+def merkle_changes(spark, d):
+    before, after = _maps(spark, d)
+    return present(merkle.changes(before, after, _tree(spark, d, "before"), _tree(spark, d, "after"), MERKLE_DEPTH))
+
+
 @query(
     "s17_sampled_fingerprint",
     "S17 T4",
