@@ -30,6 +30,11 @@ def money_up(col: Column) -> Column:
     return F.ceil(col, F.lit(2))
 
 
+def clip(col: Column, low: float, high: float) -> Column:
+    """Value held within ``[low, high]``; null stays null, not a number goes to ``high`` as Spark's greatest value."""
+    return F.when(col.isNotNull(), F.greatest(F.least(col, F.lit(high)), F.lit(low)))
+
+
 def to_tick(price: Column, tick: Column) -> Column:
     """Nearest multiple of the tick, halves to even."""
     return F.bround(price / tick, 0) * tick

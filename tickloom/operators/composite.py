@@ -179,10 +179,25 @@ def redundant_pairs(correlations: DataFrame, threshold: float = REDUNDANT) -> Da
     return correlations.where("left <> right").where(F.abs("rho") >= threshold).select("left", "right", "rho")
 
 
+def signal_counts(table: DataFrame, names: list[str]) -> DataFrame:
+    """``(factor, signals, rows)``: finite signals of every factor over all rows."""
+    counts = table.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(finite(F.col(n))).alias(n) for n in names])
+    return counts.unpivot(["rows"], names, "factor", "signals").select("factor", "signals", "rows")
+
+
 def skipped_factors(table: DataFrame, names: list[str]) -> DataFrame:
     """Factors without one finite signal: their lookback exceeds the window."""
-    counts = table.agg(*[F.count_if(finite(F.col(n))).alias(n) for n in names])
-    return counts.unpivot([], names, "factor", "signals").where("signals = 0")
+    return signal_counts(table, names).where("signals = 0").drop("rows")
+
+
+def covered_factors(table: DataFrame, names: list[str], least: float = 0.0) -> list[str]:
+    """Factors whose signals are at least ``least`` of all rows, and not none, in the order of ``names``.
+
+    A composite keeps complete rows only, so one factor with few signals would leave few rows to
+    all.  One row of counts comes to the driver.
+    """
+    kept = {r["factor"] for r in signal_counts(table, names).where((F.col("signals") > 0) & (F.col("signals") >= least * F.col("rows"))).collect()}
+    return [n for n in names if n in kept]
 
 
 def ic_weights(

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.functions.stats import finite
-from tickloom.operators import calendar, corpactions, joins, pit, quality, screener, universe
+from tickloom.operators import calendar, corpactions, joins, pit, quality, screener, sketches, universe
 from tickloom.plans import tables as t
 from tickloom.plans.registry import query
 from tickloom.plans.research import EXTRA
 from tickloom.plans.tables import oracle, present, r, rows
+from tickloom.session import shared_folder
 
 DAY = "'%Y-%m-%d'"
 STAMP = "'%Y-%m-%d %H:%M:%S'"
@@ -380,6 +381,39 @@ def liquid(spark, d):
     return present(universe.most_liquid(t.panel_raw(spark, d), 25), 4)
 
 
+SKETCHED = {"windowed_values": "SELECT symbol, close * volume AS value FROM panel_raw WHERE session >= DATE '1994-02-01' AND session < DATE '1997-05-01'"}
+_kept: dict[tuple[str, str], str] = {}
+
+
+def value_sketches(spark, d):
+    """Sketches of the panel, written once per application and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _kept:
+        path = shared_folder(spark, "value-sketches")
+        sketches.monthly_sketches(t.panel_raw(spark, d)).write.parquet(path)
+        _kept[key] = path
+    return spark.read.parquet(_kept[key])
+
+
+@query(
+    "p4_liquid_by_sketch",
+    "P4 A10",
+    oracle("SELECT symbol FROM windowed_values GROUP BY symbol HAVING median(value) >= 60000", SKETCHED),
+)
+def liquid_by_sketch(spark, d):
+    names = sketches.liquid_names(value_sketches(spark, d), t.panel_raw(spark, d), 60000.0, "1994-02-10", "1997-04-20")
+    return present(names.select("symbol"))
+
+
+@query(
+    "a10_most_liquid_by_sketch",
+    "A10 T1",
+    oracle(f"SELECT symbol, {r('m', 4)} AS median_value FROM (SELECT symbol, median(value) AS m FROM windowed_values GROUP BY 1) ORDER BY m DESC, symbol LIMIT 25", SKETCHED),
+)
+def most_liquid_by_sketch(spark, d):
+    return present(sketches.most_liquid(value_sketches(spark, d), t.panel_raw(spark, d), 25, "1994-02-10", "1997-04-20"), 4)
+
+
 # ---- screens ----------------------------------------------------------------
 
 SCREEN = screener.Screen(window=700, min_adv=30000.0, min_bars=120, min_price=5.0, limit=20)
@@ -876,6 +910,30 @@ def scalars(spark, d):
     )
 
 
+@query(
+    "f8_number_functions",
+    "F8",
+    oracle(
+        f"""SELECT symbol, strftime(session, {DAY}) AS session, {r('ret')} AS ret, {r('ln(close)')} AS log_close, {r('sqrt(volume)')} AS root_volume,
+            {r('CASE WHEN ret IS NOT NULL THEN greatest(least(ret, 0.01), -0.01) END')} AS clipped, {r('coalesce(ret, 0)')} AS filled, coalesce(isfinite(odd), false) AS is_finite
+            FROM (SELECT *, CASE WHEN rn % 5 = 0 THEN 'NaN'::DOUBLE WHEN rn % 7 = 0 THEN '-Infinity'::DOUBLE ELSE ret END AS odd
+                  FROM (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY event_time) - 1 AS ret FROM panel_smooth))"""
+    ),
+)
+def numbers(spark, d):
+    from tickloom.functions.scalar import clip
+    from tickloom.functions.windows import simple_return
+
+    df = t.panel_smooth(spark, d).withColumn("ret", simple_return())
+    odd = F.when(F.col("rn") % 5 == 0, F.lit(float("nan"))).when(F.col("rn") % 7 == 0, F.lit(float("-inf"))).otherwise(F.col("ret"))
+    return present(
+        df.select(
+            "symbol", "session", "ret", F.ln("close").alias("log_close"), F.sqrt("volume").alias("root_volume"),
+            clip(F.col("ret"), -0.01, 0.01).alias("clipped"), F.coalesce("ret", F.lit(0.0)).alias("filled"), finite(odd).alias("is_finite"),
+        )
+    )
+
+
 @query(
     "f12_json_details",
     "F12",

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from tickloom.functions import windows
 from tickloom.operators import composite, factors, pit, scoring
 from tickloom.operators.corpactions import COMMON_RATIOS
 from tickloom.plans.registry import query
@@ -14,9 +14,12 @@ from tickloom.plans.tables import oracle, panel_raw, panel_smooth, panel_split,
 
 ADV = 40000.0
 YEAR_SHORT = 126
-#: Factors of the overlap and of composites.  The two that are left out look back
-#: over most of the given panel: with them, hardly a row would be complete.
+#: Least share of rows with a signal: rarer factors leave hardly a complete row to a composite.
+LEAST_SIGNALS = 0.25
+#: Factors that reach it on the given panel, as the SQL twins list them.
 MIX = [f for f in factors.FACTORS if f not in ("residual_momentum", "seasonality")]
+_mixes: dict[tuple[str, str], list[str]] = {}
+
 
 # ---- SQL twins -------------------------------------------------------------
 
@@ -178,6 +181,14 @@ def table(spark: SparkSession, d: str, names) -> DataFrame:
     return factors.factor_table(prepared(spark, d), tuple(names), year=YEAR_SHORT, sessions=rows(spark, d))
 
 
+def mixed(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """Factors with enough signals on the whole panel, and their table."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _mixes:
+        _mixes[key] = composite.covered_factors(table(spark, d, factors.FACTORS), list(factors.FACTORS), LEAST_SIGNALS)
+    return table(spark, d, _mixes[key]), _mixes[key]
+
+
 # ---- flagship --------------------------------------------------------------
 
 
@@ -422,6 +433,38 @@ def every_factor(spark, d):
 
 # ---- composites ------------------------------------------------------------
 
+@query(
+    "w3_falling_market_means",
+    "W3 J3",
+    oracle(
+        f"""SELECT symbol, strftime(event_time, '%Y-%m-%d') AS session, {r('mean_down')} AS mean_down FROM (
+            SELECT symbol, event_time, {full('avg', 'd_r', 252, 30)} AS mean_down FROM (
+                SELECT s.symbol, s.event_time, CASE WHEN market_ret < 0 THEN ret END AS d_r FROM smooth_ret s LEFT JOIN smooth_market USING (event_time)))""",
+        {
+            "smooth_ret": f"SELECT symbol, event_time, close / {lag('close', 1)} - 1 AS ret FROM panel_smooth",
+            "smooth_market": "SELECT event_time, avg(ret) AS market_ret FROM smooth_ret WHERE ret IS NOT NULL GROUP BY 1",
+        },
+    ),
+)
+def falling_market_means(spark, d):
+    df = factors.add_market_return(panel_smooth(spark, d), rows(spark, d))
+    down = F.when(F.col("market_ret") < 0, F.col("ret"))
+    means = windows.rolling(F.avg, down, 252, min_samples=30).alias("mean_down")
+    return present(df.select("symbol", F.to_date("event_time").alias("session"), means))
+
+
+@query(
+    "p12_signals_alone",
+    "P12 P3",
+    oracle(f"SELECT strftime(event_time, '%Y-%m-%d') AS session, symbol, {r('signal')} AS signal FROM ({scored_sql('reversal_5d')})", EXTRA),
+)
+def signals_alone(spark, d):
+    """What a strategy may see of a scored panel: it is refused while forward returns are in it."""
+    df = scored(spark, d, "reversal_5d")
+    blind = pit.refuse_forward_columns(df.drop(*[c for c in df.columns if c.startswith("fwd_")]))
+    return present(blind.select(F.to_date("event_time").alias("session"), "symbol", "signal"))
+
+
 SESSION = "event_time"
 _COMPLETE = " AND ".join(f"{n} IS NOT NULL" for n in MIX)
 COMPLETE = {**EXTRA, "wide": table_sql(MIX), "complete": f"SELECT * FROM wide WHERE {_COMPLETE}"}
@@ -440,7 +483,7 @@ RANKED = {**COMPLETE, "ranked": _RANKED}
     oracle(f'SELECT "left", "right", {r("rho")} AS rho, observations FROM ({PAIRS_SQL})', RANKED),
 )
 def overlap(spark, d):
-    return present(composite.factor_correlations(table(spark, d, MIX), MIX, rows(spark, d)))
+    return present(composite.factor_correlations(*mixed(spark, d), rows(spark, d)))
 
 
 @query(
@@ -453,13 +496,13 @@ def overlap(spark, d):
     ),
 )
 def effective(spark, d):
-    pairs = composite.factor_correlations(table(spark, d, MIX), MIX, rows(spark, d))
+    pairs = composite.factor_correlations(*mixed(spark, d), rows(spark, d))
     return present(composite.overlap_summary(pairs).drop("first_component"))
 
 
 @query("r8_first_component", "R8 X4")
 def first_component(spark, d):
-    pairs = composite.factor_correlations(table(spark, d, MIX), MIX, rows(spark, d))
+    pairs = composite.factor_correlations(*mixed(spark, d), rows(spark, d))
     return present(composite.overlap_summary(pairs).select("first_component"))
 
 
@@ -469,7 +512,7 @@ def first_component(spark, d):
     oracle(f'SELECT "left", "right", {r("rho")} AS rho FROM ({PAIRS_SQL}) WHERE "left" <> "right" AND abs(rho) >= 0.05', RANKED),
 )
 def redundant(spark, d):
-    pairs = composite.factor_correlations(table(spark, d, MIX), MIX, rows(spark, d))
+    pairs = composite.factor_correlations(*mixed(spark, d), rows(spark, d))
     return present(composite.redundant_pairs(pairs, 0.05))
 
 
@@ -477,15 +520,13 @@ def redundant(spark, d):
     "r8_skipped_factors",
     "R8",
     oracle(
-        "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS factor, count({n}) AS signals FROM recent" for n in factors.FACTORS) + ") WHERE signals = 0",
-        {**EXTRA, "wide": table_sql(list(factors.FACTORS)), "recent": "SELECT * FROM wide QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY event_time) <= 400"},
+        " UNION ALL ".join(f"SELECT '{n}' AS factor, count({n}) AS signals, count({n}) = 0 AS skipped FROM wide" for n in factors.FACTORS),
+        {**EXTRA, "wide": table_sql(list(factors.FACTORS))},
     ),
 )
 def skipped(spark, d):
-    # signals over the first 400 sessions of each name: long lookbacks have none yet
-    place = F.row_number().over(W.partitionBy("symbol").orderBy("event_time"))
-    wide = table(spark, d, factors.FACTORS).withColumn("_place", place).where("_place <= 400")
-    return present(composite.skipped_factors(wide, list(factors.FACTORS)))
+    counts = composite.signal_counts(table(spark, d, factors.FACTORS), list(factors.FACTORS))
+    return present(counts.withColumn("skipped", F.col("signals") == 0).drop("rows"))
 
 
 Z_SQL = "SELECT event_time, symbol, fwd_1, fwd_5, fwd_21, fwd_63, " + ", ".join(
@@ -503,8 +544,9 @@ Z_SQL = "SELECT event_time, symbol, fwd_1, fwd_5, fwd_21, fwd_63, " + ", ".join(
     ),
 )
 def zscores(spark, d):
-    df = composite.zscore_by_session(composite.complete_rows(table(spark, d, MIX), MIX), MIX, rows(spark, d))
-    return present(df.select(F.to_date("event_time").alias("session"), "symbol", *MIX))
+    wide, names = mixed(spark, d)
+    df = composite.zscore_by_session(composite.complete_rows(wide, names), names, rows(spark, d))
+    return present(df.select(F.to_date("event_time").alias("session"), "symbol", *names))
 
 
 def _gram_schmidt_ctes(names: list[str]) -> dict[str, str]:
@@ -547,9 +589,10 @@ ORTHO = {**COMPLETE, "zscored": Z_SQL, **_gram_schmidt_ctes(MIX)}
 )
 def orthogonal(spark, d):
     n = rows(spark, d)
-    df = composite.zscore_by_session(composite.complete_rows(table(spark, d, MIX), MIX), MIX, n)
-    df = composite.orthogonalise(df, MIX, sessions=n)
-    return present(df.select(F.to_date("event_time").alias("session"), "symbol", *MIX), 6)
+    wide, names = mixed(spark, d)
+    df = composite.zscore_by_session(composite.complete_rows(wide, names), names, n)
+    df = composite.orthogonalise(df, names, sessions=n)
+    return present(df.select(F.to_date("event_time").alias("session"), "symbol", *names), 6)
 
 
 WEIGHTS = {
@@ -562,9 +605,9 @@ WEIGHTS = {
 
 @query("r10_ic_weights", "R10", oracle(f"SELECT factor, {r('weight')} AS weight FROM weights", WEIGHTS))
 def weights(spark, d):
-    joined = composite.complete_rows(table(spark, d, MIX), MIX)
-    wide = composite.ic_weights(joined, MIX, 21, rows=rows(spark, d))
-    return present(wide.unpivot([], MIX, "factor", "weight"))
+    wide, names = mixed(spark, d)
+    found = composite.ic_weights(composite.complete_rows(wide, names), names, 21, rows=rows(spark, d))
+    return present(found.unpivot([], names, "factor", "weight"))
 
 
 _COMPOSITE = " + ".join(f"{n} * (SELECT weight FROM weights WHERE factor = '{n}')" for n in MIX)
@@ -581,6 +624,6 @@ _COMPOSITE = " + ".join(f"{n} * (SELECT weight FROM weights WHERE factor = '{n}'
 def combined(spark, d):
     n = rows(spark, d)
     # read by the weights and by the scores; lost blocks are recomputed
-    wide = table(spark, d, MIX).persist(StorageLevel.DISK_ONLY)
-    df = composite.combine_factors(wide, MIX, 21, rows=n, sessions=n)
+    wide, names = mixed(spark, d)
+    df = composite.combine_factors(wide.persist(StorageLevel.DISK_ONLY), names, 21, rows=n, sessions=n)
     return present(df.select(F.to_date("event_time").alias("session"), "symbol", "signal", "fwd_21"), 6)
