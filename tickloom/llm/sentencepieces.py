@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -85,17 +86,35 @@ class Encoder:
             if len(text) == 1:
                 self.singles.add(text)
         self.automaton.make_automaton()
+        self.sizes = {i: len(text) for text, i in known}
         self.byte_ids = pieces.byte_ids
         self.penalty = min((pieces.scores[i] for _, i in known), default=0.0) - 10
         self.divides = not any("\n" in t or re.search("[^ ] ", t) for t, _ in known)
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.found: list[np.ndarray] = []
+        #: units met since the last turn, and those of the turn before
+        self.young: dict[str, array] = {}
+        self.old: dict[str, array] = {}
+
+    def of_pieces(self, unit: str) -> list[int]:
+        """Ids of the best segmentation of ``unit``, each of whose characters is a piece."""
+        n, sizes = len(unit), self.sizes
+        best, piece = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        for last, (size, score, i) in self.automaton.iter(unit):
+            last += 1
+            if (total := best[last - size] + score) > best[last]:
+                best[last], piece[last] = total, i
+        out, end = [], n
+        while end:
+            out.append(piece[end])
+            end -= sizes[piece[end]]
+        return out[::-1]
 
     def best(self, unit: str) -> list[int]:
         """Ids of the best segmentation of ``unit``, blanks standing for the meta symbol."""
+        if self.singles.issuperset(unit):
+            return self.of_pieces(unit)
         n, singles, penalty = len(unit), self.singles, self.penalty
         best, back = [0.0] + [-math.inf] * n, [(0, 0)] * (n + 1)
         at = 0
@@ -123,35 +142,36 @@ class Encoder:
             end = start
         return out[::-1]
 
-    def solve(self, unit: str) -> np.ndarray:
+    def solve(self, unit: str) -> array:
         """Blanks are meta symbols here; the symbol itself goes by its bytes."""
-        parts = []
+        parts = array("i")
         for k, part in enumerate(unit.split(META)):
             if k:
-                parts += [self.byte_ids[b] for b in META.encode()]
-            parts += self.best(part)
-        return np.asarray(parts, np.int32)
+                parts.extend(self.byte_ids[b] for b in META.encode())
+            parts.extend(self.best(part))
+        return parts
+
+    def remembered(self, unit: str) -> array:
+        """Pieces of a unit that was not met since the last turn; half of what is remembered is dropped a turn, the half not met."""
+        ids = self.old.get(unit)
+        if ids is None:
+            ids = self.solve(unit)
+        if len(unit) <= LONG_UNIT:
+            self.young[unit] = ids
+            if len(self.young) * 2 >= REMEMBERED:
+                self.young, self.old = {}, self.young
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
         text = " " + text
         if not self.divides:
-            return self.solve(text)
-        if len(self.numbers) > REMEMBERED:
-            self.clear()
-        out, numbers, found = [], self.numbers, self.found
+            return np.asarray(self.solve(text), np.int32)
+        out = array("i")
         for unit in UNIT.findall(text):
-            number = numbers.get(unit)
-            if number is None:
-                ids = self.solve(unit)
-                if len(unit) <= LONG_UNIT:
-                    numbers[unit] = len(found)
-                    found.append(ids)
-                out.append(ids)
-            else:
-                out.append(found[number])
-        return np.concatenate(out)
+            out += self.young.get(unit) or self.remembered(unit)
+        return np.asarray(out, np.int32)
 
 
 def _list_array(rows: list[np.ndarray | None]) -> pa.Array:
