@@ -16,7 +16,8 @@ CHECKED = [
     "j6_asof_scores", "c4_inferred_splits", "q1_quality_findings", "pf_summary", "ts1_hurst", "x2_ledoit_wolf",
     "co1_nse_delivery", "l2_positions", "l6_equity_curve", "rk4_verdicts", "po9_evaluation", "g6_overfitting_probability",
     "s15_vendor_bars", "e2_period_mismatches", "st2_tick_bars", "st1_bar_ingest", "x9_leaf_order", "x9_hierarchical_weights", "ts3_fixed_order",
-    "ts4_kpss",
+    "ts4_kpss", "w3_falling_market_means", "p4_liquid_by_sketch", "a10_most_liquid_by_sketch", "f8_number_functions", "p12_signals_alone",
+    "s17_merkle_tree", "s17_merkle_changes", "r8_skipped_factors",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
