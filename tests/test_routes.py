@@ -161,3 +161,37 @@ def test_quality_routes_agree(spark, walk):
     df = df.unionByName(df.limit(5))
     found = [quality.findings(quality.flagged_bars(df, "1d", True, None, r)).drop("sample") for r in (1000, None)]
     assert found[0].exceptAll(found[1]).count() == 0 and found[0].count() > 0
+
+
+def test_bounds_count_groups_where_the_footers_are_too_large(spark, monkeypatch):
+    import duckdb
+
+    from tickloom import sizing
+    from tickloom.plans import tables as t
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(sizing, "TASK_ROWS", 4000)
+    ask = lambda sql: duckdb.execute(sql.format(f"'{folder}/lineitem.parquet'")).fetchall()[0][0]
+    assert t.lines(spark, folder) > sizing.TASK_ROWS
+    assert t.rows(spark, folder) == ask("SELECT greatest(count(DISTINCT l_suppkey), count(DISTINCT CAST(l_shipdate AS DATE))) FROM {}")
+    largest = "SELECT max(n) FROM (SELECT count(*) AS n FROM {} GROUP BY l_suppkey, l_partkey % 20)"
+    assert t.fill_rows(spark, folder, ["account", "instrument"]) == ask(largest)
+    from tickloom.plans import REGISTRY
+
+    plan = REGISTRY["l2_positions"].run(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "_chunk" not in plan
+
+
+def test_split_routes_cut_alike_in_every_branch(spark):
+    df = _skewed(spark, 500)
+    for split in (with_ordinal_rank(df, "signal", "symbol", "r", ["event_time"], None), with_average_ranks(df, {"r": "signal"}, ["event_time"], None)):
+        assert "percentile_approx" not in split._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chunked_positions_read_their_fills_once_a_step(spark):
+    fills = spark.range(200).selectExpr(
+        "1 AS account", "id AS t", "if(id % 3 = 0, 'SELL', 'BUY') AS side", "cast(5 as decimal(18,4)) quantity",
+        "cast(10 + id % 7 as decimal(18,4)) price", "cast(0 as decimal(18,4)) fees",
+    )
+    done = ledger.positions(ledger.fill_columns(fills), ["account"], ["t"], None, F.floor(F.col("t") / 50))
+    assert "Range (0, 200" not in done._jdf.queryExecution().optimizedPlan().toString()

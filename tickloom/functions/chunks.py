@@ -2,7 +2,8 @@
 
 A hot key is cut along its own order into chunks.  Each chunk is processed
 alone; what it needs from earlier rows is a small state per chunk, carried over
-a table with one row per chunk.
+a table with one row per chunk.  The cut rows are read twice, so they are written
+once: steps that follow each other would double their work with every step.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.session import checkpointed
 from tickloom.sizing import fits_task
 
 
@@ -36,7 +38,7 @@ def with_previous(
     if fits_task(rows):
         w = W.partitionBy(*keys).orderBy(*order)
         return df.withColumns({f"prev_{v}": F.lag(v).over(w) for v in values})
-    cut = df.withColumn("_chunk", _given(chunk))
+    cut = checkpointed(df.withColumn("_chunk", _given(chunk)))
     w = W.partitionBy(*keys, "_chunk").orderBy(*order)
     inner = cut.withColumns({f"prev_{v}": F.lag(v).over(w) for v in values} | {"_i": F.row_number().over(w)})
     last = F.max_by(F.struct(*values), F.struct(*order))
@@ -66,7 +68,7 @@ def with_running_sum(
     if fits_task(rows):
         w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumns({name: F.sum(col).over(w) for name, col in sums.items()})
-    cut = df.withColumn("_chunk", _given(chunk))
+    cut = checkpointed(df.withColumn("_chunk", _given(chunk)))
     totals = cut.groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_chunk", *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in sums])

@@ -262,7 +262,7 @@ SCHEDULE = {"schedule": universe_sql("rebalance_dates")}
 
 
 def schedule(spark, d):
-    return universe.universe_schedule(t.panel_raw(spark, d), t.rebalance_dates(spark, d), RULES, rows(spark, d))
+    return universe.universe_schedule(t.panel_raw(spark, d), t.rebalance_dates(spark, d), RULES, t.lines(spark, d))
 
 
 @query(
@@ -498,7 +498,7 @@ def requests(spark, d):
     ),
 )
 def resolved(spark, d):
-    df = joins.resolve_symbols(requests(spark, d), t.aliases(spark, d), rows(spark, d, "part"))
+    df = joins.resolve_symbols(requests(spark, d), t.aliases(spark, d), t.lines(spark, d, "part"))
     return present(df.select("o_orderkey", F.coalesce("instrument_id", F.lit("unresolved")).alias("instrument_id")))
 
 
@@ -757,7 +757,7 @@ CONTINUOUS = {"flagged": _FLAGGED, "findings": findings_sql("missing_bars")}
 
 
 def found(spark, d, continuous=False):
-    flagged = quality.flagged_bars(t.dirty_bars(spark, d), "1d", continuous, "seq", rows(spark, d))
+    flagged = quality.flagged_bars(t.dirty_bars(spark, d), "1d", continuous, "seq", 2 * rows(spark, d))
     return quality.findings(flagged)
 
 

@@ -2,12 +2,15 @@
 
 An operator that would hold a whole group in one task, or broadcast a side,
 first needs a bound on it.  Bounds come from Parquet footers (``count()`` with
-no columns reads nothing else).  With no bound, or one that is too large, the
-operator takes the route that splits the group.
+no columns reads nothing else) or, where a table has more rows than a task may
+hold, from counting its groups over the key columns alone.  With no bound, or
+one that is too large, the operator takes the route that splits the group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,16 +19,21 @@ TASK_ROWS = 5_000_000
 #: Bytes of a broadcast side, before the driver and every executor hold it.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
-_footers: dict[tuple, int] = {}
+_counts: dict[tuple, int] = {}
 
 
-def footer_rows(spark: SparkSession, path: str) -> int:
-    """Row count of a Parquet path from its footers, remembered while its files are the same."""
+def counted(spark: SparkSession, path: str, what: str, count: Callable[[], int]) -> int:
+    """A count over a Parquet path, remembered under ``what`` while its files are the same."""
     files = spark.read.schema("_ int").parquet(path).inputFiles()  # a listing, nothing is read
-    key = (spark.sparkContext.applicationId, path, hash(frozenset(files)))
-    if key not in _footers:
-        _footers[key] = spark.read.parquet(path).count()
-    return _footers[key]
+    key = (spark.sparkContext.applicationId, path, hash(frozenset(files)), what)
+    if key not in _counts:
+        _counts[key] = count()
+    return _counts[key]
+
+
+def footer_rows(spark: SparkSession, path: str) -> int:
+    """Row count of a Parquet path from its footers."""
+    return counted(spark, path, "rows", lambda: spark.read.parquet(path).count())
 
 
 def fits_task(rows: int | None) -> bool:
