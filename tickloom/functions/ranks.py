@@ -50,9 +50,11 @@ def with_ordinal_rank(
 
 
 def _cuts(df: DataFrame, value: str, session: list[str], name: str) -> DataFrame:
+    # Approximate quantiles differ with the order rows arrive in, and every branch
+    # of a plan must cut alike: they are computed once and written.
     points = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    return df.groupBy(*session).agg(
-        F.array_distinct(F.percentile_approx(value, points, F.lit(1000))).alias(name)
+    return checkpointed(
+        df.groupBy(*session).agg(F.array_distinct(F.percentile_approx(value, points, F.lit(1000))).alias(name))
     )
 
 
