@@ -7,7 +7,7 @@ from tickloom.plans import REGISTRY
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["l7_book_weights", "rk7_halt", "rk7_reconciliation"])
+@pytest.mark.parametrize("name", ["l7_book_weights", "rk7_halt", "rk7_reconciliation", "rk9_alerts"])
 def test_the_ledger_runs_once(spark, name):
     df = REGISTRY[name].run(spark, FOLDER)
     plan = df._jdf.queryExecution().withCachedData().toString()
