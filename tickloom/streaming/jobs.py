@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,7 +66,8 @@ TAKEN = ("new", "revision")
 class _Versions(StatefulProcessor):
     """Tells new bars, revisions, repeats and late bars apart, per instrument.
 
-    The state holds the newest bar time and, of each bar time within the delay, the versions seen.  A
+    The state holds the newest bar time and, of each bar time within the delay, the versions seen: one
+    value, read and written once a batch, since a call for each bar costs more than the bar.  A
     bar is late if it lies behind the newest one of *earlier* batches by more than the delay, so what
     is older than that need not be remembered.
     """
@@ -74,11 +76,11 @@ class _Versions(StatefulProcessor):
         self.delay = int(delay * 1e6)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "at bigint")
-        self.seen = handle.getMapState("seen", "at bigint", "versions string")
+        self.known = handle.getValueState("known", "newest bigint, versions string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = self.newest.get()[0] if self.newest.exists() else None
+        newest, versions = self.known.get() if self.known.exists() else (None, "{}")
+        seen = {int(when): marks for when, marks in json.loads(versions).items()}
         limit = None if newest is None else newest - self.delay
         for frame in rows:
             at, version = frame["at__"].to_numpy(), frame["version__"].to_numpy()
@@ -88,16 +90,15 @@ class _Versions(StatefulProcessor):
                 if limit is not None and when < limit:
                     outcome[k] = "late"
                     continue
-                known = self.seen.getValue((when,))[0].split(",") if self.seen.containsKey((when,)) else []
-                outcome[k] = "repeat" if mark in known else "revision" if known else "new"
-                if mark not in known:
-                    self.seen.updateValue((when,), (",".join([*known, mark]),))
+                marks = seen.setdefault(when, [])
+                outcome[k] = "repeat" if mark in marks else "revision" if marks else "new"
+                if mark not in marks:
+                    marks.append(mark)
                 newest = when if newest is None else max(newest, when)
             yield frame.assign(violation=outcome).drop(columns=["at__", "version__"])
         if newest is not None:
-            self.newest.update((newest,))
-            for (when,) in [k for k in self.seen.keys() if k[0] < newest - self.delay]:
-                self.seen.removeKey((when,))
+            kept = {when: marks for when, marks in seen.items() if when >= newest - self.delay}
+            self.known.update((newest, json.dumps(kept)))
 
     def close(self) -> None:
         pass
