@@ -8,7 +8,7 @@ from tickloom.functions.chunks import with_previous, with_running_sum
 from tickloom.functions.ranks import with_average_ranks, with_ordinal_rank
 from tickloom.operators import ledger, quality, scoring
 from tickloom.session import checkpointed
-from tickloom.operators.composite import orthogonalise, zscore_by_session
+from tickloom.operators.composite import complete_rows, factor_correlations, ic_weights, orthogonalise, zscore_by_session
 
 
 def _skewed(spark, n=4000, seed=5):
@@ -219,3 +219,52 @@ def test_curve_copies_days_of_accounts_not_of_instruments(spark):
     short = ledger.session_curve(fills, prices, ["account"], "instrument", [-3, 0, 1, 2], 1000.0, 30)
     read = lambda x: sorted((r.account, r.date, round(r.equity, 6), r.positions) for r in x.collect())
     assert read(short) == read(long)
+
+
+def _factors(spark, n=2500):
+    df = _skewed(spark, n).dropDuplicates(["event_time", "symbol"]).where("event_time is not null")
+    gone = lambda i: F.xxhash64("symbol", F.lit(i)) % 7 == 0
+    wide = df.select(
+        "event_time", F.concat(F.lit("N"), F.substring("symbol", -2, 2)).alias("symbol"),
+        F.when(~gone(1), F.col("signal")).alias("a"), F.when(gone(2), F.lit(float("nan"))).otherwise(F.sin(F.xxhash64("symbol") % 11)).alias("b"),
+        F.when(~gone(3), F.round(F.cos(F.xxhash64("symbol") % 97), 2)).alias("fwd_21"),
+    )
+    return checkpointed(wide.dropDuplicates(["event_time", "symbol"]))
+
+
+def test_reports_of_a_wide_table_are_those_of_the_long_one(spark):
+    df = _factors(spark)
+    for run in (
+        lambda rows: scoring.factor_reports(df, ["a", "b"], 21, 0.0033, rows=rows),
+        lambda rows: scoring.factor_ics(df, ["a", "b"], "fwd_21", rows=rows),
+    ):
+        a, b = (run(rows).toPandas().sort_values("factor").reset_index(drop=True) for rows in (10_000, None))
+        assert list(a["factor"]) == ["a", "b"] and (a["sessions"] >= 2).all()
+        numbers = [c for c in a.columns if c != "factor"]
+        assert abs(a[numbers].to_numpy(dtype=float) - b[numbers].to_numpy(dtype=float)).max() < 1e-9
+
+
+def test_a_bar_is_dealt_to_its_session_once_for_all_factors(spark):
+    df = _factors(spark)
+    plan = scoring.factor_reports(df, ["a", "b"], 21, 0.0033, rows=10_000)._jdf.queryExecution().executedPlan().toString()
+    assert "unpivot" not in plan.lower() and "Expand" not in plan and plan.count("FlatMapGroupsInArrow") == 2
+
+
+def test_overlap_and_weights_do_not_depend_on_the_route(spark):
+    df = _factors(spark).withColumn("c", F.col("b") - F.col("a"))
+    one, other = (factor_correlations(df, ["a", "b", "c"], rows).toPandas() for rows in (10_000, None))
+    assert one["observations"].iloc[0] == other["observations"].iloc[0] > 0
+    both = one.merge(other, on=["left", "right"])
+    assert len(both) == 6 and abs(both["rho_x"] - both["rho_y"]).max() < 1e-9
+    whole = complete_rows(df, ["a", "b", "c"])
+    one, other = (ic_weights(whole, ["a", "b", "c"], 21, rows=rows).first() for rows in (10_000, None))
+    assert max(abs(x - y) for x, y in zip(one, other)) < 1e-9
+
+
+def test_a_panel_is_bounded_by_its_names_and_sessions_long_before_a_task_is_full(spark, tmp_path, monkeypatch):
+    from tickloom.plans import tables
+
+    monkeypatch.setattr(tables, "COUNTED_ROWS", 10)
+    lines = spark.range(200).selectExpr("id % 7 as l_suppkey", "date_add(date'1994-01-01', cast(id % 9 as int)) as l_shipdate")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert tables.rows(spark, str(tmp_path)) == 9

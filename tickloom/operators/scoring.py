@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from tickloom.functions.ranks import with_average_ranks, with_ordinal_rank
+from tickloom.functions.ranks import fits_arrays, session_scores, session_shares, with_average_ranks, with_ordinal_rank
 from tickloom.functions.stats import finite, rank_corr
 from tickloom.functions.windows import by, rolling
 from tickloom.sizing import fits_task
@@ -31,8 +32,11 @@ def session_ic(
     keys = keys or []
     session = [*keys, "event_time"]
     usable = scored.where(F.col("signal").isNotNull() & F.col(forward).isNotNull()).select(
-        *session, "signal", F.col(forward).alias("_fwd")
+        *session, F.col("signal").cast("double").alias("signal"), F.col(forward).cast("double").alias("_fwd")
     )
+    if fits_arrays(rows, 2):
+        scores = session_scores(usable, {"": ("signal", "_fwd")}, session).select(*session, "ic", "names")
+        return scores.where((F.col("names") >= min_names) & finite(F.col("ic")))
     ranked = with_average_ranks(usable, {"_rs": "signal", "_rf": "_fwd"}, session, rows)
     return (
         ranked.groupBy(*session)
@@ -41,25 +45,29 @@ def session_ic(
     )
 
 
-def summarise_ic(per_session: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Mean, deviation, information ratio, t statistic and hit rate."""
-    mean, std, n = F.avg("ic"), F.stddev_samp("ic"), F.count(F.lit(1))
-    grouped = per_session.groupBy(*(keys or [])).agg(
-        mean.alias("_mean"), std.alias("_std"), n.alias("sessions"),
-        F.avg((F.col("ic") > 0).cast("double")).alias("_hit"),
-    )
+def _moments() -> list[Column]:
+    """Aggregates of ``ic``, where it is not null."""
+    hit = F.avg((F.col("ic") > 0).cast("double"))
+    return [F.avg("ic").alias("_mean"), F.stddev_samp("ic").alias("_std"), F.count("ic").alias("sessions"), hit.alias("_hit")]
+
+
+def _summary() -> list[Column]:
     enough = F.col("sessions") >= 2
     spread = enough & (F.col("_std") > 0)
     zero = F.lit(0.0)
-    return grouped.select(
-        *(keys or []),
+    return [
         F.when(enough, F.col("_mean")).otherwise(zero).alias("mean"),
         F.when(enough, F.col("_std")).otherwise(zero).alias("std"),
         F.when(spread, F.col("_mean") / F.col("_std")).otherwise(zero).alias("information_ratio"),
         F.when(spread, F.col("_mean") / F.col("_std") * F.sqrt("sessions")).otherwise(zero).alias("t_stat"),
         F.when(enough, F.col("_hit")).otherwise(zero).alias("hit_rate"),
-        "sessions",
-    )
+        F.col("sessions"),
+    ]
+
+
+def summarise_ic(per_session: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Mean, deviation, information ratio, t statistic and hit rate."""
+    return per_session.groupBy(*(keys or [])).agg(*_moments()).select(*(keys or []), *_summary())
 
 
 def information_coefficient(scored: DataFrame, forward: str, **options) -> DataFrame:
@@ -74,6 +82,12 @@ def by_horizon(scored: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
 
 
 def ic_by_horizon(scored: DataFrame, horizons: tuple[int, ...], keys: list[str] | None = None, **options) -> DataFrame:
+    rows, least = options.get("rows"), options.get("min_names", MIN_NAMES)
+    if fits_arrays(rows, 1 + len(horizons)):
+        pairs = {str(h): ("signal", f"fwd_{h}") for h in horizons}
+        scores = session_scores(scored.where(F.col("signal").isNotNull()), pairs, [*(keys or []), "event_time"])
+        kept = scores.where((F.col("names") >= least) & finite(F.col("ic"))).withColumn("horizon", F.col("_label").cast("int"))
+        return summarise_ic(kept, [*(keys or []), "horizon"])
     keys = [*(keys or []), "horizon"]
     return summarise_ic(session_ic(by_horizon(scored, horizons), "fwd", keys=keys, **options), keys)
 
@@ -145,6 +159,70 @@ def signal_turnover(scored: DataFrame, keys: list[str] | None = None, rows: int
     )
 
 
+def _usable(table: DataFrame, names: list[str], forward: str) -> DataFrame:
+    """Signals that are not finite are none."""
+    signals = [F.when(finite(F.col(n)), F.col(n)).alias(n) for n in names]
+    return table.select("event_time", "symbol", *signals, forward)
+
+
+def _stacked(table: DataFrame, names: list[str]) -> DataFrame:
+    kept = [c for c in table.columns if c not in names]
+    return table.unpivot(kept, list(names), "factor", "signal").where(F.col("signal").isNotNull())
+
+
+def factor_ics(
+    table: DataFrame, names: list[str], forward: str, min_names: int = MIN_NAMES, rows: int | None = None
+) -> DataFrame:
+    """``information_coefficient`` of every factor of a wide table: each bar is shuffled once, whatever their number."""
+    wide = _usable(table, names, forward)
+    if not fits_arrays(rows, len(names) + 1):
+        return information_coefficient(_stacked(wide, names), forward, keys=["factor"], min_names=min_names, rows=rows)
+    scores = session_scores(wide.drop("symbol"), {n: (n, forward) for n in names}, ["event_time"])
+    return summarise_ic(_enough(scores, min_names), ["factor"])
+
+
+def _enough(scores: DataFrame, min_names: int) -> DataFrame:
+    return scores.where((F.col("names") >= min_names) & finite(F.col("ic"))).withColumnRenamed("_label", "factor")
+
+
+def factor_reports(
+    table: DataFrame, names: list[str], horizon: int, round_trip: float, buckets: int = BUCKETS,
+    min_names: int = MIN_NAMES, rows: int | None = None,
+) -> DataFrame:
+    """``factor_report`` of every factor of a wide table.
+
+    Sessions are dealt once: one reading gives the sums per session and factor,
+    a second the places of all names, which go to their names for the turnover.
+    """
+    forward = f"fwd_{horizon}"
+    wide = _usable(table, names, forward)
+    if not fits_arrays(rows, len(names) + 2):
+        # one pass of the factors feeds three reports; lost blocks are recomputed
+        long = _stacked(wide, names).persist(StorageLevel.DISK_ONLY)
+        return factor_report(long, horizon, round_trip, ["factor"], buckets, min_names, rows)
+    # both read all columns of one exchange
+    dealt = wide.repartition("event_time")
+    scores = session_scores(dealt, {n: (n, forward) for n in names}, ["event_time"], buckets, "symbol")
+    ic = F.when((F.col("names") >= min_names) & finite(F.col("ic")), F.col("ic"))
+    sums = [F.try_divide(F.sum(F.col("sums")[q]), F.sum(F.col("counts")[q])) for q in range(buckets)]
+    grouped = scores.withColumn("ic", ic).groupBy(F.col("_label").alias("factor")).agg(*_moments(), F.array(*sums).alias("_means"))
+    means = F.filter("_means", lambda m: m.isNotNull())
+    steps = F.greatest(F.size("_means") - 1, F.lit(0))
+    rises = F.zip_with(F.slice("_means", F.lit(1), steps), F.slice("_means", F.lit(2), steps), lambda a, b: b >= a)
+    top, bottom = F.element_at("_means", -1), F.element_at("_means", 1)
+    shaped = grouped.where("sessions > 0").withColumn("_means", means).select(
+        "factor", *_summary(), F.when(F.size("_means") >= 2, top - bottom).otherwise(F.lit(0.0)).alias("spread"),
+        F.forall(rises, lambda x: x).alias("is_monotonic"),
+    )
+    before = by().rowsBetween(W.unboundedPreceding, -1)
+    moves = session_shares(dealt, names, "symbol", "event_time").select(
+        *[F.abs(F.col(n) - F.last(n, ignorenulls=True).over(before)).alias(n) for n in names]
+    )
+    churn = moves.agg(*[(F.coalesce(F.avg(n), F.lit(0.0)) * 2).alias(n) for n in names]).unpivot([], names, "factor", "turnover")
+    report = shaped.join(churn, "factor")
+    return report.withColumns(cost_verdict(F.col("spread"), F.col("turnover"), horizon, F.lit(round_trip)))
+
+
 def cost_verdict(
     spread: Column, turnover: Column, horizon: int, round_trip: Column
 ) -> dict[str, Column]:

@@ -408,9 +408,8 @@ ROUND_TRIP = 0.0033
     ),
 )
 def verdicts(spark, d):
-    # one pass of the factors feeds three reports; lost blocks are recomputed
-    long = factors.unpivot_factors(table(spark, d, factors.FACTORS), factors.FACTORS).persist(StorageLevel.DISK_ONLY)
-    return present(scoring.factor_report(long, 21, ROUND_TRIP, keys=["factor"], rows=rows(spark, d)))
+    wide = table(spark, d, factors.FACTORS)
+    return present(scoring.factor_reports(wide, list(factors.FACTORS), 21, ROUND_TRIP, rows=rows(spark, d)))
 
 
 @query(
@@ -426,9 +425,8 @@ def verdicts(spark, d):
     ),
 )
 def every_factor(spark, d):
-    long = factors.unpivot_factors(table(spark, d, factors.FACTORS), factors.FACTORS)
-    df = scoring.information_coefficient(long, "fwd_21", keys=["factor"], min_names=10, rows=rows(spark, d))
-    return present(df)
+    wide = table(spark, d, factors.FACTORS)
+    return present(scoring.factor_ics(wide, list(factors.FACTORS), "fwd_21", 10, rows(spark, d)))
 
 
 # ---- composites ------------------------------------------------------------
