@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.ranks import with_average_ranks
+from tickloom.functions.ranks import fits_arrays, rank_products, session_scores, with_average_ranks
 from tickloom.functions.stats import clip, finite, rank_corr
 from tickloom.operators.scoring import MIN_NAMES
 from tickloom.sizing import fits_task, small
@@ -116,16 +116,29 @@ def factor_correlations(table: DataFrame, names: list[str], rows: int | None = N
     All pairs of columns come from one aggregation; a pair of a factor with
     itself carries the overall statistics' diagonal.
     """
-    ranks = {f"_r{i}": n for i, n in enumerate(names)}
-    ranked = with_average_ranks(
-        complete_rows(table, names).select("event_time", "symbol", *names), ranks, ["event_time"], rows
-    )
     k = len(names)
     cells = [(i, j) for i in range(k) for j in range(i, k)]
-    moments = ranked.agg(
-        F.count(F.lit(1)).alias("observations"),
-        *[F.covar_pop(f"_r{i}", f"_r{j}").alias(f"_v{i}_{j}") for i, j in cells],
-    )
+    whole = complete_rows(table, names)
+    if fits_arrays(rows, 2 * k):
+        # all ranks of a session have the mean (n + 1) / 2: what lies between sessions is one number
+        sums = rank_products(whole, names, "event_time")
+        n, middle = F.col("n").cast("double"), (F.col("n") + 1) / 2.0
+        pooled = sums.agg(
+            F.sum("n").alias("observations"),
+            (F.sum(n * middle * middle) - F.sum(n * middle) * F.try_divide(F.sum(n * middle), F.sum(n))).alias("_between"),
+            *[F.sum(F.col("products")[p]).alias(f"_c{i}_{j}") for p, (i, j) in enumerate(cells)],
+        )
+        share = lambda i, j: F.try_divide(F.col(f"_c{i}_{j}") + F.col("_between"), F.col("observations"))
+        moments = pooled.select(
+            F.coalesce("observations", F.lit(0)).alias("observations"), *[share(i, j).alias(f"_v{i}_{j}") for i, j in cells]
+        )
+    else:
+        ranks = {f"_r{i}": n for i, n in enumerate(names)}
+        ranked = with_average_ranks(whole.select("event_time", "symbol", *names), ranks, ["event_time"], rows)
+        moments = ranked.agg(
+            F.count(F.lit(1)).alias("observations"),
+            *[F.covar_pop(f"_r{i}", f"_r{j}").alias(f"_v{i}_{j}") for i, j in cells],
+        )
     entries = F.array(
         *[
             F.struct(
@@ -210,16 +223,21 @@ def ic_weights(
     """
     forward = f"fwd_{horizon}"
     usable = table.where(F.col(forward).isNotNull()).select("event_time", forward, *names)
-    ranks = {f"_r{i}": n for i, n in enumerate(names)} | {"_rf": forward}
-    per = (
-        with_average_ranks(usable, ranks, ["event_time"], rows)
-        .groupBy("event_time")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[rank_corr(F.col(f"_r{i}"), F.col("_rf")).alias(f"_ic{i}") for i in range(len(names))],
+    if fits_arrays(rows, len(names) + 1):
+        scores = session_scores(usable, {n: (n, forward) for n in names}, ["event_time"])
+        ics = [F.max(F.when(F.col("_label") == n, F.col("ic"))).alias(f"_ic{i}") for i, n in enumerate(names)]
+        per = scores.where(F.col("names") >= min_names).groupBy("event_time").agg(*ics)
+    else:
+        ranks = {f"_r{i}": n for i, n in enumerate(names)} | {"_rf": forward}
+        per = (
+            with_average_ranks(usable, ranks, ["event_time"], rows)
+            .groupBy("event_time")
+            .agg(
+                F.count(F.lit(1)).alias("_n"),
+                *[rank_corr(F.col(f"_r{i}"), F.col("_rf")).alias(f"_ic{i}") for i in range(len(names))],
+            )
+            .where(F.col("_n") >= min_names)
         )
-        .where(F.col("_n") >= min_names)
-    )
     scores = per.agg(
         *[
             F.when(F.count(f"_ic{i}") >= 2, F.greatest(F.avg(f"_ic{i}"), F.lit(0.0)))
