@@ -246,8 +246,9 @@ def test_reports_of_a_wide_table_are_those_of_the_long_one(spark):
 
 def test_a_bar_is_dealt_to_its_session_once_for_all_factors(spark):
     df = _factors(spark)
-    plan = scoring.factor_reports(df, ["a", "b"], 21, 0.0033, rows=10_000)._jdf.queryExecution().executedPlan().toString()
-    assert "unpivot" not in plan.lower() and "Expand" not in plan and plan.count("FlatMapGroupsInArrow") == 2
+    plan = scoring.factor_reports(df, ["a", "b"], 21, 0.0033, rows=10_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [event_time") == plan.count("FlatMapGroupsInArrow") == 2
+    assert "rank(" not in plan and "row_number" not in plan
 
 
 def test_overlap_and_weights_do_not_depend_on_the_route(spark):
