@@ -297,3 +297,22 @@ def test_totals_of_the_ledger_make_no_history(spark):
 
     plan = lambda q: REGISTRY[q].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan("l3_positions_with_splits") and "Window" not in plan("l3_dividends")
+
+
+def test_samples_by_masks_are_the_books_of_each_sample(spark):
+    from tickloom.operators import portfolio as po
+    from tickloom.operators import resampling as rs
+
+    rng = random.Random(3)
+    day = lambda i: f"2024-01-{i + 1:02d} 12:00:00"
+    rows = [(c, day(i), f"S{n:02d}", float(rng.randrange(6)), rng.uniform(-0.1, 0.1)) for c in range(2) for i in range(5) for n in range(23) if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "config int, at string, symbol string, score double, ret double")
+    df = checkpointed(df.select("config", F.to_timestamp("at").alias("decision_time"), "symbol", "score", "ret"))
+    returns = df.where("config = 0 and decision_time < '2024-01-05'").select("symbol", "decision_time", "ret")
+    names = df.select("symbol", F.substring("symbol", 2, 2).cast("int").alias("sym_no")).distinct()
+    kept = checkpointed(rs.dropout_names(names, 4, rows=100).select("sample", "symbol"))
+    dates = df.select("decision_time").distinct()
+    plain = po.evaluate(po.top_fraction(df.join(kept, "symbol"), ["sample", "config", "decision_time"], 0.2, rows=100), returns, dates, ["sample", "config"], 0.001)
+    masked = po.evaluate_samples(df.join(rs.sample_masks(kept), "symbol"), returns, dates, ["config"], 4, 0.2, 0.001)
+    read = lambda x: sorted((r.sample, r.config, r.event_time, r.names, round(r.ret, 10), round(r.turnover, 10), round(r.equity, 10)) for r in x.collect())
+    assert read(masked) == read(plain) and len(read(plain)) == 4 * 2 * 4

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,7 +20,7 @@ from tickloom.functions.ranks import with_ordinal_rank
 from tickloom.functions.scalar import money, to_tick, whole_lots
 from tickloom.functions.windows import by, copied_to, rolling
 from tickloom.operators.performance import with_curve
-from tickloom.sizing import fits_task
+from tickloom.sizing import fits_task, within
 
 Strategy = Callable[[DataFrame], DataFrame]
 
@@ -380,6 +383,67 @@ def evaluate(
     return with_curve(dated.withColumnRenamed("decision_time", "event_time"), keys)
 
 
+def evaluate_samples(
+    scored: DataFrame, returns: DataFrame, dates: DataFrame, keys: list[str], samples: int, fraction: float, cost_rate: float = 0.0
+) -> DataFrame:
+    """``evaluate`` of ``top_fraction`` on samples of the names, with ``sample`` as a further key.
+
+    Bit ``s`` of a row's ``_mask`` says whether sample ``s`` keeps the name.  A
+    decision is ranked once for all samples, so no row is copied to them; a task
+    holds the names of one decision times ``samples`` (62 at most).
+    """
+    within("samples", samples, 1, 62)
+    places = np.arange(samples, dtype=np.int64)
+    bits = lambda table, name: (table.column(name).to_numpy()[:, None] >> places & 1).astype(np.int32)
+
+    def best(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [("symbol", "ascending")]))
+        table = table.take(pa.array(np.argsort(-table.column("score").to_numpy(), kind="stable")))
+        kept = bits(table, "_mask")
+        upto = kept.cumsum(axis=0, dtype=np.int32)
+        kept[upto > np.maximum(1, np.floor(upto[-1] * fraction))] = 0
+        held = (kept.astype(np.int64) << places).sum(axis=1)
+        out = table.select([*keys, "decision_time", "symbol"]).append_column("_mask", pa.array(held))
+        return out.filter(pa.array(held != 0))
+
+    def sums(table: pa.Table) -> pa.Table:
+        now, then = bits(table, "_now"), bits(table, "_then")
+        n, was = now.sum(axis=0), then.sum(axis=0)
+        weight, before = 1.0 / np.maximum(n, 1), 1.0 / np.maximum(was, 1)
+        both = (now & then).sum(axis=0)
+        turnover = both * np.abs(weight - before) + (n - both) * weight + (was - both) * before
+        gross = table.column("ret").to_numpy() @ now * weight
+        live = np.flatnonzero(n + was)
+        first = table.select([*keys, "_i"]).slice(0, 1).take(pa.array([0] * len(live), pa.int64()))
+        made = [pa.array(places[live]), pa.array(gross[live]), pa.array(turnover[live]), pa.array(n[live].astype(np.int64))]
+        return pa.table([*first.columns, *made], names=[*keys, "_i", "sample", "gross_ret", "turnover", "names"])
+
+    kinds = lambda df, *columns: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema)
+    ranked = scored.select(*keys, "decision_time", "symbol", "score", "_mask").groupBy(*keys, "decision_time")
+    held = ranked.applyInArrow(best, kinds(scored, *keys, "decision_time", "symbol", "_mask"))
+    order = W.orderBy("decision_time")
+    index = (
+        dates.select("decision_time").distinct()
+        .withColumns({"_i": F.row_number().over(order).cast("bigint"), "_next": F.lead("decision_time").over(order)})
+        .where(F.col("_next").isNotNull())
+        .drop("_next")
+    )
+    nothing = F.lit(0).cast("bigint")
+    sides = F.array(
+        F.struct(F.col("_i").alias("i"), F.col("_mask").alias("now"), nothing.alias("then")),
+        F.struct((F.col("_i") + 1).alias("i"), nothing.alias("now"), F.col("_mask").alias("then")),
+    )
+    both = held.join(F.broadcast(index), "decision_time").select(*keys, "symbol", F.explode(sides).alias("s"))
+    moved = both.groupBy(*keys, F.col("s.i").alias("_i"), "symbol").agg(F.max("s.now").alias("_now"), F.max("s.then").alias("_then"))
+    marked = moved.join(returns.join(F.broadcast(index), "decision_time"), ["_i", "symbol"], "left")
+    marked = marked.select(*keys, "_i", "_now", "_then", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    book = marked.groupBy(*keys, "_i").applyInArrow(
+        sums, f"{kinds(marked, *keys, '_i')}, sample bigint, gross_ret double, turnover double, names bigint"
+    )
+    dated = book.join(F.broadcast(index), "_i").drop("_i").withColumn("ret", F.col("gross_ret") - F.col("turnover") * cost_rate)
+    return with_curve(dated.withColumnRenamed("decision_time", "event_time"), [*keys, "sample"])
+
+
 def run_summary(evaluated: DataFrame, keys: list[str], cost_rate: float) -> DataFrame:
     """Equity ends, total return, deepest drawdown and fees of each book."""
     return evaluated.groupBy(*keys).agg(

@@ -278,6 +278,11 @@ def dropout_names(names: DataFrame, samples: int, drop: float = 0.2, number: str
     return ranked.join(F.broadcast(counts), F.lit(True), "left").where(F.col("_r") <= keep).drop("_h", "_r", "_n")
 
 
+def sample_masks(kept: DataFrame, name: str = "symbol") -> DataFrame:
+    """A row per name of ``(sample, name)``, with a bit of ``_mask`` for every sample that keeps it."""
+    return kept.groupBy(name).agg(F.bit_or(F.expr("shiftleft(1L, cast(sample as int))")).alias("_mask"))
+
+
 # ---- the gauntlet -----------------------------------------------------------------------
 
 #: Order of the checks, cheapest first, and the threshold of each (fixed values).

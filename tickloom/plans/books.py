@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from tickloom.functions.ranks import fits_arrays
 from tickloom.functions.windows import by, simple_return
 from tickloom.operators import factors, ledger, performance, pit, quality, stationarity
 from tickloom.operators import portfolio as po
@@ -617,13 +618,25 @@ DROPPED = {
 }
 
 
-def dropout(spark, d):
-    seen, n = view(spark, d), rows(spark, d)
-    names = t.panel_smooth(spark, d).select("symbol", "sym_no").distinct()
+def sampled(seen, names, spark, d, configs):
+    """Books of ``configs`` on samples of the names; the view is read twice and made once."""
+    n = rows(spark, d)
+    ends = sorted({f"start_{k}" for k, _ in configs} | {f"end_{skip}" for _, skip in configs})
+    seen = seen.select("symbol", "decision_time", "entry", *ends).persist(StorageLevel.DISK_ONLY)
     kept = rs.dropout_names(names, DROP_SAMPLES, rows=n).select("sample", "symbol")
-    scored = po.momentum_scores(seen, [CONFIGS[8]], ["decision_time", "symbol"]).join(kept, "symbol")
-    weights = po.top_fraction(scored, ["sample", "decision_time"], 0.2, rows=n)
-    return po.evaluate(weights, po.holding_returns(seen), dates(spark, d), ["sample"], COST)
+    returns = po.holding_returns(seen)
+    if fits_arrays(n, DROP_SAMPLES):
+        scored = po.momentum_scores(seen.join(rs.sample_masks(kept), "symbol"), configs, ["decision_time", "symbol", "_mask"])
+        return po.evaluate_samples(scored, returns, dates(spark, d), ["config"], DROP_SAMPLES, 0.2, COST)
+    scored = po.momentum_scores(seen.join(kept, "symbol"), configs, ["decision_time", "symbol", "sample"])
+    return po.evaluate(po.top_fraction(scored, ["sample", "config", "decision_time"], 0.2, rows=n), returns, dates(spark, d), ["sample", "config"], COST)
+
+
+def dropout(spark, d):
+    panel = t.panel_smooth(spark, d)
+    features = po.momentum_features(panel, (CONFIGS[8][0],), (CONFIGS[8][1],))
+    names = panel.select("symbol", "sym_no").distinct()
+    return sampled(po.decision_view(features, dates(spark, d)), names, spark, d, [CONFIGS[8]])
 
 
 @query(
@@ -700,9 +713,8 @@ def gauntlet_results(spark, d):
     pairs = pairs.join(F.broadcast(cutoff), F.unix_seconds("event_time") < F.col("_t"))
     # every configuration on samples of the names: sample and configuration are keys of one evaluation
     seen = view_of(panel, spark, d)
-    kept = rs.dropout_names(panel.select("symbol", "sym_no").distinct(), DROP_SAMPLES, rows=n).select("sample", "symbol")
-    sampled = po.evaluate(sweep_weights(seen.join(kept, "symbol"), n, ["sample"]), po.holding_returns(seen), dates(spark, d), ["sample", "config"], COST)
-    dropped = sampled.groupBy(named, "sample").agg(performance.sharpe(F.col("ret"), periods=MONTHS).alias("sharpe"))
+    books = sampled(seen, panel.select("symbol", "sym_no").distinct(), spark, d, CONFIGS)
+    dropped = books.groupBy(named, "sample").agg(performance.sharpe(F.col("ret"), periods=MONTHS).alias("sharpe"))
     market = factors.add_market_return(panel, n).where(F.col("market_ret").isNotNull()).select("event_time", "market_ret").distinct()
     labels = stationarity.regime_slices(market.withColumns({"_one": F.lit(0), "ret": F.col("market_ret")}), ["_one"])
     labels = labels.select(F.to_date("event_time").alias("_day"), "regime").distinct()
