@@ -304,6 +304,18 @@ def test_snapshot_of_a_curve_with_its_previous_equity(spark):
     assert "Window" not in plan and "SortAggregate" not in plan
 
 
+def test_daily_summary_of_a_curve_with_its_previous_equity(spark):
+    from tickloom.operators import risk
+    from tickloom.plans import REGISTRY
+
+    rows = [(1, "a", 5.0, None, 1), (1, "b", 9.0, 5.0, 2), (1, "c", None, 9.0, 0), (1, "d", 2.0, None, 0), (None, "a", 3.0, None, 1), (None, "b", 1.0, 3.0, 4)]
+    curve = spark.createDataFrame(rows, "account int, date string, equity double, previous double, positions bigint")
+    read = lambda x: sorted(map(repr, risk.daily_summary(x).collect()))
+    assert read(curve) == read(curve.drop("previous")) and len(read(curve)) == 2
+    plan = REGISTRY["rk9_daily_summary"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
+
+
 def _factors(spark, n=2500):
     df = _skewed(spark, n).dropDuplicates(["event_time", "symbol"]).where("event_time is not null")
     gone = lambda i: F.xxhash64("symbol", F.lit(i)) % 7 == 0

@@ -260,6 +260,7 @@ def alerts(health: DataFrame, breaks: DataFrame, states: DataFrame, checked: Dat
 
 
 def daily_summary(curve: DataFrame) -> DataFrame:
-    """Result and open positions of every account and day."""
-    change = F.col("equity") - F.lag("equity").over(W.partitionBy("account").orderBy("date"))
+    """Result and open positions of every account and day; the ``previous`` equity is looked up where the curve lacks it."""
+    before = F.col("previous") if "previous" in curve.columns else F.lag("equity").over(W.partitionBy("account").orderBy("date"))
+    change = F.col("equity") - before
     return curve.select("account", "date", change.alias("pnl"), "positions").where(F.col("pnl").isNotNull())
