@@ -376,6 +376,57 @@ def test_unit_roots_equal_the_plain_regressions(spark):
         assert abs(got[k][1] - plain_kpss(x)) < 1e-9, k
 
 
+def _odd_series(spark):
+    rng = np.random.default_rng(9)
+    start = dt.datetime(2020, 1, 1)
+    series = {f"S{k}": list(100 + np.cumsum(rng.normal(0, 1, int(rng.integers(1, 300))))) for k in range(20)}
+    series |= {"flat": [3.0] * 200, "line": [float(i) for i in range(200)], "gaps": [None if i % 7 == 3 else float(np.sin(i)) for i in range(300)], "none": [None] * 90}
+    series |= {"nan": [*series["S0"][:1], float("nan"), *map(float, range(100))], None: [float(i % 5) for i in range(100)]}
+    rows = [(k, start + dt.timedelta(days=i), None if v is None else float(v)) for k, x in series.items() for i, v in enumerate(x)]
+    return series, spark.createDataFrame(rows, "symbol string, event_time timestamp, close double").repartition(5)
+
+
+def test_hurst_of_odd_series(spark):
+    series, df = _odd_series(spark)
+    got = {r["symbol"]: r["hurst"] for r in stationarity.hurst(df, ["symbol"]).collect()}
+    assert got.keys() == series.keys()
+    for name, values in series.items():
+        n, points = sum(v is not None for v in values), []
+        for k in range(2, max(3, min(n // 10, stationarity.MAX_LAGS))):
+            steps = [a - b for a, b in zip(values[k:], values) if a is not None and b is not None]
+            if steps and np.var(steps) > 0:
+                points.append((math.log(k), math.log(np.var(steps))))
+        want = 0.5
+        if name is not None and n >= 60 and len(points) >= 2:
+            want = min(max(np.polyfit(*zip(*points), 1)[0] / 2, 0.0), 1.0)
+        assert abs(got[name] - (1.0 if name == "nan" else want)) < 1e-9, name
+
+
+def test_assessment_reads_a_series_once(spark):
+    _, df = _odd_series(spark)
+    done = stationarity.assess(df)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and "Window" not in plan and "Join" not in plan
+    whole = sorted(map(tuple, done.collect()))
+    tests = stationarity.unit_root_tests(df, ["symbol"]).join(stationarity.hurst(df, ["symbol"]), "symbol")
+    assert sorted(map(tuple, tests.collect())) == [r[:4] for r in whole] and len(whole) == 24
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for rows in ("1", "13"):
+            spark.conf.set(size, rows)
+            assert sorted(map(tuple, stationarity.assess(df).collect())) == whole
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_gated_reversion_sees_its_view_once(spark):
+    from tickloom.plans import REGISTRY
+
+    plan = REGISTRY["po7_gated_reversion"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Generate explode(CASE") == 1
+
+
 def test_keyed_permutation_is_one(spark):
     rows = [(n, i, b) for n in (1, 2, 3, 17, 83) for i in range(n) for b in range(200)]
     df = spark.createDataFrame(rows, "n bigint, i bigint, b bigint")

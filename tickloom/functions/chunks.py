@@ -8,6 +8,9 @@ once: steps that follow each other would double their work with every step.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,3 +80,14 @@ def with_running_sum(
     joined = inner.join(offsets, [*keys, "_chunk"])
     total = {n: F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) for n in sums}
     return joined.withColumns(total).drop("_chunk", *[f"_o_{n}" for n in sums])
+
+
+def key_changes(own: pa.Table, row: pa.Table | None) -> np.ndarray:
+    """Which rows have other keys than the row before; ``row`` comes before the first."""
+    seen = own if row is None else pa.concat_tables([row, own])
+    new = np.zeros(len(seen) - 1, dtype=bool)
+    for column in seen.columns:
+        now, before = column.slice(1), column.slice(0, len(seen) - 1)
+        differs = pc.coalesce(pc.not_equal(now, before), pc.xor(pc.is_null(now), pc.is_null(before)))
+        new |= differs.to_numpy()
+    return np.append(True, new) if row is None else new

@@ -1,14 +1,17 @@
 """Stationarity, volatility models and cointegration of many series.
 
-Everything that is a moment stays in the JVM, the unit-root tests too: they are
-sums of lagged products, and small systems of equations per series.  GARCH needs
-a loop over one series, which the calendar bounds: a grouped NumPy helper runs it.
+The calendar bounds a series, so the tests take it whole: series are shuffled and
+sorted once, and Arrow tasks hand them to NumPy one after another.  Half-lives and
+hedge ratios are moments in the JVM; GARCH is a grouped NumPy helper.
 """
 
 from __future__ import annotations
 
 import math
+import operator
 import statistics
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +21,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.stats import clip, safe_corr, slope
+from tickloom.functions.chunks import key_changes
+from tickloom.functions.stats import safe_corr, slope
 from tickloom.functions.windows import by, rolling
 from tickloom.session import checkpointed
 
@@ -37,28 +41,76 @@ KPSS_STATS = (0.347, 0.463, 0.574, 0.739)
 KPSS_P = (0.10, 0.05, 0.025, 0.01)
 
 
-def hurst(levels: DataFrame, keys: list[str], value: str = "close", order: str = "event_time") -> DataFrame:
-    """Half the slope of log variance of lagged differences on the log lag.
+def _each_series(levels: DataFrame, keys: list[str], value: str, order: str, of: Callable[[np.ndarray, np.ndarray], tuple | None], kinds: list[str]) -> DataFrame:
+    """``of(values, which are null)`` for every series, in order (ties by value); no row where that is None."""
+    placed = levels.select(*keys, order, F.col(value).cast("double").alias("_x")).repartition(*keys).sortWithinPartitions(*keys, order, "_x").select(*keys, "_x")
+    own_kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*keys).schema]
+
+    def made(own: pa.Table, results: list[tuple | None]) -> Iterator[pa.RecordBatch]:
+        kept = [r for r in results if r is not None]
+        columns = own.filter(pa.array([r is not None for r in results], pa.bool_())).columns
+        made = zip(*kept, strict=True) if kept else [()] * len(kinds)
+        table = pa.table([*columns, *[pa.array(c, pa.int64() if k.endswith("bigint") else pa.float64()) for c, k in zip(made, kinds, strict=True)]], names=[*keys, *[k.split()[0] for k in kinds]])
+        yield from table.to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, parts = None, []  # the series still open
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = pa.Table.from_batches([batch]).select(keys)
+            null = batch.column("_x").is_null().to_numpy(False)
+            x = batch.column("_x").to_numpy(False)
+            new = key_changes(own, row)
+            starts = np.flatnonzero(new)
+            ends = np.append(starts, len(own))
+            if ends[0]:
+                parts.append((x[: ends[0]], null[: ends[0]]))
+            if not len(starts):
+                continue
+            done = [] if row is None else [of(*map(np.concatenate, zip(*parts, strict=True)))]
+            done += [of(x[a:b], null[a:b]) for a, b in zip(ends[:-2], ends[1:-1], strict=True)]
+            first = own.take(pa.array(starts))
+            closed = first.slice(0, len(first) - 1)
+            yield from made(closed if row is None else pa.concat_tables([row, closed]), done)
+            row, parts = first.slice(len(first) - 1), [(x[ends[-2] :], null[ends[-2] :])]
+        if row is not None:
+            yield from made(row, [of(*map(np.concatenate, zip(*parts, strict=True)))])
+
+    return placed.mapInArrow(run, ", ".join([*own_kinds, *kinds]))
+
+
+def _keyed(keys: list[str]) -> Column:
+    """Whether a series has all its keys."""
+    return reduce(operator.and_, [F.col(k).isNotNull() for k in keys])
+
+
+def _hurst(x: np.ndarray, null: np.ndarray) -> tuple[float]:
+    n = len(x) - int(null.sum())
+    lags, spreads = [], []
+    with np.errstate(invalid="ignore", over="ignore"):
+        for k in range(2, max(3, min(n // 10, MAX_LAGS))):
+            d = (x[k:] - x[:-k])[~(null[k:] | null[:-k])]
+            if len(d):
+                d = d - d[0]  # equal steps have no spread at all
+                d -= d.mean()
+                v = float(d @ d) / len(d)
+                if v > 0 or math.isnan(v):
+                    lags.append(k)
+                    spreads.append(v)
+        if n < MIN_OBSERVATIONS or len(lags) < 2:
+            return (0.5,)
+        a, b = np.log(np.asarray(lags, dtype=float)), np.log(np.asarray(spreads))
+        if not np.isfinite(b).all():
+            return (1.0,)
+        a -= a.mean()
+        return (float(min(max(a @ (b - b.mean()) / (a @ a) / 2, 0.0), 1.0)),)
 
-    One aggregation over lag columns: no row is copied per lag.
-    """
-    w = by(keys, order)
-    lags = range(2, MAX_LAGS)
-    lagged = levels.withColumns({f"_d{k}": F.col(value) - F.lag(value, k).over(w) for k in lags})
-    spread = F.array(*[F.struct(F.lit(k).alias("k"), F.var_pop(f"_d{k}").alias("v")) for k in lags])
-    per = lagged.groupBy(*keys).agg(F.count(value).alias("_n"), spread.alias("_v"))
-    top = F.greatest(F.lit(3), F.least(F.floor(F.col("_n") / 10), F.lit(MAX_LAGS)))
-    points = per.select(*keys, "_n", top.alias("_top"), F.explode("_v").alias("p")).where(
-        (F.col("p.k") < F.col("_top")) & (F.col("p.v") > 0)
-    )
-    fit = points.groupBy(*keys, "_n").agg(
-        slope(F.ln("p.v"), F.ln(F.col("p.k").cast("double"))).alias("_slope"), F.count(F.lit(1)).alias("_points")
-    )
-    usable = (F.col("_n") >= MIN_OBSERVATIONS) & (F.col("_points") >= 2)
-    value_of = F.when(usable, clip(F.col("_slope") / 2, 0.0, 1.0)).otherwise(0.5)
-    return per.select(*keys).join(fit, keys, "left").select(
-        *keys, F.coalesce(value_of, F.lit(0.5)).alias("hurst")
-    )
+
+def hurst(levels: DataFrame, keys: list[str], value: str = "close", order: str = "event_time") -> DataFrame:
+    """Half the slope of log variance of lagged differences on the log lag; one half where that is unusable or a key is null."""
+    of = _each_series(levels, keys, value, order, _hurst, ["hurst double"])
+    return of.withColumn("hurst", F.when(_keyed(keys), F.col("hurst")).otherwise(0.5))
 
 
 def half_life(levels: DataFrame, keys: list[str], value: str = "close", order: str = "event_time") -> DataFrame:
@@ -83,73 +135,13 @@ def _lags(n: float) -> int:
     return max(min(math.ceil(12.0 * (n / 100.0) ** 0.25), int(n) // 2 - 2), 0)
 
 
-def lag_moments(levels: DataFrame, keys: list[str], value: str = "close", order: str = "event_time", lags: int | None = None) -> DataFrame:
-    """One row per series with the sums that a regression of differences on their lags needs.
-
-    Levels are centred.  ``lags`` is the highest order, by default a function of the length.  Sums run over
-    the rows that have all lags; products of two lagged differences follow from those with the latest
-    one and from the first and last few values, so a series needs two sums per lag and no matrix.
-    Values that are null or not finite are no rows; equal times are ordered by value.
-    """
-    own = W.partitionBy(*keys)
-    w = own.orderBy(order, value)
-    x = F.col(value)
-    rows = levels.select(*keys, order, x.cast("double").alias(value)).where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf))
-    longest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    most = _lags(longest) if lags is None else lags
-    near = max(int(longest ** (2.0 / 9.0)), 0)
-    n = F.col("n")
-    by_length = F.greatest(F.least(F.ceil(12.0 * F.pow(n / 100.0, F.lit(0.25))), F.floor(n / 2) - 2), F.lit(0))
-    top = (by_length if lags is None else F.least(F.lit(lags), F.floor(n / 2) - 2)).cast("int")
-    stepped = (
-        rows.withColumns({"n": F.count(F.lit(1)).over(own), "_m": F.avg(value).over(own), "_t": F.row_number().over(w) - 2})
-        .withColumn("_e", F.col(value) - F.col("_m"))
-        .withColumns({"_x": F.lag("_e").over(w), "_d": F.col("_e") - F.lag("_e").over(w)})
-        .withColumn("top", top)
-        .withColumns({f"_d{k}": F.lag("_d", k).over(w) for k in range(1, most + 1)} | {f"_e{k}": F.lag("_e", k).over(w) for k in range(1, near + 1)})
-        .withColumns({"_d0": F.col("_d"), "_e0": F.col("_e"), "_c": F.sum("_e").over(w.rowsBetween(W.unboundedPreceding, 0))})
-    )
-    counted = F.col("_t") >= F.col("top")
-    over = lambda c: F.coalesce(F.sum(F.when(counted, c)), F.lit(0.0))
-    d, level = F.col("_d"), F.col("_x")
-    at = lambda some, *c: F.sort_array(F.collect_list(F.when(some, F.struct("_t", *c))))
-    first = (F.col("_t") >= 0) & (F.col("_t") < F.col("top"))
-    last = (F.col("_t") >= 0) & (F.col("_t") >= n - 1 - F.col("top"))
-    grouped = stepped.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        F.first("top").alias("top"),
-        F.array(*[over(d * F.col(f"_d{k}")) for k in range(most + 1)]).alias("dd"),
-        F.array(*[over(level * F.col(f"_d{k}")) for k in range(most + 1)]).alias("xd"),
-        F.array(over(F.lit(1.0)), over(level), over(level * level), over(d)).alias("sums"),
-        at(first, "_d", "_x").alias("_head"),
-        at(last, "_d").alias("_tail"),
-        F.array(*[F.coalesce(F.sum(F.col("_e") * F.col(f"_e{k}")), F.lit(0.0)) for k in range(near + 1)]).alias("ee"),
-        F.coalesce(F.sum(F.col("_c") * F.col("_c")), F.lit(0.0)).alias("cc"),
-    )
-    pick = lambda a, c: F.transform(a, lambda s: s.getField(c))
-    return grouped.withColumns({"head_d": pick("_head", "_d"), "head_x": pick("_head", "_x"), "tail_d": pick("_tail", "_d")}).drop("_head", "_tail")
-
-
-def _gram(top: int, dd: np.ndarray, xd: np.ndarray, sums: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """Products of [1, level, difference lagged 1 to ``top``, difference] over the counted rows."""
-    k = top + 1
-    d = np.zeros((k, k))
-    for gap in range(k):
-        # one step along a diagonal adds the row before the first and drops the last
-        i = np.arange(k - gap - 1)
-        moves = head[top - 1 - i] * np.append(head, 0)[top - 1 - i - gap] if top else np.zeros(0)
-        moves = np.where(top - 1 - i - gap >= 0, moves, 0.0) - tail[-1 - i] * tail[-1 - i - gap]
-        diagonal = dd[gap] + np.concatenate([[0.0], np.cumsum(moves)])
-        d[np.arange(k - gap), np.arange(gap, k)] = d[np.arange(gap, k), np.arange(k - gap)] = diagonal
-    ones = sums[3] + np.concatenate([[0.0], np.cumsum(head[::-1][:top] - tail[::-1][:top])])
-    lagged = [*range(1, k), 0]
-    full = np.empty((k + 2, k + 2))
-    full[0, 0], full[0, 1], full[1, 1] = sums[0], sums[1], sums[2]
-    full[1, 0] = full[0, 1]
-    full[0, 2:] = full[2:, 0] = ones[lagged]
-    full[1, 2:] = full[2:, 1] = xd[:k][lagged]
-    full[2:, 2:] = d[np.ix_(lagged, lagged)]
-    return full
+def _design(d: np.ndarray, level: np.ndarray, lags: int) -> np.ndarray:
+    """[1, level, difference lagged 1 to ``lags``, difference] of the rows that have all lags."""
+    windows = np.lib.stride_tricks.sliding_window_view(d, lags + 1)
+    z = np.empty((len(windows), lags + 3))
+    z[:, 0], z[:, 1] = 1.0, level[lags:]
+    z[:, 2:-1], z[:, -1] = windows[:, :-1][:, ::-1], windows[:, -1]
+    return z
 
 
 def _fitted(gram: np.ndarray) -> np.ndarray:
@@ -163,21 +155,20 @@ def _fitted(gram: np.ndarray) -> np.ndarray:
         return np.array([gram[-1, -1] - b[:p] @ np.linalg.pinv(a[:p, :p]) @ b[:p] for p in range(1, len(a) + 1)])
 
 
-def adf_statistic(top: int, dd, xd, sums, head_d, head_x, tail_d, choose: bool = True) -> float | None:
-    """The Dickey-Fuller t value from lag moments, at the order of least AIC or at ``top``; None if degenerate."""
-    head = np.asarray(head_d, dtype=float)
-    gram = _gram(top, np.asarray(dd), np.asarray(xd), np.asarray(sums), head, np.asarray(tail_d, dtype=float))
-    m, order = gram[0, 0], top
+def adf_statistic(e: np.ndarray, top: int, choose: bool = True) -> float | None:
+    """The Dickey-Fuller t value of centred levels, at the order of least AIC up to ``top`` or at ``top``; None if degenerate."""
+    d, level = np.diff(e), e[:-1]
+    z = _design(d, level, top)
+    gram, m, order = z.T @ z, float(len(z)), top
     if choose:
         ssr = np.maximum(_fitted(gram)[1:], 1e-300)
         aic = m * (math.log(2 * math.pi) + np.log(ssr / m) + 1) + 2 * np.arange(2, top + 3)
         order = int(np.argmin(aic))
     kept = [*range(2 + order), top + 2]
     gram = gram[np.ix_(kept, kept)]
-    # rows that lack later lags only
-    rows = [[1.0, head_x[t], *head[t - order : t][::-1], head[t]] for t in range(order, top)]
-    if rows:
-        gram = gram + np.asarray(rows).T @ np.asarray(rows)
+    if order < top:  # rows that lack later lags only
+        rows = _design(d[:top], level[:top], order)
+        gram = gram + rows.T @ rows
     a, b = gram[:-1, :-1], gram[:-1, -1]
     scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
     inverse = np.linalg.pinv(a / np.outer(scale, scale)) / np.outer(scale, scale)
@@ -186,76 +177,57 @@ def adf_statistic(top: int, dd, xd, sums, head_d, head_x, tail_d, choose: bool =
     return float(beta[1] / math.sqrt(variance)) if variance > 0 else None
 
 
-_MOMENTS = ("top", "dd", "xd", "sums", "head_d", "head_x", "tail_d")
+def _centred(x: np.ndarray) -> np.ndarray:
+    """Values that are finite, without their mean: others are no rows."""
+    x = x[np.isfinite(x)]
+    return x - x.mean() if len(x) else x
 
 
-def _from_moments(choose: bool, kind: T.DataType, of, least: int, unusable: float | None) -> Column:
-    """A column computed from each row of lag moments."""
+def adf_fixed(levels: DataFrame, keys: list[str], lags: int, value: str = "close", order: str = "event_time") -> DataFrame:
+    """The Dickey-Fuller t value of every series at one order; null where degenerate."""
 
-    @F.arrow_udf(kind)
-    def run(n: pa.Array, ee: pa.Array, *moments: pa.Array) -> pa.Array:
-        out = []
-        for size, squares, *row in zip(n.to_pylist(), ee.to_pylist(), *(m.to_pylist() for m in moments)):
-            stat = adf_statistic(*row, choose=choose) if size >= least and squares[0] > 0 else None
-            out.append(unusable if stat is None else of(stat))
-        return pa.array(out, pa.float64())
+    def of(x: np.ndarray, null: np.ndarray) -> tuple | None:
+        e = _centred(x)
+        usable = len(e) >= 2 * lags + 6 and e @ e > 0
+        return (len(e), adf_statistic(e, lags, choose=False) if usable else None) if len(e) else None
 
-    return run("n", "ee", *_MOMENTS)
+    return _each_series(levels, keys, value, order, of, ["n bigint", "statistic double"])
 
 
-def adf_fixed(levels: DataFrame, keys: list[str], lags: int, value: str = "close", order: str = "event_time") -> DataFrame:
-    """The Dickey-Fuller t value of every series at one order; null where degenerate."""
-    moments = lag_moments(levels, keys, value, order, lags)
-    return moments.select(*keys, "n", _from_moments(False, T.DoubleType(), float, 2 * lags + 6, None).alias("statistic"))
+def _kpss(e: np.ndarray) -> float:
+    """The KPSS p-value of centred levels, at the automatic bandwidth."""
+    n = len(e)
+    cross = np.array([2.0 * float(e[i:] @ e[:-i]) / n for i in range(1, int(n ** (2.0 / 9.0)) + 1)])
+    s0, s1 = float(e @ e) / n + cross.sum(), float(cross @ np.arange(1, len(cross) + 1))
+    ratio = s1 / s0 if s0 != 0 else math.inf
+    width = int(min(1.1447 * (ratio * ratio) ** (1.0 / 3.0) * n ** (1.0 / 3.0), n - 1))
+    sums = np.cumsum(e)
+    # Bartlett's weights are those of squared sums over all windows of width + 1 rows; those beyond the end hold the rest of a sum that ends at zero
+    moved = sums.copy()
+    moved[width + 1 :] -= sums[: -width - 1]
+    rest = sums[n - 1 - width : n - 1]
+    long_run = float(moved @ moved + rest @ rest) / (width + 1)
+    if long_run == 0:
+        return KPSS_P[-1]
+    return float(np.interp(float(sums @ sums) / n / long_run, KPSS_STATS, KPSS_P))
 
 
-def _long_run(levels: DataFrame, keys: list[str], value: str, order: str, bandwidth: DataFrame) -> DataFrame:
-    """``long_run`` of each series: Bartlett-weighted autocovariances up to its own bandwidth b, times n.
+def _unit_root(x: np.ndarray, null: np.ndarray) -> tuple[float, float] | None:
+    e = _centred(x)
+    if len(e) < MIN_OBSERVATIONS or not e @ e > 0:
+        return (1.0, 0.0) if len(e) else None
+    stat = adf_statistic(e, _lags(len(e)))
+    return 1.0 if stat is None else _df_pvalue(stat), _kpss(e)
 
-    The weights are those of squared sums over all windows of b + 1 rows, so a running sum and its value
-    b + 1 rows before are enough, whatever the bandwidth.
-    """
-    own = W.partitionBy(*keys)
-    w = own.orderBy(order, value)
-    x = F.col(value)
-    rows = levels.select(*keys, order, x.cast("double").alias(value)).where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf))
-    sums = rows.withColumns({"_e": F.col(value) - F.avg(value).over(own), "_t": F.row_number().over(w) - 1})
-    sums = sums.withColumn("_c", F.sum("_e").over(w.rowsBetween(W.unboundedPreceding, 0))).select(*keys, "_t", "_c")
-    here = sums.join(bandwidth, keys)
-    before = here.select(*keys, (F.col("_t") + F.col("bandwidth") + 1).alias("_t"), F.col("_c").alias("_b"))
-    moved = F.col("_c") - F.coalesce("_b", F.lit(0.0))
-    # windows that reach beyond the end hold the rest of a sum that ends at zero
-    rest = F.when((F.col("_t") >= F.col("n") - 1 - F.col("bandwidth")) & (F.col("_t") < F.col("n") - 1), F.col("_c") * F.col("_c")).otherwise(0.0)
-    total = here.join(before, [*keys, "_t"], "left").groupBy(*keys).agg(F.sum(moved * moved + rest).alias("_s"), F.first("bandwidth").alias("_w"))
-    return total.select(*keys, (F.col("_s") / (F.col("_w") + 1)).alias("long_run"))
-
-
-def _interpolated(x: Column, at: tuple, values: tuple) -> Column:
-    out = F.when(x <= at[0], values[0])
-    for a, b, u, v in zip(at, at[1:], values, values[1:]):
-        out = out.when(x <= b, u + (x - a) * ((v - u) / (b - a)))
-    return out.otherwise(values[-1])
 
+def _tested(tests: DataFrame, keys: list[str]) -> DataFrame:
+    # a series without a key has no long-run variance
+    return tests.withColumn("kpss_pvalue", F.when(_keyed(keys) | (F.col("kpss_pvalue") == 0), F.col("kpss_pvalue")).otherwise(KPSS_P[-1]))
 
-def unit_root_tests(levels: DataFrame, keys: list[str], value: str = "close", order: str = "event_time") -> DataFrame:
-    """ADF (order by AIC; 1 when unusable) and KPSS (level, automatic bandwidth; 0 when unusable) p-values.
 
-    Both come from lag moments; only the small systems of equations of the ADF orders are NumPy.
-    """
-    moments = lag_moments(levels, keys, value, order).withColumn("adf_pvalue", _from_moments(True, T.DoubleType(), _df_pvalue, MIN_OBSERVATIONS, 1.0))
-    n, ee = F.col("n"), F.col("ee")
-    near = F.floor(F.pow(n.cast("double"), F.lit(2.0 / 9.0))).cast("int")
-    cross = F.transform(F.slice(ee, 2, F.size(ee)), lambda c, i: F.when(i < near, 2.0 * c / n).otherwise(0.0))
-    s0 = F.aggregate(cross, ee[0] / n, lambda s, c: s + c)
-    s1 = F.aggregate(F.transform(cross, lambda c, i: (i + 1) * c), F.lit(0.0), lambda s, c: s + c)
-    usable = (n >= MIN_OBSERVATIONS) & (ee[0] > 0)
-    ratio = s1 / F.when(s0 != 0, s0)
-    width = F.floor(1.1447 * F.pow(ratio * ratio, F.lit(1.0 / 3.0)) * F.pow(n.cast("double"), F.lit(1.0 / 3.0)))
-    tested = checkpointed(moments.select(*keys, "n", "adf_pvalue", "cc", F.when(usable, F.least(F.coalesce(width, n - 1), n - 1).cast("long")).alias("bandwidth")))
-    runs = _long_run(levels, keys, value, order, tested.where("bandwidth is not null").select(*keys, "n", "bandwidth"))
-    stat = F.col("cc") / n / F.when(F.col("long_run") != 0, F.col("long_run"))
-    kpss = F.when(F.col("bandwidth").isNull(), 0.0).otherwise(_interpolated(stat, KPSS_STATS, KPSS_P))
-    return tested.join(runs, keys, "left").select(*keys, "adf_pvalue", kpss.alias("kpss_pvalue"))
+def unit_root_tests(levels: DataFrame, keys: list[str], value: str = "close", order: str = "event_time") -> DataFrame:
+    """ADF (order by AIC; 1 when unusable) and KPSS (level, automatic bandwidth; 0 when unusable) p-values."""
+    return _tested(_each_series(levels, keys, value, order, _unit_root, ["adf_pvalue double", "kpss_pvalue double"]), keys)
 
 
 def verdict(adf: Column, kpss: Column, significance: float = SIGNIFICANCE) -> Column:
@@ -271,8 +243,13 @@ def verdict(adf: Column, kpss: Column, significance: float = SIGNIFICANCE) -> Co
 def assess(levels: DataFrame, keys: list[str] | None = None, value: str = "close", order: str = "event_time") -> DataFrame:
     """Both tests, Hurst and the reconciled verdict of every series."""
     keys = keys or ["symbol"]
-    tests = unit_root_tests(levels, keys, value, order)
-    joined = tests.join(hurst(levels, keys, value, order), keys)
+
+    def of(x: np.ndarray, null: np.ndarray) -> tuple | None:
+        tests = _unit_root(x, null)
+        return tests and (*tests, *_hurst(x, null))
+
+    # one pass for all, of the series that have a key
+    joined = _each_series(levels.where(_keyed(keys)), keys, value, order, of, ["adf_pvalue double", "kpss_pvalue double", "hurst double"])
     named = joined.withColumn("verdict", verdict(F.col("adf_pvalue"), F.col("kpss_pvalue")))
     fade = (F.col("verdict") == "STATIONARY") & (F.col("hurst") < TRENDING)
     return named.withColumn("tradable_as_mean_reversion", fade)

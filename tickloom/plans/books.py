@@ -189,7 +189,7 @@ def reversion(spark, d):
 @query("po7_gated_reversion", "PO7 TS5")
 def gated(spark, d):
     fadeable = stationarity.assess(t.panel_smooth(spark, d))
-    return present(po.zscore_reversion(view(spark, d), 1.0, 3.0, fadeable=fadeable))
+    return present(po.zscore_reversion(view(spark, d), 1.0, 3.0, fadeable=fadeable, rows=rows(spark, d)))
 
 
 _PF = "OVER (PARTITION BY l, r ORDER BY event_time ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
