@@ -411,3 +411,47 @@ def test_samples_by_masks_are_the_books_of_each_sample(spark):
     masked = po.evaluate_samples(df.join(rs.sample_masks(kept), "symbol"), returns, dates, ["config"], 4, 0.2, 0.001)
     read = lambda x: sorted((r.sample, r.config, r.event_time, r.names, round(r.ret, 10), round(r.turnover, 10), round(r.equity, 10)) for r in x.collect())
     assert read(masked) == read(plain) and len(read(plain)) == 4 * 2 * 4
+
+
+def test_configurations_side_by_side_are_the_books_of_each(spark):
+    from tickloom.operators import portfolio as po
+    from tickloom.operators import resampling as rs
+
+    rng = random.Random(6)
+    maybe = lambda x: None if rng.random() < 0.1 else x
+    day = lambda i: f"2024-01-{i + 1:02d} 12:00:00"
+    close = lambda: maybe(float(rng.choice([0, -1, 1, 2, 3, 4])))
+    rows = [(day(i), f"S{n:02d}", rng.uniform(1, 9), close(), close(), close(), close()) for i in range(7) for n in range(31) if rng.random() < 0.85]
+    rows += [(day(i), None, 1.0 + i, 1.0, 2.0, 9.0, 9.0) for i in range(7)]
+    df = spark.createDataFrame(rows, "at string, symbol string, entry double, start_5 double, start_9 double, end_0 double, end_2 double")
+    view = checkpointed(df.withColumn("decision_time", F.to_timestamp("at")).drop("at"))
+    dates, configs = view.select("decision_time").distinct(), [(5, 0), (9, 2), (9, 0)]
+    columns = ["event_time", "names", "gross_ret", "turnover", "ret", "equity", "peak", "drawdown"]
+    read = lambda x, *keys: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in x.select(*keys, *columns).collect())
+    scored = po.momentum_scores(view, configs, ["decision_time", "symbol"])
+    plain = po.evaluate(po.top_fraction(scored, ["config", "decision_time"], 0.2, rows=100), po.holding_returns(view), dates, ["config"], 0.001)
+    beside = po.evaluate_configs(view.repartition(5), dates, configs, 0.2, 0.001)
+    assert read(beside, "config") == read(plain, "config") and plain.count() == 3 * 6
+    names = view.where("symbol is not null").select("symbol", F.substring("symbol", 2, 2).cast("int").alias("sym_no")).distinct()
+    kept = checkpointed(rs.dropout_names(names, 4, 0.4, rows=100).select("sample", "symbol"))
+    sampled = po.momentum_scores(view.join(kept, "symbol"), configs, ["decision_time", "symbol", "sample"])
+    each = po.evaluate(po.top_fraction(sampled, ["sample", "config", "decision_time"], 0.3, rows=100), po.holding_returns(view), dates, ["sample", "config"], 0.001)
+    masked = view.join(rs.sample_masks(kept), "symbol")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for records in (before, "3"):
+            spark.conf.set(size, records)
+            assert read(po.evaluate_configs(masked, dates, configs, 0.3, 0.001, 4), "sample", "config") == read(each, "sample", "config")
+    finally:
+        spark.conf.set(size, before)
+    assert po.evaluate_configs(view.limit(0), dates, configs, 0.2).count() == 0
+
+
+def test_checks_of_the_gauntlet_are_tables_of_their_own(spark):
+    from tickloom.plans.books import gauntlet_results
+
+    names, found = gauntlet_results(spark, "/root/testdata/sf0.001")
+    for frame in (names, *found):
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+        assert len(frame.columns) in (1, 6) and frame.count() <= 15

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.sizing import small
+
 
 def by(key: str | list[str] = "symbol", order: str | list = "event_time"):
     keys = [key] if isinstance(key, str) else list(key)
@@ -57,13 +59,15 @@ def simple_return(k: int = 1, window=None, price: str = "close") -> Column:
     return F.try_divide(F.col(price), F.lag(price, k).over(w)) - 1
 
 
-def copied_to(rows: DataFrame, dates: DataFrame, column: str, start: str, until: str) -> DataFrame:
+def copied_to(rows: DataFrame, dates: DataFrame, column: str, start: str, until: str, bound: int | None = None) -> DataFrame:
     """``rows`` copied to each distinct date in ``[start, until)``, in ``column``; no ``until`` is for good.
 
     Dates are numbered along the calendar; a row looks up the numbers of its two
     ends by equality and is copied to those in between.  So there is neither a
     range join nor a list of dates on every row, however many dates are asked.
+    ``bound`` is one on the times of either table: where it is small, rows meet the calendar where they lie.
     """
+    calendar_rows = None if bound is None else 2 * bound
     asked = dates.select(column, F.col(column).cast("timestamp").alias("_at")).distinct()
     stamps = asked.select("_at", F.lit(1).alias("_is")).unionByName(
         rows.select(F.explode(F.array(F.col(start).cast("timestamp"), F.col(until).cast("timestamp"))).alias("_at"), F.lit(0).alias("_is"))
@@ -73,9 +77,9 @@ def copied_to(rows: DataFrame, dates: DataFrame, column: str, start: str, until:
     # one row per date of the calendar
     before = W.orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
     calendar = stamps.groupBy("_at").agg(F.max("_is").alias("_is")).withColumn("_no", F.coalesce(F.sum("_is").over(before), F.lit(0)))
-    numbers = calendar.where("_is = 1").join(asked, "_at").select("_no", column)
-    first = calendar.select(F.col("_at").alias("_first_at"), F.col("_no").alias("_first"))
-    last = calendar.select(F.col("_at").alias("_last_at"), F.col("_no").alias("_last"))
+    numbers = small(calendar.where("_is = 1").join(asked, "_at").select("_no", column), bound)
+    first = small(calendar.select(F.col("_at").alias("_first_at"), F.col("_no").alias("_first")), calendar_rows)
+    last = small(calendar.select(F.col("_at").alias("_last_at"), F.col("_no").alias("_last")), calendar_rows)
     framed = rows.join(first, F.col(start).cast("timestamp") == F.col("_first_at")).join(
         last, F.col(until).cast("timestamp") == F.col("_last_at"), "left"
     )

@@ -7,7 +7,8 @@ books, configurations, samples and seeds are evaluated together as key columns.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.functions.chunks import key_changes
 from tickloom.functions.ranks import with_ordinal_rank
 from tickloom.functions.scalar import money, to_tick, whole_lots
 from tickloom.functions.windows import by, copied_to, rolling
@@ -28,11 +30,12 @@ Strategy = Callable[[DataFrame], DataFrame]
 # ---- what a decision sees -----------------------------------------------------
 
 
-def decision_view(features: DataFrame, dates: DataFrame, key: str = "symbol") -> DataFrame:
+def decision_view(features: DataFrame, dates: DataFrame, key: str = "symbol", stamps: int | None = None) -> DataFrame:
     """Latest row of every name at each decision, whatever its age.
 
     A row is valid until the name's next one.  ``entry`` is the open after the
-    decision, or the last close of a name that stopped trading.
+    decision, or the last close of a name that stopped trading.  ``stamps``
+    bounds the sessions and the decisions.
     """
     w = by(key)
     framed = features.withColumns(
@@ -41,7 +44,7 @@ def decision_view(features: DataFrame, dates: DataFrame, key: str = "symbol") ->
             "entry": F.coalesce(F.lead("open").over(w), F.col("close")),
         }
     )
-    return copied_to(framed, dates, "decision_time", "event_time", "_until").drop("_until")
+    return copied_to(framed, dates, "decision_time", "event_time", "_until", stamps).drop("_until")
 
 
 def holding_returns(view: DataFrame, key: str = "symbol") -> DataFrame:
@@ -444,6 +447,106 @@ def evaluate_samples(
     return with_curve(dated.withColumnRenamed("decision_time", "event_time"), [*keys, "sample"])
 
 
+def evaluate_configs(
+    view: DataFrame, dates: DataFrame, configs: list[tuple[int, int]], fraction: float, cost_rate: float = 0.0, samples: int | None = None
+) -> DataFrame:
+    """``evaluate`` of ``top_fraction`` on the ``momentum_scores`` of all ``configs``, with ``config`` as the key.
+
+    ``view`` has the closes at the ends of the windows.  With ``samples``, bit
+    ``s`` of a row's ``_mask`` says whether sample ``s`` keeps the name, and
+    ``sample`` is a further key.  A decision is ranked in one task for all
+    configurations; a row says in bits which books hold it, and no row is copied
+    to them.  Rows meet the name's next decision after one shuffle by name, and
+    only sums per book and decision go on.
+    """
+    books = len(configs) if samples is None else samples
+    within("books of a word", books, 1, 62)
+    words, places = 1 if samples is None else len(configs), np.arange(books, dtype=np.int64)
+    ends = sorted({f"start_{k}" for k, _ in configs} | {f"end_{s}" for _, s in configs})
+    order = W.orderBy("decision_time")
+    index = (
+        dates.select("decision_time").distinct()
+        .withColumns({"_i": F.row_number().over(order).cast("bigint"), "_next": F.lead("decision_time").over(order)})
+        .where(F.col("_next").isNotNull())
+        .drop("_next")
+    )
+    following = F.lead("entry").over(W.partitionBy("symbol").orderBy("decision_time"))
+    earned = F.when(F.col("symbol").isNotNull(), F.try_divide(following, "entry") - 1)
+    kept = [F.col(c).cast("double").alias(c) for c in ends] + ([] if samples is None else ["_mask"])
+    rated = view.select("symbol", "decision_time", F.coalesce(earned, F.lit(0.0)).alias("_ret"), *kept)
+
+    def best(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [("symbol", "ascending")], null_placement="at_start"))
+        held = np.zeros((len(table), words), np.int64)
+        known = {c: table.column(c).is_valid().to_numpy() for c in ends}
+        values = {c: table.column(c).to_numpy() for c in ends}
+        for number, (k, s) in enumerate(configs):
+            start, end = values[f"start_{k}"], values[f"end_{s}"]
+            rows = np.flatnonzero(known[f"start_{k}"] & known[f"end_{s}"] & ~(start <= 0))
+            rows = rows[np.argsort(-(end[rows] / start[rows] - 1), kind="stable")]
+            if samples is None:
+                held[rows[: max(1, math.floor(len(rows) * fraction))], 0] |= 1 << number
+                continue
+            bits = (table.column("_mask").to_numpy()[rows, None] >> places & 1).astype(np.int32)
+            upto = bits.cumsum(axis=0, dtype=np.int32)
+            if len(rows):
+                bits[upto > np.maximum(1, np.floor(upto[-1] * fraction))] = 0
+            held[rows, number] = (bits.astype(np.int64) << places).sum(axis=1)
+        some = np.flatnonzero(held.any(axis=1))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * words), pa.array(held[some].ravel()))
+        return table.select(["symbol", "_i", "_ret"]).take(pa.array(some)).append_column("_held", lists)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, last = None, None  # the row before, and the books that held it
+        found: dict[int, np.ndarray] = {}  # per decision: names, names held before too, returns
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = pa.Table.from_batches([batch.select(["symbol", "_i"])])
+            i, ret = batch.column("_i").to_numpy(), batch.column("_ret").to_numpy()
+            held = batch.column("_held").flatten().to_numpy().reshape(-1, words)
+            new = key_changes(own.select(["symbol"]), None if row is None else row.select(["symbol"]))
+            before = np.concatenate([held[:1] if last is None else last, held[:-1]])
+            follows = ~new & (np.diff(i, prepend=i[0] if row is None else row["_i"][0].as_py()) == 1)
+            both = np.where(follows[:, None], held & before, 0)
+            row, last = own.slice(len(own) - 1), held[-1:]
+            at = np.argsort(i, kind="stable")
+            numbers, starts = np.unique(i[at], return_index=True)
+            parts = np.empty((3, len(numbers), words, books))
+            for w in range(words):
+                now, then = ((x[at, w][:, None] >> places & 1).astype(np.float64) for x in (held, both))
+                for n, x in enumerate((now, then, now * ret[at][:, None])):
+                    parts[n, :, w] = np.add.reduceat(x, starts, axis=0)
+            for n, number in enumerate(numbers.tolist()):
+                found[number] = found[number] + parts[:, n] if number in found else parts[:, n].copy()
+        for number, (now, then, earned) in found.items():
+            w, b = np.nonzero(now)
+            made = [np.full(len(w), number), w, b, now[w, b].astype(np.int64), then[w, b].astype(np.int64), earned[w, b]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["_i", "_word", "_book", "_now", "_both", "_earned"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in view.select("symbol").schema)
+    chosen = rated.join(F.broadcast(index), "decision_time").drop("decision_time").groupBy("_i").applyInArrow(best, f"{kinds}, _i bigint, _ret double, _held array<bigint>")
+    placed = chosen.repartition("symbol").sortWithinPartitions("symbol", "_i")
+    parts = placed.mapInArrow(sums, "_i bigint, _word bigint, _book bigint, _now bigint, _both bigint, _earned double")
+    c = F.col
+    nothing = F.lit(0).cast("bigint")
+    sides = F.array(  # what is held now is given up at the next decision
+        F.struct(c("_i").alias("i"), c("_now").alias("now"), c("_both").alias("both"), c("_earned").alias("earned"), nothing.alias("was")),
+        F.struct((c("_i") + 1).alias("i"), nothing.alias("now"), nothing.alias("both"), F.lit(0.0).alias("earned"), c("_now").alias("was")),
+    )
+    total = parts.select("_word", "_book", F.explode(sides).alias("s")).groupBy("_word", "_book", c("s.i").alias("_i")).agg(
+        *[F.sum(f"s.{n}").alias(f"_{n}") for n in ("now", "both", "earned", "was")]
+    )
+    weight, before = 1.0 / F.greatest(c("_now"), F.lit(1)), 1.0 / F.greatest(c("_was"), F.lit(1))
+    turnover = c("_both") * F.abs(weight - before) + (c("_now") - c("_both")) * weight + (c("_was") - c("_both")) * before
+    keys = [c("_book").alias("config")] if samples is None else [c("_word").alias("config"), c("_book").alias("sample")]
+    book = total.join(F.broadcast(index), "_i").select(
+        *[k.cast("int") for k in keys], c("decision_time").alias("event_time"),
+        (c("_earned") * weight).alias("gross_ret"), turnover.alias("turnover"), c("_now").alias("names"),
+    )
+    return with_curve(book.withColumn("ret", c("gross_ret") - c("turnover") * cost_rate), ["config"] if samples is None else ["config", "sample"])
+
+
 def run_summary(evaluated: DataFrame, keys: list[str], cost_rate: float) -> DataFrame:
     """Equity ends, total return, deepest drawdown and fees of each book."""
     return evaluated.groupBy(*keys).agg(

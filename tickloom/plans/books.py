@@ -15,6 +15,7 @@ from tickloom.plans import tables as t
 from tickloom.plans.registry import query
 from tickloom.plans.statistics import PAIRS, top_pairs
 from tickloom.plans.tables import oracle, present, r, rows
+from tickloom.session import discard, written
 from tickloom.sizing import small
 
 W = "OVER (PARTITION BY symbol ORDER BY event_time)"
@@ -88,13 +89,13 @@ def dates(spark, d):
 
 def view_of(panel, spark, d):
     """Momentum features of ``panel`` as they are known at each rebalance date."""
-    return po.decision_view(po.momentum_features(panel, LOOKBACKS, SKIPS), dates(spark, d))
+    return po.decision_view(po.momentum_features(panel, LOOKBACKS, SKIPS), dates(spark, d), stamps=rows(spark, d))
 
 
 def view(spark, d):
     features = po.momentum_features(t.panel_smooth(spark, d), LOOKBACKS, SKIPS)
     features = po.zscore_features(po.sma_features(features, 20, 50), 60)
-    return po.decision_view(features, dates(spark, d))
+    return po.decision_view(features, dates(spark, d), stamps=rows(spark, d))
 
 
 def sweep_weights(seen, n, kept=()):
@@ -151,8 +152,12 @@ RANDOM = f"""SELECT seed, decision_time, symbol, 1.0 / count(*) OVER (PARTITION
     (SELECT unnest(range({SEEDS})) AS seed)) WHERE rk <= 10"""
 
 
+def drawn_names(seen):
+    return po.random_entry(seen, SEEDS, 10, hold=2)
+
+
 def random_weights(spark, d):
-    return po.random_entry(view(spark, d), SEEDS, 10, hold=2)
+    return drawn_names(view(spark, d))
 
 
 @query(
@@ -619,14 +624,15 @@ DROPPED = {
 
 
 def sampled(seen, names, spark, d, configs):
-    """Books of ``configs`` on samples of the names; the view is read twice and made once."""
+    """Books of ``configs`` on samples of the names; the view is read twice."""
     n = rows(spark, d)
-    ends = sorted({f"start_{k}" for k, _ in configs} | {f"end_{skip}" for _, skip in configs})
-    seen = seen.select("symbol", "decision_time", "entry", *ends).persist(StorageLevel.DISK_ONLY)
     kept = rs.dropout_names(names, DROP_SAMPLES, rows=n).select("sample", "symbol")
     returns = po.holding_returns(seen)
     if fits_arrays(n, DROP_SAMPLES):
-        scored = po.momentum_scores(seen.join(rs.sample_masks(kept), "symbol"), configs, ["decision_time", "symbol", "_mask"])
+        masked = seen.join(rs.sample_masks(kept), "symbol")
+        if len(configs) > 1:
+            return po.evaluate_configs(masked, dates(spark, d), configs, 0.2, COST, DROP_SAMPLES)
+        scored = po.momentum_scores(masked, configs, ["decision_time", "symbol", "_mask"])
         return po.evaluate_samples(scored, returns, dates(spark, d), ["config"], DROP_SAMPLES, 0.2, COST)
     scored = po.momentum_scores(seen.join(kept, "symbol"), configs, ["decision_time", "symbol", "sample"])
     return po.evaluate(po.top_fraction(scored, ["sample", "config", "decision_time"], 0.2, rows=n), returns, dates(spark, d), ["sample", "config"], COST)
@@ -636,7 +642,8 @@ def dropout(spark, d):
     panel = t.panel_smooth(spark, d)
     features = po.momentum_features(panel, (CONFIGS[8][0],), (CONFIGS[8][1],))
     names = panel.select("symbol", "sym_no").distinct()
-    return sampled(po.decision_view(features, dates(spark, d)), names, spark, d, [CONFIGS[8]])
+    seen = po.decision_view(features, dates(spark, d)).select("symbol", "decision_time", "entry", f"start_{CONFIGS[8][0]}", f"end_{CONFIGS[8][1]}")
+    return sampled(seen.persist(StorageLevel.DISK_ONLY), names, spark, d, [CONFIGS[8]])
 
 
 @query(
@@ -678,64 +685,97 @@ def parameter_sweep(spark, d):
 # ---- gauntlet ------------------------------------------------------------------------------
 
 
+def evaluated(seen, spark, d):
+    """``evaluate`` of ``sweep_weights``, side by side where a decision's names fit a task."""
+    n = rows(spark, d)
+    if fits_arrays(n, len(CONFIGS)):
+        return po.evaluate_configs(seen, dates(spark, d), CONFIGS, 0.2, COST)
+    return po.evaluate(sweep_weights(seen, n), po.holding_returns(seen), dates(spark, d), ["config"], COST)
+
+
 def gauntlet_results(spark, d):
-    """The twelve checks for each swept configuration."""
+    """The twelve checks for each swept configuration.
+
+    Panel and views are written once; each check is a table of its own, made one
+    after another, so that the shuffle files of one are gone before the next.
+    """
     named = F.concat(F.lit("momentum-"), F.col("config").cast("string")).alias("strategy")
     n = rows(spark, d)
+    panel = written(t.panel_smooth(spark, d), "panel")
+    ends = [f"start_{k}" for k in LOOKBACKS] + [f"end_{s}" for s in SKIPS]
+    looked = lambda frame: view_of(frame, spark, d).select("symbol", "sym_no", "decision_time", "close", "entry", *ends)
+    seen, false = written(looked(panel), "seen"), written(looked(pit.corrupt_future(panel, 0.7)), "seen")
     # a row per configuration and month, read by every check
-    swept = sweep(spark, d).select(named, "config", "event_time", "ret", "gross_ret", "turnover").persist(StorageLevel.DISK_ONLY)
+    swept = written(evaluated(seen, spark, d).select(named, "config", "event_time", "ret", "gross_ret", "turnover"), "swept")
     base = swept.select("strategy", "config", "event_time", "ret")
     own = base.groupBy("strategy", "config").agg(performance.sharpe(F.col("ret"), periods=MONTHS).alias("sharpe"))
-    tripled_costs = swept.select("strategy", (F.col("gross_ret") - F.col("turnover") * COST * 3.0).alias("ret"))
+    names = own.select("strategy")
+
+    def costs():
+        return rs.check_cost_sensitivity(swept.select("strategy", (F.col("gross_ret") - F.col("turnover") * COST * 3.0).alias("ret")), MONTHS)
+
     # the months in order, a row each: three fifths to develop on, then walk forward, the last year locked
     months = base.select("event_time").distinct().withColumn("_all", F.lit(0))
     own_month = Window.partitionBy("_all").orderBy("event_time")
     months = months.select("event_time", F.row_number().over(own_month).alias("month"), F.count(F.lit(1)).over(Window.partitionBy("_all")).alias("months"))
     dated = base.join(small(months, n), "event_time")
     opened, locked = dated.where(F.col("month") <= F.col("months") - LOCKED_MONTHS), dated.where(F.col("month") > F.col("months") - LOCKED_MONTHS)
-    walked = opened.withColumn("in_sample", F.col("month") <= 0.6 * F.col("months"))
-    near = own.select(F.col("strategy"), F.col("config")).join(
-        own.select((F.floor(F.col("config") / 3)).alias("_group"), F.col("sharpe")), F.floor(F.col("config") / 3) == F.col("_group")
-    )
-    moments = rs.sharpe_moments(base, ["strategy"]).withColumn("n_trials", F.lit(len(CONFIGS)))
-    placebos_ = placebo(spark, d).groupBy("seed").agg(performance.sharpe(F.col("ret"), periods=MONTHS).alias("sharpe"))
-    spread = own.select("strategy").join(F.broadcast(placebos_), F.lit(True), "left").select("strategy", "sharpe")
-    names = own.select("strategy")
-    flagged = quality.flagged_bars(t.panel_smooth(spark, d), "1d", rows=n)
-    critical = quality.findings(flagged).agg(F.count_if(F.col("severity") == "CRITICAL").alias("critical"))
-    clean = names.join(F.broadcast(critical), F.lit(True), "left")
-    # every configuration again, on prices that are false behind the cutoff
-    panel = t.panel_smooth(spark, d)
-    false = view_of(pit.corrupt_future(panel, 0.7), spark, d)
-    twin = po.evaluate(sweep_weights(false, n), po.holding_returns(false), dates(spark, d), ["config"], COST)
-    cutoff = panel.agg(F.percentile(F.unix_seconds("event_time"), F.lit(0.3)).alias("_t"))
-    pairs = base.join(twin.select("config", "event_time", F.col("ret").alias("corrupted_ret")), ["config", "event_time"])
-    pairs = pairs.join(F.broadcast(cutoff), F.unix_seconds("event_time") < F.col("_t"))
-    # every configuration on samples of the names: sample and configuration are keys of one evaluation
-    seen = view_of(panel, spark, d)
-    books = sampled(seen, panel.select("symbol", "sym_no").distinct(), spark, d, CONFIGS)
-    dropped = books.groupBy(named, "sample").agg(performance.sharpe(F.col("ret"), periods=MONTHS).alias("sharpe"))
-    market = factors.add_market_return(panel, n).where(F.col("market_ret").isNotNull()).select("event_time", "market_ret").distinct()
-    labels = stationarity.regime_slices(market.withColumns({"_one": F.lit(0), "ret": F.col("market_ret")}), ["_one"])
-    labels = labels.select(F.to_date("event_time").alias("_day"), "regime").distinct()
-    regimes = base.withColumn("_day", F.to_date("event_time")).join(small(labels, n), "_day").select("strategy", "regime", "ret")
-    shuffled = rs.monte_carlo_drawdown(rs.series_arrays(base, ["strategy"]), ["strategy"], DRAWS)
-    pbo = rs.backtest_overfitting(base.select("config", "event_time", "ret"), []).select("pbo")
-    overfit = names.join(F.broadcast(pbo), F.lit(True), "left")
-    return names, [
-        rs.check_data_integrity(clean),
-        rs.check_look_ahead(pairs),
-        rs.check_universe_dropout(dropped),
-        rs.check_regimes(regimes, MONTHS),
-        rs.check_locked(locked, periods=MONTHS),
-        rs.check_cost_sensitivity(tripled_costs, MONTHS),
-        rs.check_walk_forward(walked, MONTHS),
-        rs.check_parameter_plateau(near.select("strategy", "sharpe")),
-        rs.check_deflated_sharpe(rs.deflated_sharpe(moments)),
-        rs.check_placebo(spread, own),
-        rs.check_monte_carlo(shuffled),
-        rs.check_pbo(overfit),
-    ]
+
+    def walk_forward():
+        return rs.check_walk_forward(opened.withColumn("in_sample", F.col("month") <= 0.6 * F.col("months")), MONTHS)
+
+    def plateau():
+        near = own.select(F.col("strategy"), F.col("config")).join(
+            own.select((F.floor(F.col("config") / 3)).alias("_group"), F.col("sharpe")), F.floor(F.col("config") / 3) == F.col("_group")
+        )
+        return rs.check_parameter_plateau(near.select("strategy", "sharpe"))
+
+    def deflated_():
+        moments = rs.sharpe_moments(base, ["strategy"]).withColumn("n_trials", F.lit(len(CONFIGS)))
+        return rs.check_deflated_sharpe(rs.deflated_sharpe(moments))
+
+    def placebos_():
+        drawn = po.evaluate(drawn_names(seen), po.holding_returns(seen), dates(spark, d), ["seed"], COST)
+        sharpes = drawn.groupBy("seed").agg(performance.sharpe(F.col("ret"), periods=MONTHS).alias("sharpe"))
+        spread = names.join(F.broadcast(sharpes), F.lit(True), "left").select("strategy", "sharpe")
+        return rs.check_placebo(spread, own)
+
+    def integrity():
+        flagged = quality.flagged_bars(panel, "1d", rows=n)
+        critical = quality.findings(flagged).agg(F.count_if(F.col("severity") == "CRITICAL").alias("critical"))
+        return rs.check_data_integrity(names.join(F.broadcast(critical), F.lit(True), "left"))
+
+    def ahead():
+        # every configuration again, on the view of prices that are false behind the cutoff
+        twin = evaluated(false, spark, d)
+        cutoff = panel.agg(F.percentile(F.unix_seconds("event_time"), F.lit(0.3)).alias("_t"))
+        pairs = base.join(twin.select("config", "event_time", F.col("ret").alias("corrupted_ret")), ["config", "event_time"])
+        return rs.check_look_ahead(pairs.join(F.broadcast(cutoff), F.unix_seconds("event_time") < F.col("_t")))
+
+    def dropout_():
+        # every configuration on samples of the names: sample and configuration are keys of one evaluation
+        books = sampled(seen, panel.select("symbol", "sym_no").distinct(), spark, d, CONFIGS)
+        return rs.check_universe_dropout(books.groupBy(named, "sample").agg(performance.sharpe(F.col("ret"), periods=MONTHS).alias("sharpe")))
+
+    def regimes():
+        market = factors.add_market_return(panel, n).where(F.col("market_ret").isNotNull()).select("event_time", "market_ret").distinct()
+        labels = stationarity.regime_slices(market.withColumns({"_one": F.lit(0), "ret": F.col("market_ret")}), ["_one"])
+        labels = labels.select(F.to_date("event_time").alias("_day"), "regime").distinct()
+        paid = base.withColumn("_day", F.to_date("event_time")).join(small(labels, n), "_day").select("strategy", "regime", "ret")
+        return rs.check_regimes(paid, MONTHS)
+
+    def shuffled():
+        return rs.check_monte_carlo(rs.monte_carlo_drawdown(rs.series_arrays(base, ["strategy"]), ["strategy"], DRAWS))
+
+    def overfit():
+        pbo = rs.backtest_overfitting(base.select("config", "event_time", "ret"), []).select("pbo")
+        return rs.check_pbo(names.join(F.broadcast(pbo), F.lit(True), "left"))
+
+    checks = [integrity, ahead, dropout_, regimes, lambda: rs.check_locked(locked, periods=MONTHS), costs, walk_forward, plateau, deflated_, placebos_, shuffled, overfit]
+    found = [written(check(), "check") for check in checks]
+    names = written(names, "names")
+    discard(panel, seen, false, swept)
+    return names, found
 
 
 @query("g10_gauntlet_checks", "G10")
